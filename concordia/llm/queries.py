@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import mixing, packing, quality, sharding, simhash, toxicity
+from concordia.llm import chat, langmodel, mixing, packing, quality, rangejoin, sharding, simhash, toxicity, warc
 
 
 def tokenizer() -> str:
@@ -22,6 +22,15 @@ def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(_table(spark, sf_dir, "pages"), min_bytes=0)
+    return read.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+def op3_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op4_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -34,6 +43,20 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = "crc32(cast(cast(doc_id as string) as binary)) % 7"
+    scored = langmodel.score(_table(spark, sf_dir, "documents"), train=f"{fold} <> 2")
+    return scored.select("doc_id", F.expr(f"{fold} = 2").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    parts = chat.format_chats(given.unionByName(probe), tokenizer())
+    return chat.read_back(parts, tokenizer())
+
+
 def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_table(spark, sf_dir, "documents"), shards=16, seed=20)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
@@ -52,7 +75,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_compression, op4_toxicity_knn, op5_simhash_pivots, op8_feistel_sharding, op9_pfair_mixing, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_compression, op2_warc_index, op3_embedding_range_join, op4_toxicity_knn, op5_simhash_pivots, op6_lm_bloom, op7_chat_tokens, op8_feistel_sharding, op9_pfair_mixing, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
