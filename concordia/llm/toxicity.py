@@ -179,7 +179,8 @@ def examples(docs: DataFrame, labels: DataFrame, settings: Settings, *, target:
     own = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(target).cast("int").alias("label")).where("__id is not null and label is not null").groupBy("__id").agg(F.max("label").alias("label"))
     own = own.where(F.crc32(F.col("__id").cast("string").cast("binary")) % fold != 0)
     own = own.orderBy(F.xxhash64("__id", F.lit(11)), "__id").limit(settings.max_examples)
-    return docs.join(F.broadcast(own), docs["doc_id"].cast("long") == own["__id"]).select(F.col("__id").alias("id"), "label", F.col("text").cast("string").alias("text"))
+    read = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return read.join(F.broadcast(own), F.col("id") == F.col("__id")).select("id", "label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, **how) -> Model:
