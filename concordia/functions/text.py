@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from concordia.plans.policy import LEGAL_FORMS, MANUFACTURER_ALIASES, TOKEN_ALIASES
 
@@ -22,9 +23,10 @@ def _fold(s: str) -> str:
 def _each(f):
     """A pandas UDF of f over strings; null stays null, and equal strings of a batch are folded once."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def udf(s: pd.Series) -> pd.Series:
-        return s.map({x: f(x) for x in s.dropna().unique()})
+        known = {x: f(x) for x in s.dropna().unique()}
+        return pd.Series([known.get(x) for x in s], dtype=object)
 
     return udf
 
@@ -76,10 +78,10 @@ def model_text(c: Column) -> Column:
     return _each(lambda s: re.sub(r"[^0-9a-z+*]+", " ", unicodedata.normalize("NFKD", s).casefold()))(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def python_repr(x: pd.Series) -> pd.Series:
     """Shortest text of a double that reads back as it (1e7 is 10000000.0); None for null."""
-    return x.map(lambda v: "None" if pd.isna(v) else repr(float(v)))
+    return pd.Series(["None" if pd.isna(v) else repr(float(v)) for v in x], dtype=object)
 
 
 def collapse(c: Column) -> Column:

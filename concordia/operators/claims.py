@@ -50,7 +50,7 @@ def project(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"
     c = with_condition_text(claims)
     preference = F.struct((F.col("source_tier") != RECORD).alias("a"), F.col("value").isNull().alias("b"), (-F.col("confidence")).alias("c"), F.col("document_id").alias("d"), F.col("extractor_version").alias("e"), F.coalesce("value.canon", F.lit("None")).alias("f"), F.coalesce("unit", F.lit("")).alias("g"), F.coalesce("verbatim_value", F.lit("")).alias("h"), F.xxhash64(F.to_json("source_ref")).alias("i"))
     answer = F.struct(F.coalesce("value.canon", F.lit("None")).alias("canon"), F.coalesce("unit", F.lit("")).alias("unit"))
-    rest = [x for x in claims.columns if x not in keys]
+    rest = [x for x in claims.columns if x not in (*keys, "condition_text")]
     # Least and greatest answer differ exactly when there are several; unlike a distinct count this needs no expansion.
     grouped = c.groupBy(*keys, "condition_text").agg(F.min_by(F.struct(*rest), preference).alias("best"), F.min(answer).alias("lo"), F.max(answer).alias("hi"), F.count(F.lit(1)).alias("n_claims"))
     return grouped.select(*keys, "condition_text", "best.*", "n_claims", F.when(F.col("lo") == F.col("hi"), "none").otherwise("open").alias("conflict_status"))

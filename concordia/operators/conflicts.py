@@ -33,14 +33,15 @@ def prepare(claims: DataFrame, *, ascii_only: bool = False) -> DataFrame:
     """What comparison needs of each claim, computed once a row and not once a pair.
 
     Adds kind, num and canon of the value, ord (a total order of distinct claims), fold (folded text), base and year (text without and with its edition),
-    unit_fold, decimals (printed). ascii_only keeps all in SQL functions, for text known to be ASCII.
+    unit_fold, floor (half of the last
+    printed digit). ascii_only keeps all in SQL functions, for text known to be ASCII.
     """
     f = text.collapse if ascii_only else text.fold
     folded = claims.withColumns({"fold": f(F.col("value.txt")), "unit_fold": f(F.col("unit"))})
     base, year = text.edition(F.col("fold"))
     ref = F.col("source_ref")
     order = F.struct(F.col("source_tier"), F.col("document_id"), F.col("value.canon").alias("canon"), F.col("unit"), F.col("extractor_version"), F.xxhash64(F.to_json(F.struct("condition", "verbatim_value", "source_ref", "confidence"))).alias("h"))
-    return folded.withColumns({"base": base, "year": year, "decimals": values.printed_decimals(F.col("verbatim_value"), F.col("value.num"), F.col("value.is_int"), F.col("value.canon")), "kind": F.col("value.kind"), "num": F.col("value.num"), "canon": F.col("value.canon"), "source_id": F.coalesce(ref["document_id"], ref["url"]), "authority_cec": F.coalesce(F.contains(F.lower(ref["source_authority"]), F.lit("cec")), F.lit(False)), "ord": order})
+    return folded.withColumns({"base": base, "year": year, "floor": F.lit(0.5) * F.pow(F.lit(10.0), -values.printed_decimals(F.col("verbatim_value"), F.col("value.num"), F.col("value.is_int"), F.col("value.canon")).cast("double")), "kind": F.col("value.kind"), "num": F.col("value.num"), "canon": F.col("value.canon"), "source_id": F.coalesce(ref["document_id"], ref["url"]), "authority_cec": F.coalesce(F.contains(F.lower(ref["source_authority"]), F.lit("cec")), F.lit(False)), "ord": order})
 
 
 def comparison_pairs(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"), *, order: str = "ord", condition: str = "condition", dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
@@ -58,7 +59,9 @@ def comparison_pairs(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT,
 def comparison_groups(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name")) -> DataFrame:
     """Candidates by exact condition, for display: keys, condition_key, members in order. Not for detection."""
     rest = [c for c in candidates.columns if c not in (*keys, "condition")]
-    return candidates.groupBy(*keys, condition_key(F.col("condition")).alias("condition_key")).agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in rest if c != "ord"]))).alias("members"))
+    members = F.collect_list(F.struct("ord", *[c for c in rest if c != "ord"]))
+    by_ord = lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
+    return candidates.groupBy(*keys, condition_key(F.col("condition")).alias("condition_key")).agg(F.array_sort(members, by_ord).alias("members"))
 
 
 def conflict_class(l: Column, r: Column) -> Column:  # noqa: E741
@@ -78,15 +81,15 @@ CONFLICTING = (UNITS, TEXTS_DIFFER, EDITIONS, UNLIKE, BEYOND)
 REASONS = ("one side has no value", "units differ", "texts differ", "editions differ", "texts agree", "values are equal", "values are neither numbers nor texts alike", "numbers differ by more than the tolerance and the printed precision", "numbers agree within the tolerance or the printed precision")
 
 
-def judge(l: Column, r: Column, rule: Column, magnitude: Column, alternate_when: Column, alternate: Column, band_l: Column | None = None, band_r: Column | None = None) -> Column:  # noqa: E741
+def judge(l: Column, r: Column, rule: Column, magnitude: Column, alternate_when: Column, alternate: Column, band_l: Column | None = None, band_r: Column | None = None, *, gated: bool = False) -> Column:  # noqa: E741
     """The code of a pair of prepared candidates; the first rule that applies decides.
 
     Gaps never conflict, different units always do, texts are compared folded and by edition, numbers by the field's
     tolerance or the precision with which they were printed, whichever is wider. A field that must never be compared
-    and a pair of incomparable conditions raise an error.
+    and a pair of incomparable conditions raise an error; gated pairs come from comparison_pairs() and aren't tested again.
     """
     a, b, no = l["num"], r["num"], F.lit(False)
-    floor = F.lit(0.5) * F.pow(F.lit(10.0), -F.least(l["decimals"], r["decimals"]).cast("double"))
+    floor = F.greatest(l["floor"], r["floor"])
     ieee = lambda s: F.coalesce(s["condition"]["standards_regime"] == "ieee", no)
     selected = F.when(alternate_when == "impedance_below_10_pct", F.greatest(F.abs(a), F.abs(b)) < 10).when(alternate_when == "regime_ieee", ieee(l) | ieee(r)).when(alternate_when == "authority_cec", l["authority_cec"] | r["authority_cec"])
     wide = F.when(F.coalesce(selected, no), alternate).otherwise(F.coalesce(magnitude, F.lit(0.0)))
@@ -107,7 +110,7 @@ def judge(l: Column, r: Column, rule: Column, magnitude: Column, alternate_when:
     stop = lambda why: F.raise_error(F.lit(why)).cast("int")
     return (
         F.when(rule == "never_compare", stop("this field must never be compared"))
-        .when(~comparable(l["condition"], r["condition"]), stop("the conditions are not comparable"))
+        .when(F.lit(False) if gated else ~comparable(l["condition"], r["condition"]), stop("the conditions are not comparable"))
         .when(l["kind"].isNull() | r["kind"].isNull(), GAP)
         .when(F.coalesce(l["unit_fold"] != r["unit_fold"], no), UNITS)
         .when(a.isNotNull() & b.isNotNull(), F.when(beyond, BEYOND).otherwise(WITHIN))
@@ -154,7 +157,7 @@ def value_counts(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "fi
 
 
 #: What judging and grading a pair read of each side; a pair carries nothing else but what its caller asks for.
-NEEDED = ("ord", "condition", "kind", "num", "canon", "base", "year", "unit", "unit_fold", "decimals", "source_tier", "source_id", "authority_cec", "distinct_values")
+NEEDED = ("ord", "condition", "kind", "num", "canon", "base", "year", "unit", "unit_fold", "floor", "source_tier", "source_id", "authority_cec", "distinct_values")
 QUEUED = ("value", "source_ref", "confidence")
 
 
@@ -174,7 +177,7 @@ def detect(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name")
     pairs = policy.with_policy(comparison_pairs(ready.select(*keys, *NEEDED, *[c for c in more if c not in NEEDED]), keys))
     l, r = F.col("l"), F.col("r")  # noqa: E741
     one = {"band_l": l["band"], "band_r": r["band"]} if bands is not None else {}
-    out = pairs.withColumn("code", judge(l, r, F.col("rule"), F.col("magnitude"), F.col("alternate_when"), F.col("alternate_magnitude"), **one))
+    out = pairs.withColumn("code", judge(l, r, F.col("rule"), F.col("magnitude"), F.col("alternate_when"), F.col("alternate_magnitude"), **one, gated=True))
     t = told(F.col("code"), l, r)
     most = F.greatest(l["distinct_values"], r["distinct_values"])
     grade = severity(l, r, t["conflict_class"], F.col("rule"), F.col("magnitude"), F.col("criticality"), F.col("tier"), most)
