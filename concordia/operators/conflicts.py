@@ -44,16 +44,21 @@ def prepare(claims: DataFrame, *, ascii_only: bool = False) -> DataFrame:
     return folded.withColumns({"base": base, "year": year, "floor": F.lit(0.5) * F.pow(F.lit(10.0), -values.printed_decimals(F.col("verbatim_value"), F.col("value.num"), F.col("value.is_int"), F.col("value.canon")).cast("double")), "kind": F.col("value.kind"), "num": F.col("value.num"), "canon": F.col("value.canon"), "source_id": F.coalesce(ref["document_id"], ref["url"]), "authority_cec": F.coalesce(F.contains(F.lower(ref["source_authority"]), F.lit("cec")), F.lit(False)), "ord": order})
 
 
-def comparison_pairs(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"), *, order: str = "ord", condition: str = "condition", dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """Every unordered pair of comparable candidates of one key, once: keys, l, r (structs of the other columns).
+def comparison_pairs(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"), *, order: str = "ord", condition: str = "condition", dimensions: tuple[str, ...] = DIMENSIONS, flat: bool = False) -> DataFrame:
+    """Every unordered pair of comparable candidates of one key, once: keys, l, r (structs of the other columns), or with
+    flat their columns by themselves, with l_ and r_ before their names.
 
     A self-join on the keys with the order and the condition test as residual predicates. Pairs are the result, so their
     number is the operator's own; a hot key's join is split by AQE. Null keys never meet.
     """
     rest = [c for c in candidates.columns if c not in keys]
-    left = candidates.select(*keys, F.struct(*rest).alias("l"))
-    right = candidates.select(*keys, F.struct(*rest).alias("r"))
-    return left.join(right, list(keys)).where((F.col("l")[order] < F.col("r")[order]) & comparable(F.col("l")[condition], F.col("r")[condition], dimensions))
+    left, right = (candidates.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in rest]) for side in "lr")
+    pairs = left.join(right, list(keys)).where((F.col(f"l_{order}") < F.col(f"r_{order}")) & comparable(F.col(f"l_{condition}"), F.col(f"r_{condition}"), dimensions))
+    return pairs if flat else pairs.select(*keys, *[_side(side, rest) for side in "lr"])
+
+
+def _side(side: str, columns: list[str]) -> Column:
+    return F.struct(*[F.col(f"{side}_{c}").alias(c) for c in columns]).alias(side)
 
 
 def comparison_groups(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name")) -> DataFrame:
@@ -174,14 +179,15 @@ def detect(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name")
     if bands is not None:
         ready = ready.join(bands, [*(k for k in keys if k != "field_name"), "document_id", "field_name"], "left")
         more.append("band")
-    pairs = policy.with_policy(comparison_pairs(ready.select(*keys, *NEEDED, *[c for c in more if c not in NEEDED]), keys))
-    l, r = F.col("l"), F.col("r")  # noqa: E741
+    columns = [*NEEDED, *[c for c in more if c not in NEEDED]]
+    pairs = policy.with_policy(comparison_pairs(ready.select(*keys, *columns), keys, flat=True))
+    l, r = ({c: F.col(f"{side}_{c}") for c in columns} for side in "lr")  # noqa: E741
     one = {"band_l": l["band"], "band_r": r["band"]} if bands is not None else {}
     out = pairs.withColumn("code", judge(l, r, F.col("rule"), F.col("magnitude"), F.col("alternate_when"), F.col("alternate_magnitude"), **one, gated=True))
     t = told(F.col("code"), l, r)
     most = F.greatest(l["distinct_values"], r["distinct_values"])
     grade = severity(l, r, t["conflict_class"], F.col("rule"), F.col("magnitude"), F.col("criticality"), F.col("tier"), most)
-    return out.select(*keys, "l", "r", *[c.alias(n) for n, c in t.items()], F.when(t["conflicts"], grade).alias("severity"))
+    return out.select(*keys, _side("l", columns), _side("r", columns), *[c.alias(n) for n, c in t.items()], F.when(t["conflicts"], grade).alias("severity"))
 
 
 def queue(detected: DataFrame, as_of: Column, keys: tuple[str, ...] = (*COMPONENT, "field_name")) -> DataFrame:
