@@ -74,9 +74,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(slim, capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+#: The schedule is a recursion over slots; blocks hold one row up to 4096 rows of documents, ceil(n / 4096) beyond.
+MIXING_SQL = """
+WITH RECURSIVE per AS (SELECT CAST(greatest(1, ceil(count(*) / 4096.0)) AS BIGINT) AS per FROM documents),
+s AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w, row_number() OVER (ORDER BY count(*) DESC, source NULLS FIRST) AS queue FROM documents GROUP BY source),
+q AS (SELECT list({'n': n, 'w': w, 'blocks': CAST(ceil(n / CAST(per AS DOUBLE)) AS BIGINT)} ORDER BY queue) AS q FROM s, per),
+b AS (SELECT queue, k, k / w AS v0, (k + 1) / w AS v1, least(per, n - k * per) AS block_rows FROM (SELECT *, unnest(range(CAST(ceil(n / CAST(per AS DOUBLE)) AS BIGINT))) AS k FROM s, per)),
+f AS (SELECT queue, k, block_rows, CAST(floor(list_sum(list_transform(q, lambda x: least(x.w * v0, x.blocks))) + 1e-6) AS BIGINT) AS release, CAST(ceil(list_sum(list_transform(q, lambda x: least(x.w * v1, x.blocks))) - 1e-6) AS BIGINT) AS deadline FROM b, q),
+win AS (SELECT list(win ORDER BY queue) AS win, list(blocks ORDER BY queue) AS blocks, sum(blocks) AS slots FROM (SELECT queue, list({'r': release, 'd': deadline} ORDER BY k) AS win, count(*) AS blocks FROM f GROUP BY queue)),
+e AS (SELECT CAST(-1 AS BIGINT) AS slot, list_transform(blocks, lambda x: CAST(0 AS BIGINT)) AS nxt, CAST(0 AS BIGINT) AS queue FROM win
+  UNION ALL SELECT slot, list_transform(nxt, lambda k, i: CAST(k + CAST(i = best AS INTEGER) AS BIGINT)), best FROM (
+    SELECT e.slot + 1 AS slot, e.nxt, CAST(list_min(list_filter(list_transform(e.nxt, lambda k, i: CASE WHEN k < blocks[i] THEN {'early': win[i][k + 1].r > e.slot + 1, 'd': win[i][k + 1].d, 'i': i} END), lambda x: x IS NOT NULL)).i AS BIGINT) AS best FROM e, win WHERE e.slot + 1 < slots)),
+o AS (SELECT slot, queue, row_number() OVER (PARTITION BY queue ORDER BY slot) - 1 AS k FROM e WHERE slot >= 0),
+p AS (SELECT o.slot, o.queue, o.k, f.release, f.deadline, coalesce(sum(f.block_rows) OVER (ORDER BY o.slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM o JOIN f ON f.queue = o.queue AND f.k = o.k),
+d AS (SELECT doc_id, documents.source, s.queue, row_number() OVER (PARTITION BY s.queue ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents JOIN s ON documents.source IS NOT DISTINCT FROM s.source)
+SELECT d.doc_id, d.source, p.k AS block, p.release, p.deadline, p.slot, CAST(p.start + d.rank % per AS BIGINT) AS position FROM d, per JOIN p ON p.queue = d.queue AND p.k = d.rank // per
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_quality_compression, op2_warc_index, op3_embedding_range_join, op4_toxicity_knn, op5_simhash_pivots, op6_lm_bloom, op7_chat_tokens, op8_feistel_sharding, op9_pfair_mixing, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_pfair_mixing": MIXING_SQL}

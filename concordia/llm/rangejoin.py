@@ -72,7 +72,7 @@ def _cells(reps: DataFrame, cells: dict, radius: float) -> DataFrame:
             at = pa.array(np.concatenate(take))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(cell)), pa.array(np.concatenate(home)), b.column(2).take(at), b.column(3).take(at), b.column(4).take(at)], ["label", "dim", "cell", "home", "rep", "m", "embedding"])
 
-    return reps.select("label", "dim", "rep", "m", "embedding").mapInArrow(run, "label int, dim int, cell int, home boolean, rep long, m long, embedding array<float>")
+    return reps.select("label", "dim", "rep", "m", "embedding").mapInArrow(run, "label int, dim int, cell int, home boolean, rep long, m long, embedding {}".format(reps.schema["embedding"].dataType.simpleString()))
 
 
 def _join_cells(members: DataFrame, cosine: float, block: int) -> DataFrame:
@@ -143,7 +143,8 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, block: int = BL
     Equal vectors of a label meet once, as a representative with a count; every copy gets the links to all others. The
     result holds all links' counts and components; links are never listed.
     """
-    e = F.col("embedding").cast("array<float>")
+    kind = dict(vectors.dtypes)["embedding"]
+    e = F.col("embedding").cast(kind if kind == "array<float>" else "array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), e.alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))

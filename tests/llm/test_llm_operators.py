@@ -519,6 +519,23 @@ def test_pipeline(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_mixing_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    cur = con.execute(queries.oracle_sql()["op9_pfair_mixing"])
+    names = [d[0] for d in cur.description]
+    got = queries.op9_pfair_mixing(spark, SF).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(cur.fetchall())
+
+
+def test_range_join_takes_double_vectors(spark):
+    vecs = [(1, [1.0, 0.0], 1), (2, [1.0, 1e-12], 1), (3, [0.0, 1.0], 1)]
+    got = rows(rangejoin.near_duplicates(spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int")))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 
