@@ -122,3 +122,31 @@ def default_conditions(claims: DataFrame, implied: dict[str, dict[str, object]],
         out = out.withField(d, v)
     derived = F.array_sort(F.array_distinct(F.concat(F.coalesce(cond["derived"], F.array().cast("array<string>")), F.array_compact(F.array(*filled)))))
     return claims.withColumn("condition", out.withField("derived", derived)) if changes else claims
+
+
+def ensemble(readings: list[DataFrame]) -> DataFrame:
+    """Claims of several extractors by union, never by vote: whatever any of them asserts stands, once."""
+    out = readings[0]
+    for r in readings[1:]:
+        out = out.unionByName(r)
+    return canonical_claims(out)
+
+
+def is_missing() -> Column:
+    return F.col("value").isNull()
+
+
+def is_web_supplemented() -> Column:
+    return F.col("source_tier") == WEB
+
+
+def field_checks() -> dict[str, Column]:
+    """What a stored field must satisfy: a resolved one has its resolution, and its status is known."""
+    return {"resolved_has_resolution": (F.col("conflict_status") != "resolved") | F.col("resolution").isNotNull(), "conflict_status": F.col("conflict_status").isin("none", "open", "resolved", "insufficient_evidence")}
+
+
+def takes_a_write_handle(f) -> bool:
+    """Whether a function asks for the store's writer by name; only the commit step may."""
+    import inspect
+
+    return any(p in ("writer", "store_writer") for p in inspect.signature(f).parameters)

@@ -251,6 +251,16 @@ def test_projection_and_commit(spark):
     assert valid.count() == 1 and {tuple(r["error_class"]) for r in refused.collect()} == {("finite_value",), ("confidence",)}
 
 
+def test_fields(spark):
+    a, b = frame(spark, [claim(650)]), frame(spark, [claim(650), claim(655, extractor_version="v2")])
+    assert claims.ensemble([a, b]).count() == 2
+    both = frame(spark, [claim(None), claim(1, **WEB)])
+    assert both.where(claims.is_missing()).count() == 1 and both.where(claims.is_web_supplemented()).count() == 1
+    f = spark.createDataFrame([("resolved", None), ("resolved", "r"), ("open", None), ("odd", None)], "conflict_status string, resolution string")
+    assert schema.quarantine(f, claims.field_checks())[0].count() == 2
+    assert claims.takes_a_write_handle(lambda writer: 0) and not claims.takes_a_write_handle(claims.project)
+
+
 def test_security(spark):
     docs = spark.createDataFrame([("o", False), ("x", True), ("n", None)], "document_id string, access_restricted boolean")
     assert [r[0] for r in security.secure(docs, security.Principal()).collect()] == ["o"]
