@@ -32,16 +32,16 @@ def condition_key(c: Column) -> Column:
 def prepare(claims: DataFrame, *, ascii_only: bool = False) -> DataFrame:
     """What comparison needs of each claim, computed once a row and not once a pair.
 
-    Adds kind, num and canon of the value, ord (a total order of distinct claims), fold (folded text), base and year (text without and with its edition),
+    Adds kind, num and canon of the value, its unit's family and the number in the family's base unit (scaled), ord (a total order of distinct claims), fold (folded text), base and year (text without and with its edition),
     unit_fold, floor (half of the last
     printed digit). ascii_only keeps all in SQL functions, for text known to be ASCII.
     """
     f = text.collapse if ascii_only else text.fold
     folded = claims.withColumns({"fold": f(F.col("value.txt")), "unit_fold": f(F.col("unit"))})
     base, year = text.edition(F.col("fold"))
-    ref = F.col("source_ref")
+    ref, unit = F.col("source_ref"), policy.unit_base(F.col("unit"))
     order = F.struct(F.col("source_tier"), F.col("document_id"), F.col("value.canon").alias("canon"), F.col("unit"), F.col("extractor_version"), F.xxhash64(F.to_json(F.struct("condition", "verbatim_value", "source_ref", "confidence"))).alias("h"))
-    return folded.withColumns({"base": base, "year": year, "floor": F.lit(0.5) * F.pow(F.lit(10.0), -values.printed_decimals(F.col("verbatim_value"), F.col("value.num"), F.col("value.is_int"), F.col("value.canon")).cast("double")), "kind": F.col("value.kind"), "num": F.col("value.num"), "canon": F.col("value.canon"), "source_id": F.coalesce(ref["document_id"], ref["url"]), "authority_cec": F.coalesce(F.contains(F.lower(ref["source_authority"]), F.lit("cec")), F.lit(False)), "ord": order})
+    return folded.withColumns({"base": base, "year": year, "floor": F.lit(0.5) * F.pow(F.lit(10.0), -values.printed_decimals(F.col("verbatim_value"), F.col("value.num"), F.col("value.is_int"), F.col("value.canon")).cast("double")), "family": unit["family"], "scaled": F.col("value.num") * unit["factor"], "kind": F.col("value.kind"), "num": F.col("value.num"), "canon": F.col("value.canon"), "source_id": F.coalesce(ref["document_id"], ref["url"]), "authority_cec": F.coalesce(F.contains(F.lower(ref["source_authority"]), F.lit("cec")), F.lit(False)), "ord": order})
 
 
 def comparison_pairs(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"), *, order: str = "ord", condition: str = "condition", dimensions: tuple[str, ...] = DIMENSIONS, flat: bool = False) -> DataFrame:
@@ -138,9 +138,8 @@ def severity(l: Column, r: Column, kind: Column, rule: Column, magnitude: Column
     """0 (informational) to 4 (critical): the field's base, +1 for a gross divergence, for two records that disagree and
     for three or more values under one condition, -2 for units that reconcile; tier A is at least high, a critical field critical."""
     a, b = l["num"], r["num"]
-    ua, ub = policy.unit_base(l["unit"]), policy.unit_base(r["unit"])
-    family = F.coalesce(ua["family"] == ub["family"], F.lit(False))
-    x, y = F.when(family, a * ua["factor"]).otherwise(a), F.when(family, b * ub["factor"]).otherwise(b)
+    family = F.coalesce(l["family"] == r["family"], F.lit(False))
+    x, y = F.when(family, l["scaled"]).otherwise(a), F.when(family, r["scaled"]).otherwise(b)
     low, high = F.least(x, y), F.greatest(x, y)
     band = F.when(rule.isin("relative", "one_sided"), magnitude * F.greatest(F.abs(x), F.abs(y))).otherwise(magnitude)
     gross = F.when(band > 0, high - low >= 10 * band).when((low > 0) & (high > 0), high / low >= 10)
@@ -162,7 +161,7 @@ def value_counts(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "fi
 
 
 #: What judging and grading a pair read of each side; a pair carries nothing else but what its caller asks for.
-NEEDED = ("ord", "condition", "kind", "num", "canon", "base", "year", "unit", "unit_fold", "floor", "source_tier", "source_id", "authority_cec", "distinct_values")
+NEEDED = ("ord", "condition", "kind", "num", "canon", "base", "year", "unit", "unit_fold", "family", "scaled", "floor", "source_tier", "source_id", "authority_cec", "distinct_values")
 QUEUED = ("value", "source_ref", "confidence")
 
 

@@ -89,8 +89,11 @@ def policy(spark) -> DataFrame:
     check_tolerances()
     crit, tier, tol = criticality(), tiers(), {t[0]: t[1:] for t in TOLERANCES}
     fields = sorted({*crit, *tier, *tol, *NEVER_COMPARABLE})
+    text = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
     rows = [(f, *(("never_compare", None, None, None) if f in NEVER_COMPARABLE else tol.get(f, ("exact", None, None, None))), crit.get(f, DEFAULT_CRITICALITY), tier.get(f, DEFAULT_TIER)) for f in fields]
-    return spark.createDataFrame(rows, "field_name string, rule string, magnitude double, alternate_when string, alternate_magnitude double, criticality int, tier string")
+    listed = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    # Literal rows are a local relation of the plan: no job and no Python worker reads them.
+    return spark.sql(f"SELECT field_name, rule, CAST(magnitude AS DOUBLE) AS magnitude, CAST(alternate_when AS STRING) AS alternate_when, CAST(alternate_magnitude AS DOUBLE) AS alternate_magnitude, CAST(criticality AS INT) AS criticality, tier FROM VALUES {listed} AS t(field_name, rule, magnitude, alternate_when, alternate_magnitude, criticality, tier)")
 
 
 def with_policy(df: DataFrame) -> DataFrame:
