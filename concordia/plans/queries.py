@@ -85,7 +85,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT field_name, count(*) AS n_pairs, count(DISTINCT part) AS n_parts FROM p GROUP BY ALL")
 def comparison_pairs(spark, sf_dir):
-    slim = line_claims(spark, sf_dir).select(*KEYS, F.struct("document_id", "source_ref.section").alias("ord"), "condition")
+    slim = line_claims(spark, sf_dir).select(*KEYS, F.struct("document_id", "source_ref.section", "value.num", "source_tier", "confidence", "condition.basis").alias("ord"), "condition")
     return conflicts.comparison_pairs(slim, KEYS).groupBy("field_name").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("part").alias("n_parts"))
 
 
