@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,10 +30,16 @@ class Settings:
     #: The most terms that are kept, those of the largest chi-square, and the least chi-square.
     max_terms: int = 4096
     min_chi2: float = 25.0
+    #: How many times likelier a term must be under one label than under the other.
+    min_lift: float = 3.0
     k: int = 15
     #: Weight of the prior among the votes.
     prior_weight: float = 0.5
     block: int = 64
+    #: Blocks that are scored one by one; what can still hold a neighbour after them is scored in one go.
+    single_blocks: int = 4
+    #: Examples whose own votes fit the map to probabilities.
+    max_calibration: int = 4000
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -56,7 +63,7 @@ class Terms(dict):
         return out
 
     def counts(self, text: str | None) -> Counter:
-        return Counter(t for w in (text or "").lower().split() for t in self[w])
+        return Counter(chain.from_iterable(filter(None, map(self.__getitem__, (text or "").lower().split()))))
 
 
 @dataclass
@@ -86,33 +93,43 @@ class Model:
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties: the smaller index) and their cosines, exactly."""
         k, size = self.settings.k, self.settings.block
+        none = np.zeros(0, int), np.zeros(0)
         if not len(t):
-            return np.zeros(0, int), np.zeros(0)
+            return none
         bound = w @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        best_i, best_c, least = np.zeros(0, int), np.zeros(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or (len(best_i) >= k and bound[b] < least - 1e-12):
+        best_i, best_c = none
+        for done, b in enumerate(np.argsort(-bound, kind="stable")):
+            least = best_c[-1] if len(best_i) >= k else 0.0
+            if bound[b] <= 0 or bound[b] < least - 1e-12:
                 break
-            score = np.zeros(size)
-            for term, weight in zip(t, w, strict=True):
-                lo, hi = self.starts[term, b], self.starts[term, b + 1]
-                if lo < hi:
+            if done == self.settings.single_blocks:
+                score = np.zeros(len(bound) * size)
+                for term, weight in zip(t, w, strict=True):
                     doc, x = self.postings[term]
-                    score[doc[lo:hi] - b * size] += weight * x[lo:hi]
-            if 0 <= skip - b * size < size:
-                score[skip - b * size] = 0
-            own = np.flatnonzero(score > least if len(best_i) >= k else score > 0)
-            if not len(own):
-                continue
-            best_i, best_c = np.concatenate([best_i, own + b * size]), np.concatenate([best_c, score[own]])
-            if len(best_i) > k:
-                top = np.lexsort((best_i, -best_c))[:k]
-                best_i, best_c = best_i[top], best_c[top]
-            if len(best_i) >= k:
-                least = best_c.min()
-        top = np.lexsort((best_i, -best_c))
-        return best_i[top], best_c[top]
+                    score[doc] += weight * x
+                # Only blocks whose bound reaches the k-th best so far can change the result.
+                score.reshape(-1, size)[bound < least - 1e-12] = 0
+                best_i, best_c = none
+                base = 0
+            else:
+                score, base = np.zeros(size), int(b) * size
+                for term, weight in zip(t, w, strict=True):
+                    lo, hi = self.starts[term, b], self.starts[term, b + 1]
+                    if lo < hi:
+                        doc, x = self.postings[term]
+                        score[doc[lo:hi] - base] += weight * x[lo:hi]
+            if 0 <= skip - base < len(score):
+                score[skip - base] = 0
+            own = np.flatnonzero(score > 0)
+            best_i, best_c = np.concatenate([best_i, own + base]), np.concatenate([best_c, score[own]])
+            if len(best_i) > 4 * k:
+                cut = best_c >= np.partition(best_c, -k)[-k]
+                best_i, best_c = best_i[cut], best_c[cut]
+            top = np.lexsort((best_i, -best_c))[:k]
+            best_i, best_c = best_i[top], best_c[top]
+            if done == self.settings.single_blocks:
+                break
+        return best_i, best_c
 
     def vote(self, i: np.ndarray, c: np.ndarray) -> float:
         p = self.settings.prior_weight
@@ -151,7 +168,8 @@ def fit(rows: list[tuple[int, int, dict[int, int]]], vocabulary: dict[str, int],
     model.most = np.zeros((v, blocks))
     for t, (a, b) in enumerate(model.postings):
         np.maximum.at(model.most[t], a // size, b)
-    votes = [(model.vote(*near), labels[i]) for i in range(n) if len((near := model.nearest(*vectors[i], skip=i))[0])]
+    sample = np.arange(n)[:: max(1, -(-n // settings.max_calibration))].tolist()
+    votes = [(model.vote(*near), labels[i]) for i in sample if len((near := model.nearest(*vectors[i], skip=i))[0])]
     model.knots = monotone(votes, prior)
     return model
 
@@ -212,7 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
         n = pos + neg
         cross = F.col("a") * (F.lit(neg) - F.col("b")) - F.col("b") * (F.lit(pos) - F.col("a"))
         chi2 = F.lit(n) * cross * cross / (F.lit(pos * neg) * (F.col("a") + F.col("b")) * (F.lit(n) - F.col("a") - F.col("b") + 0.5))
-        top = found.where("term <> ''").withColumn("chi2", chi2).where(F.col("chi2") >= settings.min_chi2).orderBy(F.desc("chi2"), "term").limit(settings.max_terms)
+        lift = (F.col("a") + 0.5) * F.lit(neg + 1) / ((F.col("b") + 0.5) * F.lit(pos + 1))
+        telling = (F.greatest(lift, 1 / lift) >= settings.min_lift) & (chi2 >= settings.min_chi2)
+        top = found.where("term <> ''").where(telling).withColumn("chi2", chi2).orderBy(F.desc("chi2"), "term").limit(settings.max_terms)
         vocabulary = {r["term"]: i for i, r in enumerate(top.select("term").collect())}
     discard(found)
 
@@ -228,6 +248,23 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
     return fit([(r["id"], int(r["label"] > 0), dict(zip(r["terms"], r["counts"], strict=True))) for r in rows], vocabulary, settings)
 
 
+class Scorer:
+    """Scores of texts by a model; texts with equal counts of known terms are looked up once (at most bound of them)."""
+
+    def __init__(self, model: Model, bound: int = 50_000):
+        self.model, self.words, self.memo, self.bound = model, Terms(model.vocabulary), {}, bound
+
+    def __call__(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+        counts = self.words.counts(text)
+        key = tuple(sorted(counts.items()))
+        if key not in self.memo:
+            if len(self.memo) >= self.bound:
+                self.memo.clear()
+            i, c = self.model.nearest(*self.model.vector(counts))
+            self.memo[key] = min(1.0, max(0.0, self.model.probability(i, c))), i, c
+        return self.memo[key]
+
+
 def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     """doc_id, score, predicted, neighbours (ids of the nearest examples) and cosines of every whole text.
 
@@ -240,12 +277,12 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
         import pyarrow as pa
 
         m = shared.value
-        words = Terms(m.vocabulary)
+        scorer = Scorer(m)
         for b in batches:
             scores, ids, cosines = [], [], []
             for text in b.column(1).to_pylist():
-                i, c = m.nearest(*m.vector(words.counts(text)))
-                scores.append(min(1.0, max(0.0, m.probability(i, c))))
+                p, i, c = scorer(text)
+                scores.append(p)
                 ids.append(m.ids[i[:evidence]].tolist())
                 cosines.append(c[:evidence].tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc_id", "score", "predicted", "neighbours", "cosines"])
@@ -260,10 +297,9 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m = shared.value
-        words = Terms(m.vocabulary)
+        scorer = Scorer(shared.value)
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([m.probability(*m.nearest(*m.vector(words.counts(t)))) < 0.5 for t in texts], pa.bool_()))
+            yield b.filter(pa.array([scorer(t)[0] < 0.5 for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
