@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordia.llm.packing import CachedEncoder
+
 MARKS = ("<|turn|>", "<|body|>", "<|end|>")
 #: Control strings: ours, and those of common chat templates.
 _CONTROL = r"\|(?:turn|body|end|endoftext|startoftext|im_start|im_end|system|user|assistant|eot_id|start_header_id|end_header_id|begin_of_text|end_of_text)\|>|/?s>|/?SYS>>|unk>|pad>"
@@ -39,17 +41,16 @@ class Codec:
     """A tokenizer file with three reserved ids after its vocabulary; content never encodes to a special token."""
 
     def __init__(self, path: str):
-        import tokenizers
-
-        self.t = tokenizers.Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.encoder = CachedEncoder(path)
+        self.t = self.encoder.hf
         self.turn, self.body, self.end = range(self.t.get_vocab_size(), self.t.get_vocab_size() + 3)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.t.encode_batch_fast([escape(t) for t in texts], add_special_tokens=False)]
+        return [np.frombuffer(self.encoder.encode(escape(t)), "<u4").tolist() for t in texts]
 
     def decode(self, ids: list[int]) -> str:
-        return self.t.decode(ids, skip_special_tokens=False)
+        pieces = self.encoder.pieces
+        return b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace") if pieces else self.t.decode(ids, skip_special_tokens=False)
 
     def assemble(self, roles: list[list[int]], texts: list[list[int]], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """ids and loss mask of turns: the mask is the prefix sum of +1 where a learnt text begins and -1 where it ends."""

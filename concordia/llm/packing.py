@@ -42,6 +42,8 @@ class CachedEncoder(dict):
         self.bound, self.hf = bound, tokenizers.Tokenizer.from_file(path)
         self.hf.encode_special_tokens = True
         self.fast, self.chunked = None, False
+        #: The bytes of each id, where ids stand for bytes; with them texts are decoded without the library.
+        self.pieces: dict[int, bytes] = {}
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
         if spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer"):
@@ -61,6 +63,7 @@ class CachedEncoder(dict):
         probe = "It's Ünïcode, 12 345\n\n  and  tabs\t! <|x|> naïve ciónment 漢字 \U0001f600 "
         if fast.encode_ordinary(probe) == self.hf.encode(probe, add_special_tokens=False).ids:
             self.fast = fast
+            self.pieces = {i: b for b, i in vocab.items()} | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
 
     def _ids(self, text: str) -> bytes:
         import numpy as np
