@@ -1,0 +1,224 @@
+"""Near copies by word shingles: all pairs of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+SimHash of any radius that can be searched misses such pairs, so this is an exact join of sets by prefix filtering: in
+any one order of all shingles, two sets with so much in common share a shingle among the first n - ceil(0.8 n) + 1 of
+each. The order puts shingles last that are frequent in a sample, which keeps groups small; the result does not depend
+on it. Pairs fall by their sizes and by the places of the shared shingle, survivors are verified on whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from concordia.llm.common import materialize
+from concordia.llm.components import components
+from concordia.llm.langmodel import GOLDEN, Words, _documents, mix
+from concordia.llm.simhash import one_of_each
+
+#: Similarity as a fraction; comparisons are made in integers.
+OVER, UNDER = 4, 5
+#: Texts that are sampled for frequent shingles, and the most of these that are put last.
+SAMPLE, HOT = 10_000, 1 << 16
+#: Rows of one shingle that are compared in one piece; more are compared as pairs of chunks of this size.
+BLOCK = 4096
+
+
+def shingle_set(words: np.ndarray, shingle: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles from its word hashes; fewer words count as one shingle, none as none."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    n = min(shingle, len(words))
+    h = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = mix(h * GOLDEN + words[k : k + len(h)])
+    return np.unique(h)
+
+
+def _sets(texts: list[str | None], words: Words, shingle: int) -> Iterator[np.ndarray]:
+    for at in range(0, len(texts), 256):
+        tokens, ends = _documents(texts[at : at + 256], words)
+        start = 0
+        for e in ends.tolist():
+            yield shingle_set(tokens[start : e - 1], shingle)  # without the token at the end
+            start = e
+
+
+def _name(s: np.ndarray) -> int:
+    """A signed 64-bit name of a set."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return UNDER * both >= OVER * (len(a) + len(b) - both)
+
+
+def _hot(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of frequent shingles of a sample, and their counts there."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = Words()
+        for b in batches:
+            for s in _sets(b.column(0).to_pylist(), words, shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
+
+    n = docs.select(F.lit(1).alias("one")).count()
+    part = min(1000, max(1, -(-1000 * SAMPLE // max(n, 1))))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1000)) < part).select(F.col("text").cast("string"))
+    rows = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c >= 4").orderBy(F.desc("c"), "h").limit(HOT).collect()
+    h, c = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["c"] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def _pairs(dealt: DataFrame) -> DataFrame:
+    """Candidate pairs of the rows (key, bi, bj, n, name, at), which are sorted by key, bi, bj, n; streamed in bounded pieces."""
+
+    def work(t) -> Iterator:
+        import pyarrow as pa
+
+        cols = [t.column(c).to_numpy() for c in ("key", "bi", "bj")]
+        new = np.zeros(t.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        group, n, at, name = np.cumsum(new), *(t.column(c).to_numpy() for c in ("n", "at", "name"))
+        n, at = n.astype(np.int64), at.astype(np.int64)
+        i, step, found, held = np.arange(t.num_rows), 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            p = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+
+        while True:
+            step += 1
+            i = i[i + step < len(n)]
+            i = i[(group[i] == group[i + step]) & (UNDER * n[i] >= OVER * n[i + step])]
+            if not len(i):
+                break
+            j = i + step
+            most = np.minimum(n[i] - at[i], n[j] - at[j])  # the shared shingle and all after it
+            ok = ((OVER + UNDER) * most >= OVER * (n[i] + n[j])) & (name[i] != name[j])
+            a, b = name[i[ok]], name[j[ok]]
+            if len(a):
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                held += len(a)
+                if held > 1_000_000:
+                    yield flush()
+                    held = 0
+        if found:
+            yield flush()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) < 100_000:
+                continue
+            t = pa.concat_tables(held)
+            same = np.ones(t.num_rows, bool)
+            for c in ("key", "bi", "bj"):
+                x = t.column(c).to_numpy()
+                same &= x == x[-1]
+            cut = int(np.argmax(same))  # where the last group, which may go on, begins
+            if cut:
+                yield from work(t.slice(0, cut))
+            held = [t.slice(cut)]
+        if held:
+            yield from work(pa.concat_tables(held))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, *, shingle: int = 5, block: int = BLOCK) -> DataFrame:
+    """doc_id, component_id of every row: the least doc_id reachable by links of Jaccard similarity 0.8 or more.
+
+    Words are as in simhash.fingerprints(); texts without words are equal. Texts of equal sets meet once. A row with a
+    null doc_id gets the component of its set, which is null when no row of the component has an id.
+    """
+    hot_h, hot_c = _hot(docs, shingle)
+    shared = docs.sparkSession.sparkContext.broadcast((hot_h, hot_c))
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def sign(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words, (hashes, counts) = Words(), shared.value
+        for b in batches:
+            names, sizes, prefixes = [], [], []
+            for s in _sets(b.column(1).to_pylist(), words, shingle):
+                n = len(s)
+                first = n - -(-OVER * n // UNDER) + 1 if n else 0
+                if len(hashes):
+                    place = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                    weight = np.where(hashes[place] == s, counts[place], 0)
+                    order = np.argsort(weight, kind="stable")[:first]  # equal counts stay in the order of hashes
+                else:
+                    order = np.arange(first)
+                names.append(_name(s))
+                sizes.append(n)
+                prefixes.append(s[order].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "name", "n", "prefix"])
+
+    signed = materialize(read.mapInArrow(sign, "doc_id long, name long, n int, prefix array<long>"), "signed")
+    distinct = signed.groupBy("name").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    keyed = materialize(distinct.select("name", "n", F.posexplode("prefix").alias("at", "key")), "prefixes")
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
+    nc = F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int")
+    dealt = keyed.join(large, "key", "left").withColumn("nc", nc).withColumn("c", F.pmod(F.xxhash64("name", F.lit(7)), F.col("nc")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).select("key", F.least("c", "o").alias("bi"), F.greatest("c", "o").alias("bj"), "n", "name", "at")
+    pairs = materialize(_pairs(dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n")), "pairs")
+
+    def whole(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = Words()
+        for b in batches:
+            sets = [*_sets(b.column(1).to_pylist(), words, shingle)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "members"])
+
+    # One row's text for each set that is in a pair; a doc_id may stand for several texts, so a row is told by both.
+    needed = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    own = signed.join(needed, "name", "left_semi").select("doc_id").distinct()
+    ids = read.join(own.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+    def named(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = Words()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in _sets(b.column(1).to_pylist(), words, shingle)], pa.int64()), b.column(1)], ["name", "text"])
+
+    texts = ids.mapInArrow(named, "name long, text string").join(needed, "name", "left_semi").groupBy("name").agg(F.first("text").alias("text"))
+    sets = materialize(texts.mapInArrow(whole, "name long, members binary"), "sets")
+
+    def verify(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = (b.column(c).to_pylist() for c in (2, 3))
+            ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda side: sets.select(F.col("name").alias(side), F.col("members").alias(f"of_{side}"))
+    links = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
+    roots = components(links)
+    group = F.coalesce("root", "name").alias("group")
+    in_group = signed.join(roots, signed["name"] == roots["node"], "left").select("doc_id", group)
+    least = in_group.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return in_group.join(least, "group").select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of near_copies(): that of the least doc_id. Rows with a null doc_id are kept."""
+    return one_of_each(docs, near_copies(docs))

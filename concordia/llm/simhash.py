@@ -194,7 +194,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, limit: int = 2) -> Dat
 
 def deduplicated(docs: DataFrame, *, shingle: int = 3, limit: int = 2) -> DataFrame:
     """One row of docs for each group: that whose doc_id is its component_id. Rows with a null doc_id are kept."""
-    found = near_duplicates(docs, shingle=shingle, limit=limit)
+    return one_of_each(docs, near_duplicates(docs, shingle=shingle, limit=limit))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is its component_id in found (doc_id, component_id), each doc_id once, and those without a doc_id."""
     keep = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__n")), "keep")
     joined = docs.join(keep, docs["doc_id"] == keep["__keep"], "left")
     once = joined.where("doc_id is null or __n = 1").drop("__keep", "__n")

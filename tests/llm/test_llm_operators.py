@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from concordia.llm import chat, components, langmodel, mixing, packing, quality, queries, rangejoin, sharding, simhash, toxicity, warc
+from concordia.llm import chat, components, langmodel, mixing, nearcopies, packing, quality, queries, rangejoin, sharding, simhash, toxicity, warc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -260,6 +260,38 @@ def test_simhash_links_are_complete(spark, block):
     want = brute_components(range(len(fps)), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
     assert got == want
 
+def brute_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_near_copies_are_all_found(spark, odd, block):
+    rng = random.Random(8)
+    tail = " ".join(f"t{i}" for i in range(30))
+    texts = list(odd)
+    for f in range(12):
+        base = [f"f{f}x{rng.randrange(500)}" for _ in range(120)] + tail.split() * (f % 2)
+        for k in range(6):
+            words = base[: len(base) - rng.randrange(30)]
+            for _ in range(rng.randrange(5)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            texts.append((1000 + 10 * f + k, " ".join(words)))
+    by = dict(texts)
+    ids = [i for i in by if i is not None]
+    sets = {i: brute_shingles(by[i]) for i in ids}
+    like = lambda a, b: sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) > 0
+    root = brute_components(ids, [(a, b) for a in ids for b in ids if a < b and like(a, b)])
+    got = rows(nearcopies.near_copies(docs_of(spark, texts), block=block))
+    assert len(got) == len(texts)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == root
+    assert len(set(root.values())) < len({brute_fingerprint(by[i]) for i in ids})
+    import corpus_pipeline
+
+    kept = rows(corpus_pipeline.drop_copies(spark, docs_of(spark, texts), SF).select("doc_id"))
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(root.values()))
+    assert rows(nearcopies.near_copies(docs_of(spark, []))) == []
+
 
 # -- language model ------------------------------------------------------------------------------------------------
 
