@@ -4,7 +4,8 @@ N-gram counts of the training rows are summed over the whole corpus as 64-bit ha
 q = 1 + floor(log2(count)), and each n-gram is put into a Bloom filter once for every level up to its own. A query
 probes level after level until one is missing, which returns the quantised count; unseen n-grams are mistaken for seen
 ones at the filter's error rate only. The filter consists of small segments chosen by the n-gram's hash, so segments
-are built independently, in parallel, and the assembled filter, of a bounded size, is broadcast.
+are built independently, in parallel. A filter of a bounded size is broadcast whole; a larger one is broadcast in parts
+of that size, ranges of segments, each probed in a pass of its own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import materialize
+from concordia.llm.common import discard, materialize
 
 #: The token at the end of every text; no word holds a newline. Its hash, and that of the history of a first token.
 END, START = b"\n", b"\n\n"
@@ -29,8 +30,7 @@ class Settings:
     bits_per_entry: int = 10
     probes: int = 4
     segment_bits: int = 1 << 18
-    #: The largest filter that is broadcast, in bits. When a corpus needs more, bigrams below the least count that fits
-    #: are left out of the model (never out of the counts), so that the error rate stays what it is.
+    #: The most of the filter that is broadcast at once, in bits; no n-gram is left out of a larger filter.
     max_bits: int = 1 << 29
     #: Weight of the unigram probability among a history's counts.
     mu: float = 300.0
@@ -130,12 +130,13 @@ def ngram_counts(docs: DataFrame, chunk_tokens: int = 2_000_000) -> DataFrame:
 
 @dataclass
 class Filter:
-    """The assembled filter: bytes of all segments in a row."""
+    """The assembled filter, or a part of it: bytes of its segments in a row, from segment first on."""
 
     bits: np.ndarray
     segments: int
     segment_bits: int
     probes: int
+    first: int = 0
 
     @staticmethod
     def places(h: np.ndarray, level: int | np.ndarray, probe: int, segment_bits: int) -> np.ndarray:
@@ -149,9 +150,10 @@ class Filter:
         return mix(h ^ GOLDEN) & np.uint64(segments - 1)
 
     def levels(self, h: np.ndarray, most: int = 48) -> np.ndarray:
-        """The highest level up to which every probe of h hits, 0 for an unseen n-gram."""
-        out, i = np.zeros(len(h), np.int64), np.arange(len(h))
-        base = self.segment(h, self.segments) * np.uint64(self.segment_bits)
+        """The highest level up to which every probe of h hits, 0 for an unseen n-gram or one of another part."""
+        own = self.segment(h, self.segments).astype(np.int64) - self.first
+        out, i = np.zeros(len(h), np.int64), np.flatnonzero((own >= 0) & (own < len(self.bits) * 8 // self.segment_bits))
+        base = np.maximum(own, 0).astype(np.uint64) * np.uint64(self.segment_bits)
         for level in range(1, most):
             for probe in range(self.probes):
                 at = base[i] + self.places(h[i], level, probe, self.segment_bits)
@@ -167,16 +169,12 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (1.5 * 2.0**level - 1) / 2, 0.0)
 
 
-def build_filter(counts: DataFrame, settings: Settings) -> Filter:
-    """Put every (n-gram, level) into its segment. The driver gets a histogram of levels and the bounded filter."""
+def segment_rows(counts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
+    """Put every (n-gram, level) into its segment: segment, bits of those with an entry, and the number of all segments."""
     level = (F.floor(F.log2(F.col("c")) + 1e-9) + 1).cast("int")
-    histogram = {(r["k"], r["q"]): r["count"] for r in counts.groupBy("k", level.alias("q")).count().collect()}
-    least = 1
-    while sum(n * q for (k, q), n in histogram.items() if k == 1 or q >= least) * settings.bits_per_entry > settings.max_bits and least < 40:
-        least += 1
-    entries = sum(n * q for (k, q), n in histogram.items() if k == 1 or q >= least)
+    entries = int(counts.agg(F.coalesce(F.sum(level.cast("long")), F.lit(0))).first()[0])
     segments = 1
-    while segments * settings.segment_bits < min(entries * settings.bits_per_entry, settings.max_bits):
+    while segments * settings.segment_bits < entries * settings.bits_per_entry:
         segments *= 2
     bits, probes = settings.segment_bits, settings.probes
 
@@ -214,32 +212,81 @@ def build_filter(counts: DataFrame, settings: Settings) -> Filter:
         if at >= 0:
             yield row()
 
-    entries_df = counts.select("h", level.alias("q"), "k").where((F.col("k") == 1) | (F.col("q") >= least)).select("h", "q")
-    located = entries_df.mapInArrow(locate, "segment int, h long, q int")
-    rows = located.repartition("segment").sortWithinPartitions("segment").mapInArrow(build, "segment int, bits binary").toLocalIterator()
-    whole = np.zeros(segments * bits // 8, np.uint8)
-    for r in rows:
-        at = r["segment"] * (bits // 8)
-        whole[at : at + bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(whole, segments, bits, probes)
+    located = counts.select("h", level.alias("q")).mapInArrow(locate, "segment int, h long, q int")
+    return located.repartition("segment").sortWithinPartitions("segment").mapInArrow(build, "segment int, bits binary"), segments
+
+
+def assemble(rows: DataFrame, segments: int, settings: Settings, first: int, n: int) -> Filter:
+    """The part of n segments from first on, on the driver."""
+    size = settings.segment_bits // 8
+    whole = np.zeros(n * size, np.uint8)
+    for r in rows.where((F.col("segment") >= first) & (F.col("segment") < first + n)).toLocalIterator():
+        at = (r["segment"] - first) * size
+        whole[at : at + size] = np.frombuffer(r["bits"], np.uint8)
+    return Filter(whole, segments, settings.segment_bits, settings.probes, first)
+
+
+def build_filter(counts: DataFrame, settings: Settings) -> Filter:
+    """The whole filter on the driver, whatever its size."""
+    rows, segments = segment_rows(counts, settings)
+    return assemble(rows, segments, settings, 0, segments)
+
+
+def probe_in_parts(docs: DataFrame, rows: DataFrame, segments: int, per: int, settings: Settings) -> DataFrame:
+    """docs (doc_id, text) with levels: a byte for the level of every token, then one for that of every bigram.
+
+    A pass for each part of per segments, so that driver and workers hold one part at a time.
+    """
+    rows = materialize(rows, "segments")
+    docs = docs.withColumn("levels", F.lit(None).cast("binary"))
+    for first in range(0, segments, per):
+        shared = docs.sparkSession.sparkContext.broadcast(assemble(rows, segments, settings, first, min(per, segments - first)))
+
+        def run(batches: Iterator, shared=shared) -> Iterator:
+            import pyarrow as pa
+
+            words = Words()
+            for b in batches:
+                texts, before, out = b.column(1).to_pylist(), b.column(2).to_pylist(), []
+                for at in range(0, len(texts), 256):
+                    tokens, ends = _documents(texts[at : at + 256], words)
+                    own = shared.value.levels(tokens).astype(np.uint8)
+                    pair = shared.value.levels(bigram(_histories(tokens, ends), tokens)).astype(np.uint8)
+                    for s, e, old in zip([0, *ends[:-1].tolist()], ends.tolist(), before[at : at + 256], strict=True):
+                        new = np.concatenate([own[s:e], pair[s:e]])
+                        out.append((new if old is None else np.maximum(new, np.frombuffer(old, np.uint8))).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "text", "levels"])
+
+        now = materialize(docs.mapInArrow(run, "doc_id long, text string, levels binary"), "levels")
+        shared.unpersist()
+        if first:
+            discard(docs)
+        docs = now
+    discard(rows)
+    return docs
 
 
 @dataclass
 class Model:
-    filter: Filter
+    #: None where levels are given.
+    filter: Filter | None
     mu: float
     tokens: int
     vocabulary: int
     texts: int
 
-    def log10(self, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 P(token | history) of every token: Dirichlet smoothing of bigram counts by the add-one unigram model."""
-        own = expected(self.filter.levels(tokens))
+    def log10(self, tokens: np.ndarray, ends: np.ndarray, levels: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """log10 P(token | history) of every token: Dirichlet smoothing of bigram counts by the add-one unigram model.
+
+        levels are those of tokens and bigrams; without them the filter is probed.
+        """
+        of_token, of_pair = levels or (self.filter.levels(tokens), self.filter.levels(bigram(_histories(tokens, ends), tokens)))
+        own = expected(of_token)
         unigram = (own + 1) / (self.tokens + self.vocabulary + 1)
         history = np.empty_like(own)
         history[1:] = own[:-1]
         history[np.concatenate([[0], ends[:-1]])] = self.texts
-        pair = np.minimum(expected(self.filter.levels(bigram(_histories(tokens, ends), tokens))), np.minimum(own, history))
+        pair = np.minimum(expected(of_pair), np.minimum(own, history))
         return np.log10((pair + self.mu * unigram) / (history + self.mu))
 
 
@@ -263,7 +310,14 @@ def score(docs: DataFrame, *, train: str = "crc32(cast(cast(doc_id as string) as
     end_hash = np.uint64(xxh64_intdigest(END)).view(np.int64)
     ends_row = hot.loc[hot["h"] == end_hash, "c"]
     texts = int(ends_row.iloc[0]) if len(ends_row) else int((unigrams.where(F.col("h") == int(end_hash)).first() or {"c": 0})["c"])
-    model = Model(build_filter(counts, settings), settings.mu, n, v, texts)
+    parts, segments = segment_rows(counts, settings)
+    per = max(1, settings.max_bits // settings.segment_bits)
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if segments > per:
+        read, whole = probe_in_parts(read, parts, segments, per, settings), None
+    else:
+        read, whole = read.withColumn("levels", F.lit(None).cast("binary")), assemble(parts, segments, settings, 0, segments)
+    model = Model(whole, settings.mu, n, v, texts)
     hot_h = hot["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot_h)
     shared = spark.sparkContext.broadcast((model, hot_h[order], hot["c"].to_numpy(np.int64)[order]))
@@ -276,7 +330,7 @@ def score(docs: DataFrame, *, train: str = "crc32(cast(cast(doc_id as string) as
         m, hashes, exact = shared.value
         words = Words()
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            ids, texts, probed = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
                 tokens, ends = _documents(part, words)
@@ -285,7 +339,11 @@ def score(docs: DataFrame, *, train: str = "crc32(cast(cast(doc_id as string) as
                 place[place == len(hashes)] = 0
                 known = hashes[place] == tokens if len(hashes) else np.zeros(len(tokens), bool)
                 base = np.where(known, np.log10((exact[place] + 1) / denominator) if len(hashes) else 0.0, 0.0)
-                logp = m.log10(tokens, ends)
+                levels = None
+                if m.filter is None:
+                    both = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in probed[at : at + 256]]
+                    levels = tuple(np.concatenate([x[k] for x in both]).astype(np.int64) for k in (0, 1))
+                logp = m.log10(tokens, ends, levels)
                 rest = [tokens[s:e][~known[s:e]].view(np.int64) for s, e in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -301,7 +359,7 @@ def score(docs: DataFrame, *, train: str = "crc32(cast(cast(doc_id as string) as
                 )
 
     schema = "doc_id long, key long, n_tokens long, hot_known long, hot_base double, score double, rest array<long>"
-    scored = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "scored")
+    scored = materialize(read.mapInArrow(run, schema), "scored")
     rare = scored.where(F.size("rest") > 0).select("doc_id", "key", "rest").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.explode("rest").alias("h"))
     c = F.coalesce("c", F.lit(0))
     base = F.log10((c + 1) / F.lit(float(denominator)))

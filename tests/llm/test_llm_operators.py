@@ -308,6 +308,18 @@ def test_filter_has_no_false_negatives(spark):
     assert (f.levels(rng.integers(0, 1 << 62, 20000).view(np.uint64)) > 0).mean() < 0.03
 
 
+def test_no_ngram_is_left_out_of_a_bounded_filter(spark, odd):
+    docs = docs_of(spark, odd)
+    small = {"segment_bits": 1 << 12}
+    whole, parts = (sorted(map(tuple, langmodel.score(docs, settings=langmodel.Settings(max_bits=bits, **small)).collect()), key=repr) for bits in (1 << 29, 1 << 14))
+    counts = packing.materialize(langmodel.ngram_counts(docs), "test-ngrams")
+    assert langmodel.segment_rows(counts, langmodel.Settings(**small))[1] > 4  # more than one part
+    assert parts == whole
+    built = langmodel.build_filter(counts, langmodel.Settings(max_bits=1 << 14, **small))
+    have = counts.toPandas()
+    assert (built.levels(have["h"].to_numpy().view("uint64")) >= np.floor(np.log2(have["c"])) + 1).all()
+
+
 @pytest.mark.parametrize("hot", [1 << 18, 5])
 def test_lm_base_scores_are_exact(spark, odd, hot):
     got = rows(langmodel.score(docs_of(spark, odd), settings=langmodel.Settings(hot_tokens=hot)))
