@@ -215,6 +215,22 @@ def test_toxicity_scores(spark):
     assert sum(a == b for a, b in known) >= 0.95 * len(known)
 
 
+def test_toxicity_keeps_terms_of_small_lift(spark):
+    rng = random.Random(2)
+    texts, labels = [], []
+    for i in range(600):
+        bad = i % 2 == 0
+        mild = [w for w in ("alpha", "bravo", "delta", "gamma") if rng.random() < (0.9 if bad else 0.45)]
+        texts.append((i, " ".join(["plain", *mild])))
+        labels.append((i, int(bad)))
+    docs = docs_of(spark, texts)
+    m = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"w:alpha", "w:bravo", "w:delta", "w:gamma"} <= set(m.vocabulary)  # lift 2, chi-square far above 25
+    scorer = toxicity.Scorer(m)
+    p, near, _ = scorer("alpha bravo delta gamma")
+    assert len(near) and p > 0.5 > scorer("plain alpha")[0]
+
+
 # -- SimHash -------------------------------------------------------------------------------------------------------
 
 
