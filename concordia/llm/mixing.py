@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame expressions only.
+"""Mixing sources to target weights by Pfair scheduling, in DataFrame expressions; with very many sources the driver schedules blocks.
 
 Each source's rows are cut into blocks of equal size. A fluid server gives every unfinished source a rate in
 proportion to its target weight; block k of a source is released when the fluid server starts it and due when the
@@ -9,6 +9,9 @@ its share to the others, and every row is placed exactly once.
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from concordia.llm.common import materialize, ranked
 
 #: Slots of the schedule besides one partial block a source; a block holds about rows / MAX_BLOCKS rows.
 MAX_BLOCKS = 4096
-#: Sources with a queue of their own, the largest first; the rows of all others share one more queue.
+#: Sources up to which the schedule is one expression; with more, the driver computes the same schedule with heaps.
 MAX_SOURCES = 512
 SLOT_ROWS = 100_000
 
@@ -26,21 +29,20 @@ def _bound(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def queues(docs: DataFrame, weights: dict[str, float] | None, alpha: float, max_sources: int = MAX_SOURCES) -> DataFrame:
-    """source, queue (0 the largest source), n, weight of at most max_sources sources.
+def queues(docs: DataFrame, weights: dict[str, float] | None, alpha: float) -> DataFrame:
+    """source, queue (0 the largest source), n, weight of every source.
 
     Without weights a source's weight is its row count to the power alpha (1: natural proportions, 0: equal shares).
     A source that is missing from weights has weight 0 there and is served when all others have run out.
     """
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(max_sources)
     weight = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
     if weights is not None:
         weight = F.lit(0.0)
         for name, w in weights.items():
             weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
     order = Window.orderBy(F.desc("n"), F.asc_nulls_first("source"))
-    return top.select("source", (F.row_number().over(order) - 1).alias("queue"), "n", weight.alias("weight"))
+    return counts.select("source", (F.row_number().over(order) - 1).alias("queue"), "n", weight.alias("weight"))
 
 
 def schedule(queue: DataFrame, rows_per_block: Column | int) -> DataFrame:
@@ -81,6 +83,60 @@ def schedule(queue: DataFrame, rows_per_block: Column | int) -> DataFrame:
     return slots.withColumn("block_start", F.coalesce(F.sum("block_rows").over(before), F.lit(0)).cast("long"))
 
 
+def schedule_many(queue: DataFrame, per: int) -> DataFrame:
+    """The table of schedule() for many sources: the driver holds a few numbers for each source and block, never rows."""
+    least = 1e-12
+    q = queue.toPandas().sort_values("queue")
+    names, n, w = q["queue"].to_numpy(np.int64), q["n"].to_numpy(np.int64), np.maximum(q["weight"].to_numpy(float), least)
+    blocks = -(-n // per)
+    # The fluid server has served sum(min(w v, blocks)) at virtual time v: sources are full in the order of blocks / w.
+    by = np.argsort(blocks / w, kind="stable")
+    ends, full = (blocks / w)[by], np.concatenate([[0], np.cumsum(blocks[by])])
+    rate = np.concatenate([np.cumsum(w[by][::-1])[::-1], [0.0]])
+
+    def fluid(v: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(ends, v, side="right")
+        return full[at] + rate[at] * v
+
+    i = np.repeat(np.arange(len(n)), blocks)
+    starts = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+    k = np.arange(len(i)) - starts[i]
+    release = np.floor(fluid(k / w[i]) + 1e-6).astype(np.int64)
+    deadline = np.ceil(fluid((k + 1) / w[i]) - 1e-6).astype(np.int64)
+    following = starts.copy()  # the row of each source's next block
+    ready: list[tuple[int, int, int]] = []  # released: (deadline, source, row)
+    early = [(int(release[r]), s, int(r)) for s, r in enumerate(starts)]
+    due = [(int(deadline[r]), s, int(r)) for s, r in enumerate(starts)]  # of all; entries of served blocks are passed over
+    heapq.heapify(early)
+    heapq.heapify(due)
+    slot = np.empty(len(i), np.int64)
+    for t in range(len(i)):
+        while early and early[0][0] <= t:
+            _, s, r = heapq.heappop(early)
+            if following[s] == r:
+                heapq.heappush(ready, (int(deadline[r]), s, r))
+        if ready:
+            _, s, r = heapq.heappop(ready)
+        else:
+            while True:
+                _, s, r = heapq.heappop(due)
+                if following[s] == r:
+                    break
+        slot[r] = t
+        following[s] = r = r + 1
+        if r < starts[s] + blocks[s]:
+            heapq.heappush(early, (int(release[r]), s, r))
+            heapq.heappush(due, (int(deadline[r]), s, r))
+    rows = np.minimum(per, n[i] - k * per)
+    order = np.argsort(slot)
+    before = np.empty(len(i), np.int64)
+    before[order] = np.cumsum(rows[order]) - rows[order]
+    import pandas as pd
+
+    columns = {"queue": names[i], "block": k, "release": release, "deadline": deadline, "slot": slot, "block_rows": rows, "block_start": before}
+    return queue.sparkSession.createDataFrame(pd.DataFrame(columns), "queue long, block long, release long, deadline long, slot long, block_rows long, block_start long")
+
+
 def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, max_blocks: int = MAX_BLOCKS, max_sources: int = MAX_SOURCES) -> DataFrame:
     """All rows of docs with queue, block, release, deadline, slot and position (0..n-1) in the mixed order.
 
@@ -92,16 +148,13 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: floa
     docs = docs.drop(*made)
     n = docs.select(F.lit(1).alias("one")).count()
     per = max(1, -(-n // max_blocks))
-    named = queues(docs, weights, alpha, max_sources)
-    rest = n - (named.agg(F.sum("n")).first()[0] or 0)
-    q = named.select("queue", "n", "weight")
-    if rest:
-        share = F.pow(F.lit(float(rest)), F.lit(float(alpha))) if weights is None else F.lit(0.0)
-        q = q.unionByName(docs.sparkSession.range(1).select(F.lit(max_sources).alias("queue"), F.lit(rest).alias("n"), share.alias("weight")))
-    plan = schedule(q, F.lit(per).cast("long"))
-    keyed = docs.join(F.broadcast(named.select(F.col("source").alias("__source"), F.col("queue"))), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source").withColumn("queue", F.coalesce("queue", F.lit(max_sources))).withColumn("__md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    named = queues(docs, weights, alpha)
+    many = named.count() > max_sources
+    plan = schedule_many(named.select("queue", "n", "weight"), per) if many else schedule(named.select("queue", "n", "weight"), F.lit(per).cast("long"))
+    small = (lambda df: df) if many else F.broadcast
+    keyed = docs.join(small(named.select(F.col("source").alias("__source"), F.col("queue"))), F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("__md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     digits = next((d for d in (1, 2, 3, 4) if n / 16**d <= SLOT_ROWS / 4), 4)
     prefix = F.conv(F.substring("__md5", 1, digits), 16, 10).cast("long")
     numbered = ranked(keyed, ["queue"], [F.col("__md5"), F.col("doc_id")], prefix, 16**digits, "__rank").withColumn("block", F.expr(f"__rank div {per}L"))
-    placed = numbered.join(F.broadcast(plan), ["queue", "block"])
+    placed = numbered.join(small(plan), ["queue", "block"])
     return placed.withColumn("position", F.col("block_start") + F.col("__rank") % F.lit(per)).drop("__rank", "__md5", "block_rows", "block_start").select(*docs.columns, *made)

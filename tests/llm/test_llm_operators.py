@@ -461,6 +461,16 @@ def test_mixing(spark, weights):
     assert rows(mixing.mix(docs_of(spark, []))) == []
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 1.0, "s3": 4.0, "s17": 2.0, "s39": 9.0}])
+def test_mixing_of_many_sources_is_the_same_schedule(spark, weights):
+    rng = random.Random(6)
+    names = ["a"] * 80 + [None] * 5 + [f"s{rng.randrange(40)}" for _ in range(240)]
+    docs = docs_of(spark, [(i, "t") for i in range(len(names))], dict(enumerate(names)))
+    made = ["doc_id", "queue", "block", "release", "deadline", "slot", "position"]
+    own, many = (sorted(map(tuple, mixing.mix(docs, weights=weights, max_blocks=100, max_sources=m).select(made).collect())) for m in (512, 3))
+    assert many == own
+
+
 # -- packing -------------------------------------------------------------------------------------------------------
 
 
