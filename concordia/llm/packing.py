@@ -85,31 +85,32 @@ class CachedEncoder(dict):
         return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, position: str | None = None) -> DataFrame:
     """Encode every whole text and cut what is longer than capacity: doc_id, piece, start, length, ids (packed LE u32).
 
     A document is its ids, then end_id. Only longer documents are cut: the first piece takes the remainder, all
     others are full. A null text is empty, and so one end id. Repeated rows give repeated pieces; a null doc_id stays.
+    A long column named by position is kept as the last one.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         encoder, end = CachedEncoder(tokenizer_path), int(end_id).to_bytes(4, "little")
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["doc_id", "piece", "start", "length", "ids"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()][: None if position else 5]
+        names = ["doc_id", "piece", "start", "length", "ids", position][: len(types)]
 
         def flush(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
 
         rows, held = [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, text, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = encoder.encode(text or "") + end
                 n = len(ids) // 4
                 at, stop, piece = 0, n % capacity or capacity, 0
                 while at < n:
-                    rows.append((i, piece, at, stop - at, ids[4 * at : 4 * stop]))
+                    rows.append((i, piece, at, stop - at, ids[4 * at : 4 * stop], *place))
                     at, stop, piece = stop, stop + capacity, piece + 1
                     held += 4 * capacity
                 if held > 1 << 24:
@@ -118,7 +119,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024,
         if rows:
             yield flush(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    kept = [F.col(position).cast("long")] if position else []
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *kept).mapInArrow(run, f"{PIECES}, {position} long" if position else PIECES)
 
 
 class Tightest:
@@ -189,11 +191,29 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     return rules
 
 
-def pack(pieces: DataFrame, *, capacity: int = 1024) -> DataFrame:
+def file_order(docs: DataFrame, name: str) -> DataFrame:
+    """docs, read from Parquet files, with each row's number (column name) in the order in which the files were written.
+
+    The driver gets one count a file. Rows that don't come from files have no such order: AnalysisException.
+    """
+    task = lambda f: (int(re.search(r"part-(\d+)", f).group(1)) if re.search(r"part-(\d+)", f) else 0, f)
+    placed = docs.select(*docs.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    counts = {r["__file"]: int(r["n"]) for r in placed.groupBy("__file").agg((F.max("__row") + 1).alias("n")).collect()}
+    starts, at = [], 0
+    for f in sorted(counts, key=lambda f: task(f.rsplit("/", 1)[-1])):
+        starts.append((f, at))
+        at += counts[f]
+    start = docs.sparkSession.createDataFrame(starts, "__of string, __start long")
+    return placed.join(F.broadcast(start), F.col("__file") == F.col("__of")).withColumn(name, F.col("__start") + F.col("__row")).drop("__file", "__row", "__of", "__start")
+
+
+def pack(pieces: DataFrame, *, capacity: int = 1024, position: str | None = None) -> DataFrame:
     """Add sequence_id and offset to pieces (length 1..capacity; other columns stay, pieces must be re-readable).
 
     Best-fit decreasing over all rows. The driver holds one count a length and a few thousand rules; the join
     broadcasts these rules, whose number depends on capacity and not on the rows. An empty table gives an empty one.
+    With the column position (0 or more), items of one length are placed in its order, and sequences are numbered in
+    the order of the first position they hold.
     """
     spark = pieces.sparkSession
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
@@ -201,15 +221,26 @@ def pack(pieces: DataFrame, *, capacity: int = 1024) -> DataFrame:
     rule = spark.createDataFrame(rules, "__size long, __rank0 long, __ranks long, __bin0 long, __each long, __off long")
     salt = F.xxhash64("doc_id", "piece", "start")
     slots = power_of_two(max(counts.values(), default=0) / SLOT_ROWS, 16, 1 << 16)
-    numbered = ranked(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("start")], salt, slots, "__rank")
+    order = [F.col("doc_id"), F.col("piece"), F.col("start")]
+    if position:
+        top = (pieces.agg(F.max(position)).first()[0] or 0) + 1
+        part = lambda c: F.floor(F.col(c) * F.lit(float(slots / top)))  # noqa: E731  grows with position and stays below slots
+        salt, order = part(position), [F.col(position), *order]
+    numbered = ranked(pieces, ["length"], order, salt, slots, "__rank")
     r = F.col("__rank") - F.col("__rank0")
     at = (F.col("length") == F.col("__size")) & (r >= 0) & (r < F.col("__ranks"))
-    return (
+    placed = (
         numbered.join(F.broadcast(rule), at)
         .withColumn("sequence_id", F.expr("__bin0 + (__rank - __rank0) div __each"))
         .withColumn("offset", F.expr("__off + (__rank - __rank0) % __each * length"))
         .drop("__rank", "__size", "__rank0", "__ranks", "__bin0", "__each", "__off")
     )
+    if not position:
+        return placed
+    placed = materialize(placed, "placed")
+    firsts = placed.groupBy(F.col("sequence_id").alias("__bin")).agg(F.min(position).alias("__first"))
+    number = ranked(firsts, [], [F.col("__first"), F.col("__bin")], part("__first"), slots, "__number")
+    return placed.join(number, F.col("sequence_id") == F.col("__bin")).withColumn("sequence_id", F.col("__number")).drop("__bin", "__first", "__number").select(*placed.columns)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2) -> DataFrame:

@@ -589,6 +589,31 @@ def test_pipeline(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_packs_in_mixed_order(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = docs_of(spark, [(i, "some words " * (1 + i % 40)) for i in range(300)], {i: "abc"[i % 3] for i in range(300)}).select(*corpus_pipeline.COLUMNS)
+    mix, results = mixing.mix, []
+    for weights in ({"a": 9.0, "b": 1.0, "c": 1.0}, {"a": 1.0, "b": 1.0, "c": 9.0}):
+        monkeypatch.setattr(mixing, "mix", lambda d, alpha, weights=weights: mix(d, weights=weights))
+        place = {r["doc_id"]: r["position"] for r in rows(mix(docs, weights=weights))}
+        mixed = packing.materialize(corpus_pipeline.mix_sources(spark, docs, SF), "test-mixed")
+        ordered = rows(packing.file_order(mixed, "position").select("doc_id", "position"))
+        assert {r["doc_id"]: r["position"] for r in ordered} == place
+        packed = rows(corpus_pipeline.pack_sequences(spark, mixed, SF))
+        assert len(packed) == 300
+        first, filled = {}, Counter()
+        for r in packed:
+            first[r["sequence_id"]] = min(first.get(r["sequence_id"], 1 << 60), place[r["doc_id"]])
+            filled[r["sequence_id"]] += r["length"]
+        assert sorted(first) == list(range(len(first))) and max(filled.values()) <= 1024
+        assert [first[k] for k in sorted(first)] == sorted(first.values())
+        for length in {r["length"] for r in packed}:
+            assert len({(r["sequence_id"], r["offset"]) for r in packed if r["length"] == length}) == sum(r["length"] == length for r in packed)
+        results.append({(r["doc_id"], r["sequence_id"], r["offset"]) for r in packed})
+    assert results[0] != results[1]
+
+
 def test_mixing_equals_sql(spark):
     import duckdb
 
