@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.functions import text
@@ -95,3 +95,13 @@ def in_order(components: DataFrame) -> DataFrame:
     """Components in their total order; empty keys fall back to the names, a missing nameplate comes first."""
     pick = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
     return components.orderBy("component_category", pick("manufacturer_key", "manufacturer"), pick("model_family", "model"), F.coalesce("nameplate", F.lit(float("-inf"))), F.coalesce("surrogate_id", F.lit("")))
+
+
+def placed(components: DataFrame, path: str) -> DataFrame:
+    """Components with their place (from 1) in the total order, sorted in ranges and written to path; a range starts where those before it end."""
+    in_order(components).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    done = components.sparkSession.read.parquet(path).withColumn("__range", F.shiftright("__at", 33))
+    counts = done.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, not for each component
+    starts = counts.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return done.join(F.broadcast(starts), "__range").withColumn("place", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*components.columns, "place")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.functions import values
@@ -289,8 +289,7 @@ def identity_scores(spark, sf_dir):
 @query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_nationkey, s_name, s_suppkey) AS place FROM supplier ORDER BY place LIMIT 100")
 def component_order(spark, sf_dir):
     c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lpad(F.col("s_nationkey").cast("string"), 4, "0").alias("component_category"), F.lit("").alias("manufacturer_key"), F.col("s_name").alias("manufacturer"), F.lit(None).cast("string").alias("model_family"), F.lit("m").alias("model"), F.lit(None).cast("double").alias("nameplate"), F.lpad(F.col("s_suppkey").cast("string"), 12, "0").alias("surrogate_id"))
-    top = identity.in_order(c).limit(100)
-    return top.select("id", F.row_number().over(Window.orderBy("component_category", "manufacturer", "surrogate_id")).alias("place"))
+    return identity.placed(c, checkpoint_folder(spark)).select("id", "place")
 
 
 # -- documents -----------------------------------------------------------------------------------------------------

@@ -46,3 +46,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_component_order_places_every_component(spark):
+    import pyarrow.parquet as pq
+
+    sf = SF.replace("sf0.001", "sf0.1")
+    t = pq.read_table(f"{sf}/supplier.parquet", columns=["s_suppkey", "s_nationkey", "s_name"]).to_pylist()
+    want = [r["s_suppkey"] for r in sorted(t, key=lambda r: (r["s_nationkey"], r["s_name"], r["s_suppkey"]))]
+    assert len(want) > 100
+    assert {r["id"]: r["place"] for r in core.component_order(spark, sf).collect()} == {k: i + 1 for i, k in enumerate(want)}
