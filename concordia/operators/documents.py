@@ -18,8 +18,7 @@ def content_signature(content: Column) -> Column:
     out = F.lit(None).cast("string")
     for magic, name in reversed(SIGNATURES):
         out = F.when(F.startswith(head, F.lit(magic)), name).otherwise(out)
-    body = F.substring(content, 1, 1 << 16)
-    has = lambda s: F.contains(body, F.lit(s.encode()))
+    has = lambda s: F.contains(content, F.lit(s.encode()))
     zipped = F.startswith(head, F.lit("504B0304"))
     printable = ~has("\0") & (F.octet_length(content) > 0)
     return (

@@ -44,7 +44,7 @@ def ingest(raw: DataFrame, existing: DataFrame, parsers: dict[str, Callable]) ->
     """(new documents with their type, their elements); content that is stored already gives neither."""
     new = documents.new_documents(raw, existing, "source_uri")
     elements = parse(new, parsers)
-    text = elements.groupBy("content_hash").agg(F.array_join(F.slice(F.array_sort(F.collect_list(F.struct("page", "text"))).getField("text"), 1, 20), " ").alias("t"))
+    text = elements.groupBy("content_hash").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page", "text"))).getField("text"), " ").alias("t"))
     docs = new.join(text, "content_hash", "left").withColumn("document_type", documents.classify(F.coalesce("t", F.lit("")))).drop("t", "content")
     return docs, elements
 

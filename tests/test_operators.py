@@ -366,6 +366,20 @@ def test_sheets(spark, tmp_path):
     assert docs.count() == 0 and elements.count() == 0
 
 
+def test_documents_are_typed_by_their_whole_content(spark, tmp_path):
+    from concordia.sources.readers import files, ingest
+
+    long = b"x" * (1 << 17)
+    contents = [(long + b",y", "csv"), (b"a,b" + long + b"\0", "unknown"), (b"PK\x03\x04" + long + b"word/document.xml", "docx"), (b"PK\x03\x04" + long + b"xl/workbook.xml", "xlsx")]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, (c, _) in enumerate(contents)], "i int, c binary")
+    got = df.select("i", documents.content_signature(F.col("c")).alias("s")).collect()
+    assert [r["s"] for r in sorted(got)] == [s for _, s in contents]
+    (tmp_path / "long.csv").write_text("a,b")
+    raw = files(spark, f"file://{tmp_path}/long.csv")
+    docs, _ = ingest(raw, raw.limit(0), {"csv": lambda b: [("body", "plain" if k < 49 else "warranty", k) for k in range(50)]})
+    assert docs.first()["document_type"] == "warranty"
+
+
 def test_streams(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     rows = [(i % 3, "claim" if i % 2 == 0 else "finish", "w", t + dt.timedelta(minutes=i), "e", 1.0) for i in range(12)]
