@@ -20,8 +20,9 @@ class Bands:
     """Limits of compressed / raw size. low and high: (bytes, limit) knots, linear in log2 of the bytes between them.
 
     Text below low repeats itself, text above high is close to random. Whole texts compress better the longer they
-    are, so their limits fall with length; chunks all have one size, so theirs are two numbers. A document fails as a
-    whole, or when more than max_share of its chunks fail. Texts under the first knot's bytes are too short to judge.
+    are, so their limits fall with length; chunks all have one size, so theirs are two numbers. The last chunk ends
+    where the text ends and may overlap the one before; a text shorter than a chunk is judged as a whole, by the limits
+    of its length. A document fails as a whole, or when more than max_share of its chunks fail. Texts under the first knot's bytes are too short to judge.
     """
 
     low: tuple[tuple[int, float], ...] = ((64, 0.72), (128, 0.62), (256, 0.57), (512, 0.515), (1024, 0.475), (2048, 0.447), (4096, 0.427), (8192, 0.412), (16384, 0.400), (32768, 0.388), (131072, 0.37))
@@ -65,10 +66,11 @@ def measure(text: str | None, bands: Bands, compressor) -> tuple:
     failed = len(words) < 10 or 100 * repeat > 20 * len(words)
     ratio = len(compressor.compress(raw)) / len(raw) if raw else None
     chunks = bad = 0
-    for at in range(0, len(raw), bands.chunk):
+    starts = [*range(0, len(raw) - bands.chunk + 1, bands.chunk)]
+    if starts and len(raw) % bands.chunk:
+        starts.append(len(raw) - bands.chunk)
+    for at in starts:
         part = raw[at : at + bands.chunk]
-        if len(part) < bands.chunk:
-            break
         chunks += 1
         r = len(compressor.compress(part)) / len(part)
         bad += r < bands.chunk_low or r > bands.chunk_high

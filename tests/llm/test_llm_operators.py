@@ -82,6 +82,19 @@ def test_quality_bands():
     assert quality.Bands.limit(((64, 1.0), (256, 0.5)), 128) == pytest.approx(0.75)
 
 
+def test_quality_chunks_reach_the_end():
+    import zstandard
+
+    rng = random.Random(12)
+    z, bands = zstandard.ZstdCompressor(level=3), quality.Bands()
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(260)]
+    clean = " ".join(rng.choice(words) for _ in range(2000))[: bands.chunk]
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/ ") for _ in range(1900))
+    *_, ratio, chunks, bad, reason = quality.measure(clean + noise, bands, z)
+    assert ratio <= bands.limit(bands.high, 3948) and (chunks, bad, reason) == (2, 1, "chunks")
+    assert quality.measure(clean + clean, bands, z)[7] == 2 and quality.measure(clean[:-1], bands, z)[7] == 0
+
+
 # -- WARC ----------------------------------------------------------------------------------------------------------
 
 
