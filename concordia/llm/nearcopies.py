@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import materialize
+from concordia.llm.common import discard, materialize
 from concordia.llm.components import components
 from concordia.llm.langmodel import GOLDEN, Words, _documents, mix
 from concordia.llm.simhash import one_of_each
@@ -171,11 +171,12 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, block: int = BLOCK) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "name", "n", "prefix"])
 
     signed = materialize(read.mapInArrow(sign, "doc_id long, name long, n int, prefix array<long>"), "signed")
-    distinct = signed.groupBy("name").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    keyed = materialize(distinct.select("name", "n", F.posexplode("prefix").alias("at", "key")), "prefixes")
+    distinct = materialize(signed.groupBy("name").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("rep")), "prefixes")
+    keyed = distinct.select("name", "n", F.posexplode("prefix").alias("at", "key"))
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
+    # Each of these keys has more than block rows, so they are few.
     nc = F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int")
-    dealt = keyed.join(large, "key", "left").withColumn("nc", nc).withColumn("c", F.pmod(F.xxhash64("name", F.lit(7)), F.col("nc")).cast("int"))
+    dealt = keyed.join(F.broadcast(large), "key", "left").withColumn("nc", nc).withColumn("c", F.pmod(F.xxhash64("name", F.lit(7)), F.col("nc")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).select("key", F.least("c", "o").alias("bi"), F.greatest("c", "o").alias("bj"), "n", "name", "at")
     pairs = materialize(_pairs(dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n")), "pairs")
 
@@ -185,22 +186,13 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, block: int = BLOCK) -> Dat
         words = Words()
         for b in batches:
             sets = [*_sets(b.column(1).to_pylist(), words, shingle)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "members"])
 
-    # One row's text for each set that is in a pair; a doc_id may stand for several texts, so a row is told by both.
+    # The texts of one doc_id for each set that is in a pair; a row that comes twice only repeats a link.
     needed = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    own = signed.join(needed, "name", "left_semi").select("doc_id").distinct()
-    ids = read.join(own.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-
-    def named(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        words = Words()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in _sets(b.column(1).to_pylist(), words, shingle)], pa.int64()), b.column(1)], ["name", "text"])
-
-    texts = ids.mapInArrow(named, "name long, text string").join(needed, "name", "left_semi").groupBy("name").agg(F.first("text").alias("text"))
-    sets = materialize(texts.mapInArrow(whole, "name long, members binary"), "sets")
+    own = distinct.join(needed, "name", "left_semi").select(F.col("rep").alias("__id")).distinct()
+    sets = materialize(read.join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(whole, "name long, members binary"), "sets")
+    discard(distinct)
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
