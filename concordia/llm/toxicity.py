@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max inverted index, weighted votes.
 
-Labelled rows up to a documented bound are the examples. Terms are lower-cased words without outer punctuation and
-the words' prefixes; those associated with the label by a chi-square test are kept, up to a bound. Examples lie in
-blocks of similar ones; the index has, for each term, the postings by block and the largest weight in each block. The
-k nearest of a text are found exactly: blocks are scored in the order of their upper bounds until no bound exceeds the
-k-th best cosine. Votes weighted by squared cosine are turned into probabilities by a monotone map that is fitted on
-the examples' own leave-one-out votes.
+Labelled rows up to a documented bound are the examples. Terms are all their lower-cased words without outer
+punctuation that two examples or more have; a term's weight is its TF-IDF times its relevance, which is its chi-square
+association with the label, never below a floor, so that telling words count most and every word counts. Examples lie
+in blocks of similar ones; the index has, for each term, the postings by block and the largest weight in each block.
+The k nearest of a text are found exactly: blocks are scored in the order of their upper bounds, in growing waves, and
+blocks whose bound does not reach the k-th best cosine so far are never read. Votes weighted by squared cosine are
+turned into probabilities by a monotone map that is fitted on the examples' own leave-one-out votes.
 """
 
 from __future__ import annotations
@@ -13,53 +14,62 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PREFIXES = (4, 5, 6)
+from concordia.llm.common import discard, materialize
+
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&…«»“”"
+#: The score where labels tell nothing: none are given, or all are the same.
+BASE_RATE = 0.1
+#: Texts whose frequent terms are multiplied together.
+BATCH = 64
 
 
 @dataclass(frozen=True)
 class Settings:
     #: The most labelled rows that are used as examples; beyond it the rows of least hash are taken.
-    max_examples: int = 12_000
-    #: The most terms that are kept, those of the largest chi-square, and the least chi-square.
-    max_terms: int = 4096
-    min_chi2: float = 25.0
+    max_examples: int = 3_000
+    #: The most terms of the examples, those in most of them: it bounds what is broadcast.
+    max_terms: int = 1 << 18
+    #: A term has full relevance at a chi-square of least_chi2 + share * examples, and floor at least.
+    least_chi2: float = 25.0
+    share: float = 0.01
+    floor: float = 0.05
     k: int = 15
     #: Weight of the prior among the votes.
     prior_weight: float = 0.5
-    block: int = 64
-    #: Blocks that are scored one by one; what can still hold a neighbour after them is scored in one go.
-    single_blocks: int = 4
-
-
-def terms_of(word: str) -> tuple[str, ...]:
-    w = word.strip(PUNCTUATION)
-    return ((f"w:{w}", *(f"p:{w[:n]}" for n in PREFIXES if len(w) >= n))) if w else ()
+    block: int = 32
+    #: Blocks of the first wave; those that it does not rule out are read together.
+    wave: int = 8
+    #: The most frequent terms, whose postings are kept as whole rows and multiplied for many texts at once.
+    dense: int = 256
 
 
 class Terms(dict):
-    """Word to what its terms are (mapped by known, where it is given), kept for at most bound words."""
+    """Word to what it is as a term (its number in known, where that is given), or None; kept for at most bound words."""
 
     def __init__(self, known: dict[str, int] | None = None, bound: int = 400_000):
         self.known, self.bound = known, bound
 
-    def __missing__(self, word: str) -> tuple:
-        out = terms_of(word)
+    def __missing__(self, word: str):
+        out = word.strip(PUNCTUATION) or None
         if self.known is not None:
-            out = tuple(self.known[t] for t in out if t in self.known)
+            out = self.known.get(out)
         if len(self) >= self.bound:
             self.clear()
         self[word] = out
         return out
 
-    def counts(self, text: str | None) -> Counter:
-        return Counter(chain.from_iterable(filter(None, map(self.__getitem__, (text or "").lower().split()))))
+    def counts(self, text: str | None) -> dict:
+        out: dict = {}
+        for word, n in Counter((text or "").lower().split()).items():
+            term = self[word]
+            if term is not None:
+                out[term] = out.get(term, 0) + n
+        return out
 
 
 @dataclass
@@ -68,103 +78,145 @@ class Model:
 
     settings: Settings
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    #: Inverse document frequency times relevance.
+    weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    #: For each term, postings (example, weight), sorted by example; where each block begins; each block's largest weight.
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    #: Weights of the most frequent terms (rows) in all examples.
+    rows: np.ndarray
+    #: Postings of the others by term and example: the examples, their weights, and where each (term, block) begins.
+    example: np.ndarray
+    value: np.ndarray
     starts: np.ndarray
+    #: The largest weight of each term in each block.
     most: np.ndarray
     prior: float
     empty: float
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        if not counts:
-            return np.zeros(0, int), np.zeros(0)
-        t = np.fromiter(counts, int, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 (ties: the smaller index) and their cosines, exactly."""
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        return _vector(counts, self.weight)
+
+    def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The part of the cosines that the most frequent terms make, a row for each vector."""
+        q = np.zeros((len(vectors), len(self.rows)))
+        for row, (t, w) in zip(q, vectors, strict=True):
+            n = np.searchsorted(t, len(self.rows))
+            row[t[:n]] = w[:n]
+        return q @ self.rows
+
+    def others(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """What the terms t add to the cosines, 0 outside of blocks: only the postings of blocks are read."""
+        begin = self.starts[t]
+        first = begin[:, blocks].ravel().astype(np.int64)
+        n = begin[:, blocks + 1].ravel() - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.example[at], weights=self.value[at] * np.repeat(w, n.reshape(len(t), -1).sum(axis=1)), minlength=len(self.ids))
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k examples of largest cosine above 0 (ties: the smaller index), their cosines, and the number of blocks read.
+
+        part is frequent() of the vector, where it is known.
+        """
         k, size = self.settings.k, self.settings.block
-        none = np.zeros(0, int), np.zeros(0)
-        if not len(t):
-            return none
-        bound = w @ self.most[t]
-        best_i, best_c = none
-        for done, b in enumerate(np.argsort(-bound, kind="stable")):
-            least = best_c[-1] if len(best_i) >= k else 0.0
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
+        if not len(t) or not len(self.ids):
+            return np.zeros(0, int), np.zeros(0), 0
+        part = self.frequent([(t, w)])[0] if part is None else part
+        n = np.searchsorted(t, len(self.rows))
+        t, w = t[n:] - len(self.rows), w[n:]
+        bound = np.maximum.reduceat(part, np.arange(0, len(part), size)) + w @ self.most[t] + 1e-9
+        order = np.argsort(-bound, kind="stable")
+        score, read, least = np.zeros(len(self.ids)), 0, 0.0
+        for wave in (order[: self.settings.wave], order[self.settings.wave :]):
+            wave = np.sort(wave[bound[wave] >= least])
+            if not len(wave):
                 break
-            if done == self.settings.single_blocks:
-                score = np.zeros(len(bound) * size)
-                for term, weight in zip(t, w, strict=True):
-                    doc, x = self.postings[term]
-                    score[doc] += weight * x
-                # Only blocks whose bound reaches the k-th best so far can change the result.
-                score.reshape(-1, size)[bound < least - 1e-12] = 0
-                best_i, best_c = none
-                base = 0
-            else:
-                score, base = np.zeros(size), int(b) * size
-                for term, weight in zip(t, w, strict=True):
-                    lo, hi = self.starts[term, b], self.starts[term, b + 1]
-                    if lo < hi:
-                        doc, x = self.postings[term]
-                        score[doc[lo:hi] - base] += weight * x[lo:hi]
-            if 0 <= skip - base < len(score):
-                score[skip - base] = 0
-            own = np.flatnonzero(score > 0)
-            best_i, best_c = np.concatenate([best_i, own + base]), np.concatenate([best_c, score[own]])
-            if len(best_i) > 4 * k:
-                cut = best_c >= np.partition(best_c, -k)[-k]
-                best_i, best_c = best_i[cut], best_c[cut]
-            top = np.lexsort((best_i, -best_c))[:k]
-            best_i, best_c = best_i[top], best_c[top]
-            if done == self.settings.single_blocks:
-                break
-        return best_i, best_c
+            inside = np.zeros(len(bound), bool)
+            inside[wave] = True
+            score += np.where(np.repeat(inside, size)[: len(part)], part, 0)
+            if len(t):
+                score += self.others(t, w, wave)
+            read += len(wave)
+            if skip >= 0:
+                score[skip] = 0
+            if len(score) > k:
+                least = float(np.partition(score, -k)[-k])
+        own = np.flatnonzero((score > 1e-12) & (score >= least))
+        top = own[np.lexsort((own, -score[own]))[:k]]
+        return top, score[top], read
 
     def vote(self, i: np.ndarray, c: np.ndarray) -> float:
         p = self.settings.prior_weight
         return float(((c * c) @ self.labels[i] + p * self.prior) / ((c * c).sum() + p))
 
     def probability(self, i: np.ndarray, c: np.ndarray) -> float:
-        """The calibrated score; texts without a known term or neighbour have the share of label 1 among such examples."""
+        """The calibrated score; a text without a neighbour has the score empty."""
         return float(np.interp(self.vote(i, c), *self.knots)) if len(i) else self.empty
 
 
+def _vector(counts: dict[int, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in order and their weights, of length 1."""
+    t = np.fromiter(counts, np.int64, len(counts))
+    w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * weight[t]
+    order = np.argsort(t)
+    return t[order], w[order] / np.sqrt((w * w).sum()) if len(w) else w
+
+
+def relevance(with_one: np.ndarray, with_zero: np.ndarray, ones: float, zeros: float, settings: Settings) -> np.ndarray:
+    """A term's chi-square association with the label as a share of what counts in full, settings.floor at least."""
+    n, have = ones + zeros, with_one + with_zero
+    cross = with_one * (zeros - with_zero) - with_zero * (ones - with_one)
+    chi2 = n * cross * cross / np.maximum(ones * zeros * have * (n - have + 0.5), 1e-9)
+    return np.clip(chi2 / (settings.least_chi2 + settings.share * n), settings.floor, 1)
+
+
 def fit(rows: list[tuple[int, int, dict[int, int]]], vocabulary: dict[str, int], settings: Settings) -> Model:
-    """rows: example id, label, counts of terms by their numbers in vocabulary."""
+    """rows: example id, label, counts of terms by their numbers in vocabulary, the more frequent first.
+
+    Without both labels a model has no examples and scores every text BASE_RATE. A text without a neighbour has the
+    share of label 1 among such examples, and is never predicted 1.
+    """
+    ones = sum(r[1] for r in rows)
+    one_sided = ones in (0, len(rows))
+    rows = [] if one_sided else rows
     n, size, v = len(rows), settings.block, len(vocabulary)
-    df = np.zeros(v)
-    for _, _, c in rows:
-        df[list(c)] += 1
-    idf = np.log((1 + n) / (1 + df)) + 1
-    # Similar examples share blocks: they are sorted by label, then by their rarest term.
-    rows = sorted(rows, key=lambda r: (r[1], max(r[2], key=lambda t: (idf[t], t), default=-1), r[0]))
-    labels = np.array([r[1] for r in rows], float)
-    prior = float((labels.sum() + 0.5) / (n + 1))
+    have = np.zeros((2, v))
+    for _, y, c in rows:
+        have[y, list(c)] += 1
+    weight = (np.log((1 + n) / (1 + have.sum(axis=0))) + 1) * relevance(have[1], have[0], ones, n - ones, settings)
+    prior = float((ones + BASE_RATE) / (n + 1)) if n else BASE_RATE
     bare = [r[1] for r in rows if not r[2]]
-    model = Model(settings, vocabulary, idf, np.array([r[0] for r in rows], np.int64), labels, [], np.zeros((0, 0), int), np.zeros((0, 0)), prior, min(prior, (sum(bare) + prior) / (len(bare) + 1)))
-    blocks = -(-n // size) if n else 0
-    posts: list[tuple[list, list]] = [([], []) for _ in range(v)]
-    vectors = []
-    for i, (_, _, c) in enumerate(rows):
-        t, w = model.vector(Counter(c))
-        vectors.append((t, w))
-        for a, b in zip(t, w, strict=True):
-            posts[a][0].append(i)
-            posts[a][1].append(b)
-    model.postings = [(np.array(a, int), np.array(b)) for a, b in posts]
-    edges = np.arange(blocks + 1) * size
-    model.starts = np.array([np.searchsorted(a, edges) for a, _ in model.postings], np.int32).reshape(v, blocks + 1)
-    model.most = np.zeros((v, blocks))
-    for t, (a, b) in enumerate(model.postings):
-        np.maximum.at(model.most[t], a // size, b)
-    votes = [(model.vote(*near), labels[i]) for i in range(n) if len((near := model.nearest(*vectors[i], skip=i))[0])]
+    empty = min((sum(bare) + prior) / (len(bare) + 1), 0.49)
+    # Similar examples share blocks: they are sorted by label, then by the term of most weight.
+    vectors = [_vector(r[2], weight) for r in rows]
+    order = sorted(range(n), key=lambda i: (rows[i][1], int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, rows[i][0]))
+    vectors = [vectors[i] for i in order]
+    lengths = [len(t) for t, _ in vectors]
+    term, value = (np.concatenate(x) if n else np.zeros(0, d) for x, d in (([t for t, _ in vectors], np.int64), ([w for _, w in vectors], float)))
+    example = np.repeat(np.arange(n), lengths)
+    by = np.lexsort((example, term))
+    term, value, example = term[by], value[by], example[by]
+    blocks, often = -(-n // size), min(settings.dense, v)
+    dense = np.zeros((often, n))
+    dense[term[term < often], example[term < often]] = value[term < often]
+    rare = term >= often
+    term, value, example = term[rare] - often, value[rare], example[rare]
+    v -= often
+    at = term * blocks + example // size
+    starts = np.zeros(v * blocks + 1, np.int32)
+    np.cumsum(np.bincount(at, minlength=v * blocks), out=starts[1:])
+    most = np.zeros(v * blocks)
+    np.maximum.at(most, at, value)
+    edges = np.arange(v)[:, None] * blocks + np.arange(blocks + 1)[None, :]
+    labels = np.array([rows[i][1] for i in order], float)
+    model = Model(settings, vocabulary, weight, np.array([rows[i][0] for i in order], np.int64), labels, dense, example.astype(np.int32), value, starts[edges], most.reshape(v, blocks), prior, empty)
+    votes = []
+    for first in range(0, n, BATCH):
+        own = vectors[first : first + BATCH]
+        for i, (vector, part) in enumerate(zip(own, model.frequent(own), strict=True), first):
+            near, c, _ = model.nearest(*vector, skip=i, part=part)
+            if len(near):
+                votes.append((model.vote(near, c), labels[i]))
     model.knots = monotone(votes, prior)
     return model
 
@@ -187,47 +239,36 @@ def monotone(votes: list[tuple[float, float]], prior: float) -> tuple[np.ndarray
 def examples(docs: DataFrame, labels: DataFrame, settings: Settings, *, target: str = "toxic", fold: int = 5) -> DataFrame:
     """id, label, text of the labelled rows to learn from: crc32(doc_id as text) mod fold is not 0, bounded by settings.
 
-    Of several labels for one id the largest counts; null ids and labels are ignored.
+    Of several labels for one id the largest counts; null ids and labels are ignored. Of several texts of one id the
+    greatest is taken, so repeated rows don't multiply examples.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(target).cast("int").alias("label")).where("__id is not null and label is not null").groupBy("__id").agg(F.max("label").alias("label"))
     own = own.where(F.crc32(F.col("__id").cast("string").cast("binary")) % fold != 0)
     own = own.orderBy(F.xxhash64("__id", F.lit(11)), "__id").limit(settings.max_examples)
     read = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return read.join(F.broadcast(own), F.col("id") == F.col("__id")).select("id", "label", "text")
+    found = read.join(F.broadcast(own), F.col("id") == F.col("__id"))
+    return found.groupBy("id", "label").agg(F.max("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, **how) -> Model:
-    """Select terms and build the index from the bounded examples; the driver gets bounded tables only."""
+    """Build the index from the bounded examples; the driver gets tables that max_examples and max_terms bound.
+
+    Ties among terms at that bound go to the lesser term. A text of any length is counted whole.
+    """
     settings = settings or Settings()
-    chosen = examples(docs, labels, settings, **how)
+    chosen = materialize(examples(docs, labels, settings, **how), "examples")
 
     def presence(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, seen = Terms(), {0: Counter(), 1: Counter()}
+        words = Terms()
         for b in batches:
-            for y, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                seen[int(y > 0)].update({t for w in set((text or "").lower().split()) for t in words[w]})
-                seen[int(y > 0)][""] += 1
-        for y, c in seen.items():
-            for at in range(0, len(c), 100_000):
-                part = list(c.items())[at : at + 100_000]
-                yield pa.RecordBatch.from_pydict({"term": [t for t, _ in part], "a": [n * (y == 1) for _, n in part], "b": [n * (y == 0) for _, n in part]}, schema=pa.schema([("term", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
-
-    found = chosen.select("id", "label", "text").mapInArrow(presence, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("term = '' or a + b >= 4")
-    from concordia.llm.common import discard, materialize
-
-    found = materialize(found, "terms")
-    totals = found.where("term = ''").first()
-    pos, neg = (float(totals["a"]), float(totals["b"])) if totals else (0.0, 0.0)
-    vocabulary: dict[str, int] = {}
-    if pos and neg:
-        n = pos + neg
-        cross = F.col("a") * (F.lit(neg) - F.col("b")) - F.col("b") * (F.lit(pos) - F.col("a"))
-        chi2 = F.lit(n) * cross * cross / (F.lit(pos * neg) * (F.col("a") + F.col("b")) * (F.lit(n) - F.col("a") - F.col("b") + 0.5))
-        top = found.where("term <> ''").withColumn("chi2", chi2).where(F.col("chi2") >= settings.min_chi2).orderBy(F.desc("chi2"), "term").limit(settings.max_terms)
-        vocabulary = {r["term"]: i for i, r in enumerate(top.select("term").collect())}
-    discard(found)
+            for text in b.column(2).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(list(words.counts(text)), pa.string())], ["term"])
+
+    found = chosen.mapInArrow(presence, "term string").groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    top = found.orderBy(F.desc("n"), "term").limit(settings.max_terms).select("term").toPandas()["term"]
+    vocabulary = {t: i for i, t in enumerate(top)}
 
     def vectors(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -238,31 +279,46 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
 
     rows = chosen.mapInArrow(vectors, "id long, label int, terms array<int>, counts array<int>").collect()
-    return fit([(r["id"], int(r["label"] > 0), dict(zip(r["terms"], r["counts"], strict=True))) for r in rows], vocabulary, settings)
+    discard(chosen)
+    return fit([(int(i), int(y > 0), dict(zip(t, c, strict=True))) for i, y, t, c in rows], vocabulary, settings)
 
 
 class Scorer:
-    """Scores of texts by a model; texts with equal counts of known terms are looked up once (at most bound of them)."""
+    """Scores of texts by a model; equal texts are looked up once (at most bound of them are kept)."""
 
     def __init__(self, model: Model, bound: int = 50_000):
         self.model, self.words, self.memo, self.bound = model, Terms(model.vocabulary), {}, bound
 
     def __call__(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        counts = self.words.counts(text)
-        key = tuple(sorted(counts.items()))
-        if key not in self.memo:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """The score, the nearest examples and their cosines of each text."""
+        from xxhash import xxh3_128_digest
+
+        m, out = self.model, []
+        for first in range(0, len(texts), BATCH):
+            part = texts[first : first + BATCH]
+            keys = [xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in part]
             if len(self.memo) >= self.bound:
                 self.memo.clear()
-            i, c = self.model.nearest(*self.model.vector(counts))
-            self.memo[key] = min(1.0, max(0.0, self.model.probability(i, c))), i, c
-        return self.memo[key]
+            new = {k: t for k, t in zip(keys, part, strict=True) if k not in self.memo}
+            vectors = [m.vector(self.words.counts(t)) for t in new.values()]
+            for k, vector, known in zip(new, vectors, m.frequent(vectors), strict=True):
+                i, c, _ = m.nearest(*vector, part=known)
+                self.memo[k] = min(1.0, max(0.0, m.probability(i, c))), i, c
+            out += [self.memo[k] for k in keys]
+        return out
 
 
 def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     """doc_id, score, predicted, neighbours (ids of the nearest examples) and cosines of every whole text.
 
-    The model is broadcast; its size is bounded by its settings. A null or empty text has no term and gets the share of
-    label 1 among examples without one; a model without examples gives the prior 0.5. Nothing but text enters a score.
+    The model is broadcast; its size is bounded by its settings. A null or empty text, or one without a known term,
+    gets the share of label 1 among such examples and is never predicted 1; a model of one label or none scores every
+    text BASE_RATE. Of equally near examples those of label 0 come first, then those of lesser place in the index.
+    Repeated rows and null ids give a row each; texts of any length are read whole. Nothing but text enters a score,
+    and only doc_id and text are read, so other columns cannot clash. An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -273,8 +329,7 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
         scorer = Scorer(m)
         for b in batches:
             scores, ids, cosines = [], [], []
-            for text in b.column(1).to_pylist():
-                p, i, c = scorer(text)
+            for p, i, c in scorer.many(b.column(1).to_pylist()):
                 scores.append(p)
                 ids.append(m.ids[i[:evidence]].tolist())
                 cosines.append(c[:evidence].tolist())
@@ -293,6 +348,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(shared.value)
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([scorer(t)[0] < 0.5 for t in texts], pa.bool_()))
+            yield b.filter(pa.array([p < 0.5 for p, _, _ in scorer.many(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
