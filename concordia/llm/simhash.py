@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: 64-bit fingerprints of word shingles, linked through a table of pivot distances.
+"""SimHash near-duplicates: fingerprints of 64 bits or several times 64, linked through a table of pivot distances.
 
 The table holds each fingerprint's Hamming distances to reference fingerprints: a base reference, the base with one
 short segment flipped (one reference a segment), and some at random. By the triangle inequality no distance to a
@@ -6,6 +6,11 @@ reference differs by more than d(x, y) between x and y, and the difference of th
 flipped base tells the distance within that segment. Segments form ``limit + 1`` bands; fingerprints with at most
 ``limit`` differing bits have one band without a difference, so all its coordinates agree. Rows that agree on a band's
 coordinates meet, pairs with a coordinate difference above limit are discarded, and survivors are verified.
+
+``near_duplicates()`` links 64-bit fingerprints of shingles and finds every pair within its limit. ``near_copies()``
+links texts whose 5-word shingle sets have a Jaccard similarity of 0.8 or more: such texts differ in few words, so it
+takes the SimHash of the distinct words in several lanes of 64 bits, each with a table of its own, and verifies what
+survives on the whole sets.
 """
 
 from __future__ import annotations
@@ -16,19 +21,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import materialize
+from concordia.llm.common import discard, materialize
 from concordia.llm.components import Forest, components
+from concordia.llm.langmodel import GOLDEN, Tokens, mix
 
 SEED = 42
 #: Rows of one bucket that are compared in one piece; a larger bucket is compared as pairs of chunks of this size.
 BLOCK = 4096
+#: Similarity of near copies as a fraction; comparisons are made in integers.
+OVER, UNDER = 4, 5
+#: Lanes of 64 bits of the words' fingerprint, and the most of all their bits in which candidates differ: texts of
+#: similarity 0.8 differ in about 7 bits of 100.
+LANES, LANES_LIMIT = 6, 60
 
 
 class Pivots:
     """References for 64-bit fingerprints: bands of segments of ``width`` bits, and ``extra`` random ones."""
 
-    def __init__(self, limit: int = 2, width: int = 2, extra: int = 12):
-        rng = np.random.default_rng(64)
+    def __init__(self, limit: int = 2, width: int = 1, extra: int = 12, seed: int = 64):
+        rng = np.random.default_rng(seed)
         self.limit = limit
         self.base = rng.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         cuts = [round(64 * k / (limit + 1)) for k in range(limit + 2)]
@@ -115,49 +126,57 @@ def _compare(pivots: Pivots, group: np.ndarray, fp: np.ndarray, rep: np.ndarray)
     return forest.stars(rep)
 
 
-def _edges(sorted_rows: DataFrame, pivots: Pivots) -> DataFrame:
-    """Edges within the groups (band, key, bi, bj) of rows that are sorted by them, streamed in bounded pieces."""
+def _by_group(sorted_rows: DataFrame, schema: str, work) -> DataFrame:
+    """work(table, group numbers) for the groups (band, key, bi, bj) of rows that are sorted by them, streamed in bounded pieces."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held: list[pa.Table] = []
 
-        def work(t: pa.Table) -> pa.RecordBatch:
-            cols = [t.column(c).to_numpy() for c in ("band", "key", "bi", "bj")]
+        def call(t: pa.Table) -> Iterator:
+            t = t.combine_chunks()
             new = np.zeros(t.num_rows, bool)
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            a, b = _compare(pivots, np.cumsum(new), t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for c in ("band", "key", "bi", "bj"):
+                x = t.column(c).to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            return work(t, np.cumsum(new))
 
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
             if sum(t.num_rows for t in held) < 100_000:
                 continue
             t = pa.concat_tables(held)
-            cols = [t.column(c).to_numpy() for c in ("band", "key", "bi", "bj")]
             same = np.ones(t.num_rows, bool)
-            for c in cols:
-                same &= c == c[-1]
+            for c in ("band", "key", "bi", "bj"):
+                x = t.column(c).to_numpy()
+                same &= x == x[-1]
             cut = int(np.argmax(same))  # where the last group, which may go on, begins
             if cut:
-                yield work(t.slice(0, cut))
-                held = [t.slice(cut)]
-            else:
-                held = [t]
+                yield from call(t.slice(0, cut))
+            held = [t.slice(cut)]
         if held:
-            yield work(pa.concat_tables(held))
+            yield from call(pa.concat_tables(held))
 
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    return sorted_rows.mapInArrow(run, schema)
 
 
-def links(distinct: DataFrame, *, limit: int = 2, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) of a forest that joins all of distinct's (rep, fp) rows at most limit bits apart.
+def _dealt(banded: DataFrame, block: int, salt: str) -> DataFrame:
+    """banded (band, key, salt, ...) with bi, bj, sorted by band, key, bi, bj in its partitions.
 
-    A bucket of more than block rows is dealt into chunks by a hash of fp, and every pair of chunks meets in a block
+    A bucket of more than block rows is dealt into chunks by a hash of salt, and every pair of chunks meets in a block
     of its own: nothing is dropped and no task holds more than two chunks at a time.
     """
+    large = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n_bucket")).where(F.col("n_bucket") > block)
+    chunks = F.coalesce(F.ceil(F.col("n_bucket") / block), F.lit(1)).cast("int")
+    dealt = banded.join(large, ["band", "key"], "left").withColumn("nc", chunks).withColumn("c", F.pmod(F.xxhash64(salt, F.lit(7)), F.col("nc")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).withColumn("bi", F.least("c", "o")).withColumn("bj", F.greatest("c", "o")).drop("n_bucket", "nc", "c", "o")
+    by = ["band", "key", "bi", "bj"]
+    return dealt.repartition(*by).sortWithinPartitions(*by)
+
+
+def links(distinct: DataFrame, *, limit: int = 2, width: int = 1, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) of a forest that joins all of distinct's (rep, fp) rows at most limit bits apart."""
     pivots = Pivots(limit, width)
 
     def keys(batches: Iterator) -> Iterator:
@@ -168,13 +187,14 @@ def links(distinct: DataFrame, *, limit: int = 2, width: int = 2, block: int = B
             for band, key in enumerate(pivots.band_keys(fp)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), band, np.int32)), pa.array(key, pa.int64()), b.column(1), b.column(0)], ["band", "key", "fp", "rep"])
 
+    def work(t, group: np.ndarray) -> Iterator:
+        import pyarrow as pa
+
+        a, b = _compare(pivots, group, t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
     banded = distinct.select("rep", "fp").mapInArrow(keys, "band int, key long, fp long, rep long")
-    large = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    chunks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    dealt = banded.join(large, ["band", "key"], "left").withColumn("nc", chunks).withColumn("c", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("nc")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).select("band", "key", F.least("c", "o").alias("bi"), F.greatest("c", "o").alias("bj"), "fp", "rep")
-    by = ["band", "key", "bi", "bj"]
-    return _edges(dealt.repartition(*by).sortWithinPartitions(*by), pivots)
+    return _by_group(_dealt(banded, block, "fp"), "a long, b long", work)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, limit: int = 2) -> DataFrame:
@@ -192,9 +212,166 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, limit: int = 2) -> Dat
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, *, shingle: int = 3, limit: int = 2) -> DataFrame:
-    """One row of docs for each group: that whose doc_id is its component_id. Rows with a null doc_id are kept."""
-    return one_of_each(docs, near_duplicates(docs, shingle=shingle, limit=limit))
+def shingle_set(words: np.ndarray, shingle: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles from its word hashes; fewer words count as one shingle, none as none."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    n = min(shingle, len(words))
+    h = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = mix(h * GOLDEN + words[k : k + len(h)])
+    return np.unique(h)
+
+
+def words_fingerprint(words: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """The SimHash of a text's distinct words, 64 bits a lane."""
+    own, out = np.unique(words), np.zeros(lanes, np.uint64)
+    for k in range(lanes):
+        h, ones = mix(own ^ (GOLDEN * np.uint64(2 * k + 1))), np.zeros(64, np.int64)
+        for at in range(0, len(h), 65536):
+            ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return UNDER * both >= OVER * (len(a) + len(b) - both)
+
+
+def _name(s: np.ndarray) -> int:
+    """A signed 64-bit name of a set."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _word_lists(texts: list[bytes | None], tokens: Tokens) -> Iterator[np.ndarray]:
+    """The word hashes of each text."""
+    for at in range(0, len(texts), 256):
+        found, ends = tokens.documents(texts[at : at + 256])
+        start = 0
+        for e in ends.tolist():
+            yield found[start : e - 1]  # without the end
+            start = e
+
+
+def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndarray, n: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span, in each group, all rows at most limit bits apart whose sizes allow the similarity.
+
+    Near pairs come first and what they connect is not paired again, so a group of many copies gives about an edge a
+    row. fp has a row for each lane.
+    """
+    d0 = sum(t.base_distance(x).astype(np.int32) for t, x in zip(tables, fp, strict=True))
+    order = np.lexsort((d0, group))
+    group, fp, n, name, d0 = group[order], fp[:, order], n[order].astype(np.int64), name[order], d0[order]
+    far = sum(t.far(x).astype(np.int32) for t, x in zip(tables, fp, strict=True))
+    forest, a, b = Forest(len(group)), [], []
+    for most in (limit // 4, limit // 2, limit):
+        i, step = np.arange(len(group)), 0
+        while True:  # pairs at distance step in the order; the base distance is sorted, so a row drops out at the first excess
+            step += 1
+            i = i[i + step < len(group)]
+            i = i[(group[i] == group[i + step]) & (d0[i + step] - d0[i] <= most)]
+            if not len(i):
+                break
+            x = i[(UNDER * np.minimum(n[i], n[i + step]) >= OVER * np.maximum(n[i], n[i + step])) & (forest.roots(i) != forest.roots(i + step))]
+            for row in far:
+                if not len(x):
+                    break
+                x = x[np.abs(row[x] - row[x + step]) <= most]
+            x = x[np.bitwise_count(fp[:, x] ^ fp[:, x + step]).sum(axis=0, dtype=np.int32) <= most]
+            if len(x):
+                forest.union(x, x + step)
+                a.append(name[x])
+                b.append(name[x + step])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit: int = LANES_LIMIT, block: int = BLOCK) -> DataFrame:
+    """doc_id, component_id of every row: the least doc_id reachable by links of Jaccard similarity 0.8 or more.
+
+    Every link is verified on the whole sets of word shingles; candidates are pairs of texts whose words' fingerprints
+    agree in a band of some lane and differ in at most limit bits, so a few links are missed (README has the figures).
+    Words are as in fingerprints(); texts without words, null ones too, are equal, and so are texts of equal sets,
+    which meet once. A row with a null doc_id gets the component of its set, which is null when no row of the component
+    has an id. Repeated rows are equal texts. A text of any length is read whole; only doc_id and text are read, so
+    other columns cannot clash. An empty table gives an empty one.
+    """
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
+    tables = [Pivots(2, 1, seed=64 + k) for k in range(lanes)]
+
+    def sign(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        tokens = Tokens()
+        for b in batches:
+            names, sizes, prints = [], [], []
+            for words in _word_lists(b.column(1).to_pylist(), tokens):
+                s = shingle_set(words, shingle)
+                names.append(_name(s))
+                sizes.append(len(s))
+                prints.append(words_fingerprint(words, lanes).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())], ["doc_id", "name", "n", "fp"])
+
+    signed = materialize(read.mapInArrow(sign, "doc_id long, name long, n int, fp binary"), "signed")
+    distinct = materialize(signed.groupBy("name").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("doc_id").alias("rep")), "distinct")
+
+    def keys(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            fp = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, lanes)
+            for lane, table in enumerate(tables):
+                for band, key in enumerate(table.band_keys(fp[:, lane])):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), lane * len(table.bands) + band, np.int32)), pa.array(key, pa.int64()), *b.columns], ["band", "key", "name", "n", "fp"])
+
+    def work(t, group: np.ndarray) -> Iterator:
+        import pyarrow as pa
+
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, lanes)
+        a, b = _candidates(tables, limit, group, np.ascontiguousarray(fp.T), t.column("n").to_numpy(), t.column("name").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    banded = distinct.where("n > 0").select("name", "n", "fp").mapInArrow(keys, "band int, key long, name long, n int, fp binary")
+    pairs = materialize(_by_group(_dealt(banded, block, "name"), "a long, b long", work).distinct(), "pairs")
+
+    def whole(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        tokens = Tokens()
+        for b in batches:
+            sets = [shingle_set(words, shingle) for words in _word_lists(b.column(1).to_pylist(), tokens)]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "members"])
+
+    # The texts of one doc_id for each set that is in a pair; a row that comes twice only repeats a link.
+    needed = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    own = distinct.join(needed, "name", "left_semi").select(F.col("rep").alias("__id")).distinct()
+    sets = materialize(read.join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(whole, "name long, members binary"), "sets")
+
+    def verify(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = (b.column(c).to_pylist() for c in (2, 3))
+            ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda side: sets.select(F.col("name").alias(side), F.col("members").alias(f"of_{side}"))
+    found = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
+    roots = components(found)
+    for table in (pairs, sets, distinct):
+        discard(table)
+    group = F.coalesce("root", "name").alias("group")
+    in_group = signed.join(roots, signed["name"] == roots["node"], "left").select("doc_id", group)
+    least = in_group.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return in_group.join(least, "group").select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, **how) -> DataFrame:
+    """One row of docs for each group of near_copies(): that of the least doc_id. Rows with a null doc_id are kept."""
+    return one_of_each(docs, near_copies(docs, **how))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
