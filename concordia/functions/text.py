@@ -12,6 +12,9 @@ from pyspark.sql.types import StringType
 
 from concordia.plans.policy import LEGAL_FORMS, MANUFACTURER_ALIASES, TOKEN_ALIASES
 
+# Zero-width space, non-joiner and joiner, byte-order mark, soft hyphen, word joiner.
+_INVISIBLE = dict.fromkeys((0x200B, 0x200C, 0x200D, 0xFEFF, 0x00AD, 0x2060))
+# What separates the words of a company's name.
 _SEPARATORS = re.compile(r"[.,()/&+\-‐-―−]+")
 _EDITION = r"\s*:\s*(\d{4})\s*$"
 
@@ -37,9 +40,9 @@ def fold(c: Column) -> Column:
 
 
 def _token(s: str) -> str | None:
-    s = "".join(c for c in unicodedata.normalize("NFKC", s) if unicodedata.category(c) != "Cf").strip().casefold()
-    s = re.sub(r"\s*/\s*", "/", s)
-    s = re.sub(r"[-_\s]+", "_", s)
+    s = unicodedata.normalize("NFKC", s).translate(_INVISIBLE).casefold()
+    words = re.sub(r"[-_]", " ", re.sub(r"\s*/\s*", "/", s)).split()
+    s = "_".join(words)
     return TOKEN_ALIASES.get(s, s) or None
 
 

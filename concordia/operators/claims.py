@@ -145,8 +145,12 @@ def field_checks() -> dict[str, Column]:
     return {"resolved_has_resolution": (F.col("conflict_status") != "resolved") | F.col("resolution").isNotNull(), "conflict_status": F.col("conflict_status").isin("none", "open", "resolved", "insufficient_evidence")}
 
 
+# Names of parameters that stand for the store's writer, and its type.
+WRITE_HANDLES, WRITER_TYPE = ("writer", "store", "storage", "claim_writer"), "ClaimWriter"
+
+
 def takes_a_write_handle(f) -> bool:
-    """Whether a function asks for the store's writer by name; only the commit step may."""
+    """Whether a function's signature asks for the store's writer, by name or by annotation; only the commit step may."""
     import inspect
 
-    return any(p in ("writer", "store_writer") for p in inspect.signature(f).parameters)
+    return any(name in WRITE_HANDLES or WRITER_TYPE in str(p.annotation) for name, p in inspect.signature(f).parameters.items())

@@ -26,8 +26,8 @@ def requires_review(tier: Column, confidence: Column, threshold: float) -> Colum
 
 
 def flags(value_present: Column, source_tier: Column, confidence: Column, status: Column, threshold: float) -> Column:
-    """Flags of a cell, several at once: missing, web, low_confidence, unresolved."""
-    return F.array_compact(F.array(F.when(~value_present, F.lit("missing")), F.when(source_tier == WEB, F.lit("web")), F.when(confidence < threshold, F.lit("low_confidence")), F.when(status.isin("open", "insufficient_evidence"), F.lit("unresolved"))))
+    """Flags of a cell, several at once, in the words of the vocabulary cell_flag."""
+    return F.array_compact(F.array(F.when(~value_present, F.lit("missing_data")), F.when(source_tier == WEB, F.lit("web_supplemented")), F.when(confidence < threshold, F.lit("low_confidence")), F.when(status.isin("open", "insufficient_evidence"), F.lit("unresolved_conflict"))))
 
 
 def unresolved_fields(fields: DataFrame, keys: list[str]) -> DataFrame:

@@ -41,7 +41,7 @@ def prepare(claims: DataFrame, *, ascii_only: bool = False) -> DataFrame:
     base, year = text.edition(F.col("fold"))
     ref, unit = F.col("source_ref"), policy.unit_base(F.col("unit"))
     order = F.struct(F.col("source_tier"), F.col("document_id"), F.col("value.canon").alias("canon"), F.col("unit"), F.col("extractor_version"), F.xxhash64(F.to_json(F.struct("condition", "verbatim_value", "source_ref", "confidence"))).alias("h"))
-    return folded.withColumns({"base": base, "year": year, "floor": F.lit(0.5) * F.pow(F.lit(10.0), -values.printed_decimals(F.col("verbatim_value"), F.col("value.num"), F.col("value.is_int"), F.col("value.canon")).cast("double")), "family": unit["family"], "scaled": F.col("value.num") * unit["factor"], "kind": F.col("value.kind"), "num": F.col("value.num"), "canon": F.col("value.canon"), "source_id": F.coalesce(ref["document_id"], ref["url"]), "authority_cec": F.coalesce(F.contains(F.lower(ref["source_authority"]), F.lit("cec")), F.lit(False)), "ord": order})
+    return folded.withColumns({"base": base, "year": year, "floor": F.lit(0.5) * F.pow(F.lit(10.0), -values.printed_decimals(F.col("verbatim_value"), F.col("value.num"), F.col("value.is_int"), F.col("value.canon")).cast("double")), "family": unit["family"], "scaled": F.col("value.num") * unit["factor"], "kind": F.col("value.kind"), "num": F.col("value.num"), "canon": F.col("value.canon"), "source_id": F.coalesce(ref["document_id"], ref["url"]), "against_cec_list": F.coalesce(F.contains(F.lower(ref["source_authority"]), F.lit("cec")), F.lit(False)), "ord": order})
 
 
 def comparison_pairs(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"), *, order: str = "ord", condition: str = "condition", dimensions: tuple[str, ...] = DIMENSIONS, flat: bool = False) -> DataFrame:
@@ -96,7 +96,7 @@ def judge(l: Column, r: Column, rule: Column, magnitude: Column, alternate_when:
     a, b, no = l["num"], r["num"], F.lit(False)
     floor = F.greatest(l["floor"], r["floor"])
     ieee = lambda s: F.coalesce(s["condition"]["standards_regime"] == "ieee", no)
-    selected = F.when(alternate_when == "impedance_below_10_pct", F.greatest(F.abs(a), F.abs(b)) < 10).when(alternate_when == "regime_ieee", ieee(l) | ieee(r)).when(alternate_when == "authority_cec", l["authority_cec"] | r["authority_cec"])
+    selected = F.when(alternate_when == "impedance_below_10_pct", F.greatest(F.abs(a), F.abs(b)) < 10).when(alternate_when == "regime_ieee", ieee(l) | ieee(r)).when(alternate_when == "against_cec_list", l["against_cec_list"] | r["against_cec_list"])
     wide = F.when(F.coalesce(selected, no), alternate).otherwise(F.coalesce(magnitude, F.lit(0.0)))
     difference = F.abs(a - b)
     no_band = F.lit(None).cast("struct<low:double,high:double,kind:string,unit:string>")
@@ -161,7 +161,7 @@ def value_counts(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "fi
 
 
 #: What judging and grading a pair read of each side; a pair carries nothing else but what its caller asks for.
-NEEDED = ("ord", "condition", "kind", "num", "canon", "base", "year", "unit", "unit_fold", "family", "scaled", "floor", "source_tier", "source_id", "authority_cec", "distinct_values")
+NEEDED = ("ord", "condition", "kind", "num", "canon", "base", "year", "unit", "unit_fold", "family", "scaled", "floor", "source_tier", "source_id", "against_cec_list", "distinct_values")
 QUEUED = ("value", "source_ref", "confidence")
 
 

@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 
 # Leading bytes (hex) of formats; Office files are told apart by names inside the archive.
 SIGNATURES = [("25504446", "pdf"), ("FFD8FF", "jpg"), ("89504E470D0A1A0A", "png"), ("49492A00", "tif"), ("4D4D002A", "tif"), ("424D", "bmp")]
-# Words by which documents are classed, in the order in which they are tried.
-DOCUMENT_WORDS = [("warranty", "warranty"), ("certificate", "certificate"), ("test report", "test_report"), ("price", "pricing"), ("quotation", "pricing"), ("manual", "manual"), ("datasheet", "spec_sheet"), ("data sheet", "spec_sheet")]
+#: Words by which documents are classed, in the order in which they are tried.
+DOCUMENT_WORDS = [("warranty", "warranty"), ("purchase order", "purchase_order"), ("terms and conditions", "terms_and_conditions"), ("terms of service", "contract_tos"), ("agreement", "contract_tos"), ("contract", "contract_tos"), ("regulation", "environmental_regulation"), ("price", "pricing"), ("quotation", "pricing"), ("datasheet", "spec_sheet"), ("data sheet", "spec_sheet"), ("certificate", "technical_documentation"), ("test report", "technical_documentation"), ("manual", "technical_documentation")]
 UNIT_ALIASES = {"%/°c": "%/k", "%/degc": "%/k", "%/k": "%/k", "wp": "wp", "watt": "w", "watts": "w", "volt": "v", "volts": "v", "amp": "a", "amps": "a"}
 
 
+def looks_delimited(text: Column) -> Column:
+    """Whether text is no markup and half of its lines, two at least, have commas, semicolons or tabs outside of quotes, all as many."""
+    bare = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), "\r\n?", "\n")
+    lines = F.filter(F.split(bare, "\n"), lambda x: F.trim(x) != "")
+    even = F.lit(False)
+    for d in (",", ";", "\t"):
+        counts = F.filter(F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))), lambda n: n > 0)  # noqa: B023  called at once
+        even = even | ((F.size(F.array_distinct(counts)) == 1) & (F.size(counts) > 1) & (2 * F.size(counts) >= F.size(lines)))
+    return F.coalesce(even & ~F.startswith(F.ltrim(text), F.lit("<")), F.lit(False))
+
+
 def content_signature(content: Column) -> Column:
     """Format by magic bytes, never by name: pdf docx xlsx jpg png tif bmp webp heic csv, else unknown."""
     head = F.hex(F.substring(content, 1, 16))
@@ -24,17 +35,17 @@ def content_signature(content: Column) -> Column:
     return (
         F.when(zipped & has("word/"), "docx").when(zipped & has("xl/"), "xlsx").when(zipped, "zip")
         .when(F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "webp")
-        .when(F.substring(head, 9, 8) == "66747970", F.when(F.substring(head, 17, 8).isin("68656963", "68656978", "6D696631"), "heic"))
+        .when(F.substring(head, 9, 8) == "66747970", F.when(F.substring(head, 17, 8).isin("68656963", "68656978", "68657663", "68657678", "6D696631"), "heic"))
         .when(out.isNotNull(), out)
-        .when(F.coalesce(printable, F.lit(False)) & has(","), "csv")
+        .when(F.coalesce(printable, F.lit(False)) & looks_delimited(F.try_validate_utf8(content.cast("string"))), "csv")
         .otherwise("unknown")
     )
 
 
 def classify(text: Column) -> Column:
-    """Document type by its words, other where none occurs."""
+    """One of the eight document types by its words; null, which is for a person to say, where none occurs."""
     low = F.lower(text)
-    out = F.lit("other")
+    out = F.lit(None).cast("string")
     for word, name in reversed(DOCUMENT_WORDS):
         out = F.when(F.contains(low, F.lit(word)), name).otherwise(out)
     return out
@@ -71,7 +82,7 @@ def upserted(log: DataFrame, key: str, version: str, deleted: str) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("r")).select(key, "r.*").where(~F.col(deleted))
 
 
-def chunks(documents: DataFrame, *, id_col: str = "document_id", text_col: str = "text", size: int = 512, overlap: float = 0.10) -> DataFrame:
+def chunks(documents: DataFrame, *, id_col: str = "document_id", text_col: str = "text", size: int = 512, overlap: float = 0.05) -> DataFrame:
     """Windows of size words that overlap by a share: id, chunk_no, start, n_words, chunk_text. Row-local, no shuffle.
 
     The step is size less the overlap, rounded down to at least 1; a text without words has no chunk.

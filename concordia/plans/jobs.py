@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 # Stages in order; none waits for a person.
-STAGES = ("ingest", "extract", "index", "resolve", "detect", "compose")
+STAGES = ("ingest", "extract", "index", "enrich_via_web", "detect_conflicts", "compose_workbook")
 
 
 def run(steps: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

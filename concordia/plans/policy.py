@@ -9,16 +9,175 @@ from concordia.plans.schema import CRITICAL, HIGH, INFORMATIONAL, LOW, MEDIUM
 
 # Base severity of each field of the contract.
 CRITICALITY = {
-    CRITICAL: "certifications fire_safety_certifications cell_certification pcs_certification ul_listing domestic_content_status domestic_content_percentage baba_status baba_certification_ref feoc_pfe_status country_of_origin ercot_compliance_items",
-    HIGH: "price_per_watt_dc price_per_watt_ac price_per_metre product_warranty_years performance_warranty_years performance_warranty_end_output warranty_years corrosion_warranty_years degradation_warranty_years degradation_warranty_cycles material_assistance_cost_ratio degradation_year_1 degradation_annual vector_group",
-    MEDIUM: "nameplate_power power_tolerance module_efficiency stc_rating nmot_rating temp_coeff_pmax temp_coeff_voc temp_coeff_isc rated_ac_power rated_ac_power_temp max_efficiency cec_efficiency trd_percent trd_limit_applied reactive_capability_at_zero_output ride_through_coordination automatic_generation_control ercot_telemetry pmu_support rating_mva rating_mva_by_cooling impedance_percent no_load_loss load_loss efficiency ampacity usable_energy_per_container nameplate_energy_per_container power_rating c_rate round_trip_efficiency cycle_life energy_density footprint_area design_wind_speed stow_wind_speed ground_coverage_ratio backtracking_yield_gain tracking_range bearing_gear_l10_years",
-    LOW: "mppt_count mppt_voltage_min mppt_voltage_max harmonic_spectrum thd_percent k_factor filtering_provisions dc_injection flicker_pst flicker_plt communication_protocols protocols cybersecurity_standards inverter_integration bess_integration ride_through_standards enclosure_rating conductor_size conductor_material conductor_area insulation_type shielding standards cooling_classes seismic_qualification max_system_voltage max_dc_voltage voltage_class voltage_hv voltage_lv load_factor input_count fuse_rating continuous_current string_monitoring surge_protection disconnect_type chemistry thermal_management augmentation_plan cell_technology bifaciality_factor bifaciality_tolerance topology configuration modules_per_row galvanization_spec foundations_per_mw",
-    INFORMATIONAL: "supplier supplier_verbatim model model_verbatim component_category datasheet_revision datasheet_date stow_strategy support_terms plant_controller_model",
+    "certifications": CRITICAL,
+    "fire_safety_certifications": CRITICAL,
+    "cell_certification": CRITICAL,
+    "pcs_certification": CRITICAL,
+    "ul_listing": CRITICAL,
+    "domestic_content_status": CRITICAL,
+    "domestic_content_percentage": CRITICAL,
+    "baba_status": CRITICAL,
+    "baba_certification_ref": CRITICAL,
+    "feoc_pfe_status": CRITICAL,
+    "country_of_origin": CRITICAL,
+    "ercot_compliance_items": CRITICAL,
+    "price_per_watt_dc": HIGH,
+    "price_per_watt_ac": HIGH,
+    "price_per_metre": HIGH,
+    "product_warranty_years": HIGH,
+    "performance_warranty_years": HIGH,
+    "performance_warranty_end_output": HIGH,
+    "warranty_years": HIGH,
+    "corrosion_warranty_years": HIGH,
+    "degradation_warranty_years": HIGH,
+    "degradation_warranty_cycles": HIGH,
+    "material_assistance_cost_ratio": HIGH,
+    "degradation_year_1": HIGH,
+    "degradation_annual": HIGH,
+    "vector_group": HIGH,
+    "nameplate_power": MEDIUM,
+    "power_tolerance": MEDIUM,
+    "module_efficiency": MEDIUM,
+    "stc_rating": MEDIUM,
+    "nmot_rating": MEDIUM,
+    "temp_coeff_pmax": MEDIUM,
+    "temp_coeff_voc": MEDIUM,
+    "temp_coeff_isc": MEDIUM,
+    "rated_ac_power": MEDIUM,
+    "rated_ac_power_temp": MEDIUM,
+    "max_efficiency": MEDIUM,
+    "cec_efficiency": MEDIUM,
+    "trd_percent": MEDIUM,
+    "trd_limit_applied": MEDIUM,
+    "reactive_capability_at_zero_output": MEDIUM,
+    "ride_through_coordination": MEDIUM,
+    "automatic_generation_control": MEDIUM,
+    "ercot_telemetry": MEDIUM,
+    "pmu_support": MEDIUM,
+    "rating_mva": MEDIUM,
+    "rating_mva_by_cooling": MEDIUM,
+    "impedance_percent": MEDIUM,
+    "no_load_loss": MEDIUM,
+    "load_loss": MEDIUM,
+    "efficiency": MEDIUM,
+    "ampacity": MEDIUM,
+    "usable_energy_per_container": MEDIUM,
+    "nameplate_energy_per_container": MEDIUM,
+    "power_rating": MEDIUM,
+    "c_rate": MEDIUM,
+    "round_trip_efficiency": MEDIUM,
+    "cycle_life": MEDIUM,
+    "energy_density": MEDIUM,
+    "footprint_area": MEDIUM,
+    "design_wind_speed": MEDIUM,
+    "stow_wind_speed": MEDIUM,
+    "ground_coverage_ratio": MEDIUM,
+    "backtracking_yield_gain": MEDIUM,
+    "tracking_range": MEDIUM,
+    "bearing_gear_l10_years": MEDIUM,
+    "mppt_count": LOW,
+    "mppt_voltage_min": LOW,
+    "mppt_voltage_max": LOW,
+    "harmonic_spectrum": LOW,
+    "thd_percent": LOW,
+    "k_factor": LOW,
+    "filtering_provisions": LOW,
+    "dc_injection": LOW,
+    "flicker_pst": LOW,
+    "flicker_plt": LOW,
+    "communication_protocols": LOW,
+    "protocols": LOW,
+    "cybersecurity_standards": LOW,
+    "inverter_integration": LOW,
+    "bess_integration": LOW,
+    "ride_through_standards": LOW,
+    "enclosure_rating": LOW,
+    "conductor_size": LOW,
+    "conductor_material": LOW,
+    "conductor_area": LOW,
+    "insulation_type": LOW,
+    "shielding": LOW,
+    "standards": LOW,
+    "cooling_classes": LOW,
+    "seismic_qualification": LOW,
+    "max_system_voltage": LOW,
+    "max_dc_voltage": LOW,
+    "voltage_class": LOW,
+    "voltage_hv": LOW,
+    "voltage_lv": LOW,
+    "load_factor": LOW,
+    "input_count": LOW,
+    "fuse_rating": LOW,
+    "continuous_current": LOW,
+    "string_monitoring": LOW,
+    "surge_protection": LOW,
+    "disconnect_type": LOW,
+    "chemistry": LOW,
+    "thermal_management": LOW,
+    "augmentation_plan": LOW,
+    "cell_technology": LOW,
+    "bifaciality_factor": LOW,
+    "bifaciality_tolerance": LOW,
+    "topology": LOW,
+    "configuration": LOW,
+    "modules_per_row": LOW,
+    "galvanization_spec": LOW,
+    "foundations_per_mw": LOW,
+    "supplier": INFORMATIONAL,
+    "supplier_verbatim": INFORMATIONAL,
+    "model": INFORMATIONAL,
+    "model_verbatim": INFORMATIONAL,
+    "component_category": INFORMATIONAL,
+    "datasheet_revision": INFORMATIONAL,
+    "datasheet_date": INFORMATIONAL,
+    "stow_strategy": INFORMATIONAL,
+    "support_terms": INFORMATIONAL,
+    "plant_controller_model": INFORMATIONAL,
 }
 # Review tiers; every other field is in DEFAULT_TIER.
 TIERS = {
-    "a": "price_per_watt_ac price_per_watt_dc price_per_metre product_warranty_years performance_warranty_years performance_warranty_end_output corrosion_warranty_years warranty_years degradation_year_1 degradation_annual degradation_warranty_years degradation_warranty_cycles domestic_content_percentage domestic_content_status country_of_origin material_assistance_cost_ratio baba_status baba_certification_ref feoc_pfe_status certifications cell_certification pcs_certification fire_safety_certifications ul_listing standards ride_through_standards cybersecurity_standards seismic_qualification",
-    "b": "nameplate_power stc_rating nmot_rating module_efficiency rated_ac_power cec_efficiency usable_energy_per_container nameplate_energy_per_container round_trip_efficiency cycle_life rating_mva no_load_loss load_loss impedance_percent",
+    "price_per_watt_ac": "a",
+    "price_per_watt_dc": "a",
+    "price_per_metre": "a",
+    "product_warranty_years": "a",
+    "performance_warranty_years": "a",
+    "performance_warranty_end_output": "a",
+    "corrosion_warranty_years": "a",
+    "warranty_years": "a",
+    "degradation_year_1": "a",
+    "degradation_annual": "a",
+    "degradation_warranty_years": "a",
+    "degradation_warranty_cycles": "a",
+    "domestic_content_percentage": "a",
+    "domestic_content_status": "a",
+    "country_of_origin": "a",
+    "material_assistance_cost_ratio": "a",
+    "baba_status": "a",
+    "baba_certification_ref": "a",
+    "feoc_pfe_status": "a",
+    "certifications": "a",
+    "cell_certification": "a",
+    "pcs_certification": "a",
+    "fire_safety_certifications": "a",
+    "ul_listing": "a",
+    "standards": "a",
+    "ride_through_standards": "a",
+    "cybersecurity_standards": "a",
+    "seismic_qualification": "a",
+    "nameplate_power": "b",
+    "stc_rating": "b",
+    "nmot_rating": "b",
+    "module_efficiency": "b",
+    "rated_ac_power": "b",
+    "cec_efficiency": "b",
+    "usable_energy_per_container": "b",
+    "nameplate_energy_per_container": "b",
+    "round_trip_efficiency": "b",
+    "cycle_life": "b",
+    "rating_mva": "b",
+    "no_load_loss": "b",
+    "load_loss": "b",
+    "impedance_percent": "b",
 }
 # Tolerances as (field, rule, magnitude, alternate condition, alternate magnitude).
 TOLERANCES = [
@@ -32,7 +191,7 @@ TOLERANCES = [
     ("degradation_year_1", "absolute", 0.05, None, None),
     ("degradation_annual", "absolute", 0.05, None, None),
     ("max_efficiency", "absolute", 0.05, None, None),
-    ("cec_efficiency", "absolute", 0.1, "authority_cec", 0.25),
+    ("cec_efficiency", "absolute", 0.1, "against_cec_list", 0.25),
     ("efficiency", "absolute", 0.05, None, None),
     ("round_trip_efficiency", "absolute", 0.2, None, None),
     ("rated_ac_power", "relative", 0.01, None, None),
@@ -56,26 +215,60 @@ UNITS = {
     "usd/w": ("usd/w", 1.0), "usd/kw": ("usd/w", 1e-3), "%": ("%", 1.0), "fraction": ("%", 100.0),
 }
 # Legal forms that end a company's name, names of one company, suffix rules, equal names of tokens.
-LEGAL_FORMS = "co company corp corporation inc incorporated ltd limited llc lp llp plc gmbh ag kg bv nv sa sas srl spa ab as oy oyj aps pty kk sdn bhd pte jsc ojsc pjsc".split()
+LEGAL_FORMS = (
+    "co",
+    "company",
+    "corp",
+    "corporation",
+    "inc",
+    "incorporated",
+    "ltd",
+    "limited",
+    "llc",
+    "lp",
+    "llp",
+    "plc",
+    "gmbh",
+    "ag",
+    "kg",
+    "bv",
+    "nv",
+    "sa",
+    "sas",
+    "srl",
+    "spa",
+    "ab",
+    "as",
+    "oy",
+    "oyj",
+    "aps",
+    "pty",
+    "kk",
+    "sdn",
+    "bhd",
+    "pte",
+    "jsc",
+    "ojsc",
+    "pjsc",
+)
 MANUFACTURER_ALIASES = {"hanwha q cells": "qcells", "q cells": "qcells", "csi solar": "canadian solar", "neo solar power": "united renewable energy"}
 SUFFIX_RULES = {("rec solar", "blk"): "safe", ("maxeon solar technologies", "blk"): "never_strip"}
 TOKEN_ALIASES = {"ansi": "ieee", "ansi/ieee": "ieee", "ieee/ansi": "ieee", "euro": "european", "eu": "european"}
+# Words in the names of fields that look as if they belong to tier a.
 TIER_A_PATTERN = "price|warrant|degradation_year_1|degradation_annual|domestic_content|country_of_origin|material_assistance|baba|feoc|cert|listing|standards|seismic_qualification"
-# How far sources are trusted for information; the order never resolves a conflict.
-SOURCE_AUTHORITY_ORDER = ("manufacturer", "certification_body", "government", "distributor", "other")
+# How far sources are trusted for information, the most first; the order never resolves a conflict.
+SOURCE_AUTHORITY_ORDER = (
+    "manufacturer_datasheet",
+    "ul_tuv_intertek",
+    "ieee_nfpa",
+    "ercot_puct_tceq",
+    "irs_treasury",
+)
 DEFAULT_CRITICALITY, DEFAULT_TIER = CRITICAL, "b"
 #: Fields that must never be compared; empty, as no field is known to be one.
 NEVER_COMPARABLE: tuple[str, ...] = ()
 
 
-def criticality() -> dict[str, int]:
-    return {f: s for s, fields in CRITICALITY.items() for f in fields.split()}
-
-
-def tiers() -> dict[str, str]:
-    return {f: t for t, fields in TIERS.items() for f in fields.split()}
-
-
 def check_tolerances(rows=TOLERANCES) -> None:
     """Numeric rules need a magnitude of at least 0, the others none; alternates come in pairs."""
     for field, rule, magnitude, when, alternate in rows:
@@ -87,7 +280,7 @@ def check_tolerances(rows=TOLERANCES) -> None:
 def policy(spark) -> DataFrame:
     """One row a field that any table names: rule, magnitude, alternates, criticality, tier. About 130 rows."""
     check_tolerances()
-    crit, tier, tol = criticality(), tiers(), {t[0]: t[1:] for t in TOLERANCES}
+    crit, tier, tol = CRITICALITY, TIERS, {t[0]: t[1:] for t in TOLERANCES}
     fields = sorted({*crit, *tier, *tol, *NEVER_COMPARABLE})
     text = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
     rows = [(f, *(("never_compare", None, None, None) if f in NEVER_COMPARABLE else tol.get(f, ("exact", None, None, None))), crit.get(f, DEFAULT_CRITICALITY), tier.get(f, DEFAULT_TIER)) for f in fields]

@@ -146,7 +146,7 @@ def overwrite_guard(spark, sf_dir):
     return claims.overwrites(c, c, KEYS).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-_POLICY = "pol AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', {c})" for f, c in sorted(policy.criticality().items())) + ") t(field_name, criticality)), tier AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{t}')" for f, t in sorted(policy.tiers().items())) + ") t(field_name, tier)), tol AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{r}', {'NULL' if m is None else m})" for f, r, m, _, _ in policy.TOLERANCES) + ") t(field_name, rule, magnitude))"
+_POLICY = "pol AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', {c})" for f, c in sorted(policy.CRITICALITY.items())) + ") t(field_name, criticality)), tier AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{t}')" for f, t in sorted(policy.TIERS.items())) + ") t(field_name, tier)), tol AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{r}', {'NULL' if m is None else m})" for f, r, m, _, _ in policy.TOLERANCES) + ") t(field_name, rule, magnitude))"
 
 
 @query(f"WITH {_POLICY}, f AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'cycle_life' WHEN 1 THEN 'load_loss' WHEN 2 THEN 'certifications' ELSE lower(p_brand) END AS field_name FROM part) SELECT f.field_name, coalesce(rule, 'exact') AS rule, magnitude, coalesce(criticality, 4) AS criticality, coalesce(tier, 'b') AS tier FROM f LEFT JOIN tol USING (field_name) LEFT JOIN pol USING (field_name) LEFT JOIN tier USING (field_name)")
@@ -225,7 +225,7 @@ def precision_thresholds(spark, sf_dir):
     return confidence.thresholds(s, ["tier"], 0.9, bins=100).select("tier", "threshold", F.round("coverage", 6).alias("coverage"))
 
 
-@query(f"WITH {_SIGNALS} SELECT doc_id, concat_ws(',', CASE WHEN quality IS NULL THEN 'missing' END, CASE WHEN source = 'src0' THEN 'web' END, CASE WHEN confidence < 0.7 THEN 'low_confidence' END, CASE WHEN toxic = 1 THEN 'unresolved' END) AS flags FROM f")
+@query(f"WITH {_SIGNALS} SELECT doc_id, concat_ws(',', CASE WHEN quality IS NULL THEN 'missing_data' END, CASE WHEN source = 'src0' THEN 'web_supplemented' END, CASE WHEN confidence < 0.7 THEN 'low_confidence' END, CASE WHEN toxic = 1 THEN 'unresolved_conflict' END) AS flags FROM f")
 def cell_flags(spark, sf_dir):
     tier = F.when(F.col("source") == "src0", "web_supplement").otherwise("system_of_record")
     status = F.when(F.col("toxic") == 1, "open").otherwise("none")
@@ -264,29 +264,37 @@ def condition_defaults(spark, sf_dir):
 
 # -- identity ------------------------------------------------------------------------------------------------------
 
-_MODEL = "m AS (SELECT p_partkey AS id, p_brand, CASE p_partkey % 3 WHEN 0 THEN 'Trina Solar Co., Ltd' WHEN 1 THEN 'Trina Solar' ELSE 'REC Solar Pte. Ltd.' END AS manufacturer, 'TSM-' || (400 + p_size) || ' ' || (CASE WHEN p_partkey % 2 = 0 THEN 'BLK' ELSE '' END) AS model, 400.0 + p_size AS nameplate, CASE WHEN p_partkey % 5 <> 0 THEN 400.0 + p_size + (p_partkey % 2) * 0.5 END AS pmax, p_size, p_type FROM part)"
+#: Four spellings of two names, two families with odd hyphens and widths, voltages that only precision tells apart.
+_MODEL = """m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 2 THEN 'rec solar' ELSE 'trina solar' END AS mk, CASE WHEN p_partkey % 2 = 0 THEN 'tsm #' ELSE 'jkm #' END AS family, p_size, p_partkey // 4 % 2 = 0 AS blk, 400.0 + p_size AS nameplate,
+  CASE WHEN p_partkey % 5 <> 0 THEN 400.0 + p_size + (p_partkey % 2) * 0.5 END AS pmax, CASE WHEN p_partkey % 7 = 0 THEN 10000000.0 + (p_partkey % 4 // 2) * 0.4 END AS voc FROM part)"""
 
 
 def _products(spark, sf_dir):
     k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    name = F.when(k % 3 == 2, F.when(k % 2 == 0, "REC Solar Pte. Ltd.").otherwise("REC\u2003SOLAR (Pte) Ltd")).otherwise(F.when(k % 2 == 0, "Trina Solar Co., Ltd").otherwise("Tr\u00edna Solar GmbH"))
+    series = F.when(k % 4 == 0, "TSM-").when(k % 4 == 2, "Tsm\u2010").when(k % 4 == 1, "JKM ").otherwise("\uff2aKM-")
     return table(spark, sf_dir, "part").select(
-        k.alias("id"), "p_brand", "p_type", "p_size", F.when(k % 3 == 0, "Trina Solar Co., Ltd").when(k % 3 == 1, "Trina Solar").otherwise("REC Solar Pte. Ltd.").alias("manufacturer"),
-        F.concat(F.lit("TSM-"), (F.col("p_size") + 400).cast("string"), F.lit(" "), F.when(k % 2 == 0, "BLK").otherwise("")).alias("model"), (size + 400).alias("nameplate"), F.when(k % 5 != 0, size + 400 + (k % 2) * 0.5).alias("pmax"), F.lit(None).cast("double").alias("voc"), F.lit(None).cast("double").alias("isc"),
+        k.alias("id"), name.alias("manufacturer"), F.concat(series, (F.col("p_size") + 400).cast("string"), F.when(F.floor(k / 4) % 2 == 0, " BLK").otherwise("")).alias("model"), (size + 400).alias("nameplate"), F.when(k % 5 != 0, size + 400 + (k % 2) * 0.5).alias("pmax"),
+        F.when(k % 7 == 0, F.lit(1e7) + F.floor(k % 4 / 2) * 0.4).alias("voc"), F.lit(None).cast("double").alias("isc"),
     )
 
 
-@query(f"WITH {_MODEL} SELECT id, CASE WHEN manufacturer LIKE 'Trina%' THEN 'trina solar' ELSE 'rec solar' END AS manufacturer_key, 'tsm #' AS model_family, substr(sha256((CASE WHEN manufacturer LIKE 'Trina%' THEN 'trina solar' ELSE 'rec solar' END) || chr(31) || 'tsm #' || chr(31) || CAST(CAST(nameplate AS DECIMAL(18,1)) AS VARCHAR)), 1, 16) AS surrogate_id FROM m")
+@query(f"WITH {_MODEL} SELECT id, mk AS manufacturer_key, family AS model_family, substr(sha256(mk || chr(31) || family || chr(31) || CAST(CAST(nameplate AS DECIMAL(18,1)) AS VARCHAR)), 1, 16) AS surrogate_id FROM m")
 def identity_keys(spark, sf_dir):
-    return identity.identity_keys(_products(spark, sf_dir), ascii_only=True).select("id", "manufacturer_key", "model_family", "surrogate_id")
+    return identity.identity_keys(_products(spark, sf_dir)).select("id", "manufacturer_key", "model_family", "surrogate_id")
 
 
-@query(f"WITH {_MODEL}, k AS (SELECT *, CASE WHEN manufacturer LIKE 'Trina%' THEN 't' ELSE 'r' END AS mk, id % 2 = 0 AS blk FROM m), p AS (SELECT a.mk = b.mk AS same, a.mk AS mk, abs(a.p_size - b.p_size) <= 1 AS bins, a.blk = b.blk AS vs, a.pmax IS NOT NULL AND b.pmax IS NOT NULL AND abs(a.pmax - b.pmax) <= 1 AS el FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id), s AS (SELECT *, vs OR (same AND mk = 'r') AS ok FROM p), t AS (SELECT *, round(CASE WHEN same THEN 0.35 ELSE 0 END + 0.30 + CASE WHEN bins THEN 0.15 ELSE 0 END + CASE WHEN ok THEN 0.10 ELSE 0 END + CASE WHEN el THEN 0.10 ELSE 0 END, 10) AS score FROM s) SELECT round(score, 4) AS score, CASE WHEN score >= 0.90 AND el AND ok THEN 'same_product' WHEN score >= 0.70 THEN 'variant_mismatch' ELSE 'distinct' END AS outcome, count(*) AS n FROM t GROUP BY ALL")
+@query(f"""WITH {_MODEL}, k AS (SELECT *, row_number() OVER (ORDER BY mk, family, p_size, blk, pmax, voc) AS c FROM (SELECT mk, family, p_size, blk, pmax, voc, count(*) AS n FROM m GROUP BY ALL)),
+p AS (SELECT CASE WHEN a.c = b.c THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS n, a.family = b.family AS fam, abs(a.p_size - b.p_size) <= 1 AS bin, a.blk = b.blk OR a.mk = 'rec solar' AS ok, abs(a.pmax - b.pmax) <= 1 AS pm, abs(a.voc - b.voc) <= 0.05 AS vo FROM k a JOIN k b ON a.mk = b.mk AND a.c <= b.c),
+t AS (SELECT n, ok, coalesce(pm, true) AND coalesce(vo, true) AND coalesce(pm, vo) IS NOT NULL AS el, 35 + 30 * CAST(fam AS INTEGER) + 15 * CAST(bin AS INTEGER) + 10 * CAST(ok AS INTEGER) AS s FROM p),
+u AS (SELECT n, ok, el, s + 10 * CAST(el AS INTEGER) AS s FROM t)
+SELECT s / 100.0 AS score, CASE WHEN s >= 90 AND el AND ok THEN 'same_product' WHEN s >= 70 THEN 'variant_mismatch' ELSE 'distinct' END AS outcome, CAST(sum(n) AS BIGINT) AS n FROM u WHERE n > 0 GROUP BY ALL""")
 def identity_scores(spark, sf_dir):
-    p = identity.candidate_pairs(identity.prepared(_products(spark, sf_dir), ascii_only=True), ["p_brand", "p_type"], "id")
-    return identity.score(p).groupBy(F.round("score", 4).alias("score"), "outcome").agg(F.count(F.lit(1)).alias("n"))
+    """All pairs of one manufacturer, counted by score and outcome."""
+    return identity.class_scores(_products(spark, sf_dir)).groupBy(F.round("score", 4).alias("score"), "outcome").agg(F.sum("n_pairs").alias("n"))
 
 
-@query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_nationkey, s_name, s_suppkey) AS place FROM supplier ORDER BY place LIMIT 100")
+@query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_nationkey, s_name, s_suppkey) AS place FROM supplier")
 def component_order(spark, sf_dir):
     c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lpad(F.col("s_nationkey").cast("string"), 4, "0").alias("component_category"), F.lit("").alias("manufacturer_key"), F.col("s_name").alias("manufacturer"), F.lit(None).cast("string").alias("model_family"), F.lit("m").alias("model"), F.lit(None).cast("double").alias("nameplate"), F.lpad(F.col("s_suppkey").cast("string"), 12, "0").alias("surrogate_id"))
     return identity.placed(c, checkpoint_folder(spark)).select("id", "place")
@@ -335,9 +343,13 @@ def unit_parsing(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", n["value"].alias("value"), n["unit"].alias("unit"))
 
 
-@query("SELECT page_id, CASE WHEN html LIKE '%,%' THEN 'csv' ELSE 'unknown' END AS signature, CASE WHEN lower(html) LIKE '%warranty%' THEN 'warranty' WHEN lower(html) LIKE '%certificate%' THEN 'certificate' WHEN lower(html) LIKE '%price%' THEN 'pricing' WHEN lower(html) LIKE '%manual%' THEN 'manual' ELSE 'other' END AS document_type FROM pages")
+@query("SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'csv' WHEN 2 THEN 'pdf' ELSE 'unknown' END AS signature, CASE WHEN page_id % 5 = 3 THEN 'purchase_order' WHEN page_id % 5 IN (1, 2) THEN NULL WHEN h LIKE '%warranty%' THEN 'warranty' WHEN h LIKE '%purchase order%' THEN 'purchase_order' WHEN h LIKE '%terms and conditions%' THEN 'terms_and_conditions' WHEN h LIKE '%terms of service%' OR h LIKE '%agreement%' OR h LIKE '%contract%' THEN 'contract_tos' WHEN h LIKE '%regulation%' THEN 'environmental_regulation' WHEN h LIKE '%price%' OR h LIKE '%quotation%' THEN 'pricing' WHEN h LIKE '%datasheet%' OR h LIKE '%data sheet%' THEN 'spec_sheet' WHEN h LIKE '%certificate%' OR h LIKE '%test report%' OR h LIKE '%manual%' THEN 'technical_documentation' END AS document_type FROM (SELECT page_id, lower(html) AS h FROM pages)")
 def content_routing(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", documents.content_signature(F.col("html").cast("binary")).alias("signature"), documents.classify(F.col("html")).alias("document_type"))
+    """Pages as they are, and in place of some of them a table with quoted delimiters, a PDF, and prose with commas."""
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    content = F.when(k == 1, F.concat(F.lit('id;"a;b"\n'), n, F.lit(';"x, y"\n'))).when(k == 2, F.concat(F.lit("%PDF-1.7 "), n, F.lit(",1\n2,3"))).when(k == 3, F.concat(F.lit("Purchase order "), n, F.lit(", two, three\nand one line more, as text\n"))).otherwise(F.col("html"))
+    p = table(spark, sf_dir, "pages").select("page_id", content.alias("content"))
+    return p.select("page_id", documents.content_signature(F.col("content").cast("binary")).alias("signature"), documents.classify(F.col("content")).alias("document_type"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars = 0 OR n_chars < 0.1 * (n_chars + doc_id * 10) OR doc_id % 11 = 0 THEN 'parse_failed' ELSE 'parsed' END AS parse_status FROM documents")

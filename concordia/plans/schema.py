@@ -27,7 +27,11 @@ VOCABULARIES = {
     "tolerance_kind": ("absolute", "relative"),
     "tier": ("a", "b", "c"),
     "job_status": ("pending", "running", "succeeded", "failed", "quarantined"),
-    "chunk_kind": ("text", "table_full", "table_row", "table_summary"),
+    "chunk_kind": ("prose", "table_full", "table_row", "table_summary"),
+    "document_type": ("contract_tos", "purchase_order", "environmental_regulation", "terms_and_conditions", "warranty", "technical_documentation", "pricing", "spec_sheet"),
+    "resolution_action": ("select_value", "enter_override", "keep_system_of_record", "request_more_web_search", "defer"),
+    "cell_flag": ("unresolved_conflict", "web_supplemented", "low_confidence", "missing_data"),
+    "queue_status": ("pending", "leased", "resolved"),
 }
 SEVERITIES = ("informational", "low", "medium", "high", "critical")
 INFORMATIONAL, LOW, MEDIUM, HIGH, CRITICAL = range(5)
@@ -38,14 +42,16 @@ class Settings:
     """Policy knobs with their bounds; a value out of bounds is refused."""
 
     gate_severity_threshold: int = MEDIUM
-    confidence_threshold: float = 0.85
     target_precision_auto_accepted: float = 0.99
     review_budget_fraction: float = 0.20
     chunk_size_tokens: int = 512
-    chunk_overlap_ratio: float = 0.10
+    chunk_overlap_ratio: float = 0.05
+    max_concurrent_parse: int = 4
+    max_concurrent_llm: int = 8
+    web_search_rate_limit_per_minute: int = 30
 
     def __post_init__(self):
-        bounds = {"gate_severity_threshold": (INFORMATIONAL, HIGH), "confidence_threshold": (0, 1), "target_precision_auto_accepted": (0, 1), "review_budget_fraction": (0, 1), "chunk_size_tokens": (1, 1 << 31), "chunk_overlap_ratio": (0, 0.10)}
+        bounds = {"gate_severity_threshold": (INFORMATIONAL, HIGH), "target_precision_auto_accepted": (0, 1), "review_budget_fraction": (0, 1), "chunk_size_tokens": (1, 1 << 31), "chunk_overlap_ratio": (0, 0.10), "max_concurrent_parse": (1, 1 << 31), "max_concurrent_llm": (1, 1 << 31), "web_search_rate_limit_per_minute": (1, 1 << 31)}
         for name, (low, high) in bounds.items():
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must be from {low} to {high}")

@@ -16,7 +16,33 @@ from pyspark.sql import functions as F
 
 # What every member of a normalised archive gets, and the member that comes first.
 EPOCH, LEVEL, FIRST = (1980, 1, 1, 12, 0, 0), 6, "[Content_Types].xml"
-TABS = ("Summary", "PV Modules", "Inverters", "Trackers", "Transformers", "Cabling", "Combiners", "BESS", "EMS", "Compliance", "Tax Incentives", "Conflicts", "Sources")
+# The tabs of a workbook in order, those of component categories first.
+TABS = (
+    "PV Modules",
+    "Inverters-PCS",
+    "Trackers & Mounting",
+    "Transformers",
+    "Cabling & Wiring",
+    "Combiner Boxes",
+    "BESS",
+    "EMS-SCADA & Controls",
+    "Executive Summary",
+    "Conflicts & Open Items",
+    "Sources & Provenance",
+    "Compliance Matrix",
+    "Tax Incentives",
+)
+# The tab of each component category.
+CATEGORY_TABS = {
+    "pv_modules": "PV Modules",
+    "inverters_pcs": "Inverters-PCS",
+    "trackers_mounting": "Trackers & Mounting",
+    "transformers": "Transformers",
+    "cabling_wiring": "Cabling & Wiring",
+    "combiner_boxes": "Combiner Boxes",
+    "bess": "BESS",
+    "ems_scada": "EMS-SCADA & Controls",
+}
 
 
 def normalize_archive(path: str | Path) -> Path:
@@ -33,7 +59,7 @@ def normalize_archive(path: str | Path) -> Path:
     with zipfile.ZipFile(name, "w") as z:
         for member in sorted(members, key=lambda n: (n != FIRST, n)):
             info = zipfile.ZipInfo(member, EPOCH)
-            info.compress_type, info.create_system, info.external_attr = zipfile.ZIP_DEFLATED, 3, 0o600 << 16
+            info.compress_type, info.create_system, info.external_attr = zipfile.ZIP_DEFLATED, 3, 0o644 << 16
             z.writestr(info, members[member], compresslevel=LEVEL)
     os.replace(name, path)
     return path

@@ -170,8 +170,8 @@ def test_severity(spark):
 
 
 def test_policy_tables():
-    assert len(policy.criticality()) == 124 and len(policy.TOLERANCES) == 24 and len(policy.tiers()) == 42
-    assert sum(t == "a" for t in policy.tiers().values()) == 28
+    assert len(policy.CRITICALITY) == 124 and len(policy.TOLERANCES) == 24 and len(policy.TIERS) == 42
+    assert sum(t == "a" for t in policy.TIERS.values()) == 28
     policy.check_tolerances()
     with pytest.raises(ValueError):
         policy.check_tolerances([("x", "absolute", None, None, None)])
@@ -187,6 +187,7 @@ def test_text_functions(spark):
     assert key("Trina Solar Co.,Ltd") == key("﻿Trina Solar") == "trina solar"
     assert (key("AS Solar"), key("Solar, Inc."), key("Co., Ltd."), key("Hanwha Q CELLS GmbH")) == ("as solar", "solar", None, "qcells")
     assert one(text.manufacturer_key_ascii(F.lit("Trina Solar Co.,Ltd"))) == "trina solar" and one(text.manufacturer_key_ascii(F.lit("Co., Ltd."))) is None
+    assert one(text.token(F.lit("-stc"))) == "stc" and one(text.token(F.lit("\ufeffS\u00adTC"))) == "stc" and one(text.token(F.lit("a\u200eb"))) == "a\u200eb"
     assert one(text.token(F.lit("ANSI / IEEE"))) == "ieee" and one(text.token(F.lit("Cell-Temp x"))) == "cell_temp_x"
     assert [one(text.python_repr(F.lit(x))) for x in (1e7, 1e-4, 650.0)] == ["10000000.0", "0.0001", "650.0"]
     assert one(values.printed_decimals(F.lit("@ 25 degC: 22.35 %"), F.lit(22.35), F.lit(False), F.lit("22.35"))) == 2
@@ -336,7 +337,7 @@ def test_confidence(spark):
     r = spark.range(1).select(confidence.fuse(full), confidence.fuse(none)).first()
     assert tuple(r) == (0.9, 0.5)
     f = spark.range(1).select(confidence.flags(F.lit(False), F.lit("web_supplement"), F.lit(0.85), F.lit("open"), 0.85)).first()[0]
-    assert f == ["missing", "web", "unresolved"]
+    assert f == ["missing_data", "web_supplemented", "unresolved_conflict"]
 
 
 def test_sinks(spark, tmp_path):
@@ -349,7 +350,8 @@ def test_sinks(spark, tmp_path):
         assert z.namelist()[0] == sinks.FIRST and z.infolist()[0].date_time == sinks.EPOCH
     orders = {"components": ["k"], "conflicts": ["k"], "sources": ["k"]}
     assert sinks.projection(df, df, df, orders, {"p": 1}) == sinks.projection(df.repartition(2), df, df, orders, {"p": 1})
-    assert len(sinks.TABS) == 13
+    assert sinks.TABS == ("PV Modules", "Inverters-PCS", "Trackers & Mounting", "Transformers", "Cabling & Wiring", "Combiner Boxes", "BESS", "EMS-SCADA & Controls", "Executive Summary", "Conflicts & Open Items", "Sources & Provenance", "Compliance Matrix", "Tax Incentives")
+    assert tuple(sinks.CATEGORY_TABS.values()) == sinks.TABS[:8]
 
 
 def test_sheets(spark, tmp_path):
@@ -370,11 +372,11 @@ def test_documents_are_typed_by_their_whole_content(spark, tmp_path):
     from concordia.sources.readers import files, ingest
 
     long = b"x" * (1 << 17)
-    contents = [(long + b",y", "csv"), (b"a,b" + long + b"\0", "unknown"), (b"PK\x03\x04" + long + b"word/document.xml", "docx"), (b"PK\x03\x04" + long + b"xl/workbook.xml", "xlsx")]
+    contents = [(long + b",y\n1,2", "csv"), (b"a;b\n" + b"1;2\n" * 9, "csv"), (b"<p>a,b\n<p>c,d", "unknown"), (b"one, two\nthree", "unknown"), (b"a\tb\r\nc\td", "csv"), (b"\0\0\0\x18ftyphevc", "heic"), (b"a,b" + long + b"\0", "unknown"), (b"PK\x03\x04" + long + b"word/document.xml", "docx"), (b"PK\x03\x04" + long + b"xl/workbook.xml", "xlsx")]
     df = spark.createDataFrame([(i, bytearray(c)) for i, (c, _) in enumerate(contents)], "i int, c binary")
     got = df.select("i", documents.content_signature(F.col("c")).alias("s")).collect()
     assert [r["s"] for r in sorted(got)] == [s for _, s in contents]
-    (tmp_path / "long.csv").write_text("a,b")
+    (tmp_path / "long.csv").write_text("a,b\n1,2\n")
     raw = files(spark, f"file://{tmp_path}/long.csv")
     docs, _ = ingest(raw, raw.limit(0), {"csv": lambda b: [("body", "plain" if k < 49 else "warranty", k) for k in range(50)]})
     assert docs.first()["document_type"] == "warranty"
@@ -399,7 +401,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_stages(spark):
-    out = run_stages({"resolve": lambda t: t["ingest"].limit(1), "ingest": lambda t: spark.range(5)}, {})
-    assert out["resolve"].count() == 1
+    out = run_stages({"detect_conflicts": lambda t: t["ingest"].limit(1), "ingest": lambda t: spark.range(5)}, {})
+    assert out["detect_conflicts"].count() == 1
     with pytest.raises(ValueError):
         run_stages({"x": None}, {})
