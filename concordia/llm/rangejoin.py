@@ -2,12 +2,14 @@
 
 Unit vectors with cosine >= t are at most r = sqrt(2 - 2t) apart. In a group of equal label and dimension each vector
 lives in the cell of its nearest pivot p. A neighbour y of x, in the cell of q, has d(y, q) <= d(y, p), so the triangle
-inequality gives d(x, q) <= d(x, p) + 2r: x is replicated to just those cells q. Then a cell's own vectors meet all
-their neighbours inside the cell, and cells are joined independently.
+inequality gives d(x, q) <= d(x, p) + 2r; and as y lies on q's side of the plane between p and q, x lies at most r
+beyond it: (d(x, q)^2 - d(x, p)^2) / 2 d(p, q) <= r. x is replicated to just the cells q that meet both bounds. Then a
+cell's own vectors meet all their neighbours inside the cell, and cells are joined independently.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 from concordia.llm.common import materialize
 from concordia.llm.components import Forest, components
 
-#: Vectors a cell should have, the most pivots of a group, the most groups that get pivots: the broadcast is bounded by
-#: their product times the dimension. A cell of more than BLOCK members is joined as pairs of chunks.
-CELL, GROUP_PIVOTS, PIVOT_GROUPS, BLOCK = 4096, 256, 64, 4096
+#: A group of n vectors gets sqrt(n) / ROOTS pivots, GROUP_PIVOTS at most; LEAST is the smallest group that gets any.
+#: PIVOTS bounds the pivots of all groups and so the broadcast: the largest groups, of which at most GROUPS are looked
+#: at, come first, and a group without pivots is one cell. A cell of more than BLOCK members is joined as pairs of chunks.
+ROOTS, LEAST, GROUP_PIVOTS, GROUPS, PIVOTS, BLOCK = 4, 32, 256, 4096, 32_768, 4096
 #: Added to distances, far above the rounding of double precision and far below any difference that matters.
 SLACK = 1e-9
 
@@ -27,22 +30,32 @@ SLACK = 1e-9
 def _unit(column) -> np.ndarray:
     """Rows of a list column as unit vectors in double precision."""
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float)
-    x = flat.reshape(len(column), -1)
+    return _scaled(flat.reshape(len(column), -1))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; first divided by their largest component, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, initial=0)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def pivots(reps: DataFrame, sizes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     """Unit pivots of the largest groups, rows of least hash: a bounded sample that steers cells and never the result."""
-    large = sizes.where(F.col("n") > CELL).orderBy(F.desc("n"), "label", "dim").limit(PIVOT_GROUPS)
-    large = large.withColumn("k", F.least(F.ceil(F.col("n") / CELL), F.lit(GROUP_PIVOTS))).withColumn("share", F.col("k") * 8 / F.col("n"))
+    chosen, left = [], PIVOTS
+    for r in sizes.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "label", "dim").limit(GROUPS).collect():
+        k = min(GROUP_PIVOTS, max(2, math.isqrt(r["n"]) // ROOTS), left)
+        if k < 2:
+            break
+        chosen.append((r["label"], r["dim"], k, 8 * k / r["n"]))
+        left -= k
+    large = reps.sparkSession.createDataFrame(chosen, "label int, dim int, k int, share double")
     draw = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = reps.join(F.broadcast(large), ["label", "dim"]).where(draw < F.col("share"))
     order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("rep", F.lit(3)), "rep")
     rows = sample.withColumn("i", F.row_number().over(order)).where("i <= k").select("label", "dim", "embedding").collect()
     out: dict = {}
     for r in rows:
-        x = np.array(r["embedding"], dtype=float)
-        out.setdefault((r["label"], r["dim"]), []).append(x / np.sqrt(x @ x))
+        out.setdefault((r["label"], r["dim"]), []).append(_scaled(np.array([r["embedding"]], dtype=float))[0])
     return {k: np.array(v) for k, v in out.items()}
 
 
@@ -64,8 +77,10 @@ def _cells(reps: DataFrame, cells: dict, radius: float) -> DataFrame:
                     continue
                 x = _unit(b.column(4).take(pa.array(rows)))
                 d = np.sqrt(np.maximum(0, 2 - 2 * (x @ p.T)))
-                own = d.argmin(axis=1)
-                i, q = np.nonzero(d <= d.min(axis=1)[:, None] + 2 * radius + SLACK)
+                own, least = d.argmin(axis=1), d.min(axis=1)[:, None]
+                apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[own]
+                beyond = d * d - least * least <= 2 * apart * (radius + SLACK) + SLACK
+                i, q = np.nonzero(beyond & (d <= least + 2 * radius + SLACK))
                 take.append(rows[i]), cell.append(q.astype(np.int32)), home.append(own[i] == q)
             if not take:
                 continue

@@ -145,8 +145,7 @@ def brute_components(ids, edges):
     return {i: find(i) for i in ids}
 
 
-def test_range_join(spark, monkeypatch):
-    monkeypatch.setattr(rangejoin, "CELL", 40)
+def test_range_join(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16))
     vecs = []
@@ -174,6 +173,20 @@ def test_range_join(spark, monkeypatch):
         r = got[v[0]]
         assert (r["n_links"], r["component_id"], r["kept"]) == (links[v[0]], root[v[0]], root[v[0]] == v[0]), v[0]
     assert rows(rangejoin.near_duplicates(df.where("false"))) == []
+    # The method as it stands: every label has several pivots, and cells keep most pairs apart.
+    reps = df.where("vec_id < 600").select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("m"), "embedding", "label", F.lit(16).alias("dim"))
+    found = rangejoin.pivots(reps, reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")))
+    assert set(found) == {(0, 16), (1, 16), (2, 16)} and min(map(len, found.values())) >= 2
+    cells = rows(rangejoin._cells(reps, found, math.sqrt(0.04)).groupBy("label", "cell").agg(F.count_if("home").alias("own"), F.count(F.lit(1)).alias("n")))
+    assert sum(r["own"] for r in cells) == 500
+    assert sum(r["own"] * r["n"] for r in cells) < 0.7 * sum(r["n"] ** 2 for r in rows(reps.groupBy("label").agg(F.count(F.lit(1)).alias("n"))))
+
+
+def test_range_join_of_very_large_and_small_numbers(spark):
+    data = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [1.0, 2.0]), (4, [5e-324, 1e-323]), (5, [2.0, -1.0]), (6, [1.7e308, -0.85e308])]
+    df = spark.createDataFrame([(*d, 0) for d in data], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(rangejoin.near_duplicates(df))}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5)}
 
 
 def test_components(spark):
