@@ -25,16 +25,18 @@ _TO_ESCAPE = re.compile(rf"(?<=<)(\\*)(?={_CONTROL})|(?<=\[)(\\*)(?={_BRACKET})"
 _TO_UNESCAPE = re.compile(rf"(?<=<)\\(?=\\*(?:{_CONTROL}))|(?<=\[)\\(?=\\*{_BRACKET})")
 #: Tokens after which a part of a conversation is closed at the next turn's end; a part is one row.
 PART_TOKENS = 1 << 16
+#: Characters of a text that order turns of one number.
+TIE_CHARS = 32
 PARTS = "conv_id long, part int, first_turn long, n_turns long, ids array<int>, loss_mask array<byte>"
 SUMMARY = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
 
 
 def escape(text: str) -> str:
-    return _TO_ESCAPE.sub(lambda m: "\\" + m[0], text)
+    return _TO_ESCAPE.sub(lambda m: "\\" + m[0], text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
-    return _TO_UNESCAPE.sub("", text)
+    return _TO_UNESCAPE.sub("", text) if "\\" in text else text
 
 
 class Codec:
@@ -45,37 +47,35 @@ class Codec:
         self.t = self.encoder.hf
         self.turn, self.body, self.end = range(self.t.get_vocab_size(), self.t.get_vocab_size() + 3)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(self.encoder.encode(escape(t)), "<u4").tolist() for t in texts]
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of the escaped text."""
+        return self.encoder.encode(escape(text))
 
     def decode(self, ids: list[int]) -> str:
         pieces = self.encoder.pieces
         return b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace") if pieces else self.t.decode(ids, skip_special_tokens=False)
 
-    def assemble(self, roles: list[list[int]], texts: list[list[int]], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    def assemble(self, roles: list[bytes], texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """ids and loss mask of turns: the mask is the prefix sum of +1 where a learnt text begins and -1 where it ends."""
-        lengths = np.array([(len(r), len(t)) for r, t in zip(roles, texts, strict=True)], np.int64).reshape(-1, 2)
-        ends = np.cumsum(lengths.sum(axis=1) + 3)
-        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        turn, body, end = (int(x).to_bytes(4, "little") for x in (self.turn, self.body, self.end))
+        ids = np.frombuffer(b"".join(x for r, t in zip(roles, texts, strict=True) for x in (turn, r, body, t, end)), "<u4").astype(np.int32)
+        own = np.array([(len(r), len(t)) for r, t in zip(roles, texts, strict=True)], np.int64).reshape(-1, 2) // 4
+        stop = np.cumsum(own.sum(axis=1) + 3) - 1
+        learnt = np.array(learn, bool) & (own[:, 1] > 0)
         step = np.zeros(len(ids) + 1, np.int8)
-        for r, t, yes, stop in zip(roles, texts, learn, ends.tolist(), strict=True):
-            text_at = stop - 1 - len(t)
-            ids[text_at - 2 - len(r)] = self.turn
-            ids[text_at - 1 - len(r) : text_at - 1] = r
-            ids[text_at - 1], ids[stop - 1] = self.body, self.end
-            ids[text_at : stop - 1] = t
-            if yes and t:
-                step[text_at] += 1
-                step[stop - 1] -= 1
+        step[(stop - own[:, 1])[learnt]] += 1
+        step[stop[learnt]] -= 1
         return ids, np.cumsum(step[:-1], dtype=np.int8)
 
 
 def format_chats(conversations: DataFrame, tokenizer_path: str, *, learn_role: str = "assistant", part_tokens: int = PART_TOKENS) -> DataFrame:
     """conv_id, part, first_turn, n_turns, ids, loss_mask: conversations (conv_id, turn, role, text) as token rows.
 
-    Turns are encoded where they are read, then sorted by (conv_id, turn, role, text) and assembled as a stream: a
-    conversation of any length passes in parts of whole turns, so no task holds more than one part. Null turns come
-    first, a null role or text is empty, repeated rows are turns of their own, a null conv_id is one conversation.
+    Turns are encoded where they are read, then sorted and assembled as a stream: a conversation of any length passes in
+    parts of whole turns, so no task holds more than one part. Turns of one number are ordered by role, by the first
+    TIE_CHARS characters of the text, and by a digest of it; the text itself is not shuffled. Null turns come first, a
+    null role or text is empty, repeated rows are turns of their own, a null conv_id is one conversation. A turn longer
+    than a part is a part of its own and is held whole. Other columns are not read, so none can clash.
     """
 
     def encode(batches: Iterator) -> Iterator:
@@ -83,18 +83,17 @@ def format_chats(conversations: DataFrame, tokenizer_path: str, *, learn_role: s
 
         codec = Codec(tokenizer_path)
         for b in batches:
-            roles = [r or "" for r in b.column(2).to_pylist()]
-            texts = [t or "" for t in b.column(3).to_pylist()]
-            for at in range(0, len(texts), 256):
-                r, t = codec.encode(roles[at : at + 256]), codec.encode(texts[at : at + 256])
-                n = len(r)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(roles[at : at + 256]), pa.array(texts[at : at + 256]), pa.array(r, pa.list_(pa.int32())), pa.array(t, pa.list_(pa.int32()))], ["conv_id", "turn", "role", "text", "role_ids", "text_ids"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids = [codec.encode(t or "") for t in part.column(5).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(ids, pa.binary())], ["conv_id", "turn", "role", "head", "digest", "text_ids"])
 
     def assemble(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         codec = Codec(tokenizer_path)
         conv, part, first, held, size, started = None, 0, 0, [], 0, False
+        roles: dict[str | None, bytes] = {}  # each role is encoded once
 
         def close() -> pa.RecordBatch:
             ids, mask = codec.assemble([x[0] for x in held], [x[1] for x in held], [x[2] for x in held])
@@ -102,20 +101,26 @@ def format_chats(conversations: DataFrame, tokenizer_path: str, *, learn_role: s
             return pa.RecordBatch.from_arrays(row, [x.split()[0] for x in PARTS.split(", ")])
 
         for b in batches:
-            for c, role, r, t in zip(*(b.column(i).to_pylist() for i in (0, 2, 4, 5)), strict=True):
+            for c, role, t in zip(*(b.column(i).to_pylist() for i in (0, 2, 5)), strict=True):
+                if role not in roles:
+                    if len(roles) >= 10_000:
+                        roles.clear()
+                    roles[role] = codec.encode(role or "")
+                r = roles[role]
                 if started and (c != conv or size >= part_tokens):
                     yield close()
                     part, first = (part + 1, first + len(held)) if c == conv else (0, 0)
                     held, size = [], 0
                 conv, started = c, True
                 held.append((r, t, role == learn_role))
-                size += len(r) + len(t) + 3
+                size += (len(r) + len(t)) // 4 + 3
         if held:
             yield close()
 
-    turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    encoded = turns.mapInArrow(encode, "conv_id long, turn long, role string, text string, role_ids array<int>, text_ids array<int>")
-    return encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(assemble, PARTS)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.left(text, F.lit(TIE_CHARS)).alias("head"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    encoded = turns.mapInArrow(encode, "conv_id long, turn long, role string, head string, digest long, text_ids binary")
+    return encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), "head", "digest").mapInArrow(assemble, PARTS)
 
 
 def read_back(parts: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -10,6 +10,8 @@ length, which is computed without bringing a length to one task.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -29,9 +31,9 @@ _CHUNK = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 class CachedEncoder(dict):
     """Text to little-endian unsigned 32-bit ids of a byte-level BPE ``tokenizers`` file.
 
-    Chunks that begin at a white-space run are encoded once and kept, at most ``bound`` of them. Chunks that are not
-    kept go through ``tiktoken`` with the file's own vocabulary and pattern, which gives the same ids several times
-    faster; other models, or a vocabulary for which it doesn't, use ``tokenizers`` alone.
+    Whole texts go through ``tiktoken`` with the file's own vocabulary and pattern, which gives the same ids several
+    times faster. Other models, or a vocabulary for which it doesn't, use ``tokenizers``; where a pre-token never runs
+    from non-space into space, chunks that begin at a white-space run are then encoded once and kept, at most ``bound``.
     """
 
     def __init__(self, path: str, bound: int = 300_000):
@@ -66,10 +68,10 @@ class CachedEncoder(dict):
             self.pieces = {i: b for b, i in vocab.items()} | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
 
     def _ids(self, text: str) -> bytes:
-        import numpy as np
-
-        ids = self.fast.encode_ordinary(text) if self.fast else self.hf.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        ids = array("I", self.fast.encode_ordinary(text) if self.fast else self.hf.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         out = self._ids(chunk)
@@ -80,7 +82,7 @@ class CachedEncoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        if not self.chunked or _ODD_SPACE.search(text):
+        if self.fast or not self.chunked or _ODD_SPACE.search(text):
             return self._ids(text)
         return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
 
