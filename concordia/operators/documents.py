@@ -96,6 +96,31 @@ def chunks(documents: DataFrame, *, id_col: str = "document_id", text_col: str =
     )
 
 
+def structured_chunks(elements: DataFrame, *, size: int = 512, overlap: float = 0.05) -> DataFrame:
+    """Chunks of elements (document_id, position, section, kind, text), by structure first: document_id, section,
+    chunk_kind, chunk_no, n_words, chunk_text.
+
+    Prose is joined within its section, in the order of position, and only then cut by size, so no chunk crosses a
+    section. A table is one chunk, whatever its size. A section is gathered in one row, as a document's pages are.
+    """
+    prose = elements.where("kind <> 'table'").groupBy("document_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    cut = chunks(prose.withColumn("id", F.struct("document_id", "section")), id_col="id", size=size, overlap=overlap)
+    cut = cut.select("id.document_id", "id.section", F.lit("prose").alias("chunk_kind"), "chunk_no", "n_words", "chunk_text")
+    words = F.size(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+    tables = elements.where("kind = 'table'").select("document_id", "section", F.lit("table_full").alias("chunk_kind"), F.lit(0).alias("chunk_no"), words.alias("n_words"), F.col("text").alias("chunk_text"))
+    return cut.unionByName(tables)
+
+
+def index_documents(incoming: DataFrame, elements: DataFrame, indexed: DataFrame, embedder, **how) -> DataFrame:
+    """Chunks with embeddings of the incoming documents (document_id, content_hash) whose content indexed doesn't hold.
+
+    Running it again after its result is stored adds nothing. embedder is a function of a pandas series of texts.
+    """
+    new = incoming.join(indexed.select("content_hash").distinct(), "content_hash", "left_anti")
+    own = structured_chunks(elements.join(new.select("document_id"), "document_id", "left_semi"), **how)
+    return own.withColumn("embedding", F.pandas_udf(embedder, "array<float>")(F.col("chunk_text")))
+
+
 def table_chunks(cells: DataFrame) -> DataFrame:
     """Three chunks of kinds table_full, table_row and table_summary from cells (document_id, table_id, row_no, header, value).
 

@@ -91,9 +91,9 @@ def comparison_pairs(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT t.threshold, count_if(s.sev > t.threshold) AS n_blocking, count_if(s.sev > t.threshold) > 0 AS blocks FROM s, (VALUES (2), (3)) t(threshold) GROUP BY ALL")
 def gate_blocks(spark, sf_dir):
-    graded = _detected(spark, sf_dir).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-    each = graded.select("severity", "n", F.explode(F.array(F.lit(2), F.lit(3))).alias("threshold"))
-    return each.groupBy("threshold").agg(F.sum(F.when(F.col("severity") > F.col("threshold"), F.col("n")).otherwise(0)).alias("n_blocking")).withColumn("blocks", F.col("n_blocking") > 0)
+    graded = _detected(spark, sf_dir).select("severity", F.lit(None).cast("string").alias("resolution"))
+    two, three = (conflicts.gate_blocks(graded, t).withColumn("threshold", F.lit(t)) for t in (2, 3))
+    return two.unionByName(three)
 
 
 @query(f"WITH {_CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY part, basis ORDER BY tier <> 'system_of_record', confidence DESC, CAST(doc AS VARCHAR), CAST(CAST(v AS DECIMAL(18,1)) AS VARCHAR)) AS rn, count(DISTINCT v) OVER (PARTITION BY part, basis) AS dv, count(*) OVER (PARTITION BY part, basis) AS n_claims FROM c) SELECT part, field_name, basis, v AS preferred, tier AS source_tier, round(confidence, 4) AS confidence, n_claims, CASE WHEN dv > 1 THEN 'open' ELSE 'none' END AS conflict_status FROM r WHERE rn = 1")
@@ -240,11 +240,10 @@ def unresolved_fields(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', CASE WHEN abs(l_extendedprice - l_quantity * l_tax * 1000) > 0.005 * l_extendedprice THEN 'power' END, CASE WHEN l_quantity <= 10 THEN 'voltage' END, CASE WHEN l_tax <= l_discount THEN 'current' END) AS broken FROM lineitem")
 def plausibility(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    q, imp = F.col("l_quantity").cast("double"), F.col("l_tax") * 1000
     none = F.lit(None).cast("double")
-    broken = confidence.plausible_module(F.col("l_extendedprice"), F.col("l_quantity").cast("double"), F.col("l_tax") * 1000, F.lit(None).cast("double"), F.lit(None).cast("double"), none, none)
-    more = F.array_compact(F.array(F.when(~(F.col("l_quantity") > 10), F.lit("voltage")), F.when(~(F.col("l_tax") > F.col("l_discount")), F.lit("current"))))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.concat(broken, more), ",").alias("broken"))
+    broken = confidence.plausible_module(F.col("l_extendedprice"), q, imp, 2 * q - 10, imp + F.col("l_tax") - F.col("l_discount"), none, none)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(broken, ",").alias("broken"))
 
 
 @query("SELECT l_orderkey, count(*) AS n, count_if(l_linenumber % 3 = 0 AND has_other OR l_discount > 0.08) AS n_gated FROM (SELECT *, max(CAST(l_linenumber % 3 <> 0 AS INTEGER)) OVER (PARTITION BY l_orderkey) = 1 AS has_other FROM lineitem) GROUP BY ALL")
@@ -573,19 +572,21 @@ def workbook_tab(spark, sf_dir):
     return sinks.tab(p, "pv", ["small", "middle", "large"])
 
 
-@query("WITH r AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_linestatus = 'F') SELECT p_partkey AS model FROM part WHERE p_partkey NOT IN (SELECT p FROM r)")
+@query("WITH r AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 45) SELECT p_partkey AS model FROM part WHERE p_partkey NOT IN (SELECT p FROM r)")
 def field_gaps(spark, sf_dir):
     comp = table(spark, sf_dir, "part").select(F.lit("pv").alias("component_category"), F.lit("s").alias("supplier"), F.col("p_partkey").cast("string").alias("model"))
     contract = spark.range(1).select(F.lit("pv").alias("component_category"), F.lit("x").alias("field_name"))
-    own = _component_claims(spark, sf_dir).withColumn("field_name", F.lit("x"))
+    own = _component_claims(spark, sf_dir).withColumn("field_name", F.lit("x")).withColumn("value", F.when(F.col("value.num") > 45, F.col("value")))
     return claims.gaps(comp, contract, own).select(F.col("model").cast("long").alias("model"))
 
 
 def queries() -> dict:
+    from concordia.plans import claim_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
+    from concordia.plans import claim_queries  # noqa: F401
 
+    return dict(SQL)
