@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only on a local master without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="concordia-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -32,9 +35,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._concordia_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+#: Tables of materialize() by open scratch(), the innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Delete, at the end, every table that materialize() made inside; what is still needed must be written outside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for table in _scopes.pop():
+            discard(table)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing lazy reads any more."""
     path = getattr(df, "_concordia_path", None)

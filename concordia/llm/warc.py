@@ -25,6 +25,8 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive is closed when it has so many bytes; a range read has at most about RANGE_BYTES, over gaps of at most GAP_BYTES.
 ARCHIVE_BYTES, RANGE_BYTES, GAP_BYTES = 64 << 20, 8 << 20, 64 << 10
+#: Compressed bytes that a task reads back: TASK_BYTES, or down to LEAST_BYTES where all cores aren't busy otherwise.
+TASK_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -92,7 +94,9 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive
 
     Of rows with equal payloads of at least min_bytes that with the least page_id is the response, the others are
     revisits of it; repeated rows of that page_id are all responses. A null html is an empty payload, a null url has no
-    target URI, a null page_id stays null and never stands for others.
+    target URI, a null page_id stays null and never stands for others. A record is compressed and read back whole, so a
+    very long page needs memory for itself alone. Only page_id, url and html are read, so other columns cannot clash;
+    an empty table writes no archive.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
@@ -137,6 +141,13 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive
     return materialize(marked.mapInArrow(run, INDEX), "warc-index")
 
 
+def _tasks(selected: DataFrame) -> int:
+    """Tasks for reading the selected records, by their bytes: the few bytes of the index say nothing about the work."""
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = selected.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // TASK_BYTES), min(4 * cores, -(-total // LEAST_BYTES)))
+
+
 def ranges(selected: DataFrame, *, range_bytes: int = RANGE_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
     """archive, start, end, records [(offset, length)]: the selected index rows in byte order, neighbours in one range.
 
@@ -168,7 +179,10 @@ def read_records(selected: DataFrame, folder: str, **how) -> DataFrame:
                 rows = [parse(gzip.decompress(raw[r["offset"] - start : r["offset"] - start + r["length"]])) for r in records]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return ranges(selected, **how).mapInArrow(run, RECORD)
+    tasks = _tasks(selected)
+    if tasks <= 4 * selected.sparkSession.sparkContext.defaultParallelism:  # small ranges, so that every task has some
+        how.setdefault("range_bytes", LEAST_BYTES)
+    return ranges(selected, **how).repartition(tasks, "archive", "start").mapInArrow(run, RECORD)
 
 
 def archive_and_read(pages: DataFrame, **how) -> DataFrame:
