@@ -41,9 +41,9 @@ class Settings:
     k: int = 15
     #: Weight of the prior among the votes.
     prior_weight: float = 0.5
-    block: int = 32
+    block: int = 64
     #: Blocks of the first wave; those that it does not rule out are read together.
-    wave: int = 8
+    wave: int = 4
     #: The most frequent terms, whose postings are kept as whole rows and multiplied for many texts at once.
     dense: int = 256
 
