@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from concordia.functions import text, values
 from concordia.plans import policy
+from concordia.plans.policy import ALTERNATES, RULES
 from concordia.plans.schema import CRITICAL, DIMENSIONS, HIGH, RECORD
 
 COMPONENT = ("component_category", "supplier", "model")
@@ -41,7 +42,7 @@ def prepare(claims: DataFrame, *, ascii_only: bool = False) -> DataFrame:
     base, year = text.edition(F.col("fold"))
     ref, unit = F.col("source_ref"), policy.unit_base(F.col("unit"))
     order = F.struct(F.col("source_tier"), F.col("document_id"), F.col("value.canon").alias("canon"), F.col("unit"), F.col("extractor_version"), F.xxhash64(F.to_json(F.struct("condition", "verbatim_value", "source_ref", "confidence"))).alias("h"))
-    return folded.withColumns({"base": base, "year": year, "floor": F.lit(0.5) * F.pow(F.lit(10.0), -values.printed_decimals(F.col("verbatim_value"), F.col("value.num"), F.col("value.is_int"), F.col("value.canon")).cast("double")), "family": unit["family"], "scaled": F.col("value.num") * unit["factor"], "kind": F.col("value.kind"), "num": F.col("value.num"), "canon": F.col("value.canon"), "source_id": F.coalesce(ref["document_id"], ref["url"]), "against_cec_list": F.coalesce(F.contains(F.lower(ref["source_authority"]), F.lit("cec")), F.lit(False)), "ord": order})
+    return folded.withColumns({"base": base, "year": year, "floor": F.lit(0.5) * F.pow(F.lit(10.0), -values.printed_decimals(F.col("verbatim_value"), F.col("value.num"), F.col("value.is_int"), F.col("value.canon")).cast("double")), "family": unit["family"], "scaled": F.col("value.num") * unit["factor"], "kind": F.col("value.kind"), "num": F.col("value.num"), "canon": F.col("value.canon"), "source_id": F.coalesce(ref["document_id"], ref["url"]), "record": F.col("source_tier") == RECORD, "ieee": F.coalesce(F.col("condition.standards_regime") == "ieee", F.lit(False)), "against_cec_list": F.coalesce(F.contains(F.lower(ref["source_authority"]), F.lit("cec")), F.lit(False)), "ord": order})
 
 
 def comparison_pairs(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"), *, order: str = "ord", condition: str = "condition", dimensions: tuple[str, ...] = DIMENSIONS, flat: bool = False) -> DataFrame:
@@ -70,7 +71,7 @@ def comparison_groups(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT
 
 
 def conflict_class(l: Column, r: Column) -> Column:  # noqa: E741
-    return F.when(l["source_tier"] != r["source_tier"], "record_vs_web").when(l["source_id"].eqNullSafe(r["source_id"]), "intra_document").otherwise("inter_document")
+    return F.when(l["record"] != r["record"], "record_vs_web").when(l["source_id"].eqNullSafe(r["source_id"]), "intra_document").otherwise("inter_document")
 
 
 def resolve_band(nominal: Column, band: Column) -> tuple[Column, Column]:
@@ -87,7 +88,8 @@ REASONS = ("one side has no value", "units differ", "texts differ", "editions di
 
 
 def judge(l: Column, r: Column, rule: Column, magnitude: Column, alternate_when: Column, alternate: Column, band_l: Column | None = None, band_r: Column | None = None, *, gated: bool = False) -> Column:  # noqa: E741
-    """The code of a pair of prepared candidates; the first rule that applies decides.
+    """The code of a pair of prepared candidates; the first rule that applies decides. rule and alternate_when are numbers
+    in RULES and ALTERNATES.
 
     Gaps never conflict, different units always do, texts are compared folded and by edition, numbers by the field's
     tolerance or the precision with which they were printed, whichever is wider. A field that must never be compared
@@ -95,26 +97,25 @@ def judge(l: Column, r: Column, rule: Column, magnitude: Column, alternate_when:
     """
     a, b, no = l["num"], r["num"], F.lit(False)
     floor = F.greatest(l["floor"], r["floor"])
-    ieee = lambda s: F.coalesce(s["condition"]["standards_regime"] == "ieee", no)
-    selected = F.when(alternate_when == "impedance_below_10_pct", F.greatest(F.abs(a), F.abs(b)) < 10).when(alternate_when == "regime_ieee", ieee(l) | ieee(r)).when(alternate_when == "against_cec_list", l["against_cec_list"] | r["against_cec_list"])
+    selected = F.when(alternate_when == ALTERNATES.index("impedance_below_10_pct"), F.greatest(F.abs(a), F.abs(b)) < 10).when(alternate_when == ALTERNATES.index("regime_ieee"), l["ieee"] | r["ieee"]).when(alternate_when == ALTERNATES.index("against_cec_list"), l["against_cec_list"] | r["against_cec_list"])
     wide = F.when(F.coalesce(selected, no), alternate).otherwise(F.coalesce(magnitude, F.lit(0.0)))
     difference = F.abs(a - b)
     no_band = F.lit(None).cast("struct<low:double,high:double,kind:string,unit:string>")
     band_l, band_r = band_l if band_l is not None else no_band, band_r if band_r is not None else no_band
     (l_low, l_high), (r_low, r_high) = resolve_band(a, band_l), resolve_band(b, band_r)
-    left_record = l["source_tier"] == RECORD
-    declared, measured = F.when(left_record, a).otherwise(b), F.when(left_record, b).otherwise(a)
+    declared, measured = F.when(l["record"], a).otherwise(b), F.when(l["record"], b).otherwise(a)
+    is_rule = lambda name: rule == RULES.index(name)
     beyond = (
-        F.when(rule == "declared_band", F.when(band_l.isNull() & band_r.isNull(), difference > floor).otherwise(~((l_low <= r_high) & (r_low <= l_high))))
-        .when((rule == "one_sided") & (l["source_tier"] == r["source_tier"]), difference > floor)
-        .when(rule == "one_sided", measured - declared > F.greatest(wide * F.abs(declared), floor))
-        .when(rule == "relative", difference > F.greatest(wide * F.greatest(F.abs(a), F.abs(b)), floor))
+        F.when(is_rule("declared_band"), F.when(band_l.isNull() & band_r.isNull(), difference > floor).otherwise(~((l_low <= r_high) & (r_low <= l_high))))
+        .when(is_rule("one_sided") & (l["record"] == r["record"]), difference > floor)
+        .when(is_rule("one_sided"), measured - declared > F.greatest(wide * F.abs(declared), floor))
+        .when(is_rule("relative"), difference > F.greatest(wide * F.greatest(F.abs(a), F.abs(b)), floor))
         .otherwise(difference > F.greatest(wide, floor))
     )
     both_text = (l["kind"] == "text") & (r["kind"] == "text")
     stop = lambda why: F.raise_error(F.lit(why)).cast("int")
     return (
-        F.when(rule == "never_compare", stop("this field must never be compared"))
+        F.when(is_rule("never_compare"), stop("this field must never be compared"))
         .when(F.lit(False) if gated else ~comparable(l["condition"], r["condition"]), stop("the conditions are not comparable"))
         .when(l["kind"].isNull() | r["kind"].isNull(), GAP)
         .when(F.coalesce(l["unit_fold"] != r["unit_fold"], no), UNITS)
@@ -134,22 +135,31 @@ def told(code: Column, l: Column, r: Column) -> dict[str, Column]:  # noqa: E741
     return {"conflicts": yes, "conflict_class": kind, "reason": F.element_at(F.array(*[F.lit(x) for x in REASONS]), code + 1)}
 
 
-def severity(l: Column, r: Column, kind: Column, rule: Column, magnitude: Column, base: Column, tier: Column, distinct_values: Column) -> Column:  # noqa: E741
-    """0 (informational) to 4 (critical): the field's base, +1 for a gross divergence, for two records that disagree and
-    for three or more values under one condition, -2 for units that reconcile; tier A is at least high, a critical field critical."""
-    a, b = l["num"], r["num"]
-    family = F.coalesce(l["family"] == r["family"], F.lit(False))
-    x, y = F.when(family, l["scaled"]).otherwise(a), F.when(family, r["scaled"]).otherwise(b)
-    low, high = F.least(x, y), F.greatest(x, y)
-    band = F.when(rule.isin("relative", "one_sided"), magnitude * F.greatest(F.abs(x), F.abs(y))).otherwise(magnitude)
+def graded(pairs: DataFrame, l: dict[str, Column], r: dict[str, Column]) -> DataFrame:  # noqa: E741
+    """Add severity to judged pairs (code, rule, magnitude, criticality, tier), null where there is no conflict: 0
+    (informational) to 4 (critical).
+
+    It is the field's base, +1 for a gross divergence, for two records that disagree and for three or more values under
+    one condition, -2 for units that reconcile; tier A is at least high, a critical field critical. It is computed in
+    steps of a few columns: one expression of it all would be too large a method for the JVM to compile.
+    """
+    no = F.lit(False)
+    p = pairs.withColumn("__family", F.coalesce(l["family"] == r["family"], no))
+    side = lambda x: F.when(F.col("__family"), x["scaled"]).otherwise(x["num"])
+    p = p.withColumns({"__x": side(l), "__y": side(r)})
+    x, y, rule, magnitude = (F.col(c) for c in ("__x", "__y", "rule_no", "magnitude"))
+    p = p.withColumns({"__low": F.least(x, y), "__high": F.greatest(x, y), "__band": F.when(rule.isin(RULES.index("relative"), RULES.index("one_sided")), magnitude * F.greatest(F.abs(x), F.abs(y))).otherwise(magnitude), "__present": x.isNotNull() & y.isNotNull()})
+    low, high, band, present = (F.col(c) for c in ("__low", "__high", "__band", "__present"))
     gross = F.when(band > 0, high - low >= 10 * band).when((low > 0) & (high > 0), high / low >= 10)
-    records = (kind == "inter_document") & (l["source_tier"] == RECORD) & (r["source_tier"] == RECORD)
-    reconciled = (kind == "unit_normalization") & family & F.when(band.isNotNull(), F.abs(x - y) <= band).when(rule == "exact", values.close(x, y))
-    points = lambda c, n: F.when(F.coalesce(c, F.lit(False)), F.lit(n)).otherwise(F.lit(0))
-    present = x.isNotNull() & y.isNotNull()
-    total = base + points(present & gross, 1) + points(records, 1) + points(distinct_values >= 3, 1) + points(present & reconciled, -2)
-    clamped = F.least(F.lit(4), F.greatest(F.lit(0), total))
-    return F.greatest(clamped, F.when(tier == "a", HIGH).otherwise(0), F.when(base == CRITICAL, CRITICAL).otherwise(0)).cast("int")
+    within = F.when(band.isNotNull(), high - low <= band).when(rule == RULES.index("exact"), values.close(low, high))
+    kind = F.col("conflict_class")
+    records = l["record"] & r["record"] & (kind == "inter_document")
+    p = p.withColumns({"__gross": F.coalesce(present & gross, no), "__units": F.coalesce((kind == "unit_normalization") & F.col("__family") & present & within, no), "__records": F.coalesce(records, no), "__many": F.coalesce(F.greatest(l["distinct_values"], r["distinct_values"]) >= 3, no)})
+    points = lambda c, n: F.when(F.col(c), F.lit(n)).otherwise(F.lit(0))
+    total = F.col("criticality") + points("__gross", 1) + points("__records", 1) + points("__many", 1) + points("__units", -2)
+    clamped = F.least(F.lit(CRITICAL), F.greatest(F.lit(0), total))
+    grade = F.greatest(clamped, F.when(F.col("tier") == "a", HIGH).otherwise(0), F.when(F.col("criticality") == CRITICAL, CRITICAL).otherwise(0)).cast("int")
+    return p.withColumn("severity", F.when(F.col("conflicts"), grade))
 
 
 def value_counts(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name")) -> DataFrame:
@@ -161,8 +171,9 @@ def value_counts(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "fi
 
 
 #: What judging and grading a pair read of each side; a pair carries nothing else but what its caller asks for.
-NEEDED = ("ord", "condition", "kind", "num", "canon", "base", "year", "unit", "unit_fold", "family", "scaled", "floor", "source_tier", "source_id", "against_cec_list", "distinct_values")
+NEEDED = ("ord", "condition", "kind", "num", "canon", "base", "year", "unit", "unit_fold", "family", "scaled", "floor", "source_tier", "source_id", "record", "ieee", "against_cec_list", "distinct_values")
 QUEUED = ("value", "source_ref", "confidence")
+POLICY = ("rule_no", "magnitude", "alternate_no", "alternate_magnitude", "criticality", "tier")
 
 
 def detect(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"), *, ascii_only: bool = False, bands: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -179,14 +190,14 @@ def detect(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name")
         ready = ready.join(bands, [*(k for k in keys if k != "field_name"), "document_id", "field_name"], "left")
         more.append("band")
     columns = [*NEEDED, *[c for c in more if c not in NEEDED]]
-    pairs = policy.with_policy(comparison_pairs(ready.select(*keys, *columns), keys, flat=True))
+    # The policy of a field is looked up once a claim; a pair takes it from its left side.
+    pairs = comparison_pairs(policy.with_policy(ready).select(*keys, *columns, *POLICY), keys, flat=True)
+    pairs = pairs.withColumnsRenamed({f"l_{c}": c for c in POLICY}).drop(*[f"r_{c}" for c in POLICY])
     l, r = ({c: F.col(f"{side}_{c}") for c in columns} for side in "lr")  # noqa: E741
     one = {"band_l": l["band"], "band_r": r["band"]} if bands is not None else {}
-    out = pairs.withColumn("code", judge(l, r, F.col("rule"), F.col("magnitude"), F.col("alternate_when"), F.col("alternate_magnitude"), **one, gated=True))
-    t = told(F.col("code"), l, r)
-    most = F.greatest(l["distinct_values"], r["distinct_values"])
-    grade = severity(l, r, t["conflict_class"], F.col("rule"), F.col("magnitude"), F.col("criticality"), F.col("tier"), most)
-    return out.select(*keys, _side("l", columns), _side("r", columns), *[c.alias(n) for n, c in t.items()], F.when(t["conflicts"], grade).alias("severity"))
+    out = pairs.withColumn("code", judge(l, r, F.col("rule_no"), F.col("magnitude"), F.col("alternate_no"), F.col("alternate_magnitude"), **one, gated=True))
+    out = graded(out.withColumns(told(F.col("code"), l, r)), l, r)
+    return out.select(*keys, _side("l", columns), _side("r", columns), "conflicts", "conflict_class", "reason", "severity")
 
 
 def queue(detected: DataFrame, as_of: Column, keys: tuple[str, ...] = (*COMPONENT, "field_name")) -> DataFrame:

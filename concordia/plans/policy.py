@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordia.plans.schema import CRITICAL, HIGH, INFORMATIONAL, LOW, MEDIUM
+from concordia.plans.schema import CRITICAL, HIGH, INFORMATIONAL, LOW, MEDIUM, VOCABULARIES
 
 # Base severity of each field of the contract.
 CRITICALITY = {
@@ -264,6 +264,7 @@ SOURCE_AUTHORITY_ORDER = (
     "ercot_puct_tceq",
     "irs_treasury",
 )
+RULES, ALTERNATES = VOCABULARIES["tolerance_rule"], ("impedance_below_10_pct", "regime_ieee", "against_cec_list")
 DEFAULT_CRITICALITY, DEFAULT_TIER = CRITICAL, "b"
 #: Fields that must never be compared; empty, as no field is known to be one.
 NEVER_COMPARABLE: tuple[str, ...] = ()
@@ -286,14 +287,20 @@ def policy(spark) -> DataFrame:
     rows = [(f, *(("never_compare", None, None, None) if f in NEVER_COMPARABLE else tol.get(f, ("exact", None, None, None))), crit.get(f, DEFAULT_CRITICALITY), tier.get(f, DEFAULT_TIER)) for f in fields]
     listed = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
     # Literal rows are a local relation of the plan: no job and no Python worker reads them.
-    return spark.sql(f"SELECT field_name, rule, CAST(magnitude AS DOUBLE) AS magnitude, CAST(alternate_when AS STRING) AS alternate_when, CAST(alternate_magnitude AS DOUBLE) AS alternate_magnitude, CAST(criticality AS INT) AS criticality, tier FROM VALUES {listed} AS t(field_name, rule, magnitude, alternate_when, alternate_magnitude, criticality, tier)")
+    rows = spark.sql(f"SELECT field_name, rule, CAST(magnitude AS DOUBLE) AS magnitude, CAST(alternate_when AS STRING) AS alternate_when, CAST(alternate_magnitude AS DOUBLE) AS alternate_magnitude, CAST(criticality AS INT) AS criticality, tier FROM VALUES {listed} AS t(field_name, rule, magnitude, alternate_when, alternate_magnitude, criticality, tier)")
+    return rows.withColumns({"rule_no": _number("rule", RULES), "alternate_no": _number("alternate_when", ALTERNATES)})
+
+
+def _number(column: str, names: tuple[str, ...]) -> Column:
+    """The place of a column's text in names, which pairs compare faster than the text; null for null."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in names]), F.col(column)) - 1, F.lit(-1)).cast("int")
 
 
 def with_policy(df: DataFrame) -> DataFrame:
     """Add rule, magnitude, alternates, criticality and tier by field_name; unknown fields get the defaults."""
     p = policy(df.sparkSession)
     out = df.join(F.broadcast(p), "field_name", "left")
-    return out.withColumns({"rule": F.coalesce("rule", F.lit("exact")), "criticality": F.coalesce("criticality", F.lit(DEFAULT_CRITICALITY)), "tier": F.coalesce("tier", F.lit(DEFAULT_TIER))})
+    return out.withColumns({"rule": F.coalesce("rule", F.lit("exact")), "rule_no": F.coalesce("rule_no", F.lit(RULES.index("exact"))), "criticality": F.coalesce("criticality", F.lit(DEFAULT_CRITICALITY)), "tier": F.coalesce("tier", F.lit(DEFAULT_TIER))})
 
 
 def looks_tier_a(field_name: Column) -> Column:
