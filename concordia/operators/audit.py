@@ -14,7 +14,10 @@ from concordia.plans.schema import EVENT
 
 def canonical_json(x: object) -> str:
     """Sorted keys, no spaces, no non-finite numbers, non-ASCII as is."""
-    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _encode(x)
+
+
+_encode = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode
 
 
 def chain(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -31,17 +34,32 @@ def chain(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
     def run(batches):
         stream, seq, prev = None, 0, None
+        quoted: dict[str | None, str] = {}  # actors and types are few
+
+        def quote(x: str | None) -> str:
+            if x not in quoted:
+                if len(quoted) >= 10_000:
+                    quoted.clear()
+                quoted[x] = _encode(None if pd.isna(x) else x)
+            return quoted[x]
+
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.stream != stream:
-                    fresh = pd.isna(r.tip_seq)
-                    stream, seq, prev = r.stream, (0 if fresh else int(r.tip_seq) + 1), (None if fresh else r.tip_hash)
-                body = {"v": 1, "stream": stream, "seq": seq, "event_type": r.event_type, "actor": r.actor, "recorded_at": r.at, "prev_hash": prev, "payload": json.loads(r.payload_canonical) if r.payload_canonical else None}
-                digest = hashlib.sha256(canonical_json(body).encode()).hexdigest()
-                out.append((stream, r.document_id, seq, prev, digest, r.event_type, r.actor, r.payload_canonical, r.recorded_at))
+            seqs, prevs, hashes = [], [], []
+            for name, kind, actor, payload, at, tip_seq, tip_hash in zip(*(pdf[c].tolist() for c in ("stream", "event_type", "actor", "payload_canonical", "at", "tip_seq", "tip_hash")), strict=True):
+                if name != stream:
+                    fresh = pd.isna(tip_seq)
+                    stream, seq, prev = name, (0 if fresh else int(tip_seq) + 1), (None if fresh else tip_hash)
+                    own = _encode(stream)
+                body = _encode(json.loads(payload)) if payload else "null"
+                link = "null" if prev is None else f'"{prev}"'
+                # The canonical JSON of the event: its keys in order.
+                text = f'{{"actor":{quote(actor)},"event_type":{quote(kind)},"payload":{body},"prev_hash":{link},"recorded_at":{quote(None) if at is None else f'"{at}"'},"seq":{seq},"stream":{own},"v":1}}'
+                digest = hashlib.sha256(text.encode()).hexdigest()
+                seqs.append(seq)
+                prevs.append(prev)
+                hashes.append(digest)
                 seq, prev = seq + 1, digest
-            yield pd.DataFrame(out, columns=["stream", "document_id", "seq", "prev_hash", "hash", "event_type", "actor", "payload_canonical", "recorded_at"])
+            yield pdf[["stream", "document_id"]].assign(seq=seqs, prev_hash=prevs, hash=hashes, event_type=pdf["event_type"], actor=pdf["actor"], payload_canonical=pdf["payload_canonical"], recorded_at=pdf["recorded_at"])
 
     return rows.repartition("stream").sortWithinPartitions("stream", "recorded_at", "event_type", "payload_canonical").mapInPandas(run, EVENT)
 
