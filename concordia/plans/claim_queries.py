@@ -62,9 +62,9 @@ def ensemble_claims(spark, sf_dir):
     return both.groupBy("field_name", "source_tier").agg(F.count(F.lit(1)).alias("n"), F.sum("value.num").alias("total"))
 
 
-@query("SELECT l_orderkey AS entry_id, count(*) AS n, arg_min(l_linenumber, l_linenumber * 100000 + l_suppkey) AS first_claim, sum(l_quantity) AS total FROM lineitem GROUP BY ALL")
+@query("SELECT l_orderkey AS entry_id, count(*) AS n, arg_min(l_linenumber, l_linenumber * 100000 + l_suppkey) AS first_claim, sum(l_quantity) AS total FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER) AS l_quantity FROM lineitem) GROUP BY ALL")
 def rebuilt_candidates(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry_id"), "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"), (F.col("l_linenumber") * 100000 + F.col("l_suppkey")).alias("ord"), F.col("l_quantity").cast("double").alias("q")).dropDuplicates(["claim_id"])
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry_id"), "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("claim_id"), (F.col("l_linenumber") * 100000 + F.col("l_suppkey")).alias("ord"), F.col("l_quantity").cast("double").alias("q")).dropDuplicates(["claim_id"])
     junction = conflicts.with_ordinals(li.select("entry_id", "claim_id", "ord")).select("entry_id", "claim_id", "ordinal")
     built = conflicts.rebuild_candidates(junction, li.select("claim_id", "l_linenumber", "q"))
     return built.select("entry_id", F.size("candidates").alias("n"), F.col("candidates")[0]["l_linenumber"].alias("first_claim"), F.aggregate("candidates", F.lit(0.0), lambda s, x: s + x["q"]).alias("total"))
@@ -128,14 +128,14 @@ def band_verdicts(spark, sf_dir):
     return _banded(spark, sf_dir).groupBy("conflicts").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_BAND} SELECT 'power_tolerance' AS field_name, 'open' AS status, 2 AS n_candidates, count(*) AS n, count(*) AS n_ids FROM p WHERE conflicts GROUP BY ALL")
+@query(f"WITH {_BAND} SELECT 'power_tolerance' AS field_name, 'open' AS status, 2 AS n_candidates, count(*) AS n, count(*) AS n_ids FROM p WHERE conflicts GROUP BY ALL HAVING count(*) > 0")
 def queue_manifest(spark, sf_dir):
     q = conflicts.queue(_banded(spark, sf_dir), F.lit("2024-01-01").cast("timestamp"), KEYS)
     m = conflicts.manifest(q).join(q.select("entry_id", F.size("candidates").alias("n_candidates")), "entry_id")
     return m.groupBy("field_name", "status", "n_candidates").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entry_id").alias("n_ids"))
 
 
-@query("SELECT 4 AS severity, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 AND o_orderstatus <> 'F'")
+@query("SELECT 4 AS severity, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 AND o_orderstatus <> 'F' HAVING count(*) > 0")
 def blocking_entries(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), F.when(F.col("o_orderkey") % 5 == 0, 4).otherwise(2).alias("severity"), F.when(F.col("o_orderstatus") == "F", "defer").alias("resolution"))
     return conflicts.blocking(o, 2).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
