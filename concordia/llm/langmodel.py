@@ -38,7 +38,7 @@ class Settings:
     bits_per_entry: int = 14
     segment_bits: int = 1 << 18
     #: The most of the filter that is broadcast, in bits; probes are shuffled to the segments of a larger one.
-    max_bits: int = 1 << 30
+    max_bits: int = 1 << 31
     #: Weight of the unigram probability among a history's counts.
     mu: float = 300.0
     #: Tokens whose exact counts are broadcast, the most frequent first; all others are joined.
