@@ -711,6 +711,29 @@ def test_pipeline(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_stages_take_awkward_rows(spark, odd):
+    """Null texts, ids and sources, repeated rows and other columns, through every stage on its own."""
+    import corpus_pipeline
+
+    docs = packing.materialize(docs_of(spark, odd, {5: None, 9: "other"}), "test-odd")
+    every = Counter(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        kept = Counter((r["doc_id"], r["text"]) for r in rows(out))
+        assert not kept - every, name
+        if name in ("toxicity", "pfair_mixing"):
+            assert kept == every, name
+        elif name == "quality_rules":
+            assert (1, None) not in kept and (2, "") not in kept and kept[6, odd[5][1]] in (0, 2) and kept
+        else:
+            assert (1, None) in kept and (2, "") not in kept and kept[6, odd[5][1]] == 1 and sum(n for (i, _), n in kept.items() if i is None) == 1
+    mixed = packing.materialize(corpus_pipeline.mix_sources(spark, docs, SF), "test-mixed")
+    packed = rows(corpus_pipeline.pack_sequences(spark, mixed, SF))
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
+    assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(i for i, _ in odd)
+
+
 def test_pipeline_packs_in_mixed_order(spark, monkeypatch):
     import corpus_pipeline
 
