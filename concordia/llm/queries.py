@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import chat, langmodel, mixing, packing, quality, rangejoin, sharding, simhash, toxicity, warc
+from concordia.llm import chat, langmodel, mixing, packing, periodic, quality, rangejoin, sharding, simhash, toxicity, warc
 
 
 def tokenizer() -> str:
@@ -74,6 +74,55 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(slim, capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32(doc_id) % 10 = 0, the words from a place on repeat those that follow it. A null id plants nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def repeated(w):
+        g, n = F.floor(h / 10), F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        copies = F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))
+        return F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a), F.flatten(copies)), F.lit(1), n), " ")
+
+    text = F.when((h % 10 == 0) & (F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]")) > 0), F.transform(F.array(words), repeated)[0]).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted(_table(spark, sf_dir, "documents")))
+    # The struct with the greatest length, then the least start and period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    out = found.withColumn("best", best)
+    length, start, period = F.col("best")[F.lit("length")], -F.col("best")["col2"], -F.col("best")["col3"]
+    return out.select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Neighbouring pairs of equal words at one distance are islands; an island with its distance is a stretch of that period.
+RUNS_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS crc FROM bits WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, xor(CAST(4294967295 AS BIGINT), list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT)), lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)]), CAST(4294967295 AS BIGINT))) AS h FROM documents, crc),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+i AS (SELECT *, unnest(range(n)) AS i FROM p),
+pw AS (SELECT doc_id, n, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS w FROM i),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM pw x JOIN pw y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i),
+island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+stretch AS (SELECT doc_id, min(i) AS s, max(i) + q + 1 - min(i) AS l, q FROM island GROUP BY doc_id, q, island HAVING max(i) + q + 1 - min(i) >= greatest(12, 2 * q)),
+runs AS (SELECT doc_id, s, l, min(q) AS q FROM stretch GROUP BY doc_id, s, l),
+r AS (SELECT doc_id, count(*) AS n_runs, first(s ORDER BY l DESC, s, q) AS start, first(l ORDER BY l DESC, s, q) AS length, first(q ORDER BY l DESC, s, q) AS period, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+c AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS collapsed FROM pw ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT p.doc_id, n AS n_words, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM p LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 #: The schedule is a recursion over slots; blocks hold one row up to 4096 rows of documents, ceil(n / 4096) beyond.
 MIXING_SQL = """
 WITH RECURSIVE per AS (SELECT CAST(greatest(1, ceil(count(*) / 4096.0)) AS BIGINT) AS per FROM documents),
@@ -93,8 +142,8 @@ SELECT d.doc_id, d.source, p.k AS block, p.release, p.deadline, p.slot, CAST(p.s
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_compression, op2_warc_index, op3_embedding_range_join, op4_toxicity_knn, op5_simhash_pivots, op6_lm_bloom, op7_chat_tokens, op8_feistel_sharding, op9_pfair_mixing, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_compression, op2_warc_index, op3_embedding_range_join, op4_toxicity_knn, op5_simhash_pivots, op6_lm_bloom, op7_chat_tokens, op8_feistel_sharding, op9_pfair_mixing, op10_best_fit_packing, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_pfair_mixing": MIXING_SQL}
+    return {"op9_pfair_mixing": MIXING_SQL, "op11_periodic_runs": RUNS_SQL}
