@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import chat, langmodel, mixing, packing, periodic, quality, rangejoin, sharding, simhash, toxicity, warc
+from concordia.llm import chat, langmodel, mixing, packing, periodic, quality, rangejoin, sharding, simhash, toxicity, vectorcodes, warc
 
 
 def tokenizer() -> str:
@@ -103,11 +103,39 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _codes_sql(rounds: int) -> str:
+    """Vectors as parts; each round pairs every part with every entry of its codebook and takes the mean of the nearest."""
+    out = [
+        """
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, p, x[1 + p * len(x) // 4 : (p + 1) * len(x) // 4] AS x FROM v, range(4) t(p)),
+c0 AS MATERIALIZED (SELECT p, entry, x AS c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 256) USING (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'entry': entry}}) AS near FROM x JOIN c{r} USING (p) GROUP BY vec_id, p)")
+        if r < rounds:
+            out.append(f"s{r} AS (SELECT p, entry, place, sum(x) AS s, count(*) AS n FROM (SELECT p, near.entry AS entry, unnest(x) AS x, unnest(range(len(x))) AS place FROM a{r}) GROUP BY ALL)")
+            out.append(f"m{r} AS (SELECT p, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS m FROM s{r} GROUP BY p, entry)")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.p, c{r}.entry, coalesce(m, c) AS c FROM c{r} LEFT JOIN m{r} ON m{r}.p = c{r}.p AND m{r}.entry = c{r}.entry)")
+    out.append(f"b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM c{rounds})")
+    out.append(f"e AS (SELECT vec_id, string_agg(format('{{:02x}}', near.entry), '' ORDER BY p) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)")
+    out.append("l AS (SELECT label, sum(error) AS label_error FROM v JOIN e USING (vec_id) GROUP BY label)")
+    return ",\n".join(out) + "\nSELECT v.vec_id, code, error, CAST(label_error AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN e USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM v.label, b"
+
+
+CODES_SQL = _codes_sql(4)
+
 #: Neighbouring pairs of equal words at one distance are islands; an island with its distance is a stretch of that period.
 RUNS_SQL = r"""
 WITH RECURSIVE bits AS (SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
 crc AS (SELECT list(c ORDER BY i) AS crc FROM bits WHERE k = 8),
-d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, xor(CAST(4294967295 AS BIGINT), list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT)), lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)]), CAST(4294967295 AS BIGINT))) AS h FROM documents, crc),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w, xor(CAST(4294967295 AS BIGINT), list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT)), lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)]), CAST(4294967295 AS BIGINT))) AS h FROM documents, crc),
 a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM d),
 p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
 i AS (SELECT *, unnest(range(n)) AS i FROM p),
@@ -142,8 +170,8 @@ SELECT d.doc_id, d.source, p.k AS block, p.release, p.deadline, p.slot, CAST(p.s
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_compression, op2_warc_index, op3_embedding_range_join, op4_toxicity_knn, op5_simhash_pivots, op6_lm_bloom, op7_chat_tokens, op8_feistel_sharding, op9_pfair_mixing, op10_best_fit_packing, op11_periodic_runs)}
+    return {f.__name__: f for f in (op1_quality_compression, op2_warc_index, op3_embedding_range_join, op4_toxicity_knn, op5_simhash_pivots, op6_lm_bloom, op7_chat_tokens, op8_feistel_sharding, op9_pfair_mixing, op10_best_fit_packing, op11_periodic_runs, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_pfair_mixing": MIXING_SQL, "op11_periodic_runs": RUNS_SQL}
+    return {"op9_pfair_mixing": MIXING_SQL, "op11_periodic_runs": RUNS_SQL, "op13_vector_codes": CODES_SQL}

@@ -85,7 +85,7 @@ def test_awkward_rows(spark, monkeypatch, batch_words):
 
 
 def test_planted_words(spark):
-    texts = [(i, " ".join(f"w{k}" for k in range(i % 50))) for i in range(200)] + [(None, "a b c"), (7, None)]
+    texts = [(i, " ".join(f"w{k}" for k in range(i % 50))) for i in range(200)] + [(None, "a b c"), (500, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     for r in queries.planted(docs).collect():
         w = dict(texts)[r["doc_id"]]
