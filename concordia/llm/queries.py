@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import chat, langmodel, mixing, packing, periodic, quality, rangejoin, sharding, simhash, toxicity, vectorcodes, warc
+from concordia.llm import chat, langmodel, mixing, packing, periodic, quality, rangejoin, sharding, simhash, tokenfiles, toxicity, vectorcodes, warc
 
 
 def tokenizer() -> str:
@@ -103,6 +103,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = tokenfiles.encode_and_read(_table(spark, sf_dir, "documents"), tokenizer(), end_id=0)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
@@ -170,7 +175,7 @@ SELECT d.doc_id, d.source, p.k AS block, p.release, p.deadline, p.slot, CAST(p.s
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_compression, op2_warc_index, op3_embedding_range_join, op4_toxicity_knn, op5_simhash_pivots, op6_lm_bloom, op7_chat_tokens, op8_feistel_sharding, op9_pfair_mixing, op10_best_fit_packing, op11_periodic_runs, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_quality_compression, op2_warc_index, op3_embedding_range_join, op4_toxicity_knn, op5_simhash_pivots, op6_lm_bloom, op7_chat_tokens, op8_feistel_sharding, op9_pfair_mixing, op10_best_fit_packing, op11_periodic_runs, op12_token_files, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
