@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: 64-bit words of a block, and the most levels.
 BLOCK, LEVELS = 8, 48
 ONE, LOW = np.uint64(1), np.uint64(63)
+#: Bytes from which a word is hashed by XXH64.
+LONG = 1024
 #: Hash of the history of a first token, no token's.
 START = np.uint64(2)
 
@@ -63,7 +66,8 @@ class Tokens:
     """Texts to token hashes without a step a word: words are runs of bytes in one buffer, hashed from prefix sums.
 
     A word's hash is the sum of value(byte) * P^place over its bytes, in 64-bit arithmetic, times P^-start (P is odd, so
-    it has an inverse), and mixed. A-Z have the values of a-z. The end of a text is a word of the byte 0xFF, which is
+    it has an inverse), and mixed. Such sums are equal for some long words whatever P is, so a word of LONG bytes or more
+    is hashed by XXH64 instead. A-Z have the values of a-z. The end of a text is a word of the byte 0xFF, which is
     in no text in UTF-8. Buffers hold about ``window`` bytes, or one word where that is longer.
     """
 
@@ -94,7 +98,10 @@ class Tokens:
         first, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(self.value[b] * self.up[: len(b)], out=sums[1:])
-        return mix((sums[stop] - sums[first]) * self.down[first] + (stop - first).astype(np.uint64) * GOLDEN) & ~ONE
+        out = mix((sums[stop] - sums[first]) * self.down[first] + (stop - first).astype(np.uint64) * GOLDEN)
+        for k in np.flatnonzero(stop - first >= LONG).tolist():
+            out[k] = xxhash.xxh64_intdigest(raw[first[k] : stop[k]].lower(), 7)
+        return out & ~ONE
 
     def _cut(self, raw: bytes) -> Iterator[bytes]:
         """raw in parts of at most window bytes that end at white space, or at the end of a longer word."""

@@ -33,14 +33,15 @@ def queues(docs: DataFrame, weights: dict[str, float] | None, alpha: float) -> D
     """source, queue (0 the largest source), n, weight of every source.
 
     Without weights a source's weight is its row count to the power alpha (1: natural proportions, 0: equal shares).
-    A source that is missing from weights has weight 0 there and is served when all others have run out.
+    A source that is missing from weights has weight 0 there and is served when all others have run out; None names the
+    null source. Weights are joined as a table, so that their number doesn't matter.
     """
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     weight = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
     if weights is not None:
-        weight = F.lit(0.0)
-        for name, w in weights.items():
-            weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
+        given = docs.sparkSession.createDataFrame([(name, float(w)) for name, w in weights.items()], "__named string, __weight double")
+        counts = counts.join(given, F.col("source").cast("string").eqNullSafe(F.col("__named")), "left")
+        weight = F.coalesce("__weight", F.lit(0.0))
     order = Window.orderBy(F.desc("n"), F.asc_nulls_first("source"))
     return counts.select("source", (F.row_number().over(order) - 1).alias("queue"), "n", weight.alias("weight"))
 

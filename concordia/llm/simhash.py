@@ -200,16 +200,17 @@ def links(distinct: DataFrame, *, limit: int = 2, width: int = 1, block: int = B
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, limit: int = 2) -> DataFrame:
     """doc_id, fp, component_id of every row: the least doc_id reachable by links of at most limit differing bits.
 
-    Links are found between distinct fingerprints; rows of equal fingerprints are joined through the least doc_id among
-    them and never paired. A row with a null doc_id gets the component of its fingerprint, which is null when no row of
-    that fingerprint has an id. An empty table gives an empty one; clashing column names cannot disturb, as only doc_id
+    Links are found between distinct fingerprints, of rows without an id as well; rows of equal fingerprints are never
+    paired. A row with a null doc_id gets its component's least doc_id, null when no row of the component has an id.
+    Texts of any length are read whole and repeated rows are equal fingerprints. An empty table gives an empty one; clashing column names cannot disturb, as only doc_id
     and text are read.
     """
     fps = materialize(fingerprints(docs, shingle=shingle), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = components(links(distinct.where("rep is not null"), limit=limit))
-    named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct.select(F.col("fp").alias("rep"), "fp"), limit=limit))
+    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
+    named = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    return fps.join(grouped.join(named, "group").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def shingle_set(words: np.ndarray, shingle: int = 5) -> np.ndarray:

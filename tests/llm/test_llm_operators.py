@@ -318,6 +318,15 @@ def test_simhash(spark, odd):
     assert rows(simhash.near_duplicates(docs_of(spark, []))) == []
 
 
+def test_simhash_links_through_rows_without_an_id(spark, monkeypatch):
+    """Two fingerprints 4 bits apart are joined by one between them that only rows without an id have."""
+    prints = [(1, 0b1111), (2, 0), (None, 0b11), (None, 0b11), (None, 0x0F0F0F0F0F0F0F0F), (9, 0x5555555555555555)]
+    table = spark.createDataFrame(prints, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, **how: table)
+    got = sorted(((r["doc_id"], r["fp"], r["component_id"]) for r in rows(simhash.near_duplicates(table))), key=repr)
+    assert got == sorted([(1, 15, 1), (2, 0, 1), (None, 3, 1), (None, 3, 1), (None, 0x0F0F0F0F0F0F0F0F, None), (9, 0x5555555555555555, 9)], key=repr)
+
+
 @pytest.mark.parametrize("block", [4096, 20])
 def test_simhash_links_are_complete(spark, block):
     rng = random.Random(block)
@@ -386,6 +395,14 @@ def test_filter_has_no_false_negatives(spark):
     assert f.levels(h.view(np.uint64), true - 1).tolist() == (true - 1).tolist()
 
 
+def test_long_words_have_hashes_of_their_own():
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever the base is."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    other = word.translate({97: "b", 98: "a"})
+    a, b, c, d = langmodel.Tokens().hashes(f"{word} {other} {word.upper()} x".encode()).tolist()
+    assert a == c and len({a, b, d}) == 3
+
+
 def test_tokens_are_words_of_any_window():
     texts = [None, b"", b"one", "Ünï A\x1cB ".encode() * 40, b"x" * 500, b"a b\tc\nd\x0be\x0cf\rg", b"Abc aBC abc cba", b" lead and trail "]
     whole, ends = langmodel.Tokens().documents(texts)
@@ -588,6 +605,27 @@ def test_mixing_of_many_sources_is_the_same_schedule(spark, weights):
     assert many == own
 
 
+def test_mixing_takes_thousands_of_weights(spark):
+    """As many explicit weights as sources: a permutation, and no source a block off its fluid share."""
+    rng = random.Random(3)
+    n = 3000
+    names = [f"s{k}" for k in range(n)] + [f"s{rng.randrange(40)}" for _ in range(500)]
+    weights = {f"s{k}": float(rng.choice([1, 2, 3, 8])) for k in range(n)}
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "doc_id long, source string")
+    got = rows(mixing.mix(docs, weights=weights, max_blocks=4000))
+    assert sorted(r["position"] for r in got) == list(range(len(names)))
+    blocks = dict(Counter(names))
+    by_slot = {r["slot"]: r["source"] for r in got}
+    served = Counter()
+    for t in range(len(by_slot)):
+        served[by_slot[t]] += 1
+        if t % 400 == 7:
+            share = fluid_shares(blocks, weights, t + 1)
+            assert all(abs(served[s] - share[s]) < 1 + 1e-5 for s in blocks), t
+    one = rows(mixing.mix(docs.where("source in ('s0', 's1')"), weights={None: 1.0, **weights}))
+    assert sorted(r["position"] for r in one) == list(range(len(one)))
+
+
 # -- packing -------------------------------------------------------------------------------------------------------
 
 
