@@ -257,17 +257,24 @@ def _word_lists(texts: list[bytes | None], tokens: Tokens) -> Iterator[np.ndarra
             start = e
 
 
-def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndarray, n: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span, in each group, all rows at most limit bits apart whose sizes allow the similarity.
+def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndarray, n: np.ndarray, name: np.ndarray, joined: np.ndarray, tried: set[tuple[int, int]], forests: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, in each group, all rows at most limit bits apart whose sizes allow the similarity.
 
-    Near pairs come first and what they connect is not paired again, so a group of many copies gives about an edge a
-    row. fp has a row for each lane.
+    Near pairs come first; rows of one number in joined are connected already, and pairs in tried are passed over. The
+    edges fill so many forests, each spanning what the pairs left by those before it connect: a group of many copies
+    gives about so many edges a row, and where fewer than that are refused, what true links connect is connected. fp has
+    a row for each lane.
     """
     d0 = sum(t.base_distance(x).astype(np.int32) for t, x in zip(tables, fp, strict=True))
     order = np.lexsort((d0, group))
-    group, fp, n, name, d0 = group[order], fp[:, order], n[order].astype(np.int64), name[order], d0[order]
+    group, fp, n, name, joined, d0 = group[order], fp[:, order], n[order].astype(np.int64), name[order], joined[order], d0[order]
     far = sum(t.far(x).astype(np.int32) for t, x in zip(tables, fp, strict=True))
-    forest, a, b = Forest(len(group)), [], []
+    same = np.lexsort((joined, group))
+    i, k = same[:-1], same[1:]
+    one = (group[i] == group[k]) & (joined[i] == joined[k])
+    every, a, b = [Forest(len(group)) for _ in range(forests)], [], []
+    for forest in every:
+        forest.union(i[one], k[one])
     for most in (limit // 4, limit // 2, limit):
         i, step = np.arange(len(group)), 0
         while True:  # pairs at distance step in the order; the base distance is sorted, so a row drops out at the first excess
@@ -276,16 +283,22 @@ def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndar
             i = i[(group[i] == group[i + step]) & (d0[i + step] - d0[i] <= most)]
             if not len(i):
                 break
-            x = i[(UNDER * np.minimum(n[i], n[i + step]) >= OVER * np.maximum(n[i], n[i + step])) & (forest.roots(i) != forest.roots(i + step))]
+            x = i[(UNDER * np.minimum(n[i], n[i + step]) >= OVER * np.maximum(n[i], n[i + step])) & (every[-1].roots(i) != every[-1].roots(i + step))]
             for row in far:
                 if not len(x):
                     break
                 x = x[np.abs(row[x] - row[x + step]) <= most]
             x = x[np.bitwise_count(fp[:, x] ^ fp[:, x + step]).sum(axis=0, dtype=np.int32) <= most]
-            if len(x):
-                forest.union(x, x + step)
-                a.append(name[x])
-                b.append(name[x + step])
+            if tried and len(x):
+                x = x[[(min(p, q), max(p, q)) not in tried for p, q in zip(name[x].tolist(), name[x + step].tolist(), strict=True)]]
+            for forest in every:
+                if not len(x):
+                    break
+                apart = forest.roots(x) != forest.roots(x + step)
+                new, x = x[apart], x[~apart]
+                forest.union(new, new + step)
+                a.append(name[new])
+                b.append(name[new + step])
     none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
@@ -295,6 +308,8 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
 
     Every link is verified on the whole sets of word shingles; candidates are pairs of texts whose words' fingerprints
     agree in a band of some lane and differ in at most limit bits, so a few links are missed (README has the figures).
+    What candidates connect is not paired again while all of them hold; where one is refused, the rows around it are
+    paired again, with more forests each time, until no pair is left that might connect them.
     Words are as in fingerprints(); texts without words, null ones too, are equal, and so are texts of equal sets,
     which meet once. A row with a null doc_id gets the component of its set, which is null when no row of the component
     has an id. Repeated rows are equal texts. A text of any length is read whole; only doc_id and text are read, so
@@ -319,24 +334,32 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
     signed = materialize(read.mapInArrow(sign, "doc_id long, name long, n int, fp binary"), "signed")
     distinct = materialize(signed.groupBy("name").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("doc_id").alias("rep")), "distinct")
 
-    def keys(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def pair(rows: DataFrame, forests: int) -> DataFrame:
+        """Candidates (a, b) among rows (name, n, fp and, from the second time on, joined and tried)."""
 
-        for b in batches:
-            fp = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, lanes)
-            for lane, table in enumerate(tables):
-                for band, key in enumerate(table.band_keys(fp[:, lane])):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), lane * len(table.bands) + band, np.int32)), pa.array(key, pa.int64()), *b.columns], ["band", "key", "name", "n", "fp"])
+        def keys(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
-    def work(t, group: np.ndarray) -> Iterator:
-        import pyarrow as pa
+            for b in batches:
+                fp = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, lanes)
+                for lane, table in enumerate(tables):
+                    for band, key in enumerate(table.band_keys(fp[:, lane])):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), lane * len(table.bands) + band, np.int32)), pa.array(key, pa.int64()), *b.columns], ["band", "key", *b.schema.names])
+
+        def work(t, group: np.ndarray) -> Iterator:
+            import pyarrow as pa
 
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, lanes)
-        a, b = _candidates(tables, limit, group, np.ascontiguousarray(fp.T), t.column("n").to_numpy(), t.column("name").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+            fp, name = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, lanes), t.column("name").to_numpy()
+            joined, tried = name, set()
+            if "joined" in t.column_names:
+                joined = t.column("joined").to_numpy()
+                tried = {(p, q) for p, partners in zip(name.tolist(), t.column("tried").to_pylist(), strict=True) for q in partners or ()}
+            a, b = _candidates(tables, limit, group, np.ascontiguousarray(fp.T), t.column("n").to_numpy(), name, joined, tried, forests)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
-    banded = distinct.where("n > 0").select("name", "n", "fp").mapInArrow(keys, "band int, key long, name long, n int, fp binary")
-    pairs = materialize(_by_group(_dealt(banded, block, "name"), "a long, b long", work).distinct(), "pairs")
+        more = ", joined long, tried array<long>" if "joined" in rows.columns else ""
+        banded = rows.mapInArrow(keys, f"band int, key long, name long, n int, fp binary{more}")
+        return materialize(_by_group(_dealt(banded, block, "name"), "a long, b long", work).distinct(), "pairs")
 
     def whole(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -346,24 +369,49 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
             sets = [shingle_set(words, shingle) for words in _word_lists(b.column(1).to_pylist(), tokens)]
             yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "members"])
 
-    # The texts of one doc_id for each set that is in a pair; a row that comes twice only repeats a link.
-    needed = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    own = distinct.join(needed, "name", "left_semi").select(F.col("rep").alias("__id")).distinct()
-    sets = materialize(read.join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(whole, "name long, members binary"), "sets")
-
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             x, y = (b.column(c).to_pylist() for c in (2, 3))
             ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    of = lambda side: sets.select(F.col("name").alias(side), F.col("members").alias(f"of_{side}"))
-    found = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
-    roots = components(found)
-    for table in (pairs, sets, distinct):
-        discard(table)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) with linked. Reads the texts of one doc_id for each set; a row that comes twice only repeats a pair."""
+        needed = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+        own = distinct.join(needed, "name", "left_semi").select(F.col("rep").alias("__id")).distinct()
+        sets = materialize(read.join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(whole, "name long, members binary"), "sets")
+        of = lambda side: sets.select(F.col("name").alias(side), F.col("members").alias(f"of_{side}"))
+        judged = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long, linked boolean")
+        judged = materialize(judged, "judged")
+        discard(sets)
+        return judged
+
+    rows, forests, judged = distinct.where("n > 0").select("name", "n", "fp"), 1, None
+    while True:
+        pairs = pair(rows, forests)
+        now = judge(pairs)
+        discard(pairs)
+        fresh = not now.where("not linked").isEmpty()
+        judged = now if judged is None else judged.unionByName(now)
+        roots = materialize(components(judged.where("linked").select("a", "b")), "roots")
+        if not fresh:  # every candidate edge holds, so what they connected is connected
+            break
+        # A refused edge may have stood for a true link: the rows around it are paired again, without the refused pairs.
+        tries = judged.where("not linked").select("a", "b").distinct()
+        both = tries.unionAll(tries.select("b", "a").toDF("a", "b"))
+        zones = components(judged.select("a", "b"))
+        zoned = lambda df, key: df.join(zones, df[key] == zones["node"], "left").withColumn("zone", F.coalesce("root", key)).drop("node", "root")
+        named = lambda df, key: df.join(roots, df[key] == roots["node"], "left").withColumn("joined", F.coalesce("root", key)).drop("node", "root")
+        left = named(both, "a").withColumnRenamed("joined", "of_a")
+        open_ = zoned(named(left, "b").where("joined <> of_a").select("a"), "a").select("zone").distinct()
+        partners = both.groupBy(F.col("a").alias("of")).agg(F.collect_list("b").alias("tried"))
+        again = zoned(distinct.where("n > 0").select("name", "n", "fp"), "name").join(open_, "zone", "left_semi").drop("zone")
+        again = named(again, "name").join(partners, F.col("name") == F.col("of"), "left")
+        rows = materialize(again.select("name", "n", "fp", "joined", "tried"), "again")
+        forests *= 8
+    discard(distinct)
     group = F.coalesce("root", "name").alias("group")
     in_group = signed.join(roots, signed["name"] == roots["node"], "left").select("doc_id", group)
     least = in_group.groupBy("group").agg(F.min("doc_id").alias("component_id"))
