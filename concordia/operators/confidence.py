@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,20 +37,30 @@ def unresolved_fields(fields: DataFrame, keys: list[str]) -> DataFrame:
     return fields.where(F.col("conflict_status").isin("open", "insufficient_evidence")).groupBy(*keys).agg(F.array_sort(F.collect_set("field_name")).alias("unresolved"))
 
 
-def risk_coverage(scored: DataFrame, by: list[str], bins: int = 1000) -> DataFrame:
-    """by, score, n, precision, coverage: what accepting all fields of at least score would give.
+def risk_coverage(scored: DataFrame, by: list[str], slots: int = 256) -> DataFrame:
+    """by, score, n, precision, coverage for every score that occurs: what accepting all fields of at least it would give.
 
-    Scores are cut into bins first, so that the running sums are over at most bins rows a group.
+    Fields of one score are accepted together. Running sums are taken without bringing a group to one task: scores are
+    dealt into ranges by quantiles of all distinct scores, a range of a group starts with what the ranges above it hold,
+    and only the scores of one range are sorted together. A field without a score is never accepted, but counts in the
+    coverage; one whose correctness is null isn't correct.
     """
-    binned = scored.withColumn("score", F.floor(F.col("score") * bins) / bins).groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("int")).alias("good"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*by)
-    return binned.select(*by, "score", F.sum("n").over(down).alias("n"), (F.sum("good").over(down) / F.sum("n").over(down)).alias("precision"), (F.sum("n").over(down) / F.sum("n").over(whole)).alias("coverage"))
-
-
-def thresholds(scored: DataFrame, by: list[str], target: float, bins: int = 1000) -> DataFrame:
-    """The least score of each group at which the precision meets the target, with its coverage."""
-    ok = risk_coverage(scored, by, bins).where(F.col("precision") >= target)
+    one = scored.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("correct").cast("int")), F.lit(0)).alias("good"))
+    edges = one.where("score is not null").agg(F.percentile_approx(F.col("score").cast("double"), [k / slots for k in range(1, slots)], 20 * slots).alias("e")).first()["e"] or []
+    placed = one.withColumn("slot", F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e > F.col("score").cast("double"))) if edges else F.lit(0))
+    above, whole = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    parts = placed.groupBy(*by, "slot").agg(F.sum(F.when(F.col("score").isNotNull(), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("score").isNotNull(), F.col("good")).otherwise(0)).alias("good"), F.sum("n").alias("every"))
+    starts = parts.select(*[F.col(c).alias(f"__{c}") for c in (*by, "slot")], F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("good").over(above), F.lit(0)).alias("good0"), F.sum("every").over(whole).alias("every"))
+    down = Window.partitionBy(*by, "slot").orderBy(F.desc("score"))
+    running = placed.where("score is not null").select(*by, "slot", "score", F.sum("n").over(down).alias("n"), F.sum("good").over(down).alias("good"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, "slot")])
+    n = F.col("n") + F.col("n0")
+    return running.join(starts, same).select(*by, "score", n.alias("n"), ((F.col("good") + F.col("good0")) / n).alias("precision"), (n / F.col("every")).alias("coverage"))
+
+
+def thresholds(scored: DataFrame, by: list[str], target: float, slots: int = 256) -> DataFrame:
+    """The least score of each group at which the precision meets the target, with its coverage; exact, scores are not rounded."""
+    ok = risk_coverage(scored, by, slots).where(F.col("precision") >= target)
     return ok.groupBy(*by).agg(F.min("score").alias("threshold"), F.max("coverage").alias("coverage"))
 
 

@@ -27,6 +27,90 @@ def top_k(chunks: DataFrame, vector: list[float] | Column, limit: int, *, id_col
     return chunks.withColumn("sim", F.round(cosine(F.col(vector_col), q), digits)).where("sim is not null").orderBy(F.desc("sim"), id_col).limit(limit)
 
 
+def top_k_each(chunks: DataFrame, questions: DataFrame, limit: int, *, id_col: str = "chunk_id", vector_col: str = "embedding", digits: int = 6, block: int = 4096) -> DataFrame:
+    """question, id, sim: the limit nearest chunks of every row of questions (question, vector_col) by exact cosine, ties by id.
+
+    Questions are broadcast in blocks of so many rows, one pass over the chunks a block. A task multiplies the block with
+    its Arrow batches and keeps the best of each question, so only limit rows a question and task are shuffled and never
+    a pair. Vectors that are null, empty, zero or hold null or non-finite numbers have no cosine and are in no result,
+    nor are vectors of other lengths compared; a question without a match has no row.
+    """
+    asked = questions.select("question", vector_col).where(f"question is not null and {vector_col} is not null")
+    n = asked.count()
+    parts = max(1, -(-n // block))
+    kinds = dict(chunks.dtypes)[id_col], dict(asked.dtypes)["question"]
+    out = None
+    for part in range(parts):
+        rows = (asked.where(F.pmod(F.xxhash64("question"), F.lit(parts)) == part) if parts > 1 else asked).collect()
+        best = _best(chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), rows, limit, digits, kinds)
+        out = best if out is None else out.unionByName(best)
+    order = Window.partitionBy("question").orderBy(F.desc("sim"), "id")
+    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")
+
+
+def _best(chunks: DataFrame, asked: list, limit: int, digits: int, kinds: tuple[str, str]) -> DataFrame:
+    """question, id, sim of the best of each task."""
+    import numpy as np
+
+    def units(rows: list) -> dict[int, tuple[list[int], np.ndarray]]:
+        """By length: which rows have a direction, and it."""
+        out: dict[int, list] = {}
+        for i, v in enumerate(rows):
+            if v is not None and len(v) and None not in v:
+                x = np.asarray(v, float)
+                size = np.sqrt((x * x).sum())
+                if np.isfinite(size) and size > 0:
+                    out.setdefault(len(v), []).append((i, x / size))
+        return {d: ([i for i, _ in p], np.stack([x for _, x in p])) for d, p in out.items()}
+
+    names, own = [r[0] for r in asked], units([r[1] for r in asked])
+    shared = chunks.sparkSession.sparkContext.broadcast((names, own))
+
+    def run(batches):
+        import pyarrow as pa
+
+        names, own = shared.value
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                b = batch.slice(lo, 2048)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                for dim, (at, x) in units(b.column(1).to_pylist()).items():
+                    if dim not in own:
+                        continue
+                    of, q = own[dim]
+                    mine = ids[at]
+                    for first in range(0, len(of), 512):
+                        sims = np.round(q[first : first + 512] @ x.T, digits)
+                        for k, row in zip(of[first : first + 512], sims, strict=True):
+                            if k in held and len(held[k][0]) == limit:
+                                near = np.flatnonzero(row >= held[k][0][-1])
+                                if not len(near):
+                                    continue
+                            else:
+                                near = np.arange(len(row))
+                            s, i = row[near], mine[near]
+                            if k in held:
+                                s, i = np.concatenate([held[k][0], s]), np.concatenate([held[k][1], i])
+                            order = np.lexsort((i, -s))[:limit]
+                            held[k] = s[order], i[order]
+        for k, (s, i) in held.items():
+            yield pa.RecordBatch.from_pydict({"question": [names[k]] * len(s), "id": i.tolist(), "sim": s.tolist()}, schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    fields = StructType([StructField("question", _type(kinds[1])), StructField("id", _type(kinds[0])), StructField("sim", DoubleType())])
+    schema = to_arrow_schema(fields)
+    return chunks.where("id is not null").mapInArrow(run, fields)
+
+
+def _type(name: str):
+    from pyspark.sql.types import DataType
+
+    return DataType.fromDDL(name)
+
+
 def lexical(chunks: DataFrame, query: str, limit: int, *, id_col: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
     """Chunks by the share of the query's words that they hold."""
     own = text.tokens(F.lit(query))

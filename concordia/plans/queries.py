@@ -219,10 +219,17 @@ def review_share(spark, sf_dir):
     return confidence.review_share(s).select(F.round("review_share", 6).alias("review_share"))
 
 
-@query(f"WITH {_SIGNALS}, b AS (SELECT tier, floor(confidence * 100) / 100 AS score, count(*) AS n, sum(CAST(quality = 1 AS INTEGER)) AS good FROM f WHERE quality IS NOT NULL GROUP BY ALL), r AS (SELECT tier, score, sum(n) OVER w AS n, sum(good) OVER w / sum(n) OVER w AS precision, sum(n) OVER w / sum(n) OVER (PARTITION BY tier) AS coverage FROM b WINDOW w AS (PARTITION BY tier ORDER BY score DESC)) SELECT tier, min(score) AS threshold, round(max(coverage), 6) AS coverage FROM r WHERE precision >= 0.9 GROUP BY ALL")
+@query(f"WITH {_SIGNALS}, r AS (SELECT tier, confidence AS score, count(*) OVER w AS n, sum(CAST(quality = 1 AS INTEGER)) OVER w / count(*) OVER w AS precision, count(*) OVER w / count(*) OVER (PARTITION BY tier) AS coverage FROM f WHERE quality IS NOT NULL WINDOW w AS (PARTITION BY tier ORDER BY confidence DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT tier, min(score) AS threshold, round(max(coverage), 6) AS coverage FROM r WHERE precision >= 0.9 GROUP BY ALL")
 def precision_thresholds(spark, sf_dir):
     s = _scored(spark, sf_dir).where("quality is not null").withColumn("correct", F.col("quality") == 1).withColumnRenamed("confidence", "score")
-    return confidence.thresholds(s, ["tier"], 0.9, bins=100).select("tier", "threshold", F.round("coverage", 6).alias("coverage"))
+    return confidence.thresholds(s, ["tier"], 0.9).select("tier", "threshold", F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"WITH {_SIGNALS} SELECT DISTINCT tier, confidence AS score, count(*) OVER w AS n, round(sum(CAST(quality = 1 AS INTEGER)) OVER w / count(*) OVER w, 9) AS precision, round(count(*) OVER w / count(*) OVER (PARTITION BY tier), 9) AS coverage FROM f WHERE quality IS NOT NULL WINDOW w AS (PARTITION BY tier ORDER BY confidence DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def risk_coverage(spark, sf_dir):
+    """Every point of the curve, by prefix sums over ranges of scores."""
+    s = _scored(spark, sf_dir).where("quality is not null").withColumn("correct", F.col("quality") == 1).withColumnRenamed("confidence", "score")
+    return confidence.risk_coverage(s, ["tier"]).select("tier", "score", "n", F.round("precision", 9).alias("precision"), F.round("coverage", 9).alias("coverage"))
 
 
 @query(f"WITH {_SIGNALS} SELECT doc_id, concat_ws(',', CASE WHEN quality IS NULL THEN 'missing_data' END, CASE WHEN source = 'src0' THEN 'web_supplemented' END, CASE WHEN confidence < 0.7 THEN 'low_confidence' END, CASE WHEN toxic = 1 THEN 'unresolved_conflict' END) AS flags FROM f")
@@ -581,12 +588,12 @@ def field_gaps(spark, sf_dir):
 
 
 def queries() -> dict:
-    from concordia.plans import claim_queries  # noqa: F401  registers its own
+    from concordia.plans import claim_queries, search_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from concordia.plans import claim_queries  # noqa: F401
+    from concordia.plans import claim_queries, search_queries  # noqa: F401
 
     return dict(SQL)
