@@ -35,7 +35,7 @@ def op4_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "neighbours", "cosines")
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "neighbours", "cosines", "term")
 
 
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max inverted index, weighted votes.
 
 Labelled rows up to a documented bound are the examples. Terms are all their lower-cased words without outer
-punctuation that two examples or more have; a term's weight is its TF-IDF times its relevance, which is its chi-square
-association with the label, never below a floor, so that telling words count most and every word counts. Examples lie
-in blocks of similar ones; the index has, for each term, the postings by block and the largest weight in each block.
-The k nearest of a text are found exactly: blocks are scored in the order of their upper bounds, in growing waves, and
-blocks whose bound does not reach the k-th best cosine so far are never read. Votes weighted by squared cosine are
-turned into probabilities by a monotone map that is fitted on the examples' own leave-one-out votes.
+punctuation that two examples or more have, weighted by plain TF-IDF. Examples lie in blocks of similar ones; the index
+has, for each term, the postings by block and the largest weight in each block that has the term. The k nearest of a
+text are found exactly: blocks are scored in the order of their upper bounds, in growing waves, and blocks whose bound
+does not reach the k-th best cosine so far are never read. The neighbours vote term by term: those that share a term
+with the text vote on it with their cosines; a term's vote is by how many standard deviations its voters depart from the
+share of label 1 among all examples, and the text's vote is the sum of its highest ones. A monotone map that is fitted on the examples' own votes,
+each without itself, turns votes into probabilities; labels enter nothing else.
 """
 
 from __future__ import annotations
@@ -26,23 +27,20 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&…«»“”"
 BASE_RATE = 0.1
 #: Texts whose frequent terms are multiplied together.
 BATCH = 64
+#: Nearest examples that are returned as evidence.
+EVIDENCE = 3
 
 
 @dataclass(frozen=True)
 class Settings:
     #: The most labelled rows that are used as examples; beyond it the rows of least hash are taken.
     max_examples: int = 3_000
-    #: The most terms of the examples, those in most of them: it bounds what is broadcast.
-    max_terms: int = 1 << 18
-    #: A term has full relevance at a chi-square of least_chi2 + share * examples, and floor at least.
-    least_chi2: float = 25.0
-    share: float = 0.01
-    floor: float = 0.05
-    k: int = 15
-    #: Weight of the prior among the votes.
-    prior_weight: float = 0.5
+    k: int = 300
+    #: Added to the variance of a term's votes, so that a few voters tell little; terms whose votes are added up.
+    smoothing: float = 0.5
+    terms: int = 3
     block: int = 64
-    #: Blocks of the first wave; those that it does not rule out are read together.
+    #: Blocks of the first wave besides those that k examples fill; those that it does not rule out are read together.
     wave: int = 4
     #: The most frequent terms, whose postings are kept as whole rows and multiplied for many texts at once.
     dense: int = 256
@@ -78,18 +76,23 @@ class Model:
 
     settings: Settings
     vocabulary: dict[str, int]
-    #: Inverse document frequency times relevance.
+    #: Inverse document frequency.
     weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    #: Weights of the most frequent terms (rows) in all examples.
+    #: Weights of the most frequent terms (rows) in all examples, and where they have the term.
     rows: np.ndarray
-    #: Postings of the others by term and example: the examples, their weights, and where each (term, block) begins.
+    has: np.ndarray
+    #: Postings of the others by term and example: the examples and their weights; where each term's begin.
     example: np.ndarray
     value: np.ndarray
-    starts: np.ndarray
-    #: The largest weight of each term in each block.
+    begin: np.ndarray
+    #: For each term and block that has it: the block, where its postings begin, the largest weight; where each term's begin.
+    part: np.ndarray
+    first: np.ndarray
     most: np.ndarray
+    parts: np.ndarray
+    blocks: int
     prior: float
     empty: float
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
@@ -105,13 +108,10 @@ class Model:
             row[t[:n]] = w[:n]
         return q @ self.rows
 
-    def others(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """What the terms t add to the cosines, 0 outside of blocks: only the postings of blocks are read."""
-        begin = self.starts[t]
-        first = begin[:, blocks].ravel().astype(np.int64)
-        n = begin[:, blocks + 1].ravel() - first
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(self.example[at], weights=self.value[at] * np.repeat(w, n.reshape(len(t), -1).sum(axis=1)), minlength=len(self.ids))
+    def _entries(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (term, block) entries of the terms t, and how many each term has."""
+        n = self.parts[t + 1] - self.parts[t]
+        return _ranges(self.parts[t], n), n
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """The k examples of largest cosine above 0 (ties: the smaller index), their cosines, and the number of blocks read.
@@ -123,20 +123,23 @@ class Model:
             return np.zeros(0, int), np.zeros(0), 0
         part = self.frequent([(t, w)])[0] if part is None else part
         n = np.searchsorted(t, len(self.rows))
-        t, w = t[n:] - len(self.rows), w[n:]
-        bound = np.maximum.reduceat(part, np.arange(0, len(part), size)) + w @ self.most[t] + 1e-9
+        entries, many = self._entries(t[n:] - len(self.rows))
+        weight, block = np.repeat(w[n:], many), self.part[entries]
+        bound = np.maximum.reduceat(part, np.arange(0, len(part), size)) + np.bincount(block, weights=weight * self.most[entries], minlength=self.blocks) + 1e-9
         order = np.argsort(-bound, kind="stable")
-        score, read, least = np.zeros(len(self.ids)), 0, 0.0
-        for wave in (order[: self.settings.wave], order[self.settings.wave :]):
-            wave = np.sort(wave[bound[wave] >= least])
-            if not len(wave):
+        score, read, least, wave = np.zeros(len(self.ids)), 0, 0.0, self.settings.wave + k // size
+        for chosen in (order[:wave], order[wave:]):
+            chosen = chosen[bound[chosen] >= least]
+            if not len(chosen):
                 break
             inside = np.zeros(len(bound), bool)
-            inside[wave] = True
+            inside[chosen] = True
             score += np.where(np.repeat(inside, size)[: len(part)], part, 0)
-            if len(t):
-                score += self.others(t, w, wave)
-            read += len(wave)
+            own = entries[inside[block]]
+            length = self.first[own + 1] - self.first[own]
+            at = _ranges(self.first[own], length)
+            score += np.bincount(self.example[at], weights=self.value[at] * np.repeat(weight[inside[block]], length), minlength=len(score))
+            read += len(chosen)
             if skip >= 0:
                 score[skip] = 0
             if len(score) > k:
@@ -145,13 +148,35 @@ class Model:
         top = own[np.lexsort((own, -score[own]))[:k]]
         return top, score[top], read
 
-    def vote(self, i: np.ndarray, c: np.ndarray) -> float:
-        p = self.settings.prior_weight
-        return float(((c * c) @ self.labels[i] + p * self.prior) / ((c * c).sum() + p))
+    def vote(self, i: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[float, int]:
+        """The vote of the neighbours i with cosines c for a text of the terms t, and the term with the highest vote.
+
+        Of a term's voters, the sum of cosines (the nearest counts 1) with label 1 is held against its expectation.
+        """
+        cosine, toxic = np.zeros(len(self.ids)), np.zeros(len(self.ids))
+        cosine[i] = c / c[0]
+        toxic[i] = cosine[i] * self.labels[i]
+        n = np.searchsorted(t, len(self.rows))
+        has = self.has[np.ix_(t[:n], i)]
+        rare = t[n:] - len(self.rows)
+        many = self.begin[rare + 1] - self.begin[rare]
+        at, ends = self.example[_ranges(self.begin[rare], many)], np.cumsum(many)
+        under = lambda x: np.diff(np.concatenate([[0.0], np.concatenate([[0.0], np.cumsum(x[at])])[ends]]))
+        every, ones = np.concatenate([has @ cosine[i], under(cosine)]), np.concatenate([has @ toxic[i], under(toxic)])
+        z = (ones - every * self.prior) / np.sqrt(every * self.prior * (1 - self.prior) + self.settings.smoothing)
+        return float(np.sort(z)[-self.settings.terms :].sum()), int(t[np.round(z, 9).argmax()])
+
+    def judge(self, i: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[float, int]:
+        """The calibrated score and the term that tells most; a text without a neighbour has the score empty and no term."""
+        if not len(i):
+            return self.empty, -1
+        vote, term = self.vote(i, c, t)
+        return float(np.interp(vote, *self.knots)), term
 
-    def probability(self, i: np.ndarray, c: np.ndarray) -> float:
-        """The calibrated score; a text without a neighbour has the score empty."""
-        return float(np.interp(self.vote(i, c), *self.knots)) if len(i) else self.empty
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] numbers, then those of first[1], and so on."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def _vector(counts: dict[int, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,14 +187,6 @@ def _vector(counts: dict[int, int], weight: np.ndarray) -> tuple[np.ndarray, np.
     return t[order], w[order] / np.sqrt((w * w).sum()) if len(w) else w
 
 
-def relevance(with_one: np.ndarray, with_zero: np.ndarray, ones: float, zeros: float, settings: Settings) -> np.ndarray:
-    """A term's chi-square association with the label as a share of what counts in full, settings.floor at least."""
-    n, have = ones + zeros, with_one + with_zero
-    cross = with_one * (zeros - with_zero) - with_zero * (ones - with_one)
-    chi2 = n * cross * cross / np.maximum(ones * zeros * have * (n - have + 0.5), 1e-9)
-    return np.clip(chi2 / (settings.least_chi2 + settings.share * n), settings.floor, 1)
-
-
 def fit(rows: list[tuple[int, int, dict[int, int]]], vocabulary: dict[str, int], settings: Settings) -> Model:
     """rows: example id, label, counts of terms by their numbers in vocabulary, the more frequent first.
 
@@ -177,19 +194,18 @@ def fit(rows: list[tuple[int, int, dict[int, int]]], vocabulary: dict[str, int],
     share of label 1 among such examples, and is never predicted 1.
     """
     ones = sum(r[1] for r in rows)
-    one_sided = ones in (0, len(rows))
-    rows = [] if one_sided else rows
+    rows = [] if ones in (0, len(rows)) else rows
     n, size, v = len(rows), settings.block, len(vocabulary)
-    have = np.zeros((2, v))
-    for _, y, c in rows:
-        have[y, list(c)] += 1
-    weight = (np.log((1 + n) / (1 + have.sum(axis=0))) + 1) * relevance(have[1], have[0], ones, n - ones, settings)
+    have = np.zeros(v)
+    for _, _, c in rows:
+        have[list(c)] += 1
+    weight = np.log((1 + n) / (1 + have)) + 1
     prior = float((ones + BASE_RATE) / (n + 1)) if n else BASE_RATE
     bare = [r[1] for r in rows if not r[2]]
     empty = min((sum(bare) + prior) / (len(bare) + 1), 0.49)
-    # Similar examples share blocks: they are sorted by label, then by the term of most weight.
+    # Similar examples share blocks: they are sorted by the term of most weight.
     vectors = [_vector(r[2], weight) for r in rows]
-    order = sorted(range(n), key=lambda i: (rows[i][1], int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, rows[i][0]))
+    order = sorted(range(n), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, rows[i][0]))
     vectors = [vectors[i] for i in order]
     lengths = [len(t) for t, _ in vectors]
     term, value = (np.concatenate(x) if n else np.zeros(0, d) for x, d in (([t for t, _ in vectors], np.int64), ([w for _, w in vectors], float)))
@@ -202,21 +218,20 @@ def fit(rows: list[tuple[int, int, dict[int, int]]], vocabulary: dict[str, int],
     rare = term >= often
     term, value, example = term[rare] - often, value[rare], example[rare]
     v -= often
-    at = term * blocks + example // size
-    starts = np.zeros(v * blocks + 1, np.int32)
-    np.cumsum(np.bincount(at, minlength=v * blocks), out=starts[1:])
-    most = np.zeros(v * blocks)
-    np.maximum.at(most, at, value)
-    edges = np.arange(v)[:, None] * blocks + np.arange(blocks + 1)[None, :]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (example[1:] // size != example[:-1] // size)
+    first = np.flatnonzero(new)
+    most = np.maximum.reduceat(value, first) if len(first) else value
+    edges = np.arange(v + 1)
     labels = np.array([rows[i][1] for i in order], float)
-    model = Model(settings, vocabulary, weight, np.array([rows[i][0] for i in order], np.int64), labels, dense, example.astype(np.int32), value, starts[edges], most.reshape(v, blocks), prior, empty)
+    model = Model(settings, vocabulary, weight, np.array([rows[i][0] for i in order], np.int64), labels, dense, (dense > 0).astype(float), example.astype(np.int32), value, np.searchsorted(term, edges), example[first] // size, np.append(first, len(term)), most, np.searchsorted(term[first], edges), blocks, prior, empty)
     votes = []
-    for first in range(0, n, BATCH):
-        own = vectors[first : first + BATCH]
-        for i, (vector, part) in enumerate(zip(own, model.frequent(own), strict=True), first):
+    for at in range(0, n, BATCH):
+        own = vectors[at : at + BATCH]
+        for i, (vector, part) in enumerate(zip(own, model.frequent(own), strict=True), at):
             near, c, _ = model.nearest(*vector, skip=i, part=part)
             if len(near):
-                votes.append((model.vote(near, c), labels[i]))
+                votes.append((model.vote(near, c, vector[0])[0], labels[i]))
     model.knots = monotone(votes, prior)
     return model
 
@@ -251,9 +266,9 @@ def examples(docs: DataFrame, labels: DataFrame, settings: Settings, *, target:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, **how) -> Model:
-    """Build the index from the bounded examples; the driver gets tables that max_examples and max_terms bound.
+    """Build the index from the bounded examples: the driver gets their terms and counts, max_examples rows.
 
-    Ties among terms at that bound go to the lesser term. A text of any length is counted whole.
+    Every term of two examples or more counts. A text of any length is counted whole.
     """
     settings = settings or Settings()
     chosen = materialize(examples(docs, labels, settings, **how), "examples")
@@ -267,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
                 yield pa.RecordBatch.from_arrays([pa.array(list(words.counts(text)), pa.string())], ["term"])
 
     found = chosen.mapInArrow(presence, "term string").groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    top = found.orderBy(F.desc("n"), "term").limit(settings.max_terms).select("term").toPandas()["term"]
+    top = found.orderBy(F.desc("n"), "term").select("term").toPandas()["term"]
     vocabulary = {t: i for i, t in enumerate(top)}
 
     def vectors(batches: Iterator) -> Iterator:
@@ -288,12 +303,13 @@ class Scorer:
 
     def __init__(self, model: Model, bound: int = 50_000):
         self.model, self.words, self.memo, self.bound = model, Terms(model.vocabulary), {}, bound
+        self.names = list(model.vocabulary)
 
-    def __call__(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+    def __call__(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray, str | None]:
         return self.many([text])[0]
 
-    def many(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """The score, the nearest examples and their cosines of each text."""
+    def many(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray, str | None]]:
+        """The score, the nearest examples, their cosines and the telling term of each text."""
         from xxhash import xxh3_128_digest
 
         m, out = self.model, []
@@ -306,17 +322,19 @@ class Scorer:
             vectors = [m.vector(self.words.counts(t)) for t in new.values()]
             for k, vector, known in zip(new, vectors, m.frequent(vectors), strict=True):
                 i, c, _ = m.nearest(*vector, part=known)
-                self.memo[k] = min(1.0, max(0.0, m.probability(i, c))), i, c
+                p, term = m.judge(i, c, vector[0])
+                # A copy of the nearest few: the memo would keep all k alive.
+                self.memo[k] = min(1.0, max(0.0, p)), i[:EVIDENCE].copy(), c[:EVIDENCE].copy(), self.names[term] if term >= 0 else None
             out += [self.memo[k] for k in keys]
         return out
 
 
-def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
-    """doc_id, score, predicted, neighbours (ids of the nearest examples) and cosines of every whole text.
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, predicted, neighbours (ids of the nearest examples), their cosines and the telling term of every whole text.
 
-    The model is broadcast; its size is bounded by its settings. A null or empty text, or one without a known term,
+    The model is broadcast; max_examples bounds the rows that it is made of. A null or empty text, or one without a known term,
     gets the share of label 1 among such examples and is never predicted 1; a model of one label or none scores every
-    text BASE_RATE. Of equally near examples those of label 0 come first, then those of lesser place in the index.
+    text BASE_RATE. Of equally near examples those of lesser place in the index come first.
     Repeated rows and null ids give a row each; texts of any length are read whole. Nothing but text enters a score,
     and only doc_id and text are read, so other columns cannot clash. An empty table gives an empty one.
     """
@@ -328,14 +346,15 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
         m = shared.value
         scorer = Scorer(m)
         for b in batches:
-            scores, ids, cosines = [], [], []
-            for p, i, c in scorer.many(b.column(1).to_pylist()):
+            scores, ids, cosines, terms = [], [], [], []
+            for p, i, c, term in scorer.many(b.column(1).to_pylist()):
                 scores.append(p)
-                ids.append(m.ids[i[:evidence]].tolist())
-                cosines.append(c[:evidence].tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc_id", "score", "predicted", "neighbours", "cosines"])
+                ids.append(m.ids[i].tolist())
+                cosines.append(c.tolist())
+                terms.append(term)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(terms, pa.string())], ["doc_id", "score", "predicted", "neighbours", "cosines", "term"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, neighbours array<long>, cosines array<double>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, neighbours array<long>, cosines array<double>, term string")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -348,6 +367,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(shared.value)
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([p < 0.5 for p, _, _ in scorer.many(texts)], pa.bool_()))
+            yield b.filter(pa.array([p < 0.5 for p, *_ in scorer.many(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

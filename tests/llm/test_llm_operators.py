@@ -201,35 +201,57 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("dense", [0, 8])
-def test_toxicity_search_is_exact(dense):
-    """Neighbours (ties by place included), votes and scores equal those of a whole matrix of cosines."""
+def test_toxicity_is_plain_tf_idf(dense):
+    """Cosines, neighbours (ties by place included), votes and calibration against a matrix that is made from counts alone."""
     rng = np.random.default_rng(4)
-    say = lambda: {int(t): int(rng.integers(1, 4)) for t in rng.choice(50, rng.integers(0, 8), replace=False)}
+    say = lambda: {int(t): int(rng.integers(1, 4)) for t in rng.choice(60, rng.integers(0, 8), replace=False)}
     data = [(i, int(i % 3 == 0), say()) for i in range(700)]
     data += [(1000 + i, i % 2, dict(data[i % 5][2])) for i in range(60)]  # equal examples: ties at the k-th place
-    m = toxicity.fit(data, {f"t{i}": i for i in range(50)}, toxicity.Settings(block=16, wave=2, dense=dense, k=7))
-    matrix = np.zeros((len(data), 50))
-    at = {int(i): j for j, i in enumerate(m.ids)}
-    for i, _, c in data:
-        t, w = m.vector(c)
-        matrix[at[i], t] = w
+    s = toxicity.Settings(block=8, wave=2, dense=dense, k=7)
+    m = toxicity.fit(data, {f"t{i}": i for i in range(60)}, s)
+    of = {i: (y, c) for i, y, c in data}
+    n = len(data)
+    idf = [math.log((1 + n) / (1 + sum(t in c for _, _, c in data))) + 1 for t in range(60)]
+
+    def unit(c):
+        v = np.zeros(60)
+        for t, k in c.items():
+            v[t] = (1 + math.log(k)) * idf[t]
+        return v / (np.linalg.norm(v) or 1)
+
+    matrix = np.stack([unit(of[i][1]) for i in m.ids.tolist()])
+    y = np.array([of[i][0] for i in m.ids.tolist()])
+    prior = (y.sum() + 0.1) / (n + 1)
+
+    def brute(c, skip=None):
+        full = matrix @ unit(c)
+        if skip is not None:
+            full[skip] = 0
+        near = [i for i in np.lexsort((np.arange(n), -np.round(full, 12))) if full[i] > 1e-12][:7]
+        votes = {}
+        for t in c:
+            who = [(full[i] / full[near[0]], y[i]) for i in near if matrix[i, t] > 0] if near else []
+            every, ones = sum(w for w, _ in who), sum(w * b for w, b in who)
+            votes[t] = (ones - every * prior) / math.sqrt(every * prior * (1 - prior) + 0.5)
+        return near, full, sum(sorted(votes.values())[-3:])
+
+    own = [(brute(of[i][1], k), k) for k, i in enumerate(m.ids.tolist())]
+    knots = toxicity.monotone([(vote, float(y[k])) for (near, _, vote), k in own if near], prior)
+    assert np.allclose(knots[0], m.knots[0]) and np.allclose(knots[1], m.knots[1])
     skipped = 0
     for c in [say() for _ in range(60)] + [data[k][2] for k in range(5)]:
         t, w = m.vector(c)
-        q = np.zeros(50)
-        q[t] = w
-        full = matrix @ q
         near, cosines, read = m.nearest(t, w)
-        want = [i for i in np.lexsort((np.arange(len(full)), -np.round(full, 12))) if full[i] > 1e-12][:7]
+        want, full, vote = brute(c)
         assert np.allclose(cosines, full[want]) and (np.abs(full[near] - full[want]) < 1e-12).all()
         assert len(set(near.tolist())) == len(near)
-        skipped += read < m.most.shape[1]
+        skipped += read < m.blocks
+        p, term = m.judge(near, cosines, t)
         if len(want):
-            share = ((cosines**2) @ m.labels[near] + 0.5 * m.prior) / ((cosines**2).sum() + 0.5)
-            assert m.probability(near, cosines) == pytest.approx(float(np.interp(share, *m.knots)))
-            assert set(m.ids[near]) == {m.ids[i] for i in want} or full[want[-1]] == pytest.approx(np.sort(full)[-8])
+            if set(near.tolist()) == set(want):
+                assert p == pytest.approx(float(np.interp(vote, *knots))) and term in c
         else:
-            assert m.probability(near, cosines) == m.empty < 0.5
+            assert p == m.empty < 0.5 and term == -1
     assert skipped > 20  # bounds rule blocks out
 
 
@@ -270,20 +292,21 @@ def test_labels_of_one_kind_reject_nothing(spark, labels):
     assert corpus_pipeline.drop_toxic(spark, docs, folder).count() == docs.count()
 
 
-def test_toxicity_weighs_terms_by_their_association(spark):
+def test_toxicity_names_the_telling_term(spark):
     rng = random.Random(2)
     texts, labels = [], []
     for i in range(600):
-        bad = i % 2 == 0
-        mild = [w for w in ("alpha", "bravo", "delta", "gamma") if rng.random() < (0.9 if bad else 0.45)]
-        texts.append((i, " ".join(["plain", *mild])))
+        bad = i % 4 == 0
+        words = [f"w{rng.randrange(80)}" for _ in range(40)] + (["vile"] if bad else []) + (["rare"] if i % 97 == 0 else [])
+        texts.append((i, " ".join(words)))
         labels.append((i, int(bad)))
     docs = docs_of(spark, texts)
     m = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert set(m.vocabulary) == {"alpha", "bravo", "delta", "gamma", "plain"}  # every term of two examples
+    assert set(m.vocabulary) == {"vile", "rare", *(f"w{k}" for k in range(80))}  # every term of two examples
     scorer = toxicity.Scorer(m)
-    p, near, _ = scorer("alpha bravo delta gamma")
-    assert len(near) and p > 0.5 > scorer("plain alpha")[0]
+    p, near, cosines, term = scorer("w1 w2 w3 w4 w5 vile")
+    assert p > 0.5 and term == "vile" and len(near) == 3 and (np.diff(cosines) <= 0).all()
+    assert scorer("w1 w2 w3 w4 w5")[0] < 0.5
 
 
 # -- SimHash -------------------------------------------------------------------------------------------------------
