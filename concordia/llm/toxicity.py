@@ -160,8 +160,10 @@ class Model:
         has = self.has[np.ix_(t[:n], i)]
         rare = t[n:] - len(self.rows)
         many = self.begin[rare + 1] - self.begin[rare]
-        at, ends = self.example[_ranges(self.begin[rare], many)], np.cumsum(many)
-        under = lambda x: np.diff(np.concatenate([[0.0], np.concatenate([[0.0], np.cumsum(x[at])])[ends]]))
+        who, of = self.example[_ranges(self.begin[rare], many)], np.repeat(np.arange(len(rare)), many)
+        voters = cosine[who] > 0
+        who, of = who[voters], of[voters]
+        under = lambda x: np.bincount(of, weights=x[who], minlength=len(rare))
         every, ones = np.concatenate([has @ cosine[i], under(cosine)]), np.concatenate([has @ toxic[i], under(toxic)])
         z = (ones - every * self.prior) / np.sqrt(every * self.prior * (1 - self.prior) + self.settings.smoothing)
         return float(np.sort(z)[-self.settings.terms :].sum()), int(t[np.round(z, 9).argmax()])
