@@ -9,15 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordia.functions import canonical
 from concordia.plans.schema import EVENT
 
 
 def canonical_json(x: object) -> str:
-    """Sorted keys, no spaces, no non-finite numbers, non-ASCII as is."""
-    return _encode(x)
+    """RFC 8785: keys by UTF-16 code units, numbers as ECMAScript writes them, no spaces, non-ASCII as is."""
+    return canonical.encode(x)
 
 
-_encode = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode
+_encode = canonical.encode
+
+
+def preimage(stream: str, seq: int, kind: str | None, actor: str | None, at: str | None, prev: str | None, payload: str | None) -> str:
+    """The canonical JSON of an event, its keys in order; payload is a JSON text."""
+    body = _encode(json.loads(payload)) if payload else "null"
+    return f'{{"actor":{_encode(actor)},"event_type":{_encode(kind)},"payload":{body},"prev_hash":{_encode(prev)},"recorded_at":{_encode(at)},"seq":{seq},"stream":{_encode(stream)},"v":1}}'
 
 
 def chain(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -52,7 +59,7 @@ def chain(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
                     own = _encode(stream)
                 body = _encode(json.loads(payload)) if payload else "null"
                 link = "null" if prev is None else f'"{prev}"'
-                # The canonical JSON of the event: its keys in order.
+                # preimage() with what is the same for many events encoded once.
                 text = f'{{"actor":{quote(actor)},"event_type":{quote(kind)},"payload":{body},"prev_hash":{link},"recorded_at":{quote(None) if at is None else f'"{at}"'},"seq":{seq},"stream":{own},"v":1}}'
                 digest = hashlib.sha256(text.encode()).hexdigest()
                 seqs.append(seq)
@@ -101,7 +108,7 @@ def recomputed(events: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def digest(stream: pd.Series, seq: pd.Series, kind: pd.Series, actor: pd.Series, at: pd.Series, prev: pd.Series, payload: pd.Series) -> pd.Series:
         none = lambda x: None if pd.isna(x) else x
-        return pd.Series([hashlib.sha256(canonical_json({"v": 1, "stream": s, "seq": int(q), "event_type": k, "actor": none(a), "recorded_at": t, "prev_hash": none(p), "payload": json.loads(x) if none(x) else None}).encode()).hexdigest() for s, q, k, a, t, p, x in zip(stream, seq, kind, actor, at, prev, payload, strict=True)])
+        return pd.Series([hashlib.sha256(preimage(s, int(q), k, none(a), none(t), none(p), none(x)).encode()).hexdigest() for s, q, k, a, t, p, x in zip(stream, seq, kind, actor, at, prev, payload, strict=True)])
 
     at = F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return events.where(~digest("stream", "seq", "event_type", "actor", at, "prev_hash", "payload_canonical").eqNullSafe(F.col("hash")))

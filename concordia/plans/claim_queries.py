@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from concordia.functions import text, values
@@ -11,6 +9,8 @@ from concordia.operators import audit, claims, confidence, conflicts, documents,
 from concordia.plans import policy
 from concordia.plans.queries import _CLAIMS, KEYS, _component_claims, _jobs, _JOBS, _supplier_claims, line_claims, query, table
 from concordia.plans.schema import claim_checks, violations
+from concordia.sources.folders import checkpoint_folder
+from concordia.streaming import streams
 
 
 # -- candidates and checks -----------------------------------------------------------------------------------------
@@ -232,36 +232,56 @@ def indexed_documents(spark, sf_dir):
 
 # -- audit ---------------------------------------------------------------------------------------------------------
 
-_FULL = """e AS (SELECT 'doc:' || user_id AS stream, event_id, event_type AS t, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type, '{"event_id":' || event_id || '}') - 1 AS seq FROM events),
-b AS (SELECT stream, event_id, seq, '{"actor":"driver","event_type":"' || t || '","payload":{"event_id":' || event_id || '},"prev_hash":' AS head, ',"recorded_at":"' || stamp || '","seq":' || seq || ',"stream":"' || stream || '","v":1}' AS tail FROM e),
+_STREAM = "CASE WHEN event_id % 3 = 0 THEN 'run:' || event_type ELSE 'doc:' || user_id END"
+_FULL = f"""e AS (SELECT {_STREAM} AS stream, event_id, event_type AS t, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp, row_number() OVER (PARTITION BY {_STREAM} ORDER BY ts, event_type, '{{"event_id":' || event_id || '}}') - 1 AS seq FROM events),
+b AS (SELECT stream, event_id, seq, '{{"actor":"driver","event_type":"' || t || '","payload":{{"event_id":' || event_id || '}},"prev_hash":' AS head, ',"recorded_at":"' || stamp || '","seq":' || seq || ',"stream":"' || stream || '","v":1}}' AS tail FROM e),
 h AS (SELECT stream, event_id, seq, CAST(NULL AS VARCHAR) AS prev_hash, sha256(head || 'null' || tail) AS hash FROM b WHERE seq = 0 UNION ALL SELECT b.stream, b.event_id, b.seq, h.hash, sha256(b.head || '"' || h.hash || '"' || b.tail) FROM h JOIN b ON b.stream = h.stream AND b.seq = h.seq + 1)"""
 
 
-def _chained(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("doc:"), "user_id").alias("stream"), F.col("user_id").cast("string").alias("document_id"), "event_type", F.lit("driver").alias("actor"), F.to_json(F.struct("event_id")).alias("payload_canonical"), F.col("ts").cast("timestamp").alias("recorded_at"))
-    return audit.chain(e)
+def _audited(spark, sf_dir):
+    """Events of documents and of runs (every third event, by type), as audit events."""
+    e = table(spark, sf_dir, "events")
+    run = F.col("event_id") % 3 == 0
+    stream = F.when(run, F.concat(F.lit("run:"), "event_type")).otherwise(F.concat(F.lit("doc:"), "user_id"))
+    return e.select(stream.alias("stream"), F.when(~run, F.col("user_id").cast("string")).alias("document_id"), "event_type", F.lit("driver").alias("actor"), F.to_json(F.struct("event_id")).alias("payload_canonical"), F.col("ts").cast("timestamp").alias("recorded_at"))
 
 
 @query(f"WITH RECURSIVE {_FULL} SELECT stream, seq, prev_hash, hash FROM h")
 def preimage_chain(spark, sf_dir):
     """Each hash over the canonical JSON of the whole event and the hash before it."""
-    return _chained(spark, sf_dir).select("stream", "seq", "prev_hash", "hash")
+    return audit.chain(_audited(spark, sf_dir)).select("stream", "seq", "prev_hash", "hash")
 
 
 @query(f"WITH RECURSIVE {_FULL} SELECT stream, seq FROM h WHERE event_id % 50 = 0")
 def tampered_events(spark, sf_dir):
     """Every event is hashed anew; those whose payload was changed afterwards don't have their hash."""
-    c = _chained(spark, sf_dir)
+    c = audit.chain(_audited(spark, sf_dir))
     changed = F.get_json_object("payload_canonical", "$.event_id").cast("long") % 50 == 0
     return audit.recomputed(c.withColumn("payload_canonical", F.when(changed, F.lit('{"event_id":-1}')).otherwise(F.col("payload_canonical")))).select("stream", "seq")
 
 
-@query(f"WITH RECURSIVE {_FULL} SELECT 'run:' || stream AS stream, seq + 1 AS seq, hash FROM h WHERE false UNION ALL SELECT stream, max(seq) AS seq, arg_max(hash, seq) AS hash FROM h GROUP BY stream")
+_CUTS = ("2024-01-11", "2024-01-16")
+
+
+@query(f"WITH RECURSIVE {_FULL} SELECT stream, max(seq) AS seq, arg_max(hash, seq) AS hash FROM h GROUP BY stream")
 def continued_chain_tips(spark, sf_dir):
-    """Tips of streams that were stored in two goes, the second continuing the first, equal those of one go."""
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("doc:"), "user_id").alias("stream"), F.col("user_id").cast("string").alias("document_id"), "event_type", F.lit("driver").alias("actor"), F.to_json(F.struct("event_id")).alias("payload_canonical"), F.col("ts").cast("timestamp").alias("recorded_at"))
-    cut = F.lit("2024-01-16").cast("timestamp")
+    """Tips of document and run streams that were stored in two goes, the second continuing the first, equal those of one go."""
+    e = _audited(spark, sf_dir)
+    cut = F.lit(_CUTS[1]).cast("timestamp")
     first = audit.chain(e.where(F.col("recorded_at") < cut))
     second = audit.chain(e.where(F.col("recorded_at") >= cut), start=audit.tips(first))
-    both = reduce(lambda a, b: a.unionByName(b), [x.select("stream", "seq", "hash") for x in (first, second)])
-    return audit.tips(both)
+    return audit.tips(first.select("stream", "seq", "hash").unionByName(second.select("stream", "seq", "hash")))
+
+
+@query(f"WITH RECURSIVE {_FULL} SELECT stream, seq, prev_hash, hash FROM h")
+def streamed_chain(spark, sf_dir):
+    """The same chains by a stream whose state is the tips, fed in three goes."""
+    folder, e, before = checkpoint_folder(spark), _audited(spark, sf_dir), None
+    for cut in (*_CUTS, None):
+        at = F.col("recorded_at")
+        late = at < F.lit(cut).cast("timestamp") if cut else F.lit(True)
+        e.where(late & (at >= F.lit(before).cast("timestamp") if before else F.lit(True))).write.mode("append").parquet(f"{folder}/events")
+        arrived = spark.readStream.schema(e.schema).parquet(f"{folder}/events")
+        streams.append_batches(streams.chained(arrived), f"{folder}/chain", f"{folder}/checkpoint").awaitTermination()
+        before = cut
+    return spark.read.parquet(f"{folder}/chain").select("stream", "seq", "prev_hash", "hash")

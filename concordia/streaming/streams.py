@@ -92,6 +92,54 @@ def leases(events: DataFrame, lease_seconds: int = 900, *, late: str = "0 second
     return rows.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, owner string, at timestamp, cause string", STATE, "append", "EventTimeTimeout")
 
 
+CHAINED = "stream string, document_id string, seq long, prev_hash string, hash string, event_type string, actor string, payload_canonical string, recorded_at timestamp"
+
+
+def chained(events: DataFrame) -> DataFrame:
+    """Audit events (the columns that audit.chain() takes) as they arrive, linked to the tip of their stream.
+
+    A stream's state is its tip alone: the last number and hash, which only the task that holds the stream's state
+    continues, so that writers whose events come in any order and at once never fork a chain. Events of one micro-batch
+    are taken in the order of (recorded_at, event_type, payload), later batches follow; a late event is linked where it
+    arrives. A micro-batch that is run again starts from the same tips and gives the same hashes. The events of one
+    stream in one micro-batch are sorted together; maxFilesPerTrigger bounds them.
+    """
+
+    def step(key, batches: Iterator, state) -> Iterator:
+        import hashlib
+
+        import pandas as pd
+
+        from concordia.operators.audit import preimage
+
+        seq, prev = state.get if state.exists else (-1, None)
+        rows = pd.concat(list(batches)).sort_values(["recorded_at", "event_type", "payload_canonical"], kind="stable")
+        seqs, prevs, hashes = [], [], []
+        none = lambda x: None if pd.isna(x) else x
+        for kind, actor, payload, at in zip(rows["event_type"], rows["actor"], rows["payload_canonical"], rows["at"], strict=True):
+            seq += 1
+            text = preimage(key[0], seq, none(kind), none(actor), none(at), prev, none(payload))
+            seqs.append(seq)
+            prevs.append(prev)
+            prev = hashlib.sha256(text.encode()).hexdigest()
+            hashes.append(prev)
+        state.update((seq, prev))
+        yield pd.DataFrame({"stream": key[0], "document_id": rows["document_id"], "seq": seqs, "prev_hash": prevs, "hash": hashes, "event_type": rows["event_type"], "actor": rows["actor"], "payload_canonical": rows["payload_canonical"], "recorded_at": rows["recorded_at"]})
+
+    at = F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at")
+    rows = events.select("stream", "document_id", "event_type", "actor", "payload_canonical", "recorded_at", at)
+    return rows.groupBy("stream").applyInPandasWithState(step, CHAINED, "seq long, hash string", "append", "NoTimeout")
+
+
+def append_batches(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append each micro-batch under its own number, so that one that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now and return what it gave, for tests and backfills."""
     q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
