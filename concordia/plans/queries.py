@@ -594,12 +594,12 @@ def field_gaps(spark, sf_dir):
 
 
 def queries() -> dict:
-    from concordia.plans import claim_queries, search_queries  # noqa: F401  register their own
+    from concordia.plans import claim_queries, evidence_queries, search_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from concordia.plans import claim_queries, search_queries  # noqa: F401
+    from concordia.plans import claim_queries, evidence_queries, search_queries  # noqa: F401
 
     return dict(SQL)
