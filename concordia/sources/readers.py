@@ -66,18 +66,20 @@ class _SheetReader(DataSourceReader):
 
     def read(self, partition):
         import csv
+        import io
 
         import pyarrow.fs
 
         fs, path = pyarrow.fs.FileSystem.from_uri(partition.path)
-        with fs.open_input_stream(path) as f:
-            lines = csv.reader(f.read().decode("utf-8-sig").splitlines(), delimiter=self.sep)
-        for _ in range(self.header - 1):
-            next(lines, None)
-        head = next(lines, [])
-        at = [head.index(n) if n in head else None for n in self.names]
-        for row in lines:
-            yield tuple(row[i] if i is not None and i < len(row) and row[i] != "" else None for i in at)
+        # Rows are read from the stream as they are needed, and a quoted cell keeps its line ends.
+        with fs.open_input_stream(path) as f, io.TextIOWrapper(f, "utf-8-sig", newline="") as text:
+            lines = csv.reader(text, delimiter=self.sep)
+            for _ in range(self.header - 1):
+                next(lines, None)
+            head = next(lines, [])
+            at = [head.index(n) if n in head else None for n in self.names]
+            for row in lines:
+                yield tuple(row[i] if i is not None and i < len(row) and row[i] != "" else None for i in at)
 
 
 class SheetSource(DataSource):
