@@ -404,7 +404,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
         fresh = not now.where("not linked").isEmpty()
         judged = now if judged is None else judged.unionByName(now)
         roots = materialize(components(judged.where("linked").select("a", "b")), "roots")
-        if not fresh:  # every candidate edge holds, so what they connected is connected
+        if not fresh or forests is None:  # every candidate edge holds, so what they connected is connected; or all were judged
             break
         # A refused edge may have stood for a true link: the rows around it are paired again, without the refused pairs.
         tries = judged.where("not linked").select("a", "b").distinct()
