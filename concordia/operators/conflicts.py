@@ -200,11 +200,16 @@ def detect(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name")
     return out.select(*keys, _side("l", columns), _side("r", columns), "conflicts", "conflict_class", "reason", "severity")
 
 
+def said(s: Column) -> Column:
+    """A side's value with its unit and source, as an explanation names it."""
+    return F.concat_ws(" ", F.coalesce(s["canon"], F.lit("nothing")), s["unit"], F.concat(F.lit("("), F.coalesce(s["source_id"], F.lit("no source")), F.lit(")")))
+
+
 def queue(detected: DataFrame, as_of: Column, keys: tuple[str, ...] = (*COMPONENT, "field_name")) -> DataFrame:
     """Conflict queue entries: an id that depends on the content alone, both candidates in order, no resolution yet."""
     entry = F.sha2(F.to_json(F.struct(*keys, "l.ord", F.col("r.ord").alias("r_ord"))), 256)
     one = lambda s: F.struct(s["value"].alias("value"), s["unit"].alias("unit"), s["source_tier"].alias("source_tier"), s["source_ref"].alias("source_ref"), s["confidence"].alias("confidence"))
-    return detected.where("conflicts").select(entry.alias("entry_id"), *keys, "conflict_class", "severity", F.array(one(F.col("l")), one(F.col("r"))).alias("candidates"), F.col("reason").alias("explanation"), as_of.alias("detected_at"), F.lit(None).cast("struct<action:string,resolved_by:string,resolved_at:timestamp,rationale:string,value_before:string,value_after:string>").alias("resolution"))
+    return detected.where("conflicts").select(entry.alias("entry_id"), *keys, "conflict_class", "severity", F.array(one(F.col("l")), one(F.col("r"))).alias("candidates"), F.concat(F.col("reason"), F.lit(": "), said(F.col("l")), F.lit(" against "), said(F.col("r"))).alias("explanation"), as_of.alias("detected_at"), F.lit(None).cast("struct<action:string,resolved_by:string,resolved_at:timestamp,rationale:string,value_before:string,value_after:string>").alias("resolution"))
 
 
 def blocking(conflicts: DataFrame, threshold: int) -> DataFrame:

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Leading bytes (hex) of formats; Office files are told apart by names inside the archive.
 SIGNATURES = [("25504446", "pdf"), ("FFD8FF", "jpg"), ("89504E470D0A1A0A", "png"), ("49492A00", "tif"), ("4D4D002A", "tif"), ("424D", "bmp")]
-#: Words by which documents are classed, in the order in which they are tried.
-DOCUMENT_WORDS = [("warranty", "warranty"), ("purchase order", "purchase_order"), ("terms and conditions", "terms_and_conditions"), ("terms of service", "contract_tos"), ("agreement", "contract_tos"), ("contract", "contract_tos"), ("regulation", "environmental_regulation"), ("price", "pricing"), ("quotation", "pricing"), ("datasheet", "spec_sheet"), ("data sheet", "spec_sheet"), ("certificate", "technical_documentation"), ("test report", "technical_documentation"), ("manual", "technical_documentation")]
+#: What speaks for a document type, and how much. A type is told by the sum of weight * log(1 + occurrences) over its words.
+EVIDENCE = [
+    ("warranty", "warranty", 2.0), ("warranted", "warranty", 1.0), ("purchase order", "purchase_order", 3.0), ("ship to", "purchase_order", 1.0), ("terms and conditions", "terms_and_conditions", 3.0),
+    ("terms of service", "contract_tos", 3.0), ("agreement", "contract_tos", 1.5), ("contract", "contract_tos", 1.0), ("hereinafter", "contract_tos", 1.5), ("regulation", "environmental_regulation", 1.5), ("emission", "environmental_regulation", 1.0),
+    ("price", "pricing", 1.0), ("quotation", "pricing", 2.5), ("datasheet", "spec_sheet", 3.0), ("data sheet", "spec_sheet", 3.0), ("nominal", "spec_sheet", 1.0), ("certificate", "technical_documentation", 2.0), ("test report", "technical_documentation", 3.0), ("manual", "technical_documentation", 1.5),
+]
+#: The least score that decides, and by how much the best type must lead the second.
+DECIDED, LEAD = 1.0, 0.5
 UNIT_ALIASES = {"%/°c": "%/k", "%/degc": "%/k", "%/k": "%/k", "wp": "wp", "watt": "w", "watts": "w", "volt": "v", "volts": "v", "amp": "a", "amps": "a"}
 
 
@@ -31,9 +42,10 @@ def content_signature(content: Column) -> Column:
         out = F.when(F.startswith(head, F.lit(magic)), name).otherwise(out)
     has = lambda s: F.contains(content, F.lit(s.encode()))
     zipped = F.startswith(head, F.lit("504B0304"))
+    kind = _archive_kind(F.when(zipped, content))  # other contents aren't sent to Python
     printable = ~has("\0") & (F.octet_length(content) > 0)
     return (
-        F.when(zipped & has("word/"), "docx").when(zipped & has("xl/"), "xlsx").when(zipped, "zip")
+        F.when(zipped, kind)
         .when(F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "webp")
         .when(F.substring(head, 9, 8) == "66747970", F.when(F.substring(head, 17, 8).isin("68656963", "68656978", "68657663", "68657678", "6D696631"), "heic"))
         .when(out.isNotNull(), out)
@@ -42,13 +54,34 @@ def content_signature(content: Column) -> Column:
     )
 
 
+def type_scores(text: Column) -> Column:
+    """array<struct<score, type>> of the document types, the best first; ties by name."""
+    low, by = F.lower(text), {}
+    for word, name, weight in EVIDENCE:
+        n = (F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))) / len(word)
+        by[name] = by.get(name, F.lit(0.0)) + weight * F.log1p(n)
+    return F.reverse(F.array_sort(F.array(*[F.struct(F.round(s, 9).alias("score"), F.lit(name).alias("type")) for name, s in by.items()])))
+
+
 def classify(text: Column) -> Column:
-    """One of the eight document types by its words; null, which is for a person to say, where none occurs."""
-    low = F.lower(text)
-    out = F.lit(None).cast("string")
-    for word, name in reversed(DOCUMENT_WORDS):
-        out = F.when(F.contains(low, F.lit(word)), name).otherwise(out)
-    return out
+    """The document type that the evidence of all words tells, null where it is weak or two types are close: that is for a person to say."""
+    return F.transform(F.array(type_scores(text)), lambda s: F.when((s[0]["score"] >= DECIDED) & (s[0]["score"] - s[1]["score"] >= LEAD), s[0]["type"]))[0]
+
+
+@F.pandas_udf(StringType())
+def _archive_kind(content: pd.Series) -> pd.Series:
+    """What a ZIP archive is by the member names in its directory, not by bytes that stand anywhere: docx, xlsx or zip."""
+
+    def kind(raw) -> str | None:
+        if raw is None:
+            return None
+        try:
+            names = zipfile.ZipFile(io.BytesIO(raw)).namelist()
+        except (zipfile.BadZipFile, ValueError):
+            return "zip"
+        return "docx" if "word/document.xml" in names else "xlsx" if "xl/workbook.xml" in names else "zip"
+
+    return content.map(kind, na_action="ignore")
 
 
 def normalize_unit(raw: Column) -> Column:

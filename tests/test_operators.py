@@ -1,6 +1,7 @@
 """Cases of the operators: verdicts, severity, identity, guards, chains, chunks, sinks and streams."""
 
 import datetime as dt
+import io
 import zipfile
 
 import pytest
@@ -290,8 +291,15 @@ def test_audit(spark):
 
 
 def test_documents(spark):
+    def archive(*names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in names:
+                z.writestr(n, "xl/workbook.xml stands in the bytes of this member, which is stored")
+        return out.getvalue()
+
     sig = lambda b: spark.range(1).select(documents.content_signature(F.lit(b))).first()[0]
-    assert [sig(x) for x in (b"%PDF-1.7", b"\xff\xd8\xff\xe0", b"\x89PNG\r\n\x1a\n", b"a,b\n1,2", b"RIFF\x00\x00\x00\x00WEBP", b"\x00\x00\x00\x18ftypheic", b"\x00\x01", b"PK\x03\x04..xl/workbook")] == ["pdf", "jpg", "png", "csv", "webp", "heic", "unknown", "xlsx"]
+    assert [sig(x) for x in (b"%PDF-1.7", b"\xff\xd8\xff\xe0", b"\x89PNG\r\n\x1a\n", b"a,b\n1,2", b"RIFF\x00\x00\x00\x00WEBP", b"\x00\x00\x00\x18ftypheic", b"\x00\x01", archive("xl/workbook.xml"), archive("word/document.xml"), archive("notes/xl/workbook.xml", "word/ xl/workbook.xml"), b"PK\x03\x04 xl/workbook.xml")] == ["pdf", "jpg", "png", "csv", "webp", "heic", "unknown", "xlsx", "docx", "zip", "zip"]
     unit = lambda s: tuple(spark.range(1).select(documents.normalize_unit(F.lit(s)).alias("u")).first()["u"])[:2]
     assert [unit(x) for x in ("1,500 V", "0,35 %/°C", "1.234,5 kW", "abc")] == [(1500.0, "v"), (0.35, "%/k"), (1234.5, "kw"), (None, "abc")]
     d = spark.createDataFrame([("a", " ".join(map(str, range(25)))), ("b", ""), ("c", None), ("d", "one")], "document_id string, text string")
@@ -372,7 +380,18 @@ def test_documents_are_typed_by_their_whole_content(spark, tmp_path):
     from concordia.sources.readers import files, ingest
 
     long = b"x" * (1 << 17)
-    contents = [(long + b",y\n1,2", "csv"), (b"a;b\n" + b"1;2\n" * 9, "csv"), (b"<p>a,b\n<p>c,d", "unknown"), (b"one, two\nthree", "unknown"), (b"a\tb\r\nc\td", "csv"), (b"\0\0\0\x18ftyphevc", "heic"), (b"a,b" + long + b"\0", "unknown"), (b"PK\x03\x04" + long + b"word/document.xml", "docx"), (b"PK\x03\x04" + long + b"xl/workbook.xml", "xlsx")]
+
+    def office(name):
+        """An archive whose telling member comes after a large one that names the other format."""
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("media/image.bin", long + b"word/document.xml xl/workbook.xml")
+            z.writestr(name, "x")
+        return out.getvalue()
+
+    kind = lambda t: spark.range(1).select(documents.classify(F.lit(t))).first()[0]
+    assert [kind(t) for t in ("One contract was named.", "The contract and this contract, an agreement", "Price list and contract, price and contract", "DATA SHEET of the contract", "", None)] == [None, "contract_tos", None, "spec_sheet", None, None]
+    contents = [(long + b",y\n1,2", "csv"), (b"a;b\n" + b"1;2\n" * 9, "csv"), (b"<p>a,b\n<p>c,d", "unknown"), (b"one, two\nthree", "unknown"), (b"a\tb\r\nc\td", "csv"), (b"\0\0\0\x18ftyphevc", "heic"), (b"a,b" + long + b"\0", "unknown"), (office("word/document.xml"), "docx"), (office("xl/workbook.xml"), "xlsx"), (office("xl/other.xml"), "zip"), (b"PK\x03\x04" + long + b"xl/workbook.xml", "zip")]
     df = spark.createDataFrame([(i, bytearray(c)) for i, (c, _) in enumerate(contents)], "i int, c binary")
     got = df.select("i", documents.content_signature(F.col("c")).alias("s")).collect()
     assert [r["s"] for r in sorted(got)] == [s for _, s in contents]
