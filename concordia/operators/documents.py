@@ -182,7 +182,3 @@ def fall_back(documents: DataFrame, engines: list) -> DataFrame:
         failed = audited.where("parse_status = 'parse_failed'")
         rest = failed.select(*documents.columns)
     return done.unionByName(failed)
-
-
-def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("__rn = 1").drop("__rn")

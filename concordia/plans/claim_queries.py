@@ -16,21 +16,21 @@ from concordia.streaming import streams
 # -- candidates and checks -----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_CLAIMS} SELECT field_name, tier AS source_tier, 'v1' AS stamped, count(*) AS n FROM c GROUP BY ALL")
+@query(f"WITH {_CLAIMS} SELECT CAST(part AS VARCHAR) AS model, field_name, tier AS source_tier, 'v1' AS stamped, count(*) AS n, max(v) AS top FROM c GROUP BY ALL")
 def stamped_candidates(spark, sf_dir):
     c = claims.as_candidates(_component_claims(spark, sf_dir))
-    return c.groupBy("field_name", "source_tier", F.col("source_ref.extractor_version").alias("stamped")).agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("model", "field_name", "source_tier", F.col("source_ref.extractor_version").alias("stamped")).agg(F.count(F.lit(1)).alias("n"), F.max("value.num").alias("top"))
 
 
-@query(f"WITH {_CLAIMS} SELECT field_name, count_if(basis IS NULL) AS n_unstated, count(*) AS n FROM c GROUP BY ALL")
+@query(f"WITH {_CLAIMS} SELECT part, field_name, count_if(basis IS NULL) AS n_unstated, count(*) AS n FROM c GROUP BY ALL")
 def unstated_conditions(spark, sf_dir):
-    return line_claims(spark, sf_dir).groupBy("field_name").agg(F.count_if(conflicts.is_unstated(F.col("condition"))).alias("n_unstated"), F.count(F.lit(1)).alias("n"))
+    return line_claims(spark, sf_dir).groupBy(*KEYS).agg(F.count_if(conflicts.is_unstated(F.col("condition"))).alias("n_unstated"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_CLAIMS} SELECT v < 5 AS missing, tier = 'web_supplement' AS web, count(*) AS n FROM c GROUP BY ALL")
+@query(f"WITH {_CLAIMS} SELECT part, v < 5 AS missing, tier = 'web_supplement' AS web, count(*) AS n FROM c GROUP BY ALL")
 def missing_and_web(spark, sf_dir):
     c = line_claims(spark, sf_dir).withColumn("value", F.when(F.col("value.num") >= 5, F.col("value")))
-    return c.groupBy(claims.is_missing().alias("missing"), claims.is_web_supplemented().alias("web")).agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("part", claims.is_missing().alias("missing"), claims.is_web_supplemented().alias("web")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 1 THEN 'resolved_has_resolution' END, CASE WHEN o_orderstatus = 'P' THEN 'conflict_status' END) AS broken FROM orders")

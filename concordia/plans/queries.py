@@ -83,10 +83,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detected(spark, sf_dir).groupBy("field_name", "conflicts", "conflict_class", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_PAIRS} SELECT field_name, count(*) AS n_pairs, count(DISTINCT part) AS n_parts FROM p GROUP BY ALL")
+@query(f"WITH {_PAIRS} SELECT part, field_name, count(*) AS n_pairs, sum(av * bv) AS products, max(abs(av - bv)) AS farthest FROM p GROUP BY ALL")
 def comparison_pairs(spark, sf_dir):
     slim = line_claims(spark, sf_dir).select(*KEYS, F.struct("document_id", "source_ref.section", "value.num", "source_tier", "confidence", "condition.basis").alias("ord"), "condition")
-    return conflicts.comparison_pairs(slim, KEYS).groupBy("field_name").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("part").alias("n_parts"))
+    return conflicts.comparison_pairs(slim, KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("l.ord.num") * F.col("r.ord.num")).alias("products"), F.max(F.abs(F.col("l.ord.num") - F.col("r.ord.num"))).alias("farthest"))
 
 
 @query(f"WITH {_PAIRS} SELECT t.threshold, count_if(s.sev > t.threshold) AS n_blocking, count_if(s.sev > t.threshold) > 0 AS blocks FROM s, (VALUES (2), (3)) t(threshold) GROUP BY ALL")
@@ -113,10 +113,10 @@ def contradictions(spark, sf_dir):
     return found.select(F.col("model").cast("long").alias("part"), F.col("document_id").cast("long").alias("document_id"), F.get_json_object("condition_text", "$.basis").alias("basis"), "n_asserted")
 
 
-@query(f"WITH {_CLAIMS}, u AS (SELECT DISTINCT part, field_name, doc, basis, v, tier, confidence, l_linenumber, l_suppkey FROM c) SELECT field_name, count(*) AS n FROM u GROUP BY ALL")
+@query(f"WITH {_CLAIMS}, u AS (SELECT DISTINCT part, field_name, doc, basis, v, tier, confidence, l_linenumber, l_suppkey FROM c) SELECT CAST(part AS VARCHAR) AS model, field_name, count(*) AS n, max(v) AS top, min(doc) AS first_document FROM u GROUP BY ALL")
 def canonical_claims(spark, sf_dir):
     c = _component_claims(spark, sf_dir)
-    return claims.canonical_claims(c.unionByName(c)).groupBy("field_name").agg(F.count(F.lit(1)).alias("n"))
+    return claims.canonical_claims(c.unionByName(c)).groupBy("model", "field_name").agg(F.count(F.lit(1)).alias("n"), F.max("value.num").alias("top"), F.min(F.col("document_id").cast("long")).alias("first_document"))
 
 
 @query(f"WITH {_CLAIMS} SELECT part, basis, count(*) AS n_members, min(v) AS least FROM c GROUP BY ALL")
@@ -441,10 +441,10 @@ def visible_conflicts(spark, sf_dir):
     return security.visible_conflicts(entries, cand.select("entry_id", "claim_id"), cand.select("claim_id", "document_id").distinct(), docs, security.Principal())
 
 
-@query("SELECT count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def orphaned_rows(spark, sf_dir):
     parents = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
-    return security.orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", parents, "o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return security.orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", parents, "o_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
 # -- audit ---------------------------------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Sinks: byte-deterministic archives and JSON projections, workbook tabs, and partition overwrites."""
+"""Sinks: byte-deterministic archives and JSON projections, and workbook tabs."""
 
 from __future__ import annotations
 
@@ -111,13 +111,3 @@ def write_workbook(tabs: dict[str, DataFrame], dest: str | Path) -> Path:
             cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for v in row) + "</row>" for row in rows)
             z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>{cells}</sheetData></worksheet>')
     return normalize_archive(dest)
-
-
-def overwrite_fields(store: DataFrame, path: str) -> None:
-    """Replace just the partitions (field_name) that store holds; one job is the only writer."""
-    store.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("field_name").parquet(path)
-
-
-def append_only(df: DataFrame, path: str) -> None:
-    """The only way in which append-only tables are written."""
-    df.write.mode("append").parquet(path)

@@ -424,3 +424,7 @@ def test_stages(spark):
     assert out["detect_conflicts"].count() == 1
     with pytest.raises(ValueError):
         run_stages({"x": None}, {})
+
+
+def test_fixture_bytes():
+    assert sinks.fixture_bytes({"b": [1], "a": "é"}) == '{\n  "a": "é",\n  "b": [\n    1\n  ]\n}\n'.encode()
