@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from concordia.plans import policy
+
 # Leading bytes (hex) of formats; Office files are told apart by names inside the archive.
 SIGNATURES = [("25504446", "pdf"), ("FFD8FF", "jpg"), ("89504E470D0A1A0A", "png"), ("49492A00", "tif"), ("4D4D002A", "tif"), ("424D", "bmp")]
 #: What speaks for a document type, and how much. A type is told by the sum of weight * log(1 + occurrences) over its words.
@@ -20,6 +22,8 @@ EVIDENCE = [
 ]
 #: The least score that decides, and by how much the best type must lead the second.
 DECIDED, LEAD = 1.0, 0.5
+#: Units as they are printed of peak and alternating power, for the family that they are compared in.
+PRINTED_UNITS = {"wp": "w", "kwp": "kw", "mwp": "mw", "wac": "w", "kwac": "kw", "mwac": "mw"}
 UNIT_ALIASES = {"%/°c": "%/k", "%/degc": "%/k", "%/k": "%/k", "wp": "wp", "watt": "w", "watts": "w", "volt": "v", "volts": "v", "amp": "a", "amps": "a"}
 
 
@@ -94,6 +98,16 @@ def normalize_unit(raw: Column) -> Column:
     return F.struct(point.try_cast("double").alias("value"), F.nullif(F.coalesce(F.try_element_at(table, unit), unit), F.lit("")).alias("unit"), raw.alias("verbatim"))
 
 
+def canonical_quantity(raw: Column) -> Column:
+    """struct(value, unit, family, base) of a printed quantity: base is the value in its family's base unit, null for an unknown unit."""
+
+    def of(n: Column) -> Column:
+        unit = policy.unit_base(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRINTED_UNITS.items() for x in kv]), n["unit"]), n["unit"]))
+        return F.struct(n["value"].alias("value"), n["unit"].alias("unit"), unit["family"].alias("family"), (n["value"] * unit["factor"]).alias("base"))
+
+    return F.transform(F.array(normalize_unit(raw)), of)[0]
+
+
 def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concordia.functions import udfs
-from concordia.operators import aliases, claims, roles, severity_sets
+from concordia.operators import aliases, claims, documents, roles, severity_sets
 from concordia.plans.queries import _CLAIMS, _PAIRS, KEYS, line_claims, query, table
 from concordia.sources.folders import checkpoint_folder
 from concordia.sources.store import Store
@@ -127,3 +127,13 @@ def named_severities(spark, sf_dir):
     udfs.register(spark)
     table(spark, sf_dir, "orders").createOrReplaceTempView("named_orders")
     return spark.sql("SELECT o_orderkey, severity_name(CAST(o_orderkey % 6 AS INT)) AS severity, round(relative_gap(o_totalprice, 1000.0), 6) AS gap FROM named_orders")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity + 0.5 AS value, u AS unit, CASE WHEN u = 'furlong' THEN NULL WHEN u = 'mwh' THEN 'wh' ELSE 'w' END AS family, round((l_quantity + 0.5) * CASE u WHEN 'kwp' THEN 1000.0 WHEN 'mwh' THEN 1000000.0 WHEN 'wp' THEN 1.0 END, 3) AS base
+FROM (SELECT *, list_extract(['kwp', 'mwh', 'wp', 'furlong'], CAST(l_partkey % 4 + 1 AS INTEGER)) AS u FROM lineitem)""")
+def canonical_quantities(spark, sf_dir):
+    """Printed quantities in the base unit of their family; an unknown unit has none."""
+    li = table(spark, sf_dir, "lineitem")
+    unit = F.element_at(F.array(F.lit("kWp"), F.lit("MWh"), F.lit(" Wp"), F.lit("furlong")), (F.col("l_partkey") % 4 + 1).cast("int"))
+    q = documents.canonical_quantity(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".5 "), unit))
+    return li.withColumn("q", q).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q.value", "q.unit", "q.family", F.round("q.base", 3).alias("base"))

@@ -49,6 +49,22 @@ def ingest(raw: DataFrame, existing: DataFrame, parsers: dict[str, Callable]) ->
     return docs, elements
 
 
+def routed(docs: DataFrame, elements: DataFrame, *, least_chars: int = 200) -> DataFrame:
+    """docs with pages, thin_pages and route: what is to be done with each document next.
+
+    ``failed`` where a parser raised or was missing, ``ocr`` where more than half of the pages have fewer than
+    least_chars characters of text, ``review`` where the evidence tells no type, else ``index``. Pages are counted from
+    elements; a document without any has route failed.
+    """
+    size = F.coalesce(F.sum(F.length("text")), F.lit(0))
+    pages = elements.where("kind <> 'parse_failed'").groupBy("content_hash", "page").agg(size.alias("chars"))
+    read = pages.groupBy("content_hash").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("chars") < least_chars).alias("thin_pages"))
+    broken = elements.where("kind = 'parse_failed'").select("content_hash", F.lit(True).alias("__failed")).distinct()
+    out = docs.join(read, "content_hash", "left").join(broken, "content_hash", "left")
+    route = F.when(F.col("__failed").isNotNull() | F.col("pages").isNull(), "failed").when(2 * F.col("thin_pages") > F.col("pages"), "ocr").when(F.col("document_type").isNull(), "review").otherwise("index")
+    return out.withColumn("route", route).drop("__failed")
+
+
 class _Sheet(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)

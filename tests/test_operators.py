@@ -428,3 +428,13 @@ def test_stages(spark):
 
 def test_fixture_bytes():
     assert sinks.fixture_bytes({"b": [1], "a": "é"}) == '{\n  "a": "é",\n  "b": [\n    1\n  ]\n}\n'.encode()
+
+
+def test_documents_are_routed(spark):
+    from concordia.sources.readers import routed
+
+    docs = spark.createDataFrame([("a", "warranty"), ("b", "warranty"), ("c", None), ("d", "pricing"), ("e", None)], "content_hash string, document_type string")
+    long = "x" * 300
+    elements = spark.createDataFrame([("a", "body", long, 1), ("a", "body", "short", 2), ("b", "body", long, 1), ("b", "body", "", 2), ("b", "body", None, 3), ("c", "body", long, None), ("d", "body", long, 1), ("d", "parse_failed", "why", None)], "content_hash string, kind string, text string, page int")
+    got = {r["content_hash"]: (r["route"], r["pages"], r["thin_pages"]) for r in routed(docs, elements).collect()}
+    assert got == {"a": ("index", 2, 1), "b": ("ocr", 3, 2), "c": ("review", 1, 0), "d": ("failed", 1, 0), "e": ("failed", None, None)}
