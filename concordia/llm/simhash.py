@@ -33,7 +33,7 @@ OVER, UNDER = 4, 5
 #: Lanes of 64 bits of the words' fingerprint, and the most of all their bits in which candidates differ: texts of
 #: similarity 0.8 differ in about 7 bits of 100.
 LANES, LANES_LIMIT = 6, 60
-#: Forests of candidate edges by round; the round after the last takes every pair that is still open.
+#: Forests of candidate edges by round: so many edges a row at most, as taking every open pair grows with the square of a group.
 FORESTS = (1, 8)
 
 
@@ -259,13 +259,13 @@ def _word_lists(texts: list[bytes | None], tokens: Tokens) -> Iterator[np.ndarra
             start = e
 
 
-def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndarray, n: np.ndarray, name: np.ndarray, joined: np.ndarray, tried: set[tuple[int, int]], forests: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndarray, n: np.ndarray, name: np.ndarray, joined: np.ndarray, tried: set[tuple[int, int]], forests: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect, in each group, all rows at most limit bits apart whose sizes allow the similarity.
 
     Near pairs come first; rows of one number in joined are connected already, and pairs in tried are passed over. The
     edges fill so many forests, each spanning what the pairs left by those before it connect: a group of many copies
-    gives about so many edges a row, and where fewer than that are refused, what true links connect is connected. With
-    forests None every pair that joined doesn't connect is an edge. fp has a row for each lane.
+    gives about so many edges a row, and where fewer than that are refused, what true links connect is connected. fp has
+    a row for each lane.
     """
     d0 = sum(t.base_distance(x).astype(np.int32) for t, x in zip(tables, fp, strict=True))
     order = np.lexsort((d0, group))
@@ -274,11 +274,10 @@ def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndar
     same = np.lexsort((joined, group))
     i, k = same[:-1], same[1:]
     one = (group[i] == group[k]) & (joined[i] == joined[k])
-    every, a, b = [Forest(len(group)) for _ in range(forests or 1)], [], []
+    every, a, b = [Forest(len(group)) for _ in range(forests)], [], []
     for forest in every:
         forest.union(i[one], k[one])
-    known = every[-1].roots(np.arange(len(group))) if forests is None else None
-    for most in (limit // 4, limit // 2, limit) if forests else (limit,):
+    for most in (limit // 4, limit // 2, limit):
         i, step = np.arange(len(group)), 0
         while True:  # pairs at distance step in the order; the base distance is sorted, so a row drops out at the first excess
             step += 1
@@ -294,11 +293,6 @@ def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndar
             x = x[np.bitwise_count(fp[:, x] ^ fp[:, x + step]).sum(axis=0, dtype=np.int32) <= most]
             if tried and len(x):
                 x = x[[(min(p, q), max(p, q)) not in tried for p, q in zip(name[x].tolist(), name[x + step].tolist(), strict=True)]]
-            if known is not None:
-                x = x[known[x] != known[x + step]]
-                a.append(name[x])
-                b.append(name[x + step])
-                continue
             for forest in every:
                 if not len(x):
                     break
@@ -317,7 +311,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
     Every link is verified on the whole sets of word shingles; candidates are pairs of texts whose words' fingerprints
     agree in a band of some lane and differ in at most limit bits, so a few links are missed (README has the figures).
     What candidates connect is not paired again while all of them hold; where one is refused, the rows around it are
-    paired again, first with more forests and then pair by pair, until none is left that might connect them.
+    paired again with eight forests: a link is lost only where so many candidates between the same rows are refused.
     Words are as in fingerprints(); texts without words, null ones too, are equal, and so are texts of equal sets,
     which meet once. A row with a null doc_id gets the component of its set, which is null when no row of the component
     has an id. Repeated rows are equal texts. A text of any length is read whole; only doc_id and text are read, so
@@ -342,7 +336,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
     signed = materialize(read.mapInArrow(sign, "doc_id long, name long, n int, fp binary"), "signed")
     distinct = materialize(signed.groupBy("name").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("doc_id").alias("rep")), "distinct")
 
-    def pair(rows: DataFrame, forests: int | None) -> DataFrame:
+    def pair(rows: DataFrame, forests: int) -> DataFrame:
         """Candidates (a, b) among rows (name, n, fp and, from the second time on, joined and tried)."""
 
         def keys(batches: Iterator) -> Iterator:
@@ -396,15 +390,15 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
         discard(sets)
         return judged
 
-    rows, forests, judged = distinct.where("n > 0").select("name", "n", "fp"), FORESTS[0], None
-    while True:
+    rows, judged = distinct.where("n > 0").select("name", "n", "fp"), None
+    for forests in FORESTS:
         pairs = pair(rows, forests)
         now = judge(pairs)
         discard(pairs)
         fresh = not now.where("not linked").isEmpty()
         judged = now if judged is None else judged.unionByName(now)
         roots = materialize(components(judged.where("linked").select("a", "b")), "roots")
-        if not fresh or forests is None:  # every candidate edge holds, so what they connected is connected; or all were judged
+        if not fresh or forests == FORESTS[-1]:  # where every candidate edge holds, what they connected is connected
             break
         # A refused edge may have stood for a true link: the rows around it are paired again, without the refused pairs.
         tries = judged.where("not linked").select("a", "b").distinct()
@@ -418,7 +412,6 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
         again = zoned(distinct.where("n > 0").select("name", "n", "fp"), "name").join(open_, "zone", "left_semi").drop("zone")
         again = named(again, "name").join(partners, F.col("name") == F.col("of"), "left")
         rows = materialize(again.select("name", "n", "fp", "joined", "tried"), "again")
-        forests = next((n for n in FORESTS if forests is not None and n > forests), None)
     discard(distinct)
     group = F.coalesce("root", "name").alias("group")
     in_group = signed.join(roots, signed["name"] == roots["node"], "left").select("doc_id", group)
