@@ -75,9 +75,12 @@ def conflict_class(l: Column, r: Column) -> Column:  # noqa: E741
 
 
 def resolve_band(nominal: Column, band: Column) -> tuple[Column, Column]:
-    """The interval that a declared band guarantees around a nominal value; a missing band is a point."""
-    scale = F.when(band["kind"] == "relative", nominal / 100.0).otherwise(F.lit(1.0))
-    a, b = F.coalesce(nominal + band["low"] * scale, nominal), F.coalesce(nominal + band["high"] * scale, nominal)
+    """The interval that a declared band guarantees around a nominal value; a missing band is a point.
+
+    A percentage is multiplied before it is divided by 100, which gives 33 % above 902 as 1199.66 and not as 1199.6599999999999.
+    """
+    away = lambda x: F.when(band["kind"] == "relative", nominal * x / 100.0).otherwise(x)
+    a, b = F.coalesce(nominal + away(band["low"]), nominal), F.coalesce(nominal + away(band["high"]), nominal)
     return F.least(a, b), F.greatest(a, b)
 
 

@@ -56,3 +56,14 @@ def test_component_order_places_every_component(spark):
     want = [r["s_suppkey"] for r in sorted(t, key=lambda r: (r["s_nationkey"], r["s_name"], r["s_suppkey"]))]
     assert len(want) > 100
     assert {r["id"]: r["place"] for r in core.component_order(spark, sf).collect()} == {k: i + 1 for i, k in enumerate(want)}
+
+
+def test_declared_bands_at_their_ends(spark, tmp_path):
+    """Prices that lie on a band's end agree, as in the SQL."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT p AS p_partkey, 'b' || p AS p_brand, (900 + p / 10)::DOUBLE AS p_retailprice, (1 + p % 50)::INTEGER AS p_size FROM range(1000) t(p)")
+    con.execute("CREATE TABLE lineitem AS SELECT p_partkey AS l_partkey, 1.0::DOUBLE AS l_quantity, round(p_retailprice + s * p_retailprice * p_size / 100.0, 2)::DOUBLE AS l_extendedprice FROM part, (VALUES (-1), (1)) t(s)")
+    for t in ("part", "lineitem"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = {(r["brand"], r["n"], r["n_agree"]) for r in core.declared_bands(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(core.oracle_sql()["declared_bands"]).fetchall())
