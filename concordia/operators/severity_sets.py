@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from concordia.operators.conflicts import COMPONENT, condition_key, detect, graded, prepare, value_counts
+from concordia.operators.conflicts import COMPONENT, compared_policy, condition_key, detect, graded, prepare, value_counts
 from concordia.plans import policy
 from concordia.plans.schema import DIMENSIONS
 
@@ -83,13 +83,17 @@ def graded_sets(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_n
         stated.alias("condition"), F.count(F.lit(1)).alias("n_claims"), F.count_distinct(F.coalesce(F.col("num").cast("string"), F.col("canon"))).alias("n_values"), side(F.min_by).alias("low"), side(F.max_by).alias("high"), whole("family").alias("family_l"), F.max("family").alias("family_r"),
         F.max("record").alias("some"), F.min("record").alias("every"), F.min("source_id").alias("source_l"), F.max("source_id").alias("source_r"), F.max("distinct_values").alias("values"),
     ).where("n_claims > 1")
-    text = lambda s: F.to_json(condition_key(F.col(f"{s}.condition")))
-    pairs = detect(claims, keys, ascii_only=ascii_only).where("conflicts").groupBy(*keys, text("l").alias("condition_text"), text("r").alias("other_text")).agg(F.collect_set("conflict_class").alias("classes"))
+    # Flags, not sets of names: they are combined map-side by a hash aggregate, however many pairs there are.
+    of_kind = lambda *names: F.bool_or(F.col("conflict_class").isin(*names))
+    kinds_of = {"units": of_kind("unit_normalization"), "editions": of_kind("temporal"), "others": of_kind("record_vs_web", "intra_document", "inter_document")}
+    found = detect(claims, keys, ascii_only=ascii_only, carry=("condition_text",)).where("conflicts")
+    pairs = found.groupBy(*keys, F.col("l.condition_text").alias("condition_text"), F.col("r.condition_text").alias("other_text")).agg(*[c.alias(n) for n, c in kinds_of.items()])
     inside = pairs.join(of, [*keys, "condition_text"]).join(of.withColumnRenamed("condition_text", "other_text"), [*keys, "set_no", "other_text"])
-    kinds = inside.groupBy(*keys, "set_no").agg(F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes"))
+    kinds = inside.groupBy(*keys, "set_no").agg(*[F.bool_or(n).alias(n) for n in kinds_of])
     p = policy.with_policy(sets.join(kinds, [*keys, "set_no"], "left"))
-    special = F.when((F.size("classes") == 1) & F.col("classes")[0].isin("unit_normalization", "temporal"), F.col("classes")[0])
+    special = F.when(F.col("units") & ~F.col("editions") & ~F.col("others"), "unit_normalization").when(F.col("editions") & ~F.col("units") & ~F.col("others"), "temporal")
     kind = F.when(F.col("some") != F.col("every"), "record_vs_web").when(F.col("source_l").eqNullSafe(F.col("source_r")), "intra_document").otherwise("inter_document")
-    p = p.withColumn("conflicts", F.col("classes").isNotNull()).withColumn("conflict_class", F.when(F.col("conflicts"), F.coalesce(special, kind)))
-    l, r = ({"family": F.col(f"family_{x}"), "scaled": F.col(f"{s}.scaled"), "num": F.col(f"{s}.num"), "record": F.col("every"), "distinct_values": F.col("values")} for x, s in (("l", "low"), ("r", "high")))  # noqa: E741
+    p = p.withColumn("conflicts", F.col("others").isNotNull()).withColumn("conflict_class", F.when(F.col("conflicts"), F.coalesce(special, kind)))
+    l, r = ({"family": F.col(f"family_{x}"), "scaled_x": F.coalesce(f"{s}.scaled", F.lit(0.0)), "x": F.coalesce(f"{s}.num", F.lit(0.0)), "known": F.col(f"{s}.num").isNotNull(), "record": F.col("every"), "many": F.coalesce(F.col("values") >= 3, F.lit(False))} for x, s in (("l", "low"), ("r", "high")))  # noqa: E741
+    p = compared_policy(p)
     return graded(p, l, r).select(*keys, "set_no", "condition", "n_claims", "n_values", "conflicts", "conflict_class", "severity")

@@ -92,8 +92,7 @@ def comparison_pairs(spark, sf_dir):
 @query(f"WITH {_PAIRS} SELECT t.threshold, count_if(s.sev > t.threshold) AS n_blocking, count_if(s.sev > t.threshold) > 0 AS blocks FROM s, (VALUES (2), (3)) t(threshold) GROUP BY ALL")
 def gate_blocks(spark, sf_dir):
     graded = _detected(spark, sf_dir).select("severity", F.lit(None).cast("string").alias("resolution"))
-    two, three = (conflicts.gate_blocks(graded, t).withColumn("threshold", F.lit(t)) for t in (2, 3))
-    return two.unionByName(three)
+    return conflicts.gates(graded, (2, 3))
 
 
 @query(f"WITH {_CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY part, basis ORDER BY tier <> 'system_of_record', confidence DESC, CAST(doc AS VARCHAR), CAST(CAST(v AS DECIMAL(18,1)) AS VARCHAR)) AS rn, count(DISTINCT v) OVER (PARTITION BY part, basis) AS dv, count(*) OVER (PARTITION BY part, basis) AS n_claims FROM c) SELECT part, field_name, basis, v AS preferred, tier AS source_tier, round(confidence, 4) AS confidence, n_claims, CASE WHEN dv > 1 THEN 'open' ELSE 'none' END AS conflict_status FROM r WHERE rn = 1")

@@ -67,3 +67,22 @@ def test_declared_bands_at_their_ends(spark, tmp_path):
         con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
     got = {(r["brand"], r["n"], r["n_agree"]) for r in core.declared_bands(spark, str(tmp_path)).collect()}
     assert got == set(con.execute(core.oracle_sql()["declared_bands"]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["flagship", "gate_blocks", "graded_sets", "band_verdicts", "text_verdicts", "unit_reconciliation"])
+def test_pair_verdicts_are_compiled(spark, name):
+    """The JVM interprets methods of more than 8,000 bytes of code for ever."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = core.queries()[name](spark, SF)._jdf.queryExecution().executedPlan()
+        module = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        found = module.codegenStringSeq(plan)
+        sizes = [found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < max(sizes) <= 8000
+
+
+def test_gates_read_the_pairs_once(spark):
+    plan = core.gate_blocks(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_ord") and sum("Join Inner" in line and "l_ord" in line for line in plan.splitlines()) == 1
