@@ -27,12 +27,19 @@ def as_candidates(claims: DataFrame) -> DataFrame:
 
 
 def canonical_claims(claims: DataFrame) -> DataFrame:
-    """One row for each claim's full content; note and derived don't count, the least note survives."""
+    """One row for each claim's full content; note and derived don't count, the least note survives.
+
+    Columns of the identity are the keys themselves, and only what they don't tell is carried beside them. Claims go to
+    their keys' partition before they are sorted, so that each is written once and none is sorted or spilled before.
+    """
     c = with_condition_text(claims)
-    identity = [*NATURAL_KEY, F.col("value.canon").alias("canon"), F.coalesce("unit", F.lit("")).alias("u"), F.coalesce("verbatim_value", F.lit("")).alias("vv"), "source_tier", F.to_json("source_ref").alias("ref"), "confidence"]
-    key = F.xxhash64(*identity)
-    exact = F.to_json(F.struct(*identity))
-    return c.withColumns({"__h": key, "__id": exact}).groupBy("__h", "__id").agg(F.min_by(F.struct(*c.columns), F.coalesce("condition.note", F.lit(""))).alias("c")).select("c.*")
+    own = [*NATURAL_KEY, "source_tier", "source_ref", "confidence"]
+    derived = {"__canon": F.col("value.canon"), "__unit": F.coalesce("unit", F.lit("")), "__verbatim": F.coalesce("verbatim_value", F.lit(""))}
+    rest = [x for x in c.columns if x not in own]
+    slim = c.select(*own, F.struct(*rest).alias("__rest"), F.coalesce("condition.note", F.lit("")).alias("__note"), *[f.alias(n) for n, f in derived.items()])
+    keys = [*own, *derived]
+    kept = slim.repartition(*keys).groupBy(*keys).agg(F.min_by("__rest", "__note").alias("__rest"))
+    return kept.select(*[x if x in own else F.col("__rest")[x].alias(x) for x in c.columns])
 
 
 def contradictions(claims: DataFrame) -> DataFrame:

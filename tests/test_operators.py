@@ -438,3 +438,12 @@ def test_documents_are_routed(spark):
     elements = spark.createDataFrame([("a", "body", long, 1), ("a", "body", "short", 2), ("b", "body", long, 1), ("b", "body", "", 2), ("b", "body", None, 3), ("c", "body", long, None), ("d", "body", long, 1), ("d", "parse_failed", "why", None)], "content_hash string, kind string, text string, page int")
     got = {r["content_hash"]: (r["route"], r["pages"], r["thin_pages"]) for r in routed(docs, elements).collect()}
     assert got == {"a": ("index", 2, 1), "b": ("ocr", 3, 2), "c": ("review", 1, 0), "d": ("failed", 1, 0), "e": ("failed", None, None)}
+
+
+def test_canonical_claims_are_shuffled_once_and_unsorted(spark):
+    """Rows aren't sorted before they are with their equals, and carry no JSON text of all their columns."""
+    a = claim(650, unit="Wp")
+    df = claims.canonical_claims(frame(spark, [a, a, claim(650, unit=None), claim(650, unit="")]))
+    assert df.count() == 2 and df.columns == claims.with_condition_text(frame(spark, [a])).columns
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan.split("Exchange")[-1] and "__id" not in plan
