@@ -77,7 +77,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], salt: Column, s
     The rows of a group are dealt into ``slots`` slots by salt; a slot starts where the slots before it end, and
     only the rows of one slot are sorted together. The numbering depends on the rows alone, not on partitions.
     """
-    s = df.withColumn("__slot", F.pmod(salt, F.lit(slots)).cast("int"))
+    s = df.withColumn("__slot", F.coalesce(F.pmod(salt, F.lit(slots)).cast("int"), F.lit(0)))
     keys = [*group, "__slot"]
     before = Window.partitionBy(*group).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     if not group:
@@ -86,6 +86,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], salt: Column, s
     numbered = s.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     on = None
     for i, c in enumerate(keys):
-        eq = F.col(c).eqNullSafe(F.col(f"__g{i}"))
+        # Plain equality of what is never null keeps the window's partitions, so that whole rows aren't shuffled again.
+        eq = F.col(c).eqNullSafe(F.col(f"__g{i}")) if s.schema[c].nullable else F.col(c) == F.col(f"__g{i}")
         on = eq if on is None else on & eq
     return numbered.join(starts, on).withColumn(out, (F.col("__rn") + F.col("__start")).cast("long")).drop("__slot", "__rn", "__start", *[f"__g{i}" for i in range(len(keys))])

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from concordia.llm import chat, components, langmodel, mixing, packing, quality, queries, rangejoin, sharding, simhash, toxicity, warc
+from concordia.llm import chat, common, components, langmodel, mixing, packing, quality, queries, rangejoin, sharding, simhash, toxicity, warc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -849,3 +849,20 @@ def test_schemas_are_plain(spark):
         df = queries.queries()[name](spark, SF)
         assert not any(isinstance(f.dataType, T.NullType) for f in df.schema.fields)
         assert df.select(F.count("*")).first()[0] > 0
+
+
+def test_ranked_shuffles_whole_rows_once(spark):
+    """The starts of slots are joined where the rows already are."""
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(key, value)
+    try:
+        table = spark.range(100).select(F.coalesce(F.col("id") % 3, F.lit(0)).alias("queue"), "id", F.lit("x").alias("text"))
+        out = common.ranked(table, ["queue"], [F.col("id")], F.xxhash64("id"), 4, "rank")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {q: sorted(r["rank"] for r in out.where(f"queue = {q}").collect()) for q in range(3)}
+    finally:
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+    assert got == {q: list(range(34 if q == 0 else 33)) for q in range(3)}
+    # The rows once, and the small table of starts by slot, by group and by slot again.
+    assert plan.count("Exchange hashpartitioning") == 4
