@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,14 +166,13 @@ def rank(hits: Column, own: list[str]) -> Column:
     and for neighbouring terms of the query that it holds both, 1 over their least distance."""
     pairs = list(zip(own, own[1:], strict=False))
 
-    @F.pandas_udf("double")
-    def scores(h):
+    @F.arrow_udf("double")
+    def scores(h: pa.Array) -> pa.Array:
         import numpy as np
-        import pandas as pd
 
         out = []
-        for row in h:
-            at = {r["term"]: np.sort(np.asarray(r["positions"])) for r in row}
+        for row in h:  # one document's hits as objects at a time
+            at = {r["term"]: np.sort(np.asarray(r["positions"])) for r in row.as_py()}
             total = sum(float(np.log1p(len(p))) for p in at.values())
             for a, b in pairs:
                 if a in at and b in at:
@@ -181,6 +181,6 @@ def rank(hits: Column, own: list[str]) -> Column:
                     near = np.minimum(np.abs(y[np.minimum(k, len(y) - 1)] - x), np.abs(y[np.maximum(k - 1, 0)] - x)).min()
                     total += 1.0 / max(int(near), 1)
             out.append(total)
-        return pd.Series(out, dtype=float)
+        return pa.array(out, pa.float64())
 
     return scores(hits)

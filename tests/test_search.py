@@ -148,3 +148,24 @@ def test_thresholds_are_exact(spark, slots):
     assert curve == want
     assert {r["tier"]: (r["threshold"], r["coverage"]) for r in confidence.thresholds(df, ["tier"], 0.8, slots).collect()} == taus
     assert confidence.thresholds(df.where("false"), ["tier"], 0.8).collect() == []
+
+
+def test_terms_of_long_texts_are_not_all_held_as_objects():
+    """A batch of long texts is located in pieces: positions wait as Arrow integers, not as Python objects."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+    from concordia.functions import english
+
+    rng = random.Random(1)
+    one = " ".join(f"w{rng.randrange(3000)}" for _ in range(20_000))
+    texts = pa.array([one] * 40 + [None, ""])
+    tracemalloc.start()
+    got = english._simple.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    first = {r["term"]: r["positions"] for r in got[0].as_py()}
+    assert [t for t, _ in sorted(((t, p) for t, ps in first.items() for p in ps), key=lambda x: x[1])] == one.split()
+    assert got[0] == got[39] and got[40].as_py() is None and got[41].as_py() == []
