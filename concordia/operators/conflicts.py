@@ -258,9 +258,9 @@ def gates(conflicts: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     return conflicts.agg(F.array(*blocking).alias("g")).select(F.inline("g")).withColumn("blocks", F.col("n_blocking") > 0)
 
 
-def manifest(conflicts: DataFrame) -> DataFrame:
-    """Every unresolved conflict, the gravest first."""
-    return conflicts.where("resolution is null").select("entry_id", "field_name", "severity", F.lit("open").alias("status")).orderBy(F.desc("severity"), "field_name", "entry_id")
+def manifest(conflicts: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every unresolved conflict, the gravest first; carry names more columns of the entries to keep."""
+    return conflicts.where("resolution is null").select("entry_id", "field_name", "severity", F.lit("open").alias("status"), *carry).orderBy(F.desc("severity"), "field_name", "entry_id")
 
 
 def ageing(conflicts: DataFrame, as_of: Column) -> DataFrame:

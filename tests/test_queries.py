@@ -86,3 +86,8 @@ def test_pair_verdicts_are_compiled(spark, name):
 def test_gates_read_the_pairs_once(spark):
     plan = core.gate_blocks(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_ord") and sum("Join Inner" in line and "l_ord" in line for line in plan.splitlines()) == 1
+
+
+def test_manifest_makes_the_queue_once(spark):
+    plan = core.queries()["queue_manifest"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join Inner" in line and "l_ord" in line for line in plan.splitlines()) == 1
