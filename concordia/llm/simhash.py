@@ -10,7 +10,8 @@ coordinates meet, pairs with a coordinate difference above limit are discarded,
 ``near_duplicates()`` links 64-bit fingerprints of shingles and finds every pair within its limit. ``near_copies()``
 links texts whose 5-word shingle sets have a Jaccard similarity of 0.8 or more: such texts differ in few words, so it
 takes the SimHash of the distinct words in several lanes of 64 bits, each with a table of its own, and verifies what
-survives on the whole sets.
+survives on the whole sets. No fingerprint bounds that similarity, so the prefixes of the sets then give every pair
+that the fingerprints have left apart.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ OVER, UNDER = 4, 5
 #: Lanes of 64 bits of the words' fingerprint, and the most of all their bits in which candidates differ: texts of
 #: similarity 0.8 differ in about 7 bits of 100.
 LANES, LANES_LIMIT = 6, 60
-#: Forests of candidate edges by round: so many edges a row at most, as taking every open pair grows with the square of a group.
-FORESTS = (1, 8)
+#: Texts whose shingles are counted to order the sets: so many at least, one of EVERY in a large corpus; and the most shingles that are told apart.
+SAMPLE, EVERY, FREQUENT = 8192, 64, 1 << 17
+#: Rows up to which buckets are compared together, step by step.
+SMALL = 64
 
 
 class Pivots:
@@ -259,24 +262,16 @@ def _word_lists(texts: list[bytes | None], tokens: Tokens) -> Iterator[np.ndarra
             start = e
 
 
-def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndarray, n: np.ndarray, name: np.ndarray, joined: np.ndarray, tried: set[tuple[int, int]], forests: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, in each group, all rows at most limit bits apart whose sizes allow the similarity.
+def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndarray, n: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest that connects, in each group, all rows at most limit bits apart whose sizes allow the similarity.
 
-    Near pairs come first; rows of one number in joined are connected already, and pairs in tried are passed over. The
-    edges fill so many forests, each spanning what the pairs left by those before it connect: a group of many copies
-    gives about so many edges a row, and where fewer than that are refused, what true links connect is connected. fp has
-    a row for each lane.
+    Near pairs come first. fp has a row for each lane.
     """
     d0 = sum(t.base_distance(x).astype(np.int32) for t, x in zip(tables, fp, strict=True))
     order = np.lexsort((d0, group))
-    group, fp, n, name, joined, d0 = group[order], fp[:, order], n[order].astype(np.int64), name[order], joined[order], d0[order]
+    group, fp, n, name, d0 = group[order], fp[:, order], n[order].astype(np.int64), name[order], d0[order]
     far = sum(t.far(x).astype(np.int32) for t, x in zip(tables, fp, strict=True))
-    same = np.lexsort((joined, group))
-    i, k = same[:-1], same[1:]
-    one = (group[i] == group[k]) & (joined[i] == joined[k])
-    every, a, b = [Forest(len(group)) for _ in range(forests)], [], []
-    for forest in every:
-        forest.union(i[one], k[one])
+    forest, a, b = Forest(len(group)), [], []
     for most in (limit // 4, limit // 2, limit):
         i, step = np.arange(len(group)), 0
         while True:  # pairs at distance step in the order; the base distance is sorted, so a row drops out at the first excess
@@ -285,33 +280,149 @@ def _candidates(tables: list[Pivots], limit: int, group: np.ndarray, fp: np.ndar
             i = i[(group[i] == group[i + step]) & (d0[i + step] - d0[i] <= most)]
             if not len(i):
                 break
-            x = i[(UNDER * np.minimum(n[i], n[i + step]) >= OVER * np.maximum(n[i], n[i + step])) & (every[-1].roots(i) != every[-1].roots(i + step))]
+            x = i[(UNDER * np.minimum(n[i], n[i + step]) >= OVER * np.maximum(n[i], n[i + step])) & (forest.roots(i) != forest.roots(i + step))]
             for row in far:
                 if not len(x):
                     break
                 x = x[np.abs(row[x] - row[x + step]) <= most]
             x = x[np.bitwise_count(fp[:, x] ^ fp[:, x + step]).sum(axis=0, dtype=np.int32) <= most]
-            if tried and len(x):
-                x = x[[(min(p, q), max(p, q)) not in tried for p, q in zip(name[x].tolist(), name[x + step].tolist(), strict=True)]]
-            for forest in every:
-                if not len(x):
-                    break
-                apart = forest.roots(x) != forest.roots(x + step)
-                new, x = x[apart], x[~apart]
-                forest.union(new, new + step)
-                a.append(name[new])
-                b.append(name[new + step])
+            if len(x):
+                forest.union(x, x + step)
+                a.append(name[x])
+                b.append(name[x + step])
     none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first members of a sorted set of shingles, of which similar sets share one, whatever the order.
+
+    Members that frequent (sorted) doesn't have come first, others by rank, each by their hash. Sets of similarity 0.8
+    share 4/5 of either's members, so that many less one may be left out.
+    """
+    if len(frequent) and len(s):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        s = s[np.argsort(np.where(frequent[at] == s, rank[at], 0), kind="stable")]
+    return s[: len(s) - -(-OVER * len(s) // UNDER) + 1] if len(s) else s
+
+
+def _open_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, name: np.ndarray, joined: np.ndarray, small: int = SMALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of names in a group that may be similar and have different joined, in pieces.
+
+    A group has the sets whose prefixes have one member, pos its place in the set. What comes before the first common
+    member is in one set only: that bounds the common members. A pair that fails at a later one passes at the first.
+    In a group of more than small rows those of the largest joined aren't compared with each other.
+    """
+    order = np.lexsort((n, group))
+    group, n, pos, name, joined = group[order], n[order].astype(np.int64), pos[order].astype(np.int64), name[order], joined[order]
+
+    def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both = n[x] + n[y]
+        ok = (joined[x] != joined[y]) & ((OVER + UNDER) * (pos[x] + pos[y]) <= (UNDER - OVER) * both)
+        return ok & ((OVER + UNDER) * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= OVER * both)
+
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(group)))
+    i, step = np.flatnonzero(np.repeat(sizes <= small, sizes)), 0
+    while True:  # pairs at distance step in the order; sizes are sorted, so a row drops out at the first excess
+        step += 1
+        i = i[i + step < len(group)]
+        i = i[(group[i] == group[i + step]) & (UNDER * n[i] >= OVER * n[i + step])]
+        if not len(i):
+            break
+        x = i[may(i, i + step)]
+        yield name[x], name[x + step]
+    for start, size in zip(starts[sizes > small], sizes[sizes > small], strict=True):
+        every = np.arange(start, start + size)
+        values, counts = np.unique(joined[every], return_counts=True)
+        in_most = joined[every] == values[np.argmax(counts)]
+        most, rest = every[in_most], every[~in_most]
+        for k, x in enumerate(rest):
+            least, greatest = -(-OVER * n[x] // UNDER), UNDER * n[x] // OVER
+            of_most = most[np.searchsorted(n[most], least) : np.searchsorted(n[most], greatest, "right")]
+            of_rest = rest[k + 1 : np.searchsorted(n[rest], greatest, "right")]
+            y = np.concatenate([of_most, of_rest])
+            y = y[may(np.full(len(y), x), y)]
+            if len(y):
+                yield np.full(len(y), name[x]), name[y]
+
+
+def _pieces(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rows: int = 100_000) -> Iterator:
+    """Batches (a, b) of pairs, the lesser name first, about rows at a time, each pair once in a batch."""
+    import pyarrow as pa
+
+    def batch(held: list) -> pa.RecordBatch:
+        x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        once = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        x, y = x[once], y[once]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    held, size = [], 0
+    for x, y in pairs:
+        if not len(x):
+            continue
+        held.append((x, y))
+        size += len(x)
+        if size >= rows:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
+def _frequent(read: DataFrame, texts: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of three or more of a sample's different texts, sorted, with a rank that grows with their count.
+
+    They only order the members of sets, so that buckets are small: any sample gives the same links.
+    """
+
+    def explode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        tokens = Tokens()
+        for b in batches:
+            for words in _word_lists(b.column(0).to_pylist(), tokens):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(words, shingle).view(np.int64), pa.int64())], ["key"])
+
+    every = min(EVERY, max(1, texts // SAMPLE))
+    sample = read.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+    counts = sample.mapInArrow(explode, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    key, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], (1 + np.log2(n[order])).astype(np.int8)
+
+
+def _meeting(batches: Iterator) -> Iterator:
+    """Of rows (key, name, pos) sorted by key and name, those whose key has several names, each name of a key once."""
+    import pyarrow as pa
+
+    last, met = None, False  # the last row so far, and whether the one before it has its key
+    for b in batches:
+        key, name, pos = (b.column(c).to_numpy() for c in range(3))
+        if last is not None:
+            key, name, pos = (np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(last, (key, name, pos), strict=True))
+        if not len(key):
+            continue
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
+        key, name, pos = key[once], name[once], pos[once]
+        same = np.concatenate([[met], key[1:] == key[:-1]])
+        out = (same[:-1] | same[1:]) if len(key) > 1 else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][out], t) for c, t in ((key, pa.int64()), (name, pa.int64()), (pos, pa.int32()))], ["key", "name", "pos"])
+        last, met = (key[-1], name[-1], pos[-1]), bool(same[-1])
+    if met:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["key", "name", "pos"])
+
+
 def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit: int = LANES_LIMIT, block: int = BLOCK) -> DataFrame:
     """doc_id, component_id of every row: the least doc_id reachable by links of Jaccard similarity 0.8 or more.
 
-    Every link is verified on the whole sets of word shingles; candidates are pairs of texts whose words' fingerprints
-    agree in a band of some lane and differ in at most limit bits, so a few links are missed (README has the figures).
-    What candidates connect is not paired again while all of them hold; where one is refused, the rows around it are
-    paired again with eight forests: a link is lost only where so many candidates between the same rows are refused.
+    Every link is verified on the whole sets of word shingles, and none is left out. Candidates come twice: first a
+    forest over texts whose words' fingerprints agree in a band of some lane and differ in at most limit bits; then all
+    pairs of sets in different components whose prefixes meet, as those of similar sets always do.
     Words are as in fingerprints(); texts without words, null ones too, are equal, and so are texts of equal sets,
     which meet once. A row with a null doc_id gets the component of its set, which is null when no row of the component
     has an id. Repeated rows are equal texts. A text of any length is read whole; only doc_id and text are read, so
@@ -336,8 +447,8 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
     signed = materialize(read.mapInArrow(sign, "doc_id long, name long, n int, fp binary"), "signed")
     distinct = materialize(signed.groupBy("name").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("doc_id").alias("rep")), "distinct")
 
-    def pair(rows: DataFrame, forests: int) -> DataFrame:
-        """Candidates (a, b) among rows (name, n, fp and, from the second time on, joined and tried)."""
+    def pair() -> DataFrame:
+        """Candidates (a, b) by fingerprints."""
 
         def keys(batches: Iterator) -> Iterator:
             import pyarrow as pa
@@ -349,19 +460,45 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), lane * len(table.bands) + band, np.int32)), pa.array(key, pa.int64()), *b.columns], ["band", "key", *b.schema.names])
 
         def work(t, group: np.ndarray) -> Iterator:
+            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, lanes)
+            return _pieces(iter([_candidates(tables, limit, group, np.ascontiguousarray(fp.T), t.column("n").to_numpy(), t.column("name").to_numpy())]))
+
+        banded = distinct.where("n > 0").select("name", "n", "fp").mapInArrow(keys, "band int, key long, name long, n int, fp binary")
+        return materialize(_by_group(_dealt(banded, block, "name"), "a long, b long", work).distinct(), "pairs")
+
+    def pair_rest(roots: DataFrame) -> DataFrame:
+        """All candidates (a, b) by prefixes that roots (node, root) hasn't joined."""
+        frequent, rank = _frequent(read, signed.count(), shingle)
+
+        def prefixes(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            fp, name = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, lanes), t.column("name").to_numpy()
-            joined, tried = name, set()
-            if "joined" in t.column_names:
-                joined = t.column("joined").to_numpy()
-                tried = {(p, q) for p, partners in zip(name.tolist(), t.column("tried").to_pylist(), strict=True) for q in partners or ()}
-            a, b = _candidates(tables, limit, group, np.ascontiguousarray(fp.T), t.column("n").to_numpy(), name, joined, tried, forests)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+            tokens, seen = Tokens(), set()
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    names, found = [], []
+                    for words in _word_lists(b.column(0).slice(at, 256).to_pylist(), tokens):
+                        s = shingle_set(words, shingle)
+                        if (name := _name(s)) not in seen:
+                            seen.add(name)
+                            names.append(name)
+                            found.append(prefix(s, frequent, rank))
+                    if names:
+                        long = [len(x) for x in found]
+                        arrays = [np.concatenate(found).view(np.int64), np.repeat(np.array(names, np.int64), long), np.concatenate([np.arange(k, dtype=np.int32) for k in long])]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "name", "pos"])
 
-        more = ", joined long, tried array<long>" if "joined" in rows.columns else ""
-        banded = rows.mapInArrow(keys, f"band int, key long, name long, n int, fp binary{more}")
-        return materialize(_by_group(_dealt(banded, block, "name"), "a long, b long", work).distinct(), "pairs")
+        def work(t, group: np.ndarray) -> Iterator:
+            return _pieces(_open_pairs(group, *(t.column(c).to_numpy() for c in ("n", "pos", "name", "joined"))))
+
+        rows = read.select("text").mapInArrow(prefixes, "key long, name long, pos int")
+        met = materialize(rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_meeting, "key long, name long, pos int"), "met")
+        known = distinct.join(roots, distinct["name"] == roots["node"], "left").select("name", "n", F.coalesce("root", "name").alias("joined"))
+        banded = materialize(met.join(known, "name").select(F.lit(0).alias("band"), "key", "name", "pos", "n", "joined"), "banded")
+        discard(met)
+        pairs = materialize(_by_group(_dealt(banded, block, "name"), "a long, b long", work).distinct(), "pairs")
+        discard(banded)
+        return pairs
 
     def whole(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -390,28 +527,14 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
         discard(sets)
         return judged
 
-    rows, judged = distinct.where("n > 0").select("name", "n", "fp"), None
-    for forests in FORESTS:
-        pairs = pair(rows, forests)
+    def linked(pairs: DataFrame) -> DataFrame:
         now = judge(pairs)
         discard(pairs)
-        fresh = not now.where("not linked").isEmpty()
-        judged = now if judged is None else judged.unionByName(now)
-        roots = materialize(components(judged.where("linked").select("a", "b")), "roots")
-        if not fresh or forests == FORESTS[-1]:  # where every candidate edge holds, what they connected is connected
-            break
-        # A refused edge may have stood for a true link: the rows around it are paired again, without the refused pairs.
-        tries = judged.where("not linked").select("a", "b").distinct()
-        both = tries.unionAll(tries.select("b", "a").toDF("a", "b"))
-        zones = components(judged.select("a", "b"))
-        zoned = lambda df, key: df.join(zones, df[key] == zones["node"], "left").withColumn("zone", F.coalesce("root", key)).drop("node", "root")
-        named = lambda df, key: df.join(roots, df[key] == roots["node"], "left").withColumn("joined", F.coalesce("root", key)).drop("node", "root")
-        left = named(both, "a").withColumnRenamed("joined", "of_a")
-        open_ = zoned(named(left, "b").where("joined <> of_a").select("a"), "a").select("zone").distinct()
-        partners = both.groupBy(F.col("a").alias("of")).agg(F.collect_list("b").alias("tried"))
-        again = zoned(distinct.where("n > 0").select("name", "n", "fp"), "name").join(open_, "zone", "left_semi").drop("zone")
-        again = named(again, "name").join(partners, F.col("name") == F.col("of"), "left")
-        rows = materialize(again.select("name", "n", "fp", "joined", "tried"), "again")
+        return now.where("linked").select("a", "b")
+
+    by_print = linked(pair())
+    by_prefix = linked(pair_rest(materialize(components(by_print), "roots")))
+    roots = materialize(components(by_print.unionByName(by_prefix)), "roots")
     discard(distinct)
     group = F.coalesce("root", "name").alias("group")
     in_group = signed.join(roots, signed["name"] == roots["node"], "left").select("doc_id", group)

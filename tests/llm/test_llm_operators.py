@@ -400,6 +400,69 @@ def test_near_copies(spark, odd, block):
     assert rows(simhash.near_copies(docs_of(spark, []))) == []
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_near_copies_find_every_link(spark, block):
+    """Long excerpts have other fingerprints than their texts; many share a passage and hold one large group of copies."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = []
+    for f in range(120):
+        words = [f"e{f}x{i}" for i in range(rng.randrange(60, 120))] + passage.split() * (f % 3 == 0)
+        texts.append((10 * f, " ".join(words)))
+        n = len(words) - 4
+        texts.append((10 * f + 1, " ".join(words[: -(-4 * n // 5) + 4])))  # 0.8 or a little more, by length alone
+        texts.append((10 * f + 2, " ".join(words[: -(-4 * n // 5) + 3])))  # a little less than 0.8 of the first
+    base = [f"b{i}" for i in range(150)]
+    for k in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            words[rng.randrange(len(words))] = f"c{k}x{rng.randrange(10**6)}"
+        texts.append((10_000 + k, " ".join(words)))
+    by = dict(texts)
+    sets = {i: brute_shingles(t) for i, t in by.items()}
+    like = [(a, b) for a in by for b in by if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    root = brute_components(list(by), like)
+    found = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_copies(docs_of(spark, texts), block=block))}
+    assert found == root and len(like) > 500
+
+
+@pytest.mark.parametrize("small", [2, 1000])
+def test_pairs_by_prefix(small):
+    """The prefixes of similar sets meet in any order of the members, and the bounds by place drop no similar pair."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 63, size=rng.integers(1, 60), dtype=np.uint64)
+        for _ in range(9):
+            kept = base[rng.random(len(base)) < rng.uniform(0.7, 1)]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, size=rng.integers(0, 4), dtype=np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    joined = rng.integers(0, 40, size=len(sets))
+    frequent = np.unique(np.concatenate([s[::3] for s in sets]))
+    rank = rng.integers(1, 9, size=len(frequent)).astype(np.int8)
+    heads = [simhash.prefix(s, frequent, rank) for s in sets]
+    name = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    pos = np.concatenate([np.arange(len(h)) for h in heads])
+    group = np.unique(np.concatenate(heads), return_inverse=True)[1]
+    n = np.array([len(s) for s in sets])
+    got = {(min(p), max(p)) for a, b in simhash._open_pairs(group, n[name], pos, name, joined[name], small) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if simhash.similar(sets[a], sets[b]) and joined[a] != joined[b]}
+    assert want <= got and len(want) > 50 and all(joined[a] != joined[b] for a, b in got)
+
+
+def test_sets_that_meet():
+    """Keys of several names are kept whole, whatever the batches; repeated names of a key count once."""
+    import pyarrow as pa
+
+    data = [(1, 5, 0), (2, 5, 1), (2, 5, 1), (3, 5, 2), (3, 6, 0), (3, 6, 0), (3, 7, 4), (4, 1, 0), (5, 2, 0), (5, 3, 9)]
+    want = [x for x in dict.fromkeys(data) if x[0] in (3, 5)]
+    for size in (1, 2, 3, 4, 100):
+        pieces = [data[i : i + size] for i in range(0, len(data), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*p, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["key", "name", "pos"]) for p in pieces]
+        assert [tuple(r.values()) for b in simhash._meeting(iter(batches)) for r in b.to_pylist()] == want
+    assert list(simhash._meeting(iter([]))) == []
+
+
 # -- language model ------------------------------------------------------------------------------------------------
 
 
