@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.llm.common import discard, materialize
-from concordia.llm.components import Forest, components
+from concordia.llm.components import Forest, components, contracted
 from concordia.llm.langmodel import GOLDEN, Tokens, mix
 
 SEED = 42
@@ -38,6 +38,8 @@ LANES, LANES_LIMIT = 6, 60
 SAMPLE, EVERY, FREQUENT = 8192, 64, 1 << 17
 #: Rows up to which buckets are compared together, step by step.
 SMALL = 64
+#: Bits of the bitmap of the texts that are read to verify pairs.
+MARKS = 1 << 23
 
 
 class Pivots:
@@ -240,11 +242,6 @@ def words_fingerprint(words: np.ndarray, lanes: int = LANES) -> np.ndarray:
     return out
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return UNDER * both >= OVER * (len(a) + len(b) - both)
-
-
 def _name(s: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     import xxhash
@@ -500,41 +497,48 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
         discard(banded)
         return pairs
 
-    def whole(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        tokens = Tokens()
-        for b in batches:
-            sets = [shingle_set(words, shingle) for words in _word_lists(b.column(1).to_pylist(), tokens)]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "members"])
+    def judge(pairs: DataFrame) -> DataFrame:
+        """The similar ones of pairs (a, b). Reads the texts of one doc_id for each set; a row that comes twice only repeats a pair.
 
-    def verify(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        A bitmap of fixed size of the doc_ids tells which texts to read, so that texts are not shuffled; where it says
+        yes for others, too, their sets meet no pair.
+        """
+        needed = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+        bit = distinct.join(needed, "name", "left_semi").select(F.pmod(F.xxhash64("rep"), F.lit(MARKS)).alias("bit"))
+        words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+        marks = np.zeros(MARKS // 64, np.int64)
+        marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
 
-        for b in batches:
-            x, y = (b.column(c).to_pylist() for c in (2, 3))
-            ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+        def whole(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
-    def judge(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) with linked. Reads the texts of one doc_id for each set; a row that comes twice only repeats a pair."""
-        needed = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-        own = distinct.join(needed, "name", "left_semi").select(F.col("rep").alias("__id")).distinct()
-        sets = materialize(read.join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(whole, "name long, members binary"), "sets")
+            tokens = Tokens()
+            for b in batches:
+                bit = b.column(0).to_numpy()
+                texts = b.column(1).filter(pa.array((marks[bit >> 6] >> (bit & 63)) & 1 == 1))
+                for at in range(0, len(texts), 256):
+                    sets = [shingle_set(words, shingle) for words in _word_lists(texts.slice(at, 256).to_pylist(), tokens)]
+                    ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+                    members = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), members], ["name", "members"])
+
+        marked = read.select(F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("bit"), "text")
+        sets = materialize(marked.mapInArrow(whole, "name long, members array<long>"), "sets")
         of = lambda side: sets.select(F.col("name").alias(side), F.col("members").alias(f"of_{side}"))
-        judged = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long, linked boolean")
-        judged = materialize(judged, "judged")
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        similar = (OVER + UNDER) * both >= OVER * (F.size("of_a") + F.size("of_b"))
+        judged = materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(similar).select("a", "b"), "judged")
         discard(sets)
         return judged
 
     def linked(pairs: DataFrame) -> DataFrame:
-        now = judge(pairs)
+        found = judge(pairs)
         discard(pairs)
-        return now.where("linked").select("a", "b")
+        return found
 
     by_print = linked(pair())
-    by_prefix = linked(pair_rest(materialize(components(by_print), "roots")))
-    roots = materialize(components(by_print.unionByName(by_prefix)), "roots")
+    by_prefix = linked(pair_rest(materialize(components(contracted(by_print)), "roots")))
+    roots = materialize(components(contracted(by_print.unionByName(by_prefix))), "roots")
     discard(distinct)
     group = F.coalesce("root", "name").alias("group")
     in_group = signed.join(roots, signed["name"] == roots["node"], "left").select("doc_id", group)
