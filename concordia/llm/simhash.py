@@ -40,6 +40,8 @@ SAMPLE, EVERY, FREQUENT = 8192, 64, 1 << 17
 SMALL = 64
 #: Bits of the bitmap of the texts that are read to verify pairs.
 MARKS = 1 << 23
+#: The most bits of a set's sketch where sets meet, and where pairs are told apart before whole sets are read.
+SKETCH, WIDE = 1 << 10, 1 << 15
 
 
 class Pivots:
@@ -242,6 +244,51 @@ def words_fingerprint(words: np.ndarray, lanes: int = LANES) -> np.ndarray:
     return out
 
 
+def sketch(s: np.ndarray, most: int = WIDE) -> bytes:
+    """How many of a set's members end in each number, odd or even: a bit each, at most most bits.
+
+    A member that only one of two sets has turns one bit, so the sets differ in at least as many members as their
+    sketches in bits. The halves of a sketch, one over the other, are that of half the bits. Sets of 0.8 differ in 2
+    of 9 members of both, so a few bits a member tell most others; large sets have one or two.
+    """
+    size = 1 << max(len(s) - 1, 0).bit_length()
+    bits = min(most, max(256, size, min(4 * size, SKETCH)))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(x: bytes, most: int) -> bytes:
+    """The sketch of at most most bits that is in a longer one."""
+    if 8 * len(x) <= most:
+        return x
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, most // 64), axis=0).tobytes()
+
+
+class Sketches:
+    """The sketches of rows, which tell pairs that can't be similar."""
+
+    def __init__(self, found: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in found], np.int64)
+        self.at, self.of = np.zeros(len(found), np.int64), {}
+        for w in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == w)
+            self.at[rows] = np.arange(len(rows))
+            self.of[w] = np.frombuffer(b"".join(found[i] for i in rows.tolist()), np.uint64).reshape(-1, w)
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many members the sets of rows x and y differ at least."""
+        out = np.zeros(len(x), np.int64)
+        sizes = self.words[x] * WIDE + self.words[y]
+        for both in np.unique(sizes).tolist():
+            a, b = divmod(both, WIDE)
+            of_both = np.flatnonzero(sizes == both)
+            for start in range(0, len(of_both), BLOCK):
+                i = of_both[start : start + BLOCK]
+                u, v = (np.bitwise_xor.reduce(self.of[w][self.at[z[i]]].reshape(len(i), -1, min(a, b)), axis=1) for w, z in ((a, x), (b, y)))
+                out[i] = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _name(s: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     import xxhash
@@ -303,20 +350,26 @@ def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return s[: len(s) - -(-OVER * len(s) // UNDER) + 1] if len(s) else s
 
 
-def _open_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, name: np.ndarray, joined: np.ndarray, small: int = SMALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _open_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, name: np.ndarray, joined: np.ndarray, small: int = SMALL, sketches: Sketches | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of names in a group that may be similar and have different joined, in pieces.
 
     A group has the sets whose prefixes have one member, pos its place in the set. What comes before the first common
     member is in one set only: that bounds the common members. A pair that fails at a later one passes at the first.
+    With sketches, a pair whose sketches differ in too many bits is left out.
     In a group of more than small rows those of the largest joined aren't compared with each other.
     """
     order = np.lexsort((n, group))
+    row = order
     group, n, pos, name, joined = group[order], n[order].astype(np.int64), pos[order].astype(np.int64), name[order], joined[order]
 
     def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         both = n[x] + n[y]
         ok = (joined[x] != joined[y]) & ((OVER + UNDER) * (pos[x] + pos[y]) <= (UNDER - OVER) * both)
-        return ok & ((OVER + UNDER) * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= OVER * both)
+        ok &= (OVER + UNDER) * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= OVER * both
+        if sketches is not None:
+            i = np.flatnonzero(ok)
+            ok[i] = (OVER + UNDER) * sketches.differ(row[x[i]], row[y[i]]) <= (UNDER - OVER) * both[i]
+        return ok
 
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(group)))
@@ -419,7 +472,8 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
 
     Every link is verified on the whole sets of word shingles, and none is left out. Candidates come twice: first a
     forest over texts whose words' fingerprints agree in a band of some lane and differ in at most limit bits; then all
-    pairs of sets in different components whose prefixes meet, as those of similar sets always do.
+    pairs of sets in different components whose prefixes meet, as those of similar sets always do, and whose sketches
+    don't tell that they differ too much.
     Words are as in fingerprints(); texts without words, null ones too, are equal, and so are texts of equal sets,
     which meet once. A row with a null doc_id gets the component of its set, which is null when no row of the component
     has an id. Repeated rows are equal texts. A text of any length is read whole; only doc_id and text are read, so
@@ -433,16 +487,18 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
 
         tokens = Tokens()
         for b in batches:
-            names, sizes, prints = [], [], []
+            names, sizes, prints, wide = [], [], [], []
             for words in _word_lists(b.column(1).to_pylist(), tokens):
                 s = shingle_set(words, shingle)
                 names.append(_name(s))
                 sizes.append(len(s))
                 prints.append(words_fingerprint(words, lanes).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())], ["doc_id", "name", "n", "fp"])
+                wide.append(sketch(s))
+            arrays = [b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "name", "n", "fp", "wide"])
 
-    signed = materialize(read.mapInArrow(sign, "doc_id long, name long, n int, fp binary"), "signed")
-    distinct = materialize(signed.groupBy("name").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("doc_id").alias("rep")), "distinct")
+    signed = materialize(read.mapInArrow(sign, "doc_id long, name long, n int, fp binary, wide binary"), "signed")
+    distinct = materialize(signed.groupBy("name").agg(*(F.first(c).alias(c) for c in ("n", "fp", "wide")), F.min("doc_id").alias("rep")), "distinct")
 
     def pair() -> DataFrame:
         """Candidates (a, b) by fingerprints."""
@@ -485,18 +541,45 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
                         arrays = [np.concatenate(found).view(np.int64), np.repeat(np.array(names, np.int64), long), np.concatenate([np.arange(k, dtype=np.int32) for k in long])]
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "name", "pos"])
 
+        def shorten(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                short = [folded(x, SKETCH) for x in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(short, pa.binary()), b.column(3)], ["name", "n", "sketch", "joined"])
+
         def work(t, group: np.ndarray) -> Iterator:
-            return _pieces(_open_pairs(group, *(t.column(c).to_numpy() for c in ("n", "pos", "name", "joined"))))
+            sketches = Sketches(t.column("sketch").to_pylist())
+            return _pieces(_open_pairs(group, *(t.column(c).to_numpy() for c in ("n", "pos", "name", "joined")), sketches=sketches))
 
         rows = read.select("text").mapInArrow(prefixes, "key long, name long, pos int")
         met = materialize(rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_meeting, "key long, name long, pos int"), "met")
-        known = distinct.join(roots, distinct["name"] == roots["node"], "left").select("name", "n", F.coalesce("root", "name").alias("joined"))
-        banded = materialize(met.join(known, "name").select(F.lit(0).alias("band"), "key", "name", "pos", "n", "joined"), "banded")
+        known = distinct.join(roots, distinct["name"] == roots["node"], "left").select("name", "n", "wide", F.coalesce("root", "name").alias("joined"))
+        known = known.mapInArrow(shorten, "name long, n int, sketch binary, joined long")
+        banded = materialize(met.join(known, "name").select(F.lit(0).alias("band"), "key", "name", "pos", "n", "sketch", "joined"), "banded")
         discard(met)
         pairs = materialize(_by_group(_dealt(banded, block, "name"), "a long, b long", work).distinct(), "pairs")
         discard(banded)
         return pairs
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) without those whose sketches differ too much."""
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    sketches = Sketches(b.column(4).to_pylist() + b.column(5).to_pylist())
+                    differ = sketches.differ(np.arange(b.num_rows), np.arange(b.num_rows) + b.num_rows)
+                    near = (OVER + UNDER) * differ <= (UNDER - OVER) * (b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy())
+                    yield pa.RecordBatch.from_arrays([x.filter(pa.array(near)) for x in b.columns[:2]], ["a", "b"])
+
+        of = lambda side: distinct.select(F.col("name").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"of_{side}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+        return materialize(both.mapInArrow(run, "a long, b long"), "alike")
+
     def judge(pairs: DataFrame) -> DataFrame:
         """The similar ones of pairs (a, b). Reads the texts of one doc_id for each set; a row that comes twice only repeats a pair.
 
@@ -532,8 +615,10 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
         return judged
 
     def linked(pairs: DataFrame) -> DataFrame:
-        found = judge(pairs)
+        near = alike(pairs)
         discard(pairs)
+        found = judge(near)
+        discard(near)
         return found
 
     by_print = linked(pair())
@@ -552,10 +637,21 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component_id in found (doc_id, component_id), each doc_id once, and those without a doc_id."""
+    """The rows of docs whose doc_id is its component_id in found (doc_id, component_id), each doc_id once, and those without a doc_id.
+
+    found has the ids of docs. A bitmap of fixed size tells which ids may have a row that goes; others stay without being shuffled.
+    """
+    found = materialize(found, "found")
     keep = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__n")), "keep")
-    joined = docs.join(keep, docs["doc_id"] == keep["__keep"], "left")
-    once = joined.where("doc_id is null or __n = 1").drop("__keep", "__n")
-    if keep.where("__n > 1").isEmpty():
+    repeated = keep.where("__n > 1")
+    doubtful = found.where("not doc_id <=> component_id and doc_id is not null").select("doc_id").union(repeated.select("__keep"))
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(MARKS))
+    marks = doubtful.select(bit("doc_id").alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__bit & 63 as int)))").alias("__bits"))
+    marked = docs.withColumn("__bit", bit("doc_id")).join(F.broadcast(marks), F.shiftright("__bit", 6) == F.col("__word"), "left")
+    marked = marked.withColumn("__doubt", F.expr("doc_id is not null and coalesce(shiftright(__bits, cast(__bit & 63 as int)) & 1L = 1L, false)")).drop("__bit", "__bits", "__word")
+    sure = marked.where("not __doubt").drop("__doubt")
+    joined = marked.where("__doubt").drop("__doubt").join(keep, F.col("doc_id") == F.col("__keep"))
+    once = sure.unionByName(joined.where("__n = 1").drop("__keep", "__n"))
+    if repeated.isEmpty():
         return once
     return once.unionByName(joined.where("__n > 1").drop("__keep", "__n").dropDuplicates(["doc_id"]))

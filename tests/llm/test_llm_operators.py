@@ -450,6 +450,50 @@ def test_pairs_by_prefix(small):
     assert want <= got and len(want) > 50 and all(joined[a] != joined[b] for a, b in got)
 
 
+def test_sketches_refute_only():
+    """Sketches of any sizes differ in no more bits than the sets in members, and by enough to tell other sets."""
+    rng = np.random.default_rng(11)
+    base = np.unique(rng.integers(0, 1 << 63, size=4000, dtype=np.uint64))
+    sets = [np.sort(rng.permutation(base)[:n]) for n in (0, 1, 5, 60, 70, 250, 300, 1000, 1100, 3900, 4000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, size=len(s) // 10, dtype=np.uint64)])) for s in sets]
+    x, y = (z.ravel() for z in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    real = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)])
+    for most in (256, simhash.SKETCH, simhash.WIDE):
+        found = [simhash.sketch(s, most) for s in sets]
+        assert found == [simhash.folded(simhash.sketch(s), most) for s in sets]
+        differ = simhash.Sketches(found).differ(x, y)
+        assert (differ <= real).all() and (differ[x == y] == 0).all()
+        size = np.array([len(s) for s in sets])
+        least, greatest = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        other = (9 * real > 3 * (least + greatest)) & (least >= 20) & (5 * least >= 4 * greatest) & (greatest <= most)
+        assert other.any() and (9 * differ > size[x] + size[y])[other].all()
+
+
+def test_open_pairs_of_a_large_group():
+    """Sets that share a fifth of their members meet in every one of them: their number of pairs may not be its square."""
+    rng = np.random.default_rng(12)
+    shared = np.sort(rng.integers(0, 1 << 63, size=20, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, size=80, dtype=np.uint64)])) for _ in range(400)]
+    sets += [np.unique(np.concatenate([s[:95], rng.integers(0, 1 << 63, size=4, dtype=np.uint64)])) for s in sets[:50]]
+    n, name = np.array([len(s) for s in sets]), np.arange(len(sets))
+    nothing = np.zeros(len(sets), np.int64)
+    every = sum(len(a) for a, _ in simhash._open_pairs(nothing, n, nothing, name, name))
+    pairs = simhash._open_pairs(nothing, n, nothing, name, name, sketches=simhash.Sketches([simhash.sketch(s) for s in sets]))
+    got = {(min(p), max(p)) for a, b in pairs for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert every == len(sets) * (len(sets) - 1) // 2 and {(k, 400 + k) for k in range(50)} <= got and len(got) < 60
+
+
+def test_one_of_each(spark, monkeypatch):
+    """Whatever the bitmap says of ids besides, the rows of least ids stay once, and all rows without an id."""
+    texts = [(None, "x"), (None, "x"), (-1, "a"), (1, "a"), (2, "b"), (2, "b"), (3, "b"), (4, "c"), (5, "d"), (5, "d"), (6, "e")]
+    found = [(None, None), (None, None), (-1, -1), (1, -1), (2, 2), (2, 2), (3, 2), (4, 4), (5, 5), (5, 5), (6, 6)]
+    for marks in (64, 1 << 23):
+        monkeypatch.setattr(simhash, "MARKS", marks)
+        kept = simhash.one_of_each(docs_of(spark, texts), spark.createDataFrame(found, "doc_id long, component_id long"))
+        assert sorted((r["doc_id"] or 0 for r in rows(kept.select("doc_id")))) == [-1, 0, 0, 2, 4, 5, 6]
+        assert kept.columns == docs_of(spark, texts).columns
+
+
 def test_sets_that_meet():
     """Keys of several names are kept whole, whatever the batches; repeated names of a key count once."""
     import pyarrow as pa
