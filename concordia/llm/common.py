@@ -64,6 +64,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python so many rows at a time in this session, unless it has a setting of its own: a worker and its executor hold several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default
+        spark.conf.set(key, rows)
+
+
 def power_of_two(x: float, least: int, most: int) -> int:
     n = least
     while n < x and n < most:

@@ -29,6 +29,8 @@ from concordia.llm.langmodel import GOLDEN, Tokens, mix
 SEED = 42
 #: Rows of one bucket that are compared in one piece; a larger bucket is compared as pairs of chunks of this size.
 BLOCK = 4096
+#: Rows of whole groups that a task holds at a time, if a group has no more.
+PIECE = 32_768
 #: Similarity of near copies as a fraction; comparisons are made in integers.
 OVER, UNDER = 4, 5
 #: Lanes of 64 bits of the words' fingerprint, and the most of all their bits in which candidates differ: texts of
@@ -153,7 +155,7 @@ def _by_group(sorted_rows: DataFrame, schema: str, work) -> DataFrame:
 
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
-            if sum(t.num_rows for t in held) < 100_000:
+            if sum(t.num_rows for t in held) < PIECE:
                 continue
             t = pa.concat_tables(held)
             same = np.ones(t.num_rows, bool)
@@ -265,15 +267,13 @@ def folded(x: bytes, most: int) -> bytes:
 
 
 class Sketches:
-    """The sketches of rows, which tell pairs that can't be similar."""
+    """The sketches of rows, an Arrow array of binaries, which tell pairs that can't be similar."""
 
-    def __init__(self, found: list[bytes]):
-        self.words = np.array([len(x) // 8 for x in found], np.int64)
-        self.at, self.of = np.zeros(len(found), np.int64), {}
-        for w in np.unique(self.words).tolist():
-            rows = np.flatnonzero(self.words == w)
-            self.at[rows] = np.arange(len(rows))
-            self.of[w] = np.frombuffer(b"".join(found[i] for i in rows.tolist()), np.uint64).reshape(-1, w)
+    def __init__(self, found):
+        at = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int32)
+        self.flat = np.frombuffer(found.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(np.uint64)
+        self.starts = (at - at[0]).astype(np.int64) // 8
+        self.words = np.diff(self.starts)
 
     def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """In how many members the sets of rows x and y differ at least."""
@@ -284,7 +284,7 @@ class Sketches:
             of_both = np.flatnonzero(sizes == both)
             for start in range(0, len(of_both), BLOCK):
                 i = of_both[start : start + BLOCK]
-                u, v = (np.bitwise_xor.reduce(self.of[w][self.at[z[i]]].reshape(len(i), -1, min(a, b)), axis=1) for w, z in ((a, x), (b, y)))
+                u, v = (np.bitwise_xor.reduce(self.flat[self.starts[z[i]][:, None] + np.arange(w)].reshape(len(i), -1, min(a, b)), axis=1) for w, z in ((a, x), (b, y)))
                 out[i] = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
         return out
 
@@ -486,16 +486,18 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
         import pyarrow as pa
 
         tokens = Tokens()
-        for b in batches:
-            names, sizes, prints, wide = [], [], [], []
-            for words in _word_lists(b.column(1).to_pylist(), tokens):
-                s = shingle_set(words, shingle)
-                names.append(_name(s))
-                sizes.append(len(s))
-                prints.append(words_fingerprint(words, lanes).tobytes())
-                wide.append(sketch(s))
-            arrays = [b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), pa.array(wide, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "name", "n", "fp", "wide"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                names, sizes, prints, wide = [], [], [], []
+                for words in _word_lists(b.column(1).to_pylist(), tokens):
+                    s = shingle_set(words, shingle)
+                    names.append(_name(s))
+                    sizes.append(len(s))
+                    prints.append(words_fingerprint(words, lanes).tobytes())
+                    wide.append(sketch(s))
+                arrays = [b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), pa.array(wide, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "name", "n", "fp", "wide"])
 
     signed = materialize(read.mapInArrow(sign, "doc_id long, name long, n int, fp binary, wide binary"), "signed")
     distinct = materialize(signed.groupBy("name").agg(*(F.first(c).alias(c) for c in ("n", "fp", "wide")), F.min("doc_id").alias("rep")), "distinct")
@@ -549,7 +551,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(short, pa.binary()), b.column(3)], ["name", "n", "sketch", "joined"])
 
         def work(t, group: np.ndarray) -> Iterator:
-            sketches = Sketches(t.column("sketch").to_pylist())
+            sketches = Sketches(t.column("sketch").combine_chunks())
             return _pieces(_open_pairs(group, *(t.column(c).to_numpy() for c in ("n", "pos", "name", "joined")), sketches=sketches))
 
         rows = read.select("text").mapInArrow(prefixes, "key long, name long, pos int")
@@ -571,7 +573,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, lanes: int = LANES, limit:
             for whole in batches:
                 for at in range(0, whole.num_rows, 1024):
                     b = whole.slice(at, 1024)
-                    sketches = Sketches(b.column(4).to_pylist() + b.column(5).to_pylist())
+                    sketches = Sketches(pa.concat_arrays(b.columns[4:6]))
                     differ = sketches.differ(np.arange(b.num_rows), np.arange(b.num_rows) + b.num_rows)
                     near = (OVER + UNDER) * differ <= (UNDER - OVER) * (b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy())
                     yield pa.RecordBatch.from_arrays([x.filter(pa.array(near)) for x in b.columns[:2]], ["a", "b"])

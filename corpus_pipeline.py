@@ -21,6 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Labels of one kind, or none, reject nothing; neither is a null, empty or unknown text rejected. Repeated rows and
     rows without an id share the fate of their text. Texts of any length are read whole.
     """
+    common.small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs.select(*COLUMNS), model)
 
@@ -30,6 +31,7 @@ def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has fewer than ten words and goes, whatever its id; repeated rows share one fate.
     """
+    common.small_batches(spark)
     return quality.keep_good(docs.select(*COLUMNS))
 
 
@@ -38,6 +40,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of repeated rows with that id one stays. Rows without an id stay; null and empty texts are copies of each other.
     """
+    common.small_batches(spark)
     return simhash.deduplicated(docs.select(*COLUMNS))
 
 
@@ -57,6 +60,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     sequences are numbered. A null text is one end token; repeated rows and rows without an id are packed like others,
     and items of equal length and place are told apart by doc_id, piece and start.
     """
+    common.small_batches(spark)
     ordered = packing.file_order(docs.select(*COLUMNS), "position")
     pieces = packing.token_pieces(ordered, tokenizer(), capacity=1024, end_id=2, position="position")
     slim = common.materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")

@@ -452,6 +452,8 @@ def test_pairs_by_prefix(small):
 
 def test_sketches_refute_only():
     """Sketches of any sizes differ in no more bits than the sets in members, and by enough to tell other sets."""
+    import pyarrow as pa
+
     rng = np.random.default_rng(11)
     base = np.unique(rng.integers(0, 1 << 63, size=4000, dtype=np.uint64))
     sets = [np.sort(rng.permutation(base)[:n]) for n in (0, 1, 5, 60, 70, 250, 300, 1000, 1100, 3900, 4000)]
@@ -461,7 +463,7 @@ def test_sketches_refute_only():
     for most in (256, simhash.SKETCH, simhash.WIDE):
         found = [simhash.sketch(s, most) for s in sets]
         assert found == [simhash.folded(simhash.sketch(s), most) for s in sets]
-        differ = simhash.Sketches(found).differ(x, y)
+        differ = simhash.Sketches(pa.array(found, pa.binary())).differ(x, y)
         assert (differ <= real).all() and (differ[x == y] == 0).all()
         size = np.array([len(s) for s in sets])
         least, greatest = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
@@ -471,6 +473,8 @@ def test_sketches_refute_only():
 
 def test_open_pairs_of_a_large_group():
     """Sets that share a fifth of their members meet in every one of them: their number of pairs may not be its square."""
+    import pyarrow as pa
+
     rng = np.random.default_rng(12)
     shared = np.sort(rng.integers(0, 1 << 63, size=20, dtype=np.uint64))
     sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, size=80, dtype=np.uint64)])) for _ in range(400)]
@@ -478,7 +482,7 @@ def test_open_pairs_of_a_large_group():
     n, name = np.array([len(s) for s in sets]), np.arange(len(sets))
     nothing = np.zeros(len(sets), np.int64)
     every = sum(len(a) for a, _ in simhash._open_pairs(nothing, n, nothing, name, name))
-    pairs = simhash._open_pairs(nothing, n, nothing, name, name, sketches=simhash.Sketches([simhash.sketch(s) for s in sets]))
+    pairs = simhash._open_pairs(nothing, n, nothing, name, name, sketches=simhash.Sketches(pa.array([simhash.sketch(s) for s in sets], pa.binary())))
     got = {(min(p), max(p)) for a, b in pairs for p in zip(a.tolist(), b.tolist(), strict=True)}
     assert every == len(sets) * (len(sets) - 1) // 2 and {(k, 400 + k) for k in range(50)} <= got and len(got) < 60
 
