@@ -50,7 +50,7 @@ def comparison_pairs(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT,
     flat their columns by themselves, with l_ and r_ before their names.
 
     A self-join on the keys with the order and the condition test as residual predicates. Pairs are the result, so their
-    number is the operator's own; a hot key's join is split by AQE. Null keys never meet.
+    number is the operator's own. Null keys never meet.
     """
     rest = [c for c in candidates.columns if c not in keys]
     left, right = (candidates.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in rest]) for side in "lr")
@@ -197,6 +197,25 @@ def value_counts(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "fi
     return candidates.groupBy(*keys, ck.alias("condition_text")).agg(F.count_distinct(same).alias("distinct_values"))
 
 
+def gathered(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"), *, ascii_only: bool = False, bands: DataFrame | None = None) -> DataFrame:
+    """prepare()d claims with their condition_text, stated (the dimensions alone), band and distinct_values (see value_counts), all claims of a key in one place.
+
+    Claims are shuffled once, by their keys alone. What follows, counts and pairs, finds them in place: both sides of the
+    pairs read the same shuffle, as what their field's policy adds is looked up after it. Dimensions are shuffled as
+    columns, since the planner prunes structs on each side by itself, which makes two shuffles. Rows without a key, which
+    never meet another, are left out.
+    """
+    known = claims.where(" and ".join(f"`{k}` is not null" for k in keys))
+    ready = prepare(known, ascii_only=ascii_only).withColumns({"condition_text": F.to_json(condition_key(F.col("condition"))), "__flag": F.col("value.flag"), **{f"__stated_{d}": F.col("condition")[d] for d in DIMENSIONS}})
+    if bands is not None:
+        ready = ready.join(bands, [*(k for k in keys if k != "field_name"), "document_id", "field_name"], "left")
+    ready = ready.repartition(*keys).withColumn("__same", F.coalesce(F.col("num").cast("string"), F.col("__flag").cast("double").cast("string"), "canon"))
+    group = Window.partitionBy(*keys, "condition_text")
+    # The last rank is the number of different values, nulls being one of them; no group's values are held at once.
+    ranked = ready.withColumn("__rank", F.dense_rank().over(group.orderBy("__same")))
+    return ranked.withColumn("distinct_values", (F.max("__rank").over(group) - F.max(F.col("__same").isNull().cast("int")).over(group)).cast("long")).withColumn("stated", F.struct(*[F.col(f"__stated_{d}").alias(d) for d in DIMENSIONS])).drop("__same", "__rank", "__flag", *[f"__stated_{d}" for d in DIMENSIONS])
+
+
 #: What judging and grading a pair read of each side; a pair carries nothing else but what its caller asks for.
 NEEDED = ("ord", "condition", "kind", "num", "canon", "base", "year", "unit", "unit_fold", "family", "scaled", "floor", "source_tier", "source_id", "record", "ieee", "against_cec_list", "distinct_values")
 QUEUED = ("value", "source_ref", "confidence")
@@ -212,16 +231,12 @@ def detect(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name")
     A candidate set is the pair, its condition group all claims of one side's exact condition. carry names more columns
     of claims that l and r should hold (QUEUED for queue()).
     """
-    ready = prepare(claims, ascii_only=ascii_only).withColumn("condition_text", F.to_json(condition_key(F.col("condition"))))
-    ready = ready.join(value_counts(claims, keys), [*keys, "condition_text"], "left")
-    more = list(carry)
-    if bands is not None:
-        ready = ready.join(bands, [*(k for k in keys if k != "field_name"), "document_id", "field_name"], "left")
-        more.append("band")
+    ready = gathered(claims, keys, ascii_only=ascii_only, bands=bands)
+    more = [*carry, *(["band"] if bands is not None else [])]
     told_of = [*NEEDED, *[c for c in more if c not in NEEDED]]
-    columns = [*told_of, *JUDGED]
+    columns = [*told_of, *JUDGED, "stated"]
     # The policy of a field is looked up once a claim; a pair takes it from its left side.
-    pairs = comparison_pairs(compared(policy.with_policy(ready)).select(*keys, *columns, *POLICY), keys, flat=True)
+    pairs = comparison_pairs(compared(policy.with_policy(ready)).select(*keys, *columns, *POLICY), keys, condition="stated", flat=True)
     pairs = pairs.withColumnsRenamed({f"l_{c}": c for c in POLICY}).drop(*[f"r_{c}" for c in POLICY])
     l, r = ({c: F.col(f"{side}_{c}") for c in columns} for side in "lr")  # noqa: E741
     one = {"band_l": l["band"], "band_r": r["band"]} if bands is not None else {}

@@ -447,3 +447,14 @@ def test_canonical_claims_are_shuffled_once_and_unsorted(spark):
     assert df.count() == 2 and df.columns == claims.with_condition_text(frame(spark, [a])).columns
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" not in plan.split("Exchange")[-1] and "__id" not in plan
+
+
+def test_values_are_counted_where_claims_are_gathered(spark):
+    stc, noct = {"basis": "stc"}, {"temperature_c": 25.0}
+    rows = [claim(v, cond=c, model=m, extractor_version=str(i)) for m in ("1", "2") for c in ({}, stc, noct) for i, v in enumerate((1, 1.0, True, None, "a", "a", 2, None, ["x"])) if m == "1" or i in (3, 7)]
+    rows.append(claim(1, model=None))
+    df, keys = frame(spark, rows), [*conflicts.COMPONENT, "field_name"]
+    got = {(*(r[k] for k in keys), r["condition_text"]): r["distinct_values"] for r in conflicts.gathered(df).collect()}
+    want = {(*(r[k] for k in keys), r["condition_text"]): r["distinct_values"] for r in conflicts.value_counts(df).collect() if r["model"]}
+    assert got == want and sorted(want.values()) == [0, 0, 0, 4, 4, 4]
+    assert conflicts.gathered(df).count() == len(rows) - 1

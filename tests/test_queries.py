@@ -91,3 +91,18 @@ def test_gates_read_the_pairs_once(spark):
 def test_manifest_makes_the_queue_once(spark):
     plan = core.queries()["queue_manifest"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join Inner" in line and "l_ord" in line for line in plan.splitlines()) == 1
+
+
+def exchanges(spark, name: str) -> list[str]:
+    """The shuffles of a query's plan, without those that are read again."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = core.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+
+
+@pytest.mark.parametrize("name", ["flagship", "gate_blocks"])
+def test_claims_are_shuffled_once(spark, name):
+    assert sum("hashpartitioning(part#" in line for line in exchanges(spark, name)) == 1
