@@ -198,7 +198,8 @@ def value_counts(candidates: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "fi
 
 
 def gathered(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"), *, ascii_only: bool = False, bands: DataFrame | None = None) -> DataFrame:
-    """prepare()d claims with their condition_text, stated (the dimensions alone), band and distinct_values (see value_counts), all claims of a key in one place.
+    """prepare()d claims with their condition_text, stated (the dimensions alone), band, distinct_values (see value_counts) and copies
+    (how many claims of the key have its ord, itself included), all claims of a key in one place.
 
     Claims are shuffled once, by their keys alone. What follows, counts and pairs, finds them in place: both sides of the
     pairs read the same shuffle, as what their field's policy adds is looked up after it. Dimensions are shuffled as
@@ -210,6 +211,7 @@ def gathered(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name
     if bands is not None:
         ready = ready.join(bands, [*(k for k in keys if k != "field_name"), "document_id", "field_name"], "left")
     ready = ready.repartition(*keys).withColumn("__same", F.coalesce(F.col("num").cast("string"), F.col("__flag").cast("double").cast("string"), "canon"))
+    ready = ready.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy(*keys, "ord")))
     group = Window.partitionBy(*keys, "condition_text")
     # The last rank is the number of different values, nulls being one of them; no group's values are held at once.
     ranked = ready.withColumn("__rank", F.dense_rank().over(group.orderBy("__same")))
@@ -218,7 +220,7 @@ def gathered(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name
 
 #: What judging and grading a pair read of each side; a pair carries nothing else but what its caller asks for.
 NEEDED = ("ord", "condition", "kind", "num", "canon", "base", "year", "unit", "unit_fold", "family", "scaled", "floor", "source_tier", "source_id", "record", "ieee", "against_cec_list", "distinct_values")
-QUEUED = ("value", "source_ref", "confidence")
+QUEUED = ("value", "source_ref", "confidence", "copies")
 #: What judging and grading a pair compute from its sides and their policy, see compared().
 JUDGED = ("form", "x", "scaled_x", "known", "any_alternate", "all_alternate", "many")
 POLICY = ("rule_no", "plain", "other", "scales", "numeric", "criticality", "least_grade")
@@ -251,10 +253,20 @@ def said(s: Column) -> Column:
 
 
 def queue(detected: DataFrame, as_of: Column, keys: tuple[str, ...] = (*COMPONENT, "field_name")) -> DataFrame:
-    """Conflict queue entries: an id that depends on the content alone, both candidates in order, no resolution yet."""
+    """Conflict queue entries: an id that depends on the content alone, both candidates in order, no resolution yet.
+
+    shared_id is the id again where another entry may have it, else null: an id tells a key and two claims, so it is an
+    entry's own where neither claim has a copy (carry copies, or all ids may be shared).
+    """
     entry = F.sha2(F.to_json(F.struct(*keys, "l.ord", F.col("r.ord").alias("r_ord"))), 256)
+    own = (F.col("l.copies") == 1) & (F.col("r.copies") == 1) if "copies" in detected.schema["l"].dataType.names else F.lit(False)
     one = lambda s: F.struct(s["value"].alias("value"), s["unit"].alias("unit"), s["source_tier"].alias("source_tier"), s["source_ref"].alias("source_ref"), s["confidence"].alias("confidence"))
-    return detected.where("conflicts").select(entry.alias("entry_id"), *keys, "conflict_class", "severity", F.array(one(F.col("l")), one(F.col("r"))).alias("candidates"), F.concat(F.col("reason"), F.lit(": "), said(F.col("l")), F.lit(" against "), said(F.col("r"))).alias("explanation"), as_of.alias("detected_at"), F.lit(None).cast("struct<action:string,resolved_by:string,resolved_at:timestamp,rationale:string,value_before:string,value_after:string>").alias("resolution"))
+    return detected.where("conflicts").select(entry.alias("entry_id"), *keys, "conflict_class", "severity", F.array(one(F.col("l")), one(F.col("r"))).alias("candidates"), F.concat(F.col("reason"), F.lit(": "), said(F.col("l")), F.lit(" against "), said(F.col("r"))).alias("explanation"), as_of.alias("detected_at"), F.lit(None).cast("struct<action:string,resolved_by:string,resolved_at:timestamp,rationale:string,value_before:string,value_after:string>").alias("resolution"), F.when(~own, entry).alias("shared_id"))
+
+
+def n_different() -> Column:
+    """How many different entry_id there are, as an aggregate of entries; only ids that may be shared are shuffled and compared."""
+    return F.count(F.lit(1)) - F.count("shared_id") + F.count_distinct("shared_id")
 
 
 def blocking(conflicts: DataFrame, threshold: int) -> DataFrame:

@@ -131,8 +131,8 @@ def band_verdicts(spark, sf_dir):
 @query(f"WITH {_BAND} SELECT 'power_tolerance' AS field_name, 'open' AS status, 2 AS n_candidates, count(*) AS n, count(*) AS n_ids FROM p WHERE conflicts GROUP BY ALL HAVING count(*) > 0")
 def queue_manifest(spark, sf_dir):
     q = conflicts.queue(_banded(spark, sf_dir), F.lit("2024-01-01").cast("timestamp"), KEYS)
-    m = conflicts.manifest(q.withColumn("n_candidates", F.size("candidates")), ("n_candidates",))
-    return m.groupBy("field_name", "status", "n_candidates").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entry_id").alias("n_ids"))
+    m = conflicts.manifest(q.withColumn("n_candidates", F.size("candidates")), ("n_candidates", "shared_id"))
+    return m.groupBy("field_name", "status", "n_candidates").agg(F.count(F.lit(1)).alias("n"), conflicts.n_different().alias("n_ids"))
 
 
 @query("SELECT 4 AS severity, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 AND o_orderstatus <> 'F' HAVING count(*) > 0")

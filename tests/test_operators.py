@@ -458,3 +458,13 @@ def test_values_are_counted_where_claims_are_gathered(spark):
     want = {(*(r[k] for k in keys), r["condition_text"]): r["distinct_values"] for r in conflicts.value_counts(df).collect() if r["model"]}
     assert got == want and sorted(want.values()) == [0, 0, 0, 4, 4, 4]
     assert conflicts.gathered(df).count() == len(rows) - 1
+
+
+def test_entries_are_counted_by_their_ids(spark):
+    """Copies of a claim give entries of one id each; all are counted, with and without copies known."""
+    rows = [claim(v, model=m, doc=d) for m, v, d in (("1", 650, "a"), ("1", 655, "b"), ("1", 655, "b"), ("1", 660, "c"), ("2", 650, "a"), ("2", 655, "b"), ("3", 650, "a"))]
+    for carry in (conflicts.QUEUED, ("value", "source_ref", "confidence")):
+        q = conflicts.queue(conflicts.detect(frame(spark, rows), carry=carry), F.lit("2024-01-01").cast("timestamp"))
+        ids = [r["entry_id"] for r in q.collect()]
+        got = q.agg(conflicts.n_different().alias("n"), F.count("shared_id").alias("shared")).first()
+        assert (len(ids), len(set(ids)), got["n"], got["shared"]) == (6, 4, 4, 4 if "copies" in carry else 6)

@@ -106,3 +106,19 @@ def exchanges(spark, name: str) -> list[str]:
 @pytest.mark.parametrize("name", ["flagship", "gate_blocks"])
 def test_claims_are_shuffled_once(spark, name):
     assert sum("hashpartitioning(part#" in line for line in exchanges(spark, name)) == 1
+
+
+def test_manifest_shuffles_no_ids_of_its_own(spark):
+    """Entries are counted where they are made; what is shuffled grows with the claims and not with their pairs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = core.queries()["queue_manifest"](spark, SF.replace("sf0.001", "sf0.1"))
+        (n,) = [r["n_ids"] for r in df.collect()]
+        plans, written = [df._jdf.queryExecution().executedPlan()], 0
+        while plans:
+            p = plans.pop()
+            plans += [p.children().apply(i) for i in range(p.children().size())]
+            written += p.metrics().apply("shuffleRecordsWritten").value() if p.nodeName() == "Exchange" else 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < written < n
