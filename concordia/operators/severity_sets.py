@@ -7,6 +7,7 @@ aggregated into them without ever being listed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from concordia.operators.conflicts import COMPONENT, compared_policy, condition_key, detect, graded, prepare, value_counts
+from concordia.operators.conflicts import COMPONENT, compared_policy, condition_key, detect, gathered, graded
 from concordia.plans import policy
 from concordia.plans.schema import DIMENSIONS
 
@@ -41,27 +42,29 @@ def maximal_sets(comparable: list[int]) -> Iterator[list[int]]:
 
 
 @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-def _sets(conditions: pd.Series) -> pd.Series:
+def _sets_of(conditions: pd.Series) -> pd.Series:
+    """The sets of each condition of a key, by their numbers; conditions are JSON texts of what they state."""
     known: dict[tuple, list] = {}
 
-    def find(rows) -> list[list[int]]:
-        stated = tuple(tuple(None if v is None else str(v) for v in r["stated"]) for r in rows)
-        if stated not in known:
-            fits = lambda a, b: all(x is None or y is None or x == y for x, y in zip(a, b, strict=True))
+    def find(texts: tuple[str, ...]) -> list[list[int]]:
+        if texts not in known:
+            if len(known) >= 10_000:
+                known.clear()
+            stated = [{d: v for d, v in json.loads(t, parse_constant=str).items() if v is not None} for t in texts]
+            fits = lambda a, b: all(b.get(d, v) == v for d, v in a.items())
             masks = [sum(1 << j for j, b in enumerate(stated) if j != i and fits(a, b)) for i, a in enumerate(stated)]
-            known[stated] = sorted(maximal_sets(masks))
-        return known[stated]
+            sets = sorted(maximal_sets(masks))
+            known[texts] = [[k for k, members in enumerate(sets) if i in members] for i in range(len(texts))]
+        return known[texts]
 
-    return pd.Series([find(x) for x in conditions])
+    return pd.Series([find(tuple(x)) for x in conditions])
 
 
-def memberships(candidates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, set_no (from 0), condition_text: the exact conditions of each maximal set of a key."""
-    stated = F.array(*[F.col("condition")[d].cast("string") for d in DIMENSIONS])
-    distinct = candidates.select(*keys, "condition_text", stated.alias("stated")).distinct()
-    per = distinct.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("condition_text", "stated"))).alias("c"))
-    one = per.select(*keys, "c", F.posexplode(_sets("c")).alias("set_no", "members"))
-    return one.select(*keys, "set_no", "c", F.explode("members").alias("i")).select(*keys, "set_no", F.col("c")[F.col("i")]["condition_text"].alias("condition_text"))
+def memberships(claims: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, sets_of: of each key, a map from the text of an exact condition to the numbers (from 0) of its maximal sets."""
+    texts = claims.select(*keys, F.to_json(condition_key(F.col("condition"))).alias("text")).distinct()
+    per = texts.groupBy(*keys).agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    return per.select(*keys, F.map_from_arrays("texts", _sets_of("texts")).alias("sets_of"))
 
 
 def graded_sets(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_name"), *, ascii_only: bool = False) -> DataFrame:
@@ -72,14 +75,14 @@ def graded_sets(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_n
     several against each other. Severity is that of pairs with the set in place of the pair: the range of all numbers,
     records only if all are, and the most values under one exact condition.
     """
-    ready = prepare(claims, ascii_only=ascii_only).withColumn("condition_text", F.to_json(condition_key(F.col("condition"))))
-    ready = ready.join(value_counts(claims, keys), [*keys, "condition_text"], "left")
-    of = memberships(ready, keys)
+    of = memberships(claims, keys)
     size = F.coalesce("scaled", "num")
-    stated = F.struct(*[F.max(F.col("condition")[d]).alias(d) for d in DIMENSIONS])
+    stated = F.struct(*[F.max(F.col("stated")[d]).alias(d) for d in DIMENSIONS])
     whole = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.min(c))  # noqa: E731  null where any is
     side = lambda f: f(F.struct("num", "scaled"), size)
-    sets = ready.join(of, [*keys, "condition_text"]).groupBy(*keys, "set_no").agg(
+    # All is joined by the keys alone, by which it already lies: nothing but the claims and their conditions is shuffled.
+    members = gathered(claims, keys, ascii_only=ascii_only).join(of, list(keys)).withColumn("set_no", F.explode(F.col("sets_of")[F.col("condition_text")]))
+    sets = members.groupBy(*keys, "set_no").agg(
         stated.alias("condition"), F.count(F.lit(1)).alias("n_claims"), F.count_distinct(F.coalesce(F.col("num").cast("string"), F.col("canon"))).alias("n_values"), side(F.min_by).alias("low"), side(F.max_by).alias("high"), whole("family").alias("family_l"), F.max("family").alias("family_r"),
         F.max("record").alias("some"), F.min("record").alias("every"), F.min("source_id").alias("source_l"), F.max("source_id").alias("source_r"), F.max("distinct_values").alias("values"),
     ).where("n_claims > 1")
@@ -88,9 +91,10 @@ def graded_sets(claims: DataFrame, keys: tuple[str, ...] = (*COMPONENT, "field_n
     kinds_of = {"units": of_kind("unit_normalization"), "editions": of_kind("temporal"), "others": of_kind("record_vs_web", "intra_document", "inter_document")}
     found = detect(claims, keys, ascii_only=ascii_only, carry=("condition_text",)).where("conflicts")
     pairs = found.groupBy(*keys, F.col("l.condition_text").alias("condition_text"), F.col("r.condition_text").alias("other_text")).agg(*[c.alias(n) for n, c in kinds_of.items()])
-    inside = pairs.join(of, [*keys, "condition_text"]).join(of.withColumnRenamed("condition_text", "other_text"), [*keys, "set_no", "other_text"])
-    kinds = inside.groupBy(*keys, "set_no").agg(*[F.bool_or(n).alias(n) for n in kinds_of])
-    p = policy.with_policy(sets.join(kinds, [*keys, "set_no"], "left"))
+    common = F.array_intersect(F.col("sets_of")[F.col("condition_text")], F.col("sets_of")[F.col("other_text")])
+    inside = pairs.join(of, list(keys)).withColumn("set_no", F.explode(common)).groupBy(*keys, "set_no").agg(F.struct(*[F.bool_or(n).alias(n) for n in kinds_of]).alias("kinds"))
+    kinds = inside.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("set_no", "kinds"))).alias("kinds"))
+    p = policy.with_policy(sets.join(kinds, list(keys), "left").withColumn("kinds", F.col("kinds")[F.col("set_no")]).withColumns({n: F.col("kinds")[n] for n in kinds_of}))
     special = F.when(F.col("units") & ~F.col("editions") & ~F.col("others"), "unit_normalization").when(F.col("editions") & ~F.col("units") & ~F.col("others"), "temporal")
     kind = F.when(F.col("some") != F.col("every"), "record_vs_web").when(F.col("source_l").eqNullSafe(F.col("source_r")), "intra_document").otherwise("inter_document")
     p = p.withColumn("conflicts", F.col("others").isNotNull()).withColumn("conflict_class", F.when(F.col("conflicts"), F.coalesce(special, kind)))

@@ -50,6 +50,26 @@ def test_sets_are_graded_once(spark):
     assert got["4", None][3] in (None, "unit_normalization") and got["5", None][4] <= 3
 
 
+def test_memberships(spark):
+    import sys
+
+    sys.path.insert(0, "tests")
+    from concordia.operators import conflicts
+    from test_operators import claim, frame
+
+    rng = random.Random(8)
+    rows = [claim(1, model=str(k), cond={"basis": rng.choice((None, "stc", "noct")), "temperature_c": rng.choice((None, 25.0, 1e22, float("nan"))), "tap_position_pct": rng.choice((None, -2.5))}) for k in range(12) for _ in range(7)]
+    fits = lambda a, b: all(x is None or y is None or str(x) == str(y) for x, y in ((a[d], b[d]) for d in a if d not in ("note", "derived")))
+    got = {r["model"]: r["sets_of"] for r in severity_sets.memberships(frame(spark, rows), conflicts.COMPONENT).collect()}
+    text = F.to_json(conflicts.condition_key(F.col("condition")))
+    named = {(r["model"], repr(tuple(r["condition"])[:10])): r["t"] for r in frame(spark, rows).withColumn("t", text).collect()}
+    for k in range(12):
+        of = {named[str(k), repr(tuple(r["condition"].values())[:10])]: r["condition"] for r in rows if r["model"] == str(k)}
+        sets = {n: {t for t in of if n in got[str(k)][t]} for t in of for n in got[str(k)][t]}
+        good = [set(c) for n in range(1, len(of) + 1) for c in itertools.combinations(of, n) if all(fits(of[a], of[b]) for a, b in itertools.combinations(c, 2))]
+        assert sorted(map(sorted, sets.values())) == sorted(sorted(c) for c in good if not any(c < d for d in good))
+
+
 # -- the store -----------------------------------------------------------------------------------------------------
 
 

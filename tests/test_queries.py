@@ -108,17 +108,28 @@ def test_claims_are_shuffled_once(spark, name):
     assert sum("hashpartitioning(part#" in line for line in exchanges(spark, name)) == 1
 
 
-def test_manifest_shuffles_no_ids_of_its_own(spark):
-    """Entries are counted where they are made; what is shuffled grows with the claims and not with their pairs."""
+def shuffled(spark, name: str, sf: str) -> tuple[list, int]:
+    """A query's rows, and how many rows its shuffles wrote."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        df = core.queries()["queue_manifest"](spark, SF.replace("sf0.001", "sf0.1"))
-        (n,) = [r["n_ids"] for r in df.collect()]
-        plans, written = [df._jdf.queryExecution().executedPlan()], 0
+        df = core.queries()[name](spark, sf)
+        rows, plans, written = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
         while plans:
             p = plans.pop()
             plans += [p.children().apply(i) for i in range(p.children().size())]
             written += p.metrics().apply("shuffleRecordsWritten").value() if p.nodeName() == "Exchange" else 0
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
-    assert 0 < written < n
+    return rows, written
+
+
+def test_manifest_shuffles_no_ids_of_its_own(spark):
+    """Entries are counted where they are made; what is shuffled grows with the claims and not with their pairs."""
+    rows, written = shuffled(spark, "queue_manifest", SF.replace("sf0.001", "sf0.1"))
+    assert 0 < written < rows[0]["n_ids"]
+
+
+def test_sets_shuffle_claims_for_themselves_and_their_pairs_alone(spark):
+    _, written = shuffled(spark, "graded_sets", SF)
+    claims = core.table(spark, SF, "lineitem").count()
+    assert 2 * claims <= written < 3 * claims
